@@ -121,58 +121,84 @@ def benchmark_blocks(benchmark: DataFrame, key: str, text: str, window: int) ->
         yield Phrases([tuple(r) for r in benchmark.select(key, text).where(part == b).collect()], window)
 
 
+def annotated(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, shard_words: int) -> DataFrame:
+    """df with __n_words, __hits (merged spans of words inside occurrences of windows) and __items (sorted ids of items with occurring windows)."""
+    spark, plain = df.sparkSession, df.schema
+    schema = f"{plain.toDDL()}, __n_words long, __hits array<array<long>>, __items array<long>"
+    out, first = df, True
+    for phrases in benchmark_blocks(benchmark.select(F.col(item).alias(item), F.col(item_text).alias(item_text)), item, item_text, window):
+        shared = spark.sparkContext.broadcast(phrases)  # from at most BLOCK_BYTES of text
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+            for batch, _, docs in shards(batches, text, shard_words):
+                found = search(docs, shared.value)
+                old = [([], [])] * len(docs) if first else zip(rows_of(batch, "__hits"), rows_of(batch, "__items"), strict=True)
+                both = [(merged([*map(tuple, h), *new]), sorted({*i, *ids})) for (h, i), (new, ids) in zip(old, found, strict=True)]
+                own = batch.columns if first else batch.columns[:-3]
+                added = [pa.array([len(d) for d in docs], pa.int64()), pa.array([h for h, _ in both], pa.list_(pa.list_(pa.int64()))), pa.array([i for _, i in both], pa.list_(pa.int64()))]
+                yield pa.record_batch([*own, *added], [*batch.schema.names[: len(own)], "__n_words", "__hits", "__items"])
+
+        out, first = map_batches(out, run, schema), False
+    return out
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(key, n_words, n_hit, items, spans, clean_text) of every row.
+    """(key, n_words, n_hit, items, spans) of every row.
 
     Each task deals the documents it reads into shards of about `shard_words` words and builds an FM-index over each
     shard's words: a suffix order, the permuted text as a wavelet matrix, and sampled suffix positions. All windows
     of `window` benchmark words (an item of fewer words is one window) are searched backward through its ranks and
     located by walks to sampled positions; the words they cover are merged into spans. spans: character ranges of the text
-    to remove; clean_text: the text without them, null if nothing but separators is left of it or the text is null.
-    Nothing is shuffled, and copies cost no more than other rows. A benchmark beyond BLOCK_BYTES is searched for block by
+    to remove. Nothing is shuffled, and copies cost no more than other rows. A benchmark beyond BLOCK_BYTES is searched for block by
     block, spans of former blocks being carried along. Null and empty texts have no words; null item keys are passed over.
     """
-    plain = "k long, t string, n_words long, hits array<array<long>>, items array<long>"
-    out = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
-    spark = df.sparkSession
-    for phrases in benchmark_blocks(benchmark.select(F.col(item).alias(item), F.col(item_text).alias(item_text)), item, item_text, window):
-        shared = spark.sparkContext.broadcast(phrases)  # from at most BLOCK_BYTES of text
+    out = annotated(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), benchmark, "t", item, item_text, window, shard_words)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, _, docs in shards(batches, "t", shard_words):
-                found = search(docs, shared.value)
-                hits = [merged([*map(tuple, old), *new]) for old, (new, _) in zip(rows_of(batch, "hits"), found, strict=True)]
-                items = [sorted({*old, *new}) for old, (_, new) in zip(rows_of(batch, "items"), found, strict=True)]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))], ["k", "t", "n_words", "hits", "items"])
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = rows_of(batch, "__hits")
+            spans = [[{"start": a, "end": b} for a, b in char_spans(t, h)] if h else [] for t, h in zip(rows_of(batch, "t"), hits, strict=True)]
+            n_hit = [sum(b - a for a, b in h) for h in hits]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, kind)], ["k", "n_words", "n_hit", "items", "spans"])
+
+    return map_batches(out, locate, "k long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>").withColumnRenamed("k", key)
 
-        out = map_batches(out, run, plain)
+
+def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """df with the spans of decontaminate() cut out of its texts; rows of which no word is left go. Other rows and columns stay as they are."""
+    out = annotated(df, benchmark, text, item, item_text, window, shard_words)
+    names = df.columns
+    at = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hits = rows_of(batch, "t"), rows_of(batch, "hits")
-            spans, clean = [], []
-            for t, h in zip(texts, hits, strict=True):
-                s, c = remove(t, [tuple(x) for x in h]) if h else ([], t)
-                spans.append([{"start": a, "end": b} for a, b in s])
-                clean.append(c)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            n_hit = [sum(b - a for a, b in h) for h in hits]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, kind), pa.array(clean, pa.string())], ["k", "n_words", "n_hit", "items", "spans", "clean_text"])
+            hits = rows_of(batch, "__hits")
+            if any(hits):
+                texts = [remove(t, h) if h else t for t, h in zip(batch.column(at).to_pylist(), hits, strict=True)]
+                keep = pa.array([t is not None or not h for t, h in zip(texts, hits, strict=True)])
+                columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(batch.columns) - 3)]
+                yield pa.record_batch(columns, names).filter(keep)
+            else:
+                yield pa.record_batch(batch.columns[:-3], names)
 
-    return map_batches(out, cut, "k long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, clean_text string").withColumnRenamed("k", key)
+    return map_batches(out, cut, df.schema.toDDL())
 
 
-def remove(text: str, hits: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], str | None]:
-    """Character spans of the hit words, and the text without them; a line break keeps apart what stood around a span."""
+def char_spans(text: str, hits: list) -> list[tuple[int, int]]:
+    """Character spans of hit words."""
     places = [m.span() for m in WORD.finditer(text)]
-    spans = [(places[a][0], places[b - 1][1]) for a, b in hits]
+    return [(places[a][0], places[b - 1][1]) for a, b in hits]
+
+
+def remove(text: str, hits: list) -> str | None:
+    """The text without the hit words, null if no word is left; a line break keeps apart what stood around a span."""
     kept, at = [], 0
-    for a, b in spans:
+    for a, b in char_spans(text, hits):
         kept.append(text[at:a])
         at = b
-    kept.append(text[at:])
-    clean = "\n".join(kept)
-    return spans, clean if WORD.search(clean) else None
+    clean = "\n".join([*kept, text[at:]])
+    return clean if WORD.search(clean) else None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,14 @@ def test_against_brute_force(spark):
         for i, t, _ in rows:
             n, hit, ids = brute(t, items)
             assert (got[i].n_words, got[i].n_hit, got[i].items) == (n, hit, ids)
-            if hit:
-                assert got[i].clean_text is None or len(words(got[i].clean_text.encode())) == n - hit
+            assert sum(len(words(t[s.start : s.end].encode())) for s in got[i].spans) == hit
+        clean = {r.doc_id: r for r in D.cleaned(docs, bench, shard_words=limit).collect()}
+        for i, t, _ in rows:
+            n, hit, _ = brute(t, items)
+            if hit and hit == n:
+                assert i not in clean
             else:
-                assert got[i].clean_text == t
+                assert clean[i].items == "clash" and (len(words((clean[i].text or "").encode())) == n - hit if hit else clean[i].text == t)
 
 
 def test_blocks_and_empty_tables(spark, monkeypatch):
