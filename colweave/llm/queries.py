@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from colweave.llm import decontamination, licenses, range_join, sharding, simhash, token_counts
+from colweave.llm import decontamination, html_text, language, licenses, range_join, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": language.query,
+    "op2_sentencepiece_encoding": sentencepiece_lattice.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op4_sharding": sharding.query,
+    "op5_html_extraction": html_text.query,
     "op6_embedding_near_dedup": range_join.query,
     "op7_token_counts": token_counts.query,
+    "op8_toxicity": toxicity.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_license_scans": licenses.query,
 }
