@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -58,19 +59,49 @@ class Pieces:
         merges = bool(plain) and bool(np.all(score[plain] == np.round(score[plain])))
         self.weight = -np.log(2 + np.minimum(-score, n)) if merges else score
         self.byte_weight = -float(np.log(2 + n))
-        self.ids: dict[str, int] = {}  # -1: only a prefix of pieces
-        for i in plain:
-            piece = sp.id_to_piece(i)
-            self.ids[piece] = i
-            for j in range(1, len(piece)):
-                self.ids.setdefault(piece[:j], -1)
-        for i in plain:
-            self.ids[sp.id_to_piece(i)] = i
+        self.ids = {sp.id_to_piece(i): i for i in plain}
+        states = {"": 0}
+        for piece in self.ids:
+            for j in range(1, len(piece) + 1):
+                states.setdefault(piece[:j], len(states))
+        self.piece = np.full(len(states), -1, dtype=np.int32)  # of a trie's state
+        self.piece[[states[x] for x in self.ids]] = list(self.ids.values())
+        keys = np.array([states[x[:-1]] << 21 | ord(x[-1]) for x in states if x], dtype=np.int64)
+        self.shift = np.uint64(64 - max(8, 2 + len(keys).bit_length()))
+        self.keys, self.states = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64), np.zeros(1 << (64 - int(self.shift)), dtype=np.int64)
+        left, values = keys, np.array([i for x, i in states.items() if x], dtype=np.int64)
+        slot = self.slots(left)
+        while len(left):
+            free, at = np.unique(slot, return_index=True)
+            at = at[self.keys[free] < 0]
+            self.keys[slot[at]], self.states[slot[at]] = left[at], values[at]
+            rest = np.ones(len(left), bool)
+            rest[at] = False
+            left, values, slot = left[rest], values[rest], (slot[rest] + 1) % len(self.keys)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_ids = np.array(self.bytes, dtype=np.int32)
         self.text = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         if any(SPACE in sp.id_to_piece(i).lstrip(SPACE) for i in plain):
             raise ValueError("pieces that go over the end of a word aren't supported")
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * GOLDEN) >> self.shift).astype(np.int64)
+
+    def follow(self, state: np.ndarray, character: np.ndarray) -> np.ndarray:
+        """States of the trie behind the characters, -1 where no piece goes on so."""
+        key = state << 21 | character
+        slot = self.slots(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.states[slot], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            seen = self.keys[slot[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.states[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of pieces; the space that encoding adds in front is taken away."""
         text = b"".join([self.text[i] for i in ids])
@@ -96,7 +127,7 @@ class Lattices:
     """Lattices of distinct chunks: nodes are places in a chunk, arcs are pieces with their probabilities given the node.
 
     An arc's probability is its weight times the sum of weights of all ways from its end over that from its start, so walks from
-    a chunk's first node draw segmentations by their shares. A node v holds the cumulated probabilities of its arcs as numbers from v to v + 1.
+    a chunk's first node draw segmentations by their shares. A node's arcs lie together, the longest first, with cumulated probabilities.
     """
 
     def __init__(self, pieces: Pieces):
@@ -105,98 +136,121 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.best = [], []
-        self.cum, self.next, self.log_p = (np.zeros(0, t) for t in (np.float64, np.int32, np.float64))
-        self.arc_piece: list = []  # an id, or a tuple of bytes' ids
+        self.start = np.zeros(0, np.int64)  # a chunk's first node
+        self.best, self.best_at = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the library's pieces of chunks
+        self.cum, self.log_p = np.zeros(0), np.zeros(0)
+        self.next, self.arc_piece = np.zeros(0, np.int64), np.zeros(0, np.int32)  # a piece's id, or below 0 a character that stands for its bytes
         self.first = np.zeros(1, np.int64)  # a node's first arc
-        self.n_nodes = 0
 
     def add(self, new: list[str]) -> None:
-        ids, weight, nodes = self.pieces.ids, self.pieces.weight, self.n_nodes
-        starts, targets, weights, rest = [], [], [], []
+        pieces, base = self.pieces, len(self.first) - 1
         for chunk in new:
-            c = SPACE + chunk
-            n = len(c)
-            self.known[chunk] = len(self.start)
-            self.start.append(nodes)
-            for i in range(n):
-                any_single = False
-                for j in range(i + 1, n + 1):
-                    p = ids.get(c[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        any_single |= j == i + 1
-                        starts.append(nodes + i)
-                        targets.append(nodes + j if j < n else -1)
-                        self.arc_piece.append(p)
-                        weights.append(weight[p])
-                if not any_single:
-                    b = c[i].encode("utf-8", "replace")
-                    starts.append(nodes + i)
-                    targets.append(nodes + i + 1 if i + 1 < n else -1)
-                    self.arc_piece.append(tuple(self.pieces.bytes[x] for x in b))
-                    weights.append(self.pieces.byte_weight * len(b))
-                rest.append(n - i)
-            nodes += n
+            self.known[chunk] = len(self.known)
         # the library adds the space in front itself, but not to an empty text
-        alone = [ids[SPACE]] if ids.get(SPACE, -1) >= 0 else [self.pieces.bytes[x] for x in SPACE.encode()]
-        self.best += [x if c else alone for c, x in zip(new, self.pieces.model.encode([c.replace(SPACE, " ") for c in new], num_threads=1), strict=True)]
-        base, starts, targets, w, rest = self.n_nodes, np.array(starts, np.int64), np.array(targets, np.int64), np.array(weights), np.array(rest, np.int64)
-        if not len(starts):
-            return
-        order = np.argsort(rest[starts - base], kind="stable")  # nearest to the end first
-        s, t, v = starts[order] - base, targets[order] - base, w[order]
-        log_sum = np.zeros(nodes - base + 1)  # the last stands for a chunk's end
-        t = np.where(targets[order] < 0, nodes - base, t)
-        head = np.r_[True, s[1:] != s[:-1]]
-        level = np.flatnonzero(np.r_[True, np.diff(rest[s]) > 0, True])
-        level[-1] = len(s)
+        alone = [pieces.ids[SPACE]] if SPACE in pieces.ids else [pieces.bytes[x] for x in SPACE.encode()]
+        best = [x if c else alone for c, x in zip(new, pieces.model.encode([c.replace(SPACE, " ") for c in new], num_threads=1), strict=True)]
+        sizes = np.fromiter(map(len, best), dtype=np.int64, count=len(best))
+        self.best = np.concatenate([self.best, np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32, count=int(sizes.sum()))])
+        self.best_at = np.concatenate([self.best_at, self.best_at[-1] + np.cumsum(sizes)])
+        characters = np.frombuffer((SPACE + SPACE.join(new)).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
+        ends = np.cumsum(lengths)
+        self.start = np.concatenate([self.start, base + ends - lengths])
+        end, n = np.repeat(ends, lengths), len(characters)
+        at, state, single = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, bool)
+        found, length = [], 1
+        while len(at):
+            state = pieces.follow(state, characters[at + length - 1])
+            at, state = at[state >= 0], state[state >= 0]
+            piece = pieces.piece[state]
+            has = piece >= 0
+            found.append((at[has], length, piece[has]))
+            if length == 1:
+                single[at[has]] = True
+            inside = at + length < end[at]
+            at, state, length = at[inside], state[inside], length + 1
+        lone = np.flatnonzero(~single)
+        c = characters[lone]
+        found.append((lone, 1, (-1 - c).astype(np.int32)))
+        starts = np.concatenate([x for x, _, _ in found])
+        long = np.concatenate([np.full(len(x), k, dtype=np.int64) for x, k, _ in found])
+        piece = np.concatenate([x for _, _, x in found])
+        order = np.argsort(starts * (length + 1) - long)
+        starts, long, piece = starts[order], long[order], piece[order]
+        w = pieces.weight[np.maximum(piece, 0)]
+        spelt = np.flatnonzero(piece < 0)
+        c = -1 - piece[spelt]
+        w[spelt] = pieces.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+        # sums over all ways to the end, from the places nearest to it on
+        rest = (end - np.arange(n)).astype(np.int32)
+        by = np.argsort(rest[starts], kind="stable")
+        s, v = starts[by], w[by]
+        ended = starts + long == end[starts]
+        t = np.where(ended, n, starts + long)[by]
+        log_sum = np.zeros(n + 1)  # the last stands for a chunk's end
+        level = np.flatnonzero(np.diff(rest[s], prepend=-1, append=-1))
+        head = np.diff(s, prepend=-1) != 0
         for a, b in zip(level[:-1], level[1:]):
-            at = np.flatnonzero(head[a:b])
-            log_sum[s[a:b][at]] = np.logaddexp.reduceat(v[a:b] + log_sum[t[a:b]], at)
-        end = np.where(targets < 0, nodes - base, targets - base)
-        p = np.exp(w + log_sum[end] - log_sum[starts - base])
-        heads = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1]])
-        sizes = np.diff(np.r_[heads, len(starts)])
+            heads = np.flatnonzero(head[a:b])
+            x = v[a:b] + log_sum[t[a:b]]
+            top = np.maximum.reduceat(x, heads)
+            log_sum[s[a:b][heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, b - a)))), heads))
+        p = np.exp(w + log_sum[np.where(ended, n, starts + long)] - log_sum[starts])
+        heads = np.flatnonzero(np.diff(starts, prepend=-1))
+        sizes = np.diff(np.append(heads, len(starts)))
         p /= np.repeat(np.add.reduceat(p, heads), sizes)
         total = np.cumsum(p)
-        cum = total - np.repeat(total[heads] - p[heads], sizes)
-        tails = heads + sizes - 1
-        cum = np.minimum(cum, 1.0)
-        cum[tails] = 1.0
-        self.cum = np.r_[self.cum, starts + cum]
-        self.next = np.r_[self.next, targets.astype(np.int32)]
-        self.log_p = np.r_[self.log_p, np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300)))]
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
-        self.n_nodes = nodes
+        cum = np.minimum(total - np.repeat(total[heads] - p[heads], sizes), 1.0)
+        cum[heads + sizes - 1] = 1.0
+        self.cum = np.concatenate([self.cum, cum])
+        self.log_p = np.concatenate([self.log_p, np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300)))])
+        self.next = np.concatenate([self.next, np.where(ended, -1, base + starts + long)])
+        self.arc_piece = np.concatenate([self.arc_piece, piece])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def numbers(self, found: list[str]) -> np.ndarray:
-        new = [c for c in dict.fromkeys(found) if c not in self.known]
-        for at in range(0, len(new), 20_000):
-            self.add(new[at : at + 20_000])
+        new = list(dict.fromkeys(c for c in found if c not in self.known))
+        if new:
+            self.add(new)
         return np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
 
+    def encoded(self, numbers: np.ndarray) -> np.ndarray:
+        """The library's pieces of chunks one behind the other."""
+        sizes = (self.best_at[1:] - self.best_at[:-1])[numbers]
+        return self.best[np.arange(int(sizes.sum())) + np.repeat(self.best_at[numbers] - np.cumsum(sizes) + sizes, sizes)]
+
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random way from each node to its chunk's end: (which of the nodes, arc), in order."""
-        who, arcs, active, at, step = [], [], np.flatnonzero(nodes >= 0), nodes[nodes >= 0], 0
+        who, arcs, active, step = [], [], np.flatnonzero(nodes >= 0), 0
+        at, seeds = nodes[active], mixed(seeds[active] + GOLDEN)
         while len(active):
-            arc = np.searchsorted(self.cum, at + uniform(seeds[active], step), side="right")
-            arc = np.minimum(arc, self.first[at + 1] - 1)
+            u = ((mixed(seeds + np.full(1, step, np.uint64) * GOLDEN) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+            arc = self.first[at]
+            on = np.flatnonzero(u >= self.cum[arc])
+            while len(on):
+                arc[on] += 1
+                on = on[u[on] >= self.cum[arc[on]]]
             who.append(active)
             arcs.append(arc)
-            at = self.next[arc].astype(np.int64)
-            active, at, step = active[at >= 0], at[at >= 0], step + 1
+            at = self.next[arc]
+            go = np.flatnonzero(at >= 0)
+            active, at, seeds, step = active[go], at[go], seeds[go], step + 1
         if not who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         who_, arcs_ = np.concatenate(who), np.concatenate(arcs)
-        order = np.argsort(who_, kind="stable")
+        order = np.argsort(who_.astype(np.int32), kind="stable")
         return who_[order], arcs_[order]
 
-    def ids_of(self, arcs: np.ndarray) -> list[int]:
-        out = [self.arc_piece[a] for a in arcs.tolist()]
-        if any(type(x) is tuple for x in out):
-            return [i for x in out for i in (x if type(x) is tuple else (x,))]
+    def ids_of(self, arcs: np.ndarray) -> np.ndarray:
+        out = self.arc_piece[arcs]
+        spelt = np.flatnonzero(out < 0)
+        if len(spelt):
+            c = -1 - out[spelt]
+            if c.max() < 128:  # line breaks, mostly
+                out[spelt] = self.pieces.byte_ids[c]
+            else:
+                parts = [[x] if x >= 0 else [self.pieces.bytes[b] for b in chr(-1 - x).encode("utf-8", "replace")] for x in out.tolist()]
+                return np.array(list(itertools.chain.from_iterable(parts)), dtype=np.int32)
         return out
 
 
@@ -216,7 +270,7 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     values in the queue are exact, each pop gives the next segmentation of the order without replacement. One pop more gives the threshold of the inclusion scores
     1 - exp(-exp(log p - threshold)); if there are no more segmentations, scores are 1. All texts take their n-th pop together.
     """
-    start = np.array(lattices.start, dtype=np.int64)
+    start = lattices.start
     n = len(texts)
     drawn: list[list[Drawn]] = [[] for _ in range(n)]
     queues: list[list[list]] = [[] for _ in range(n)]  # for each text, for each segmentation: values of its parts
@@ -312,15 +366,17 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
     kept = {"l": None}
 
     def work(lattices: Lattices, keys: list, texts: list[str | None], parts: list[list[str]]):
-        numbers = lattices.numbers([c for p in parts for c in p])
+        numbers = lattices.numbers(list(itertools.chain.from_iterable(parts)))
         cuts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(int)
         numbers = [numbers[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        best = [[i for c in t.tolist() for i in lattices.best[c]] for t in numbers]
+        best = [lattices.encoded(t) for t in numbers]
         own = np.array([hash_key(k, seed) for k in keys], dtype=np.uint64)
         found = sample(lattices, numbers, own, samples) if samples else [[] for _ in keys]
-        drawn = [[{"ids": lattices.ids_of(a), "log_prob": lp, "perturbed": g, "inclusion": q} for a, lp, g, q in rows] for rows in found]
-        decoded = [None if t is None else lattices.pieces.decode(b) for t, b in zip(texts, best, strict=True)]
-        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(best, pa.list_(pa.int32())), pa.array(drawn, SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
+        flat = [x for rows in found for x in rows]
+        drawn = pa.StructArray.from_arrays([lists([lattices.ids_of(x[0]) for x in flat]), *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))], fields=list(SAMPLE_TYPE.value_type))
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        decoded = [None if t is None else lattices.pieces.decode(b.tolist()) for t, b in zip(texts, best, strict=True)]
+        return pa.record_batch([pa.array(keys, pa.int64()), lists(best), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = kept["l"] = kept["l"] or Lattices(pieces_of(model_path))
@@ -343,6 +399,10 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
     return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")), run, schema).withColumnRenamed("k", key)
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
 def decode(df: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) of rows of piece ids; null ids give null."""
 
