@@ -18,7 +18,7 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Samples of a text, chunks that a task keeps lattices of, and chunks of texts that it works on at a time.
 SAMPLES = 2
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 350_000
 AT_A_TIME = 100_000
 SAMPLE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
 SAMPLE_TYPE = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
@@ -123,6 +123,19 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
 
+class Numbers(dict):
+    """Numbers of chunks in the order in which they are first asked for; those without a lattice yet are in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        n = self[chunk] = len(self)
+        return n
+
+
 class Lattices:
     """Lattices of distinct chunks: nodes are places in a chunk, arcs are pieces with their probabilities given the node.
 
@@ -135,17 +148,15 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.start = np.zeros(0, np.int64)  # a chunk's first node
         self.best, self.best_at = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the library's pieces of chunks
         self.cum, self.log_p = np.zeros(0), np.zeros(0)
-        self.next, self.arc_piece = np.zeros(0, np.int64), np.zeros(0, np.int32)  # a piece's id, or below 0 a character that stands for its bytes
+        self.next, self.arc_piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # a piece's id, or below 0 a character that stands for its bytes
         self.first = np.zeros(1, np.int64)  # a node's first arc
 
     def add(self, new: list[str]) -> None:
         pieces, base = self.pieces, len(self.first) - 1
-        for chunk in new:
-            self.known[chunk] = len(self.known)
         # the library adds the space in front itself, but not to an empty text
         alone = [pieces.ids[SPACE]] if SPACE in pieces.ids else [pieces.bytes[x] for x in SPACE.encode()]
         best = [x if c else alone for c, x in zip(new, pieces.model.encode([c.replace(SPACE, " ") for c in new], num_threads=1), strict=True)]
@@ -182,7 +193,7 @@ class Lattices:
         c = -1 - piece[spelt]
         w[spelt] = pieces.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
         # sums over all ways to the end, from the places nearest to it on
-        rest = (end - np.arange(n)).astype(np.int32)
+        rest = (end - np.arange(n)).astype(np.int16 if lengths.max() < 1 << 15 else np.int32)  # short integers sort quicker
         by = np.argsort(rest[starts], kind="stable")
         s, v = starts[by], w[by]
         ended = starts + long == end[starts]
@@ -199,20 +210,23 @@ class Lattices:
         heads = np.flatnonzero(np.diff(starts, prepend=-1))
         sizes = np.diff(np.append(heads, len(starts)))
         p /= np.repeat(np.add.reduceat(p, heads), sizes)
-        total = np.cumsum(p)
-        cum = np.minimum(total - np.repeat(total[heads] - p[heads], sizes), 1.0)
+        cum = p.copy()
+        for k in range(1, int(sizes.max())):
+            more = heads[sizes > k] + k
+            cum[more] += cum[more - 1]
         cum[heads + sizes - 1] = 1.0
         self.cum = np.concatenate([self.cum, cum])
         self.log_p = np.concatenate([self.log_p, np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300)))])
-        self.next = np.concatenate([self.next, np.where(ended, -1, base + starts + long)])
+        self.next = np.concatenate([self.next, np.where(ended, -1, base + starts + long).astype(np.int32)])
         self.arc_piece = np.concatenate([self.arc_piece, piece])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def numbers(self, found: list[str]) -> np.ndarray:
-        new = list(dict.fromkeys(c for c in found if c not in self.known))
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        out = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        if self.known.new:
+            self.add(self.known.new)
+            self.known.new = []
+        return out
 
     def encoded(self, numbers: np.ndarray) -> np.ndarray:
         """The library's pieces of chunks one behind the other."""
@@ -232,7 +246,7 @@ class Lattices:
                 on = on[u[on] >= self.cum[arc[on]]]
             who.append(active)
             arcs.append(arc)
-            at = self.next[arc]
+            at = self.next[arc].astype(np.int64)
             go = np.flatnonzero(at >= 0)
             active, at, seeds, step = active[go], at[go], seeds[go], step + 1
         if not who:
@@ -257,8 +271,8 @@ class Lattices:
 class Drawn:
     """A segmentation of a text: its arcs and the chunks they are in; from `branch` on it is new, where `banned` arcs are closed."""
 
-    def __init__(self, arcs, chunk, perturbed, branch=0, banned=()):
-        self.arcs, self.chunk, self.perturbed, self.branch, self.banned = arcs, chunk, perturbed, branch, banned
+    def __init__(self, arcs, chunk, perturbed, branch=0, banned=(), before=0.0):
+        self.arcs, self.chunk, self.perturbed, self.branch, self.banned, self.before = arcs, chunk, perturbed, branch, banned, before  # before: the log-probability up to the branch
 
 
 def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -293,20 +307,30 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
         at = np.searchsorted(who, cuts)
         return [(arcs[a:b], place[a:b]) for a, b in zip(at[:-1], at[1:])]
 
-    def parts(d: int, x: Drawn, number: int) -> list:
-        """Values of the parts left of x's region, at arcs from its branch on."""
-        if len(x.arcs) <= x.branch:
-            return np.zeros(0)
-        log_p = lattices.log_p[x.arcs]
-        before = np.r_[0.0, np.cumsum(log_p)[:-1]][x.branch :]
-        left = -np.expm1(log_p[x.branch :])
-        if x.banned:
-            node, closed = node_of(x.arcs[x.branch]), {*x.banned, int(x.arcs[x.branch])}
-            left[0] = sum(np.exp(lattices.log_p[a]) for a in range(int(lattices.first[node]), int(lattices.first[node + 1])) if a not in closed)
-        with np.errstate(divide="ignore", over="ignore"):
+    def parts(found: list[tuple[int, Drawn]], number: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For segmentations of texts the values of the parts left of their regions, at arcs from the branch on, and the log-probabilities before these arcs."""
+        sizes = np.array([len(x.arcs) - x.branch for _, x in found], dtype=np.int64)
+        cuts = np.r_[0, np.cumsum(sizes)]
+        log_p = lattices.log_p[np.concatenate([x.arcs[x.branch :] for _, x in found])]
+        each = lambda values: np.repeat(np.array(values), sizes)
+        before = np.empty(len(log_p))
+        for a, b, (_, x) in zip(cuts[:-1].tolist(), cuts[1:].tolist(), found, strict=True):  # text by text, so that rounding doesn't depend on others
+            before[a:b] = x.before
+            before[a + 1 : b] += np.add.accumulate(log_p[a : b - 1])
+        left = -np.expm1(log_p)
+        for at, (_, x) in zip(cuts.tolist(), found):
+            if x.banned:
+                node, closed = node_of(x.arcs[x.branch]), {*x.banned, int(x.arcs[x.branch])}
+                left[at] = sum(np.exp(lattices.log_p[a]) for a in range(int(lattices.first[node]), int(lattices.first[node + 1])) if a not in closed)
+        own = np.repeat(mixed(mixed(seeds[[d for d, _ in found]] + GOLDEN * np.full(1, number + 100, np.uint64)) + GOLDEN), sizes)
+        place = (np.arange(len(log_p)) - np.repeat(cuts[:-1], sizes) + 1).astype(np.uint64)
+        u = ((mixed(own + place * GOLDEN) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+        with np.errstate(divide="ignore"):
             share = before + np.log(left)
-            e = -np.log(uniform(mixed(seeds[d : d + 1] + GOLDEN * np.full(1, number + 100, np.uint64)), np.arange(len(share)) + 1))
-            return np.where(left > 0, -np.logaddexp(-x.perturbed, np.log(e) - share), -np.inf)
+            # -log(exp(-G) + E / share): a Gumbel number about the share, cut off at the region's value G
+            values = -np.logaddexp(each([-x.perturbed for _, x in found]), np.log(-np.log(u)) - share)
+        values[left <= 0] = -np.inf
+        return [(values[a:b], before[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def node_of(arc: int) -> int:
         return int(np.searchsorted(lattices.first, arc, side="right")) - 1
@@ -320,18 +344,19 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     thresholds = np.full(n, -np.inf)
     for number in range(1, k + 1):
         jobs, heads = [], []
-        for d in range(n):
-            if len(drawn[d]) < number:
-                continue
-            queues[d].append(parts(d, drawn[d][-1], number))
-            tops = [(float(q[i]), s, i) for s, q in enumerate(queues[d]) if len(q) for i in [int(q.argmax())]]
+        going = [d for d in range(n) if len(drawn[d]) == number and len(drawn[d][-1].arcs)]
+        if not going:
+            break
+        for d, part in zip(going, parts([(d, drawn[d][-1]) for d in going], number), strict=True):
+            queues[d].append(part)
+            tops = [(float(q[i]), s, i) for s, (q, _) in enumerate(queues[d]) if len(q) for i in [int(q.argmax())]]
             value, s, i = max(tops, default=(-np.inf, 0, 0))
             if value == -np.inf:
                 continue
             if number == k:
                 thresholds[d] = value
                 continue
-            queues[d][s][i] = -np.inf
+            queues[d][s][0][i] = -np.inf
             parent = drawn[d][s]
             t = parent.branch + i
             banned = (*(parent.banned if i == 0 else ()), int(parent.arcs[t]))
@@ -342,9 +367,9 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
             arc = siblings[min(int(np.searchsorted(np.cumsum(chances), u, side="right")), len(siblings) - 1)]
             chunk = int(parent.chunk[t])
             jobs.append((d, int(lattices.next[arc]), chunk))
-            heads.append((parent, t, arc, banned, value))
-        for (d, _, chunk), (parent, t, arc, banned, value), (arcs, place) in zip(jobs, heads, ways(jobs, number), strict=True):
-            drawn[d].append(Drawn(np.r_[parent.arcs[:t], arc, arcs], np.r_[parent.chunk[:t], chunk, place], value, t, banned))
+            heads.append((parent, t, arc, banned, value, float(queues[d][s][1][i])))
+        for (d, _, chunk), (parent, t, arc, banned, value, before), (arcs, place) in zip(jobs, heads, ways(jobs, number), strict=True):
+            drawn[d].append(Drawn(np.r_[parent.arcs[:t], arc, arcs], np.r_[parent.chunk[:t], chunk, place], value, t, banned, before))
     out = []
     for d in range(n):
         rows = []
