@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from colweave.plans import feature_queries, graph_queries, search_queries, text_queries  # noqa: E402
+
+MODULES = (text_queries, search_queries, graph_queries, feature_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
