@@ -30,10 +30,10 @@ def score(rank: Column, m1: Column, m2: Column, m3: Column) -> Column:
 
 def value_domain_score(golden: DataFrame, given: DataFrame, group: list[str], by_code: str = "enumerated") -> DataFrame:
     """(group, score): 1 minus the share of annotated values whose first given value differs, by concept code if enumerated, else by value; a missing one differs."""
-    first = given.groupBy(*group, "observed").agg(F.min(F.struct("place", "value", "code")).alias("g"))
-    same = F.when(F.col(by_code), F.col("code").eqNullSafe(F.col("g.code"))).otherwise(F.col("value").eqNullSafe(F.col("g.value")))
+    first = given.groupBy(*group, "observed").agg(F.min(F.struct("place", "value", "code")).alias("__given"))
+    same = F.when(F.col(by_code), F.col("code").eqNullSafe(F.col("__given.code"))).otherwise(F.col("value").eqNullSafe(F.col("__given.value")))
     joined = golden.join(first, [*group, "observed"], "left")
-    return joined.groupBy(*group).agg((1 - F.count_if(F.col("g").isNull() | ~same) / F.count("*")).alias("score"))
+    return joined.groupBy(*group).agg((1 - F.count_if(F.col("__given").isNull() | ~same) / F.count("*")).alias("score"))
 
 
 def submission_score(results: DataFrame, sheet: str = "sheet", column: str = "col_no") -> DataFrame:
