@@ -14,9 +14,9 @@ from colweave.llm.common import components, map_batches, saved, table
 from colweave.llm.simhash import spanned
 
 #: Vectors that a pivot stands for, the most pivots, and the most vectors of a block of a cell.
-PER_PIVOT = 512
+PER_PIVOT = 8192
 MAX_PIVOTS = 4096
-BLOCK = 2048
+BLOCK = 8192
 #: Distances are widened by so much against rounding when vectors are dealt out; links themselves are decided by the cosine in double precision.
 SLACK = 1e-6
 
@@ -50,9 +50,10 @@ def range_join(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", embeddi
     with nothing. Repeated rows count as other vectors. A null key never names a component; kept is false for it unless its component has no key at all.
     """
     spark = df.sparkSession
+    kind = "float" if "float" in df.select(embedding).schema[0].dataType.simpleString() else "double"  # single floats are dealt out as such, and compared as doubles
     e = F.col(embedding).cast("array<double>")
     valid = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists(e, lambda x: x != 0)
-    rows = df.select(F.col(key).alias("k"), F.when(F.coalesce(valid, F.lit(False)), F.transform(e, lambda x: x + F.lit(0.0))).alias("e"))  # + 0.0: -0.0 is 0.0
+    rows = df.select(F.col(key).alias("k"), F.when(F.coalesce(valid, F.lit(False)), F.transform(e, lambda x: (x + F.lit(0.0)).cast(kind))).alias("e"))  # + 0.0: -0.0 is 0.0
     grouped = rows.where("e IS NOT NULL").groupBy("e").agg(F.min("k").alias("k"), F.count("*").alias("n"))
     # a class is named by a digest of its vector, as keys may be null or repeated
     name = F.substring(F.unhex(F.sha2(F.to_json(F.struct("e")).cast("binary"), 256)), 1, 16)
@@ -104,7 +105,7 @@ def range_join(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", embeddi
                 else:
                     yield pa.record_batch([own.column(3), pa.array(np.zeros(len(x), np.int32)), pa.array(np.ones(len(x), bool)), own.column(0), own.column(1), own.column(2)], ["dim", "cell", "home", "c", "n", "e"])
 
-    dealt = saved(map_batches(classes.select("c", "n", "e", "dim"), deal, "dim int, cell int, home boolean, c binary, n long, e array<double>"))
+    dealt = saved(map_batches(classes.select("c", "n", "e", "dim"), deal, f"dim int, cell int, home boolean, c binary, n long, e array<{kind}>"))
     # blocks: a home vector stands in one block of its cell and meets every block of candidates; home vectors are candidates too
     counts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nc")).collect()
     plan = spark.createDataFrame([tuple(c) for c in counts], "dim int, cell int, nh int, nc int")
@@ -128,11 +129,11 @@ def range_join(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", embeddi
         ix, iy = np.array([place[c] for c in cx]), np.array([place[c] for c in cy])
         links, pairs = np.zeros(len(x), dtype=np.int64), []
         for at in range(0, len(x), 512):
-            near = x[at : at + 512] @ y.T >= cosine
-            near &= ix[at : at + 512, None] != iy[None, :]
-            links[at : at + 512] = near @ n
-            i, j = np.nonzero(near)
-            pairs.append((ix[i + at], iy[j]))
+            i, j = np.nonzero(x[at : at + 512] @ y.T >= cosine)
+            other = ix[i + at] != iy[j]
+            i, j = i[other] + at, j[other]
+            np.add.at(links, i, n[j])
+            pairs.append((ix[i], iy[j]))
         names = np.array(list(place), dtype=object)
         a, b = spanned(np.arange(len(names)), iter(pairs))
         rows = [(c, int(k), None) for c, k in zip(cx, links) if k] + [(names[i], 0, names[j]) for i, j in zip(a, b)]
