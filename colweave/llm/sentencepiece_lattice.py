@@ -123,6 +123,27 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
 
+class Column:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind, first=()):
+        self.space, self.n = np.array([*first, *[0] * 1024], dtype=kind), len(first)
+
+    def __getitem__(self, at):
+        return self.space[: self.n][at]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.space):
+            space = np.empty(max(self.n + len(more), len(self.space) * 3 // 2), dtype=self.space.dtype)
+            space[: self.n] = self.space[: self.n]
+            self.space = space
+        self.space[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Numbers(dict):
     """Numbers of chunks in the order in which they are first asked for; those without a lattice yet are in `new`."""
 
@@ -149,11 +170,11 @@ class Lattices:
 
     def clear(self) -> None:
         self.known = Numbers()
-        self.start = np.zeros(0, np.int64)  # a chunk's first node
-        self.best, self.best_at = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the library's pieces of chunks
-        self.cum, self.log_p = np.zeros(0), np.zeros(0)
-        self.next, self.arc_piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # a piece's id, or below 0 a character that stands for its bytes
-        self.first = np.zeros(1, np.int64)  # a node's first arc
+        self.start = Column(np.int64)  # a chunk's first node
+        self.best, self.best_at = Column(np.int32), Column(np.int64, [0])  # the library's pieces of chunks
+        self.cum, self.log_p = Column(np.float64), Column(np.float64)
+        self.next, self.arc_piece = Column(np.int32), Column(np.int32)  # a piece's id, or below 0 a character that stands for its bytes
+        self.first = Column(np.int64, [0])  # a node's first arc
 
     def add(self, new: list[str]) -> None:
         pieces, base = self.pieces, len(self.first) - 1
@@ -161,12 +182,12 @@ class Lattices:
         alone = [pieces.ids[SPACE]] if SPACE in pieces.ids else [pieces.bytes[x] for x in SPACE.encode()]
         best = [x if c else alone for c, x in zip(new, pieces.model.encode([c.replace(SPACE, " ") for c in new], num_threads=1), strict=True)]
         sizes = np.fromiter(map(len, best), dtype=np.int64, count=len(best))
-        self.best = np.concatenate([self.best, np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32, count=int(sizes.sum()))])
-        self.best_at = np.concatenate([self.best_at, self.best_at[-1] + np.cumsum(sizes)])
+        self.best.add(np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32, count=int(sizes.sum())))
+        self.best_at.add(self.best_at[-1] + np.cumsum(sizes))
         characters = np.frombuffer((SPACE + SPACE.join(new)).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
         ends = np.cumsum(lengths)
-        self.start = np.concatenate([self.start, base + ends - lengths])
+        self.start.add(base + ends - lengths)
         end, n = np.repeat(ends, lengths), len(characters)
         at, state, single = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, bool)
         found, length = [], 1
@@ -215,11 +236,11 @@ class Lattices:
             more = heads[sizes > k] + k
             cum[more] += cum[more - 1]
         cum[heads + sizes - 1] = 1.0
-        self.cum = np.concatenate([self.cum, cum])
-        self.log_p = np.concatenate([self.log_p, np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300)))])
-        self.next = np.concatenate([self.next, np.where(ended, -1, base + starts + long).astype(np.int32)])
-        self.arc_piece = np.concatenate([self.arc_piece, piece])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.cum.add(cum)
+        self.log_p.add(np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300))))
+        self.next.add(np.where(ended, -1, base + starts + long).astype(np.int32))
+        self.arc_piece.add(piece)
+        self.first.add(self.first[-1] + np.cumsum(sizes))
 
     def numbers(self, found: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
@@ -230,7 +251,7 @@ class Lattices:
 
     def encoded(self, numbers: np.ndarray) -> np.ndarray:
         """The library's pieces of chunks one behind the other."""
-        sizes = (self.best_at[1:] - self.best_at[:-1])[numbers]
+        sizes = self.best_at[numbers + 1] - self.best_at[numbers]
         return self.best[np.arange(int(sizes.sum())) + np.repeat(self.best_at[numbers] - np.cumsum(sizes) + sizes, sizes)]
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +354,7 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
         return [(values[a:b], before[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def node_of(arc: int) -> int:
-        return int(np.searchsorted(lattices.first, arc, side="right")) - 1
+        return int(np.searchsorted(lattices.first[:], arc, side="right")) - 1
 
     whole = [(d, int(start[t[0]]), 0) for d, t in enumerate(texts) if len(t)]
     for (d, _, _), (arcs, place) in zip(whole, ways(whole, 0), strict=True):
