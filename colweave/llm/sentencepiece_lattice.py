@@ -402,15 +402,13 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     return out
 
 
-def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 0) -> DataFrame:
+def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 0, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
     """(key, ids, samples, decoded) of every whole text: the library's encoding, `samples` sampled segmentations with their scores, and the decoded text.
 
-    Lattices are built once for each distinct chunk (a word with the spaces in front) that a task meets, and kept in a bounded
-    number. The text's lattice is the chain of its chunks' lattices. Draws depend on `seed`, the row's key and the text alone, not on how rows are dealt out. decoded: from
+    Lattices are built once for each distinct chunk (a word with the spaces in front) that a task meets, and about `kept_chunks` of them are
+    kept, a kilobyte each; fewer take more time and give the same rows. The text's lattice is the chain of its chunks' lattices. Draws depend on `seed`, the row's key and the text alone, not on how rows are dealt out. decoded: from
     the library's encoding, which is the text for a model that keeps all bytes. Null and empty texts have no pieces and one segmentation, the empty one.
     """
-    kept = {"l": None}
-
     def work(lattices: Lattices, keys: list, texts: list[str | None], parts: list[list[str]]):
         numbers = lattices.numbers(list(itertools.chain.from_iterable(parts)))
         cuts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(int)
@@ -425,7 +423,7 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
         return pa.record_batch([pa.array(keys, pa.int64()), lists(best), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = kept["l"] = kept["l"] or Lattices(pieces_of(model_path))
+        lattices = Lattices(pieces_of(model_path))
         for batch in batches:
             keys, texts, parts, size = [], [], [], 0
             for k, t in zip(rows_of(batch, "k"), rows_of(batch, "x"), strict=True):
@@ -436,7 +434,7 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
                 if size >= AT_A_TIME:
                     yield work(lattices, keys, texts, parts)
                     keys, texts, parts, size = [], [], [], 0
-                    if len(lattices.known) > KEPT_CHUNKS:
+                    if len(lattices.known) > kept_chunks:
                         lattices.clear()
             if keys:
                 yield work(lattices, keys, texts, parts)
