@@ -17,6 +17,9 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: As LOWER, with every ASCII byte that is neither a letter nor a digit turned into a space. UTF-8 bytes from 128 on are parts of words.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
+#: Bytes of a batch of rows that goes to a worker; a session's own setting is left alone.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "268435456", 8 << 20
+
 
 def words(text: bytes) -> list[bytes]:
     """The lower-cased words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a UTF-8 text."""
@@ -65,6 +68,9 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
         yield from function(batches)
         release()
 
+    # a batch by bytes, not by rows alone: ten thousand long texts would be held twice over in each worker
+    if df.sparkSession.conf.get(BATCH_SETTING, None) in (None, BATCH_DEFAULT):
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

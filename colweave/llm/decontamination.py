@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from colweave.llm.common import map_batches, rows_of, table, words
 
 WINDOW = 10
-#: Words of a shard: an index over so many takes about 150 MB.
-SHARD_WORDS = 1_000_000
+#: Words of a shard: an index over so many takes about 100 MB.
+SHARD_WORDS = 400_000
 #: UTF-8 bytes of benchmark texts searched for at a time; a larger benchmark is searched for in blocks.
 BLOCK_BYTES = 8_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
