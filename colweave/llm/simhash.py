@@ -314,24 +314,6 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
 # --- near-duplicates by similarity
 
 
-def word_fingerprints(text: bytes, tables: int, bits: int) -> list[int]:
-    """For each table `bits` bits (at the upper end of 64) of the majority of hashes of the text's distinct words."""
-    from xxhash import xxh64_intdigest
-
-    w = set(text.translate(LOWER).split())
-    if not w:
-        return [0] * tables
-    h = np.array([xxh64_intdigest(x, 7) for x in w], dtype=np.uint64)
-    out = []
-    for i in range(-(-tables * bits // 64)):
-        m = h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(votes(m ^ (m >> np.uint64(31))))
-    all_bits = np.concatenate(out)[: tables * bits].reshape(tables, bits)
-    return [signed(int(packed(np.r_[np.zeros(64 - bits, bool), row])[0])) for row in all_bits]
-
-
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """32-bit hashes of the distinct shingles, sorted; fewer words are one shingle, none give none."""
     from xxhash import xxh32_intdigest
@@ -342,11 +324,32 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxh32_intdigest(g) for g in grams], dtype=np.uint32)).view(np.int32)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 16, bits: int = 40, budget: int = 1) -> DataFrame:
+def shingle_fingerprints(shingles: np.ndarray, tables: int, bits: int) -> list[int]:
+    """For each table `bits` bits (at the upper end of 64), each the vote of the one shingle that comes first in an order of the bit's own.
+
+    Two sets of similarity s differ in a bit with probability (1 - s) / 2, however long the texts.
+    """
+    if not len(shingles):
+        return [0] * tables
+    n = tables * bits
+    factor = np.random.default_rng(5).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    offset = np.random.default_rng(6).integers(0, 1 << 32, n, dtype=np.uint32)
+    first = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    x = shingles.view(np.uint32)[:, None]
+    for at in range(0, len(x), 256):
+        np.minimum(first, (x[at : at + 256] * factor + offset).min(axis=0), out=first)
+    first = (first ^ (first >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    first = (first ^ (first >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    votes_ = (first >> np.uint32(31)).astype(bool).reshape(tables, bits)
+    at_top = np.concatenate([np.zeros((tables, 64 - bits), dtype=bool), votes_], axis=1)
+    return np.packbits(at_top, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 24, bits: int = 32, budget: int = 1) -> DataFrame:
     """(digest, key, component_key) of every row: texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked.
 
     One fingerprint of 64 bits lets most such pairs differ by 5 to 10 bits, too many for a trie. So candidates come from `tables` fingerprints of `bits`
-    bits over the texts' distinct words, each table joined with itself by trie_self_join within `budget` bits; a text's candidates in a table are the
+    bits (shingle_fingerprints), each table joined with itself by trie_self_join within `budget` bits; a text's candidates in a table are the
     smallest text with its own fingerprint, and the smallest and the next smaller of its partners. Every candidate link is then
     verified exactly on its shingles, and verified links become components. Equal texts are one class from the start. Null and empty texts are equal;
     a null key never names a component.
@@ -356,7 +359,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [word_fingerprints(t, tables, bits) for t in utf8_of(batch, "x")]
+            f = [shingle_fingerprints(shingle_set(t, shingle), tables, bits) for t in utf8_of(batch, "x")]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(f, pa.list_(pa.int64()))], ["k", "d", "f"])
 
     rows = saved(map_batches(source, run, "k long, d binary, f array<long>"))
