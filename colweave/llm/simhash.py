@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import LOWER, components, map_batches, saved, table, utf8_of
+from colweave.llm.common import LOWER, components, map_batches, rows_of, saved, table, utf8_of
 
 #: Fingerprints below a leaf of the distributed trie, at least; there are at most about MAX_LEAVES leaves.
 LEAF = 64
@@ -17,6 +18,10 @@ MAX_LEAVES = 32768
 #: Bits by which too full leaves are split at a time, and fingerprints below a node that are compared at once.
 STEP = 6
 PAGE = 16
+#: Texts that show which shingles are common, about, and shingles kept as such: they shape the order of shingles only, never what is found.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
+#: Groups of shingles by their low bits: a group without a shared shingle isn't shuffled.
+GROUPS = 1 << 22
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -167,14 +172,13 @@ def leaf_pairs(starts: np.ndarray, lengths: np.ndarray, budget: int) -> list[np.
     return [np.array(sorted(v), dtype=np.int64) for v in visitors]
 
 
-def trie_self_join(fingerprints: DataFrame, budget: int, bits: int = 64, spanning: bool = True) -> DataFrame:
+def trie_self_join(fingerprints: DataFrame, budget: int, bits: int = 64) -> DataFrame:
     """Links (t, a, b), a > b, between fingerprints (t int, f long), distinct, that differ in at most `budget` bits within their table t.
 
     A fingerprint's bits stand at the upper end of f. The trie's leaves (see leaf_bounds) are its distribution: a leaf goes to one task together with
     the fingerprints of leaves it may join, found by walking leaf prefixes and their differing bits; a fingerprint visits
-    only leaves whose prefix lies within the budget of its own bits. In a task node pairs are traversed together. With
-    `spanning`, links that close a circle within a task are left out, so a cluster of any size gives fewer links than
-    fingerprints in each leaf; else a fingerprint's links go to its smallest and its next smaller partners found there.
+    only leaves whose prefix lies within the budget of its own bits. In a task node pairs are traversed together, and
+    links that close a circle within a task are left out, so a cluster of any size gives fewer links than fingerprints in each leaf.
     """
     spark = fingerprints.sparkSession
     keys, starts = leaf_bounds(fingerprints, bits)
@@ -227,7 +231,7 @@ def trie_self_join(fingerprints: DataFrame, budget: int, bits: int = 64, spannin
             f, home = np.ascontiguousarray(group["f"]).view(np.uint64), group["home"]
             mine, guests = np.sort(f[home]), np.sort(f[~home])
             values = np.concatenate([mine, guests])
-            links = spanned(values, pairs_of(mine, guests, budget)) if spanning else nearest(values, pairs_of(mine, guests, budget))
+            links = spanned(values, pairs_of(mine, guests, budget))
             out_t.append(np.full(len(links[0]), group["t"][0], np.int32))
             out_a.append(links[0])
             out_b.append(links[1])
@@ -265,22 +269,6 @@ def spanned(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
     return values[linked], values[label[linked]]
 
 
-def nearest(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each value to its smallest and to its next smaller partner among the pairs."""
-    order = np.argsort(values, kind="stable")
-    place = np.empty(len(values), dtype=np.int64)
-    place[order] = np.arange(len(values))
-    least, before = np.full(len(values), len(values)), np.full(len(values), -1)
-    for i, j in pairs:
-        a, b = np.maximum(place[i], place[j]), np.minimum(place[i], place[j])
-        np.minimum.at(least, a, b)
-        np.maximum.at(before, a, b)
-    has = np.flatnonzero(before >= 0)
-    both = has[least[has] != before[has]]
-    a, b = np.r_[has, both], np.r_[least[has], before[both]]
-    return values[order[a]], values[order[b]]
-
-
 # --- the operator
 
 
@@ -324,67 +312,105 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxh32_intdigest(g) for g in grams], dtype=np.uint32)).view(np.int32)
 
 
-def shingle_fingerprints(shingles: np.ndarray, tables: int, bits: int) -> list[int]:
-    """For each table `bits` bits (at the upper end of 64), each the vote of the one shingle that comes first in an order of the bit's own.
+def rare_first(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of about ORDER_TEXTS of the texts, sorted, and how many of these have each. Any order of shingles gives right results; the rare ones first gives short lists."""
+    every = max(1, sets.count() // ORDER_TEXTS)
+    counts = sets.where(F.pmod(F.crc32("d"), F.lit(every)) == 0).select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = found.column("h").to_numpy(), found.column("count").to_numpy()
+    by_hash = np.argsort(h)
+    return h[by_hash], n[by_hash]
+
+
+def prefixes(sets: DataFrame, similarity: float, order: Broadcast, groups: Broadcast | None = None) -> DataFrame:
+    """(h, d, n, i): the first shingles of each set of n in one order of all shingles, and their places i in it.
 
-    Two sets of similarity s differ in a bit with probability (1 - s) / 2, however long the texts.
+    Of two sets with the similarity, each shares `similarity` of its shingles at least, so the first shingle they share stands among the first
+    n - ceil(similarity n) + 1 of both. With `groups`, flags of GROUPS groups of shingles, only shingles of flagged ones.
     """
-    if not len(shingles):
-        return [0] * tables
-    n = tables * bits
-    factor = np.random.default_rng(5).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    offset = np.random.default_rng(6).integers(0, 1 << 32, n, dtype=np.uint32)
-    first = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
-    x = shingles.view(np.uint32)[:, None]
-    for at in range(0, len(x), 256):
-        np.minimum(first, (x[at : at + 256] * factor + offset).min(axis=0), out=first)
-    first = (first ^ (first >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    first = (first ^ (first >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    votes_ = (first >> np.uint32(31)).astype(bool).reshape(tables, bits)
-    at_top = np.concatenate([np.zeros((tables, 64 - bits), dtype=bool), votes_], axis=1)
-    return np.packbits(at_top, axis=1, bitorder="little").view(np.int64).ravel().tolist()
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 24, bits: int = 32, budget: int = 1) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = order.value
+        for batch in batches:
+            lists = batch.column(1)
+            n, h = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+            rank = np.zeros(len(h), dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                rank = np.where(common[at] == h, counts[at], 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, rank, owner))]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = np.flatnonzero(place <= (n - np.ceil(similarity * n - 1e-9))[owner])
+            if groups is not None:
+                chosen = chosen[groups.value[h[chosen] & (GROUPS - 1)]]
+            yield pa.record_batch([pa.array(h[chosen]), batch.column(0).take(pa.array(owner[chosen])), pa.array(n[owner[chosen]].astype(np.int32)), pa.array(place[chosen].astype(np.int32))], ["h", "d", "n", "i"])
+
+    return map_batches(sets.select("d", "s"), run, "h int, d binary, n int, i int")
+
+
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (src, dst) whose sets have the similarity. Sets whose digests' first bits no candidate has aren't shuffled."""
+    first = F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int")
+    flags = np.zeros(1 << 24, dtype=bool)
+    flags[candidates.select(F.explode(F.array("src", "dst")).alias("d")).select(first.alias("g")).distinct().toArrow().column("g").to_numpy()] = True
+    asked = sets.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = np.array([int.from_bytes(d[:3]) for d in rows_of(batch, "d")], dtype=np.int64)
+            yield batch.filter(pa.array((asked.value[starts >> 3] >> (7 - (starts & 7)) & 1).astype(bool)))
+
+    sets = map_batches(sets, run, "d binary, s array<int>")
+    pairs = candidates.join(sets.select(F.col("d").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("d").alias("dst"), F.col("s").alias("s2")), "dst")
+    common = F.size(F.array_intersect("s1", "s2"))
+    return pairs.where(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("src", "dst")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, key, component_key) of every row: texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked.
 
-    One fingerprint of 64 bits lets most such pairs differ by 5 to 10 bits, too many for a trie. So candidates come from `tables` fingerprints of `bits`
-    bits (shingle_fingerprints), each table joined with itself by trie_self_join within `budget` bits; a text's candidates in a table are the
-    smallest text with its own fingerprint, and the smallest and the next smaller of its partners. Every candidate link is then
-    verified exactly on its shingles, and verified links become components. Equal texts are one class from the start. Null and empty texts are equal;
+    Such sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. First each text is compared with the smallest
+    and the greatest of its lists, and verified links become classes; then, in lists of several classes, each text outside the list's largest class
+    with every text of another class. Pairs left out lie in one class or can't have the similarity by their lengths and places, so
+    nothing is missed, while a group of near copies in one class costs no pairs. Equal texts are one class from the start. Null and empty texts are equal;
     a null key never names a component.
     """
     digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
     source = df.select(F.col(key).cast("long").alias("k"), digest.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = [shingle_fingerprints(shingle_set(t, shingle), tables, bits) for t in utf8_of(batch, "x")]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(f, pa.list_(pa.int64()))], ["k", "d", "f"])
-
-    rows = saved(map_batches(source, run, "k long, d binary, f array<long>"))
-    texts = rows.groupBy("d").agg(F.first("f").alias("f"))
-    prints = texts.select("d", F.posexplode("f").alias("t", "f"))
-    prints = saved(prints)
-    heads = saved(prints.groupBy("t", "f").agg(F.min("d").alias("head")))
-    links = trie_self_join(heads.select("t", "f"), budget, bits, spanning=False)
-    side = lambda c, name: heads.select("t", F.col("f").alias(c), F.col("head").alias(name))
-    across = links.join(side("a", "src"), ["t", "a"]).join(side("b", "dst"), ["t", "b"]).select("src", "dst")
-    within = prints.join(heads, ["t", "f"]).where("d <> head").select(F.col("d").alias("src"), F.col("head").alias("dst"))
-    candidates = saved(across.unionAll(within).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    asked = candidates.select(F.explode(F.array("src", "dst")).alias("d")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, shingle) for t in utf8_of(batch, "x")], pa.list_(pa.int32()))], ["d", "s"])
 
-    one_each = source.groupBy("d").agg(F.min("k").alias("k")).join(asked, "d", "left_semi")
-    chosen = source.join(one_each, (source.d == one_each.d) & source.k.eqNullSafe(one_each.k), "left_semi").select("d", "x")
-    shingles = saved(map_batches(chosen, sets, "d binary, s array<int>").groupBy("d").agg(F.first("s").alias("s")))
-    pairs = candidates.join(shingles.select(F.col("d").alias("src"), F.col("s").alias("s1")), "src").join(shingles.select(F.col("d").alias("dst"), F.col("s").alias("s2")), "dst")
-    common = F.size(F.array_intersect("s1", "s2"))
-    true_links = pairs.where((common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)) | ((F.size("s1") == 0) & (F.size("s2") == 0))).select("src", "dst")
-    groups = components(true_links)
+    rows = saved(source.select("k", "d"))
+    sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>").groupBy("d").agg(F.first("s").alias("s")))
+    context = df.sparkSession.sparkContext
+    order, flags = context.broadcast(rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
+    shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
+    flags[shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
+    postings = saved(prefixes(sets, similarity, order, context.broadcast(flags)))
+    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("d", "n", "i")).alias("head"), F.max(F.struct("d", "n", "i")).alias("tail")).where("texts > 1").drop("texts")
+    lists = saved(postings.join(shared, "h"))
+    pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
+
+    def may(a: str, b: str) -> Column:
+        """Whether two sets can have the similarity by their lengths and by what is left of them from their first shared shingle on."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i")) >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9)
+
+    ends = lists.select(F.struct("d", "n", "i").alias("one"), F.explode(F.array("head", "tail")).alias("two")).where("one.d <> two.d").where(may("one", "two")).select(*pair("one.d", "two.d")).distinct()
+    empty = sets.where(F.size("s") == 0)
+    links = saved(verified(saved(ends), sets, similarity).unionAll(empty.crossJoin(empty.agg(F.min("d").alias("dst"))).select(F.col("d").alias("src"), "dst")))
+    classes = components(links).select(F.col("id").alias("d"), F.col("component_id").alias("c"))
+
+    named = saved(lists.drop("head", "tail").join(classes, "d", "left").withColumn("c", F.coalesce("c", "d")))
+    largest = named.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("h", F.col("m.c").alias("main"))
+    open_ = saved(named.join(largest, "h"))
+    one, two = open_.where("c <> main").alias("one"), open_.alias("two")
+    once = F.expr("one.c <> two.c AND (two.c = two.main OR one.d > two.d)")
+    across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two")).select(*pair("one.d", "two.d")).distinct())
+    groups = components(links.unionAll(verified(across, sets, similarity)))
     named = rows.groupBy("d").agg(F.min("k").alias("k")).join(groups.select(F.col("id").alias("d"), "component_id"), "d", "left").select("d", "k", F.coalesce("component_id", "d").alias("g"))
     named = saved(named)
     names = named.groupBy("g").agg(F.min("k").alias("component_key"))

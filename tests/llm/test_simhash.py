@@ -128,3 +128,33 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
     assert kept[0].__fields__ == ["doc_id", "text", "k"]
     assert S.one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_a_large_group(spark):
+    """Thousands of texts at a similarity of 0.78 to 0.84 with each other: most links of a text fail, the few that hold must be found."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for k in range(2000):
+        v = list(base)
+        for at in rng.sample(range(200), rng.choice((2, 2, 2, 3, 4, 5))):
+            v[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(v)))
+    ids = {}
+    g = [np.array(sorted({ids.setdefault(tuple(w[i : i + 5]), len(ids)) for i in range(len(w) - 4)})) for w in (t.split() for _, t in rows)]
+    at = np.zeros((len(rows), len(ids)), dtype=np.float32)
+    for i, x in enumerate(g):
+        at[i, x] = 1
+    common, n = at @ at.T, at.sum(axis=1)
+    similar = common / (n[:, None] + n[None, :] - common)
+    off = similar[np.triu_indices(len(rows), 1)]
+    assert ((off > 0.78) & (off < 0.84)).sum() > 100_000 and 0.3 < (off < 0.8).mean() < 0.9
+    near = similar >= 0.8
+    want = np.arange(len(rows))
+    while True:
+        best = np.where(near, want[None, :], len(rows)).min(axis=1)
+        if np.array_equal(best, want):
+            break
+        want = best
+    assert len(set(want.tolist())) > 10
+    got = {r.doc_id: r.component_key for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()
