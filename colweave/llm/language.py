@@ -25,6 +25,8 @@ TEXT_WEIGHT = 40.0
 STRENGTH = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 300_000
+#: What holds no tags of a page: comments, also empty or unclosed ones, and the insides of scripts and styles.
+UNTAGGED = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b.*?(?:</\1\s*>|\z)"
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
 
@@ -39,9 +41,9 @@ def from_documents(df: DataFrame) -> DataFrame:
 
 
 def from_pages(df: DataFrame) -> DataFrame:
-    """Evidence of pages: the html tag's language, the last part of the host's name, the host."""
+    """Evidence of pages: the html tag's language, wherever the tag stands outside comments, scripts and styles, the last part of the host's name, the host."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
-    declared = F.lower(F.regexp_extract(F.substring("html", 1, 4096), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    declared = F.lower(F.regexp_extract(F.regexp_replace("html", UNTAGGED, " "), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     empty = lambda c: F.when(c != "", c)
     return df.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("x"), empty(declared).alias("declared"), empty(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1)).alias("suffix"), empty(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("row"))
 

@@ -83,3 +83,11 @@ def test_language(spark):
     finally:
         G.BROADCAST_HOSTS = few
     assert sorted(map(str, joined)) == sorted(map(str, out))
+
+
+def test_declared_language_wherever_the_tag_stands(spark):
+    late, tag = "<!doctype html>" + " \n" * 5000, "<html class=a lang='de'>"
+    pages = [late + tag, "<!-- <html lang='fr'> " + "x" * 9000 + " -->" + tag, "<!--><html lang=de>", "<!-- <html lang=fr>", "<script>'<html lang=fr>'</script>" + late + tag, tag + "<!-- -->", "<p>none", None]
+    df = spark.createDataFrame([(i, "http://a.de", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in G.from_pages(df).collect()}
+    assert [got[i] for i in range(len(pages))] == ["de", "de", "de", None, "de", "de", None, None]
