@@ -16,15 +16,15 @@ from colweave.llm.common import map_batches, rows_of, saved, table
 
 #: Hashed letter trigrams: the text model's size, whatever the corpus.
 BUCKETS = 1 << 15
-#: Languages at most, the commonest; and hosts whose counts are broadcast at most (more are joined).
-MAX_LANGUAGES = 32
+#: Hosts whose counts are broadcast at most (more are joined).
 BROADCAST_HOSTS = 20_000
 #: Trigrams of a text count as this many independent ones at most; the rest of the evidence would else never matter.
 TEXT_WEIGHT = 40.0
 #: Pseudo-counts of the prior above, for hosts, suffixes and declared languages.
 STRENGTH = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 300_000
+#: Numbers kept for known words at most, one for each language and two more a word.
+KEPT_SCORES = 10_200_000
 #: What holds no tags of a page: comments, also empty or unclosed ones, and the insides of scripts and styles.
 UNTAGGED = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b.*?(?:</\1\s*>|\z)"
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -59,21 +59,27 @@ def visible(text: str | None, page: bool) -> str:
 
 
 class TextModel:
-    """Smoothed log-probabilities of trigrams in each language."""
+    """Smoothed log-probabilities of trigrams in each language, as counts (bucket b, language i, n) above none: languages of few texts take little room."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], b: np.ndarray, i: np.ndarray, n: np.ndarray):
         self.languages = languages
-        self.table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
+        order = np.argsort(b, kind="stable")
+        self.starts = np.searchsorted(b[order], np.arange(BUCKETS + 1)).tolist()
+        self.language, self.above = i[order].astype(np.int32), np.log(2 * n[order] + 1.0)
+        self.none = np.log(0.5 / (np.bincount(i, weights=n, minlength=len(languages)) + 0.5 * BUCKETS))
+
+    def log_likelihoods(self, grams: list[int]) -> np.ndarray:
+        at = np.concatenate([np.arange(self.starts[g], self.starts[g + 1]) for g in grams])
+        return self.none * len(grams) + np.bincount(self.language[at], weights=self.above[at], minlength=len(self.languages))
 
 
 def train(evidence: DataFrame) -> TextModel:
-    """Trigram counts of all texts by declared language: words are counted in each task, trigrams summed by grouped aggregation into at most BUCKETS rows a language."""
-    top = evidence.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.declared for r in top)
+    """Trigram counts of all texts by declared language, each declared value being one: words are counted in each task, trigrams summed by grouped aggregation into at most BUCKETS rows a language."""
+    languages = sorted(r.declared for r in evidence.where("declared IS NOT NULL").select("declared").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(languages)}
-        counts = np.zeros((BUCKETS, len(languages)), dtype=np.int64)
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             seen: dict[int, Counter] = {}
             for x, declared, page in zip(rows_of(batch, "x"), rows_of(batch, "declared"), rows_of(batch, "page_id"), strict=True):
@@ -82,15 +88,18 @@ def train(evidence: DataFrame) -> TextModel:
             for i, c in seen.items():
                 grams = [trigrams(w) for w in c]
                 flat = np.fromiter((g for gs in grams for g in gs), dtype=np.int64)
-                np.add.at(counts[:, i], flat, np.repeat(np.fromiter(c.values(), dtype=np.int64), [len(g) for g in grams]))
-        b, i = np.nonzero(counts)
-        yield pa.record_batch([pa.array(b), pa.array(i), pa.array(counts[b, i])], ["b", "i", "n"])
+                own = np.bincount(flat, weights=np.repeat(np.fromiter(c.values(), dtype=np.int64), [len(g) for g in grams]), minlength=BUCKETS) if len(flat) else np.zeros(BUCKETS)
+                held = np.flatnonzero(own)
+                keys, counts = np.r_[keys, i * BUCKETS + held], np.r_[counts, own[held].astype(np.int64)]
+            keys, at = np.unique(keys, return_inverse=True)
+            counts = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+        yield pa.record_batch([pa.array(keys % BUCKETS), pa.array(keys // BUCKETS), pa.array(counts)], ["b", "i", "n"])
 
-    counts = np.zeros((BUCKETS, max(1, len(languages))))
-    if languages:
-        for r in map_batches(evidence.select("x", "declared", "page_id"), run, "b long, i long, n long").groupBy("b", "i").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-            counts[r["b"], r["i"]] = r["n"]
-    return TextModel(languages or ["und"], counts)
+    none = np.zeros(0, dtype=np.int64)
+    if not languages:
+        return TextModel(["und"], none, none, none)
+    sums = map_batches(evidence.select("x", "declared", "page_id"), run, "b long, i long, n long").groupBy("b", "i").agg(F.sum("n").alias("n")).toArrow()
+    return TextModel(languages, *(sums.column(c).to_numpy() for c in ("b", "i", "n")))
 
 
 def identify(evidence: DataFrame, model: TextModel | None = None, accept: float = 0.5) -> DataFrame:
@@ -105,12 +114,12 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
     """
     spark = evidence.sparkSession
     model = model or train(evidence)
-    languages = model.languages
+    languages, n = model.languages, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, known = shared.value.table, {}
-        kept = np.zeros((KEPT_WORDS + 1, logs.shape[1] + 2), dtype=np.float32)  # scores of known words, their trigrams and letters
+        model, known = shared.value, {}
+        kept = np.zeros((KEPT_SCORES // (n + 2) + 1, n + 2), dtype=np.float32)  # scores of known words, their trigrams and letters
         for batch in batches:
             scores, letters = [], []
             for x, page in zip(rows_of(batch, "x"), rows_of(batch, "page_id"), strict=True):
@@ -122,49 +131,49 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
                 for w in found:
                     if w not in known:
                         g = trigrams(w)
-                        kept[len(known)] = [*logs[g].sum(axis=0), len(g), len(w)]
+                        kept[len(known), :-2], kept[len(known), -2:] = model.log_likelihoods(g), (len(g), len(w))
                         known[w] = len(known)
                 sums = kept[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0, dtype=np.float64)
-                n = sums[-2]
-                scores.append((sums[:-2] * min(1.0, TEXT_WEIGHT / n) if n else sums[:-2]).tolist())
+                grams = sums[-2]
+                scores.append((sums[:-2] * min(1.0, TEXT_WEIGHT / grams) if grams else sums[:-2]).tolist())
                 letters.append(int(sums[-1]))
             names = ["doc_id", "page_id", "declared", "suffix", "host", "row"]
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())], [*names, "text_log", "n_letters"])
 
     kept = "doc_id long, page_id long, declared string, suffix string, host string, row long, text_log array<double>, n_letters long"
     rows = saved(map_batches(evidence, likelihoods, kept))
-    names = F.array(*map(F.lit, languages))
+    names = spark.createDataFrame([(languages,)], "names array<string>")  # a row, as the languages are too many for an expression each
     best = F.array_position("text_log", F.array_max("text_log")).cast("int") - 1
     first = F.when(F.col("n_letters") > 0, best)
     votes = rows.select("declared", "suffix", "host", first.alias("i")).where("i IS NOT NULL")
-    n = len(languages)
-    tally = lambda *by: votes.groupBy(*by).agg(*(F.count_if(F.col("i") == j).cast("double").alias(f"c{j}") for j in range(n)))
-    overall = np.array(tally().first()[:], dtype=float) + 1
+    listed = lambda *by: votes.groupBy(*by, "i").count().groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("count").cast("double")))).alias("m"))
+    tally = lambda *by: listed(*by).select(*by, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("c"))
+    said_counts = np.zeros((n + 1, n))  # the last row: other names, or none
+    place = {x: i for i, x in enumerate(languages)}
+    for r in votes.groupBy("declared", "i").count().collect():
+        said_counts[place.get(r.declared, n), r.i] += r["count"]
+    overall = said_counts.sum(axis=0) + 1
     prior = overall / overall.sum()
-    declared = {r[0]: np.array(r[1:], dtype=float) for r in tally("declared").where(F.col("declared").isin(languages)).collect()}
-    rest = np.maximum(0, (overall - 1) - sum(declared.values(), np.zeros(n)))  # other names, or none
-    declared_log = {}
-    for name in languages:
-        own = declared.get(name, np.zeros(n))
-        share = (own.sum() + 1) / (overall.sum() + len(languages))
-        declared_log[name] = np.log((own + STRENGTH * share) / (overall - 1 - rest + STRENGTH)).tolist()
+    rest = said_counts[n]
+    share = (said_counts[:n].sum(axis=1) + 1) / (overall.sum() + n)
+    declared_log = np.log((said_counts[:n] + STRENGTH * share[:, None]) / (overall - 1 - rest + STRENGTH))
+    said = spark.createDataFrame([(x, declared_log[i].tolist()) for i, x in enumerate(languages)], "said string, declared_log array<double>")
+    array = lambda v: F.lit(np.asarray(v, dtype=np.float64))
     suffixes = tally("suffix").where("suffix IS NOT NULL")
-    counts = lambda p: F.array(*(F.col(f"c{j}") for j in range(n))).alias(p)
-    array = lambda v: F.array(*(F.lit(float(x)) for x in v))
     total = F.aggregate("sc", F.lit(0.0), lambda a, x: a + x)
-    by_suffix = suffixes.select("suffix", counts("sc")).select("suffix", F.transform(F.arrays_zip("sc", array(prior).alias("p")), lambda z: (z["sc"] + STRENGTH * z["p"]) / (total + STRENGTH)).alias("sp"), F.transform(F.arrays_zip("sc", array(overall).alias("o")), lambda z: F.log((z["sc"] + STRENGTH * (total + 1) / float(overall.sum())) / (z["o"] + STRENGTH))).alias("sl"))
+    by_suffix = suffixes.select("suffix", F.col("c").alias("sc")).select("suffix", F.transform(F.arrays_zip("sc", array(prior).alias("p")), lambda z: (z["sc"] + STRENGTH * z["p"]) / (total + STRENGTH)).alias("sp"), F.transform(F.arrays_zip("sc", array(overall).alias("o")), lambda z: F.log((z["sc"] + STRENGTH * (total + 1) / float(overall.sum())) / (z["o"] + STRENGTH))).alias("sl"))
     host_total = F.aggregate("hc", F.lit(0.0), lambda a, x: a + x)
     # a host belongs to its smallest suffix: one each, as a suffix is part of the host's name
-    by_host = saved(tally("host", "suffix").where("host IS NOT NULL").join(by_suffix, "suffix", "left").select("host", "suffix", counts("hc"), F.coalesce("sp", array(prior)).alias("sp"), "sl").select(F.col("host").alias("h"), F.col("suffix").alias("s"), F.transform(F.arrays_zip("hc", "sp"), lambda z: F.log((z["hc"] + STRENGTH * z["sp"]) / (host_total + STRENGTH))).alias("host_log"), F.col("sl").alias("suffix_log")))
+    by_host = saved(tally("host", "suffix").where("host IS NOT NULL").join(by_suffix, "suffix", "left").select("host", "suffix", F.col("c").alias("hc"), F.coalesce("sp", array(prior)).alias("sp"), "sl").select(F.col("host").alias("h"), F.col("suffix").alias("s"), F.transform(F.arrays_zip("hc", "sp"), lambda z: F.log((z["hc"] + STRENGTH * z["sp"]) / (host_total + STRENGTH))).alias("host_log"), F.col("sl").alias("suffix_log")))
     few = by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     fused = rows.join(F.broadcast(by_host) if few else by_host, (rows["host"] == by_host["h"]) & rows["suffix"].eqNullSafe(by_host["s"]), "left")
     zero = array(np.zeros(n))
-    said = F.element_at(F.create_map(*(x for name in languages for x in (F.lit(name), array(declared_log[name])))), F.coalesce("declared", F.lit("")))
-    parts = F.arrays_zip(F.when(F.col("n_letters") > 0, F.col("text_log")).otherwise(zero).alias("t"), F.coalesce("host_log", array(np.log(prior))).alias("h"), F.coalesce("suffix_log", zero).alias("s"), F.coalesce(said, zero).alias("d"))
+    fused = fused.join(F.broadcast(said), fused["declared"] == said["said"], "left").crossJoin(F.broadcast(names))
+    parts = F.arrays_zip(F.when(F.col("n_letters") > 0, F.col("text_log")).otherwise(zero).alias("t"), F.coalesce("host_log", array(np.log(prior))).alias("h"), F.coalesce("suffix_log", zero).alias("s"), F.coalesce("declared_log", zero).alias("d"))
     fused = fused.withColumn("logs", F.transform(parts, lambda z: z["t"] + z["h"] + z["s"] + z["d"])).withColumn("top", F.array_max("logs"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     at = F.array_position("logs", F.col("top")).cast("int")
-    return fused.select("doc_id", "page_id", "row", F.element_at(names, at).alias("language"), posterior.alias("posterior"), F.when(first.isNotNull(), F.element_at(names, first + 1)).alias("text_language"), "n_letters", ((F.col("n_letters") > 0) & (posterior >= accept)).alias("accepted"))
+    return fused.select("doc_id", "page_id", "row", F.element_at("names", at).alias("language"), posterior.alias("posterior"), F.when(first.isNotNull(), F.element_at("names", first + 1)).alias("text_language"), "n_letters", ((F.col("n_letters") > 0) & (posterior >= accept)).alias("accepted"))
 
 
 def accepted_documents(df: DataFrame) -> DataFrame:

@@ -91,3 +91,15 @@ def test_declared_language_wherever_the_tag_stands(spark):
     df = spark.createDataFrame([(i, "http://a.de", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.declared for r in G.from_pages(df).collect()}
     assert [got[i] for i in range(len(pages))] == ["de", "de", "de", None, "de", "de", None, None]
+
+
+def test_more_languages_than_a_fixed_number(spark):
+    """A hundred declared languages, one of them in a few texts only and a misspelt tag: each is found."""
+    rng = random.Random(4)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(40)] for _ in range(100)]
+    say = lambda i, n=40: " ".join(rng.choice(own[i]) for _ in range(n))
+    docs = [(k, say(k % 100), f"l{k % 100:02}", "s") for k in range(1200) if k % 100 != 99 or k < 300] + [(5000, say(0), "l0o", "s"), (5001, say(99), None, "s"), (5002, say(57), None, "s")]
+    out = {r.doc_id: r for r in G.identify(G.from_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))).collect()}
+    assert len(out) == len(docs)
+    assert all(out[k].language == lang and out[k].accepted for k, _, lang, _ in docs if k < 5000)
+    assert (out[5001].language, out[5002].language) == ("l99", "l57")
