@@ -13,8 +13,13 @@ NUMBER_OR_NAMED = rf"({NUMBER}|\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN]
 TEXT_TYPES = ("CHARACTER", "varchar")
 INTEGER_TYPES = ("Integer", "HL7INTv3")
 NUMBER_TYPES = ("NUMBER", "HL7REALv3")
+FREE_TYPES = (
+    "DATETIME", "SAS Date", "SAS Time", "DATE", "ALPHANUMERIC", "TIME", "HL7EDv3", "BOOLEAN", "Numeric Alpha DVG", "Date Alpha DVG", "Derived", "UMLUidv1.0", "DATE/TIME", "HL7STv3",
+    "CLOB", "HL7CDv3", "HL7TSv3", "HL7PNv3", "HL7TELv3", "OBJECT", "Alpha DVG", "xsd:string", "xsd:boolean", "UMLUriv1.0", "UMLOctetv1.0", "UMLCodev1.0", "UMLXMLv1.0", "xsd:dateTime",
+)
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
+# Display formats and what fits them.
 #: Format: (pattern, {part: the number of its group}). Parts are checked as month, day, hour, minute or second.
 DATE, CLOCK = r"(\d{1,2})/(\d{1,2})/", r"(\d{1,2}):(\d{2})"
 FORMATS: dict[str, tuple[str, dict[str, int]]] = {
@@ -50,6 +55,11 @@ FORMATS: dict[str, tuple[str, dict[str, int]]] = {
 }
 
 
+#: Names that a catalogue lists: only for these has an element a share of conforming values.
+LISTED_TYPES = (*FREE_TYPES, *TEXT_TYPES, "UMLBinaryv1.0", *INTEGER_TYPES, *NUMBER_TYPES, "binary")
+LISTED_FORMATS = (*(f for f in FORMATS if f != "TIME (HR(24):MN"), "TIME (HR(24):MN)", "TIME_MIN")
+
+
 def full_match(c, pattern: str) -> Column:
     return col(c).rlike(rf"\A(?:{pattern})\z")
 
@@ -116,5 +126,15 @@ def conformity(ok: Column) -> Column:
     return F.when(ok, "CONFORMING").otherwise("NONCONFORMING")
 
 
-def looks_enumerated(n_distinct: Column, n_rows: Column) -> Column:
-    return n_distinct < F.sqrt(n_rows)
+def permissible(ok: Column) -> Column:
+    """What a value of a domain without listed answers is permitted as."""
+    return F.struct(conformity(ok).alias("value"), F.lit(None).cast("string").alias("conceptCode"))
+
+
+def listed(datatype, display_format) -> Column:
+    """Whether an element without listed answers takes part in the share of conforming values: its format is a listed one, or it has none and its type is."""
+    return F.when(col(display_format).isNotNull(), col(display_format).isin(*LISTED_FORMATS)).otherwise(F.coalesce(col(datatype).isin(*LISTED_TYPES), F.lit(False)))
+
+
+def looks_enumerated(n_distinct, n_rows) -> Column:
+    return col(n_distinct) < F.sqrt(col(n_rows))

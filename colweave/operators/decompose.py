@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,26 +12,32 @@ from pyspark.sql.window import Window
 from colweave.functions.text import segmentation_score, shortest_word
 from colweave.operators.search import contained_words
 
-#: The number of sets grows with the overlaps of words: only so many words of a string, the longest, are tried together.
-MOST_WORDS = 25
-
 
 def exclusive_groups(text: str, words: list[str]) -> list[tuple[int, ...]]:
-    """Maximal sets of words, by place in the list, that can be cut out of the text one after another, each time leaving a space."""
+    """Maximal sets of words, by place in the list, that can be cut out of the text one after another, each time leaving a space.
 
-    def rest(group: tuple[int, ...]) -> str:
-        left = text
-        for i in group:
-            left = left.replace(words[i], " ")
-        return left
-
-    layer = [(i,) for i, w in enumerate(words) if w in text]
-    found: list[tuple[int, ...]] = []
-    while layer:
-        found += layer
-        layer = [(*g, i) for g in layer for left in [rest(g)] for i in range(g[-1] + 1, len(words)) if words[i] in left]
-    sets = [set(g) for g in found]
-    return [g for g, s in zip(found, sets) if not any(s < t for t in sets)]
+    Sets grow by later words. What can still join a set lies among the later words left in its rest (and those with a space, which a cut
+    may bring about); if a set with all of these is part of one already found, nothing in it is new and the branch ends. So words
+    that all fit together cost one branch, and the work follows the number of maximal sets, which may be large only where many words overlap.
+    """
+    spaced = sum(1 << i for i, w in enumerate(words) if " " in w)
+    found: list[int] = []
+    stack = [(text, 0, 0)]  # the rest, the set as bits, the first place that may join
+    while stack:
+        rest, group, at = stack.pop()
+        open_ = [i for i in range(at, len(words)) if words[i] in rest]
+        reach = group | sum(1 << i for i in open_) | (spaced >> at << at)
+        if any(reach | f == f for f in found):
+            continue
+        if not open_:
+            if any(group | f == f for f in found):
+                continue
+            found = [f for f in found if f | group != group]
+            found.append(group)
+            continue
+        for i in reversed(open_):
+            stack.append((rest.replace(words[i], " "), group | 1 << i, i + 1))
+    return sorted(tuple(i for i in range(len(words)) if f >> i & 1) for f in found if f)
 
 
 def segmented(text: str, words: list[str]) -> tuple[str, str]:
@@ -51,17 +60,19 @@ def segmented(text: str, words: list[str]) -> tuple[str, str]:
 
 
 def decompose(strings: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", word: str = "word", best: int = 3) -> DataFrame:
-    """(key, segments, score, rank): the best segmentations of each string with a score above 0."""
+    """(key, segments, score, rank): the best segmentations of each string with a score above 0; equal strings are cut once."""
     found = contained_words(strings, dictionary, key, text, word)
     lower = strings.select(key, F.lower(text).alias("t"))
     long = found.join(lower, key).where(F.length(word) >= shortest_word("t"))
-    grouped = long.groupBy(key, "t").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.length(word)).alias("n"), F.col(word).alias("w")))), 1, MOST_WORDS).alias("ws"))
+    grouped = long.select("t", word).distinct().groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length(word)).alias("n"), F.col(word).alias("w")))), lambda x: x["w"]).alias("ws"))
 
-    @F.udf("array<struct<segments:string,words:string>>", useArrow=True)
-    def groups(t, ws):
-        names = [w["w"] for w in ws]
-        return [{"segments": a, "words": b} for a, b in sorted({segmented(t, [names[i] for i in g]) for g in exclusive_groups(t, names)})]
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cut = sorted({segmented(t, [ws[i] for i in g]) for g in exclusive_groups(t, ws)})
+                yield pa.record_batch([pa.array([t] * len(cut), pa.string()), pa.array([a for a, _ in cut], pa.string()), pa.array([b for _, b in cut], pa.string())], ["t", "segments", "words"])
 
-    scored = grouped.select(key, "t", F.explode(groups("t", "ws")).alias("g")).select(key, F.col("g.segments").alias("segments"), segmentation_score("g.segments", "g.words", "t").alias("score")).where("score > 0")
+    cut = grouped.mapInArrow(groups, "t string, segments string, words string")
+    scored = lower.join(cut, "t").select(key, "segments", segmentation_score("segments", "words", "t").alias("score")).where("score > 0").distinct()
     w = Window.partitionBy(key).orderBy(F.desc("score"), "segments")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.validators import looks_enumerated
+
 #: What is counted for a data element without listed answers.
 BOOLEAN_ANSWERS = 2
 
@@ -41,10 +43,10 @@ def expand(df: DataFrame, group: list[str], features: list[str], positive_only:
     return joined.select(*df.columns, *(c for c in stats.columns if c not in group and not c.startswith("__")), *frac, *norm, F.log("n").alias("logn"))
 
 
-def answer_counts(elements: DataFrame, permits: DataFrame, rows_of_column: DataFrame, element: str = "target") -> DataFrame:
-    """(element, rows, n_answers): edges count as often as they occur; elements without any count 2 if boolean, else the column's rows."""
+def answer_counts(elements: DataFrame, permits: DataFrame, rows: str = "rows", element: str = "target") -> DataFrame:
+    """elements with n_answers: edges count as often as they occur; elements without any count 2 if boolean, else the column's `rows`, which stand in each row."""
     counted = permits.groupBy(F.col("src").alias(element)).agg(F.count("*").alias("edges"))
-    return elements.join(counted, element, "left").crossJoin(F.broadcast(rows_of_column)).select(element, "rows", F.coalesce("edges", F.when(F.col("datatype") == "BOOLEAN", BOOLEAN_ANSWERS), "rows").alias("n_answers"))
+    return elements.join(counted, element, "left").withColumn("n_answers", F.coalesce("edges", F.when(F.col("datatype") == "BOOLEAN", BOOLEAN_ANSWERS), rows)).drop("edges")
 
 
 def unpivoted(df: DataFrame, sheet: str) -> DataFrame:
@@ -56,4 +58,4 @@ def unpivoted(df: DataFrame, sheet: str) -> DataFrame:
 def profile(long: DataFrame) -> DataFrame:
     """For each column: rows with a value, distinct values, whether it looks enumerated."""
     out = long.where("value IS NOT NULL").groupBy("sheet", "col_no", "header").agg(F.count("*").alias("n_rows"), F.count_distinct("value").alias("n_distinct"))
-    return out.withColumn("enumerated", (F.col("n_distinct") < F.sqrt("n_rows")).cast("int"))
+    return out.withColumn("enumerated", looks_enumerated("n_distinct", "n_rows").cast("int"))

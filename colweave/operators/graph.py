@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.functions import text as X
+from colweave.storage import saved
 
 #: Columns of a node table: id long, label string, name string, and properties.
-SEARCHED = ("Synonym", "CDE", "DEC", "CDE_Name", "QuestionText")
+#: What a name search looks into: (label, field, the node table's column).
+SEARCHED = (("Synonym", "name", "name"), ("CDE_Name", "name", "name"), ("QuestionText", "name", "name"), ("DEC", "name", "dec_name"), ("CDE", "name", "cde_short_name"), ("CDE", "CDE_LONG_NAME", "cde_long_name"))
+#: Labels whose hits name elements directly.
+ELEMENT_LABELS = ("CDE", "CDE_Name", "DEC", "QuestionText")
 
 
 def node_id(label: str, key) -> Column:
@@ -37,10 +43,16 @@ class Graph:
     edges: dict[str, DataFrame]
 
     def save(self, path: str) -> None:
-        """Replaces what is there."""
-        for kind, tables in (("nodes", self.nodes), ("edges", self.edges)):
-            for name, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{path}/{kind}/{name}")
+        """Replaces what is there. Tables are written side by side: most are too small to keep a cluster busy alone."""
+        jobs = [(f"{path}/{kind}/{name}", df) for kind, tables in (("nodes", self.nodes), ("edges", self.edges)) for name, df in tables.items()]
+        with ThreadPoolExecutor(8) as pool:
+            for done in [pool.submit(df.write.mode("overwrite").parquet, at) for at, df in jobs]:
+                done.result()
+
+    def stored(self, spark: SparkSession, path: str) -> Graph:
+        """Saved and read back: searches and walks then read tables, not the plans that made them."""
+        self.save(path)
+        return Graph.load(spark, path, self.nodes, self.edges)
 
     @staticmethod
     def load(spark, path: str, node_names, edge_names) -> Graph:
@@ -64,7 +76,7 @@ def build(concepts: DataFrame, elements: DataFrame) -> Graph:
     ex = lambda df, key, column, parsed, name: df.select(key, F.explode(parsed(column)).alias(name))
     synonyms, types = ex(concepts, "CODE", "SYNONYMS", X.parse_pipes, "synonym"), ex(concepts, "CODE", "SEMANTIC_TYPE", X.parse_pipes, "type")
     children, _ = parents(concepts, "CODE", "PARENTS")
-    e = elements.withColumn("row", F.xxhash64(*elements.columns))  # several elements may share an id
+    e = elements.withColumn("row", F.sha2(F.to_json(F.struct(*elements.columns), {"ignoreNullFields": "false"}), 256))  # several elements may share an id
     short, questions = ex(e, "row", "CDE_SHORT_NAME", X.parse_pipes, "short"), ex(e, "row", "QUESTION_TEXT", X.parse_pipes, "question")
     objects = e.where("DEC_ID IS NOT NULL").select("DEC_ID", F.explode(X.parse_concepts("OBJECT_CLASS_CONCEPTS")).alias("c")).select("DEC_ID", "c.code")
     properties = e.where("DEC_ID IS NOT NULL").select("DEC_ID", F.explode(X.parse_concepts("PROPERTY_CONCEPTS")).alias("c")).select("DEC_ID", "c.code")
@@ -127,6 +139,42 @@ PATHS = (
 )
 
 
+#: How scores of a value reach data elements that permit it: by the text of an answer, or by a concept that an answer means.
+VALUE_PATHS = (Path("enum_answer_search", "AnswerText", ("~CAN_BE", "~PERMITS"), "max"), Path("enum_concept_search", "Synonym", ("~IS_CALLED", "~EQUALS", "~PERMITS"), "max"))
+
+
+def name_entries(graph: Graph) -> DataFrame:
+    """(field, node, label, text) of everything that a name search looks into."""
+    return functools.reduce(DataFrame.unionAll, (graph.nodes[label].select(F.lit(field).alias("field"), F.col("id").alias("node"), "label", F.col(c).alias("text")) for label, field, c in SEARCHED))
+
+
+def answer_entries(graph: Graph) -> DataFrame:
+    return graph.nodes["AnswerText"].select(F.lit("name").alias("field"), F.col("id").alias("node"), "label", F.col("name").alias("text"))
+
+
+def concepts_of(graph: Graph) -> DataFrame:
+    """(target, dec, code): concepts of each element by its category, objects and properties alike, distinct."""
+    either = graph.edges["IS_OBJ"].unionAll(graph.edges["IS_PROP"]).select(F.col("src").alias("dec"), F.col("dst").alias("concept")).distinct()
+    codes = graph.nodes["Concept"].select(F.col("id").alias("concept"), F.col("name").alias("code"))
+    return graph.edges["IS_CAT"].select(F.col("src").alias("target"), F.col("dst").alias("dec")).distinct().join(either, "dec").join(codes, "concept").select("target", "dec", "code").distinct()
+
+
+def element_headers(graph: Graph) -> DataFrame:
+    """(target, cde_id, cde_long_name, dec_id, dec_name) of every element with a category."""
+    own = graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "cde_long_name")
+    dec = graph.nodes["DEC"].select(F.col("id").alias("dec"), F.col("name").cast("long").alias("dec_id"), "dec_name")
+    return own.join(graph.edges["IS_CAT"].select(F.col("src").alias("target"), F.col("dst").alias("dec")).distinct(), "target").join(dec, "dec").drop("dec")
+
+
+def permitted_values(graph: Graph) -> DataFrame:
+    """(target, answer, synonym or null, answer_text or null, code or null) of every element's answers: a row for each synonym of a concept that the answer means."""
+    answers = graph.edges["PERMITS"].select(F.col("src").alias("target"), F.col("dst").alias("answer")).distinct()
+    texts = graph.edges["CAN_BE"].select(F.col("src").alias("answer"), F.col("dst").alias("id")).join(graph.nodes["AnswerText"].select("id", "name"), "id").groupBy("answer").agg(F.min("name").alias("answer_text"))
+    called = graph.edges["IS_CALLED"].select(F.col("src").alias("concept"), F.col("dst").alias("id")).distinct().join(graph.nodes["Synonym"].select("id", F.col("name").alias("synonym")), "id").drop("id")
+    meant = graph.edges["EQUALS"].select(F.col("src").alias("answer"), F.col("dst").alias("concept")).join(graph.nodes["Concept"].select(F.col("id").alias("concept"), F.col("name").alias("code")), "concept").join(called, "concept").select("answer", "synonym", "code").distinct()
+    return answers.join(texts, "answer", "left").join(meant, "answer", "left").select("target", "answer", "synonym", "answer_text", "code")
+
+
 def follow(start: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """Distinct (node, target) pairs along tables of (src, dst)."""
     out = start.select("node", F.col("node").alias("at")).distinct()
@@ -138,8 +186,9 @@ def follow(start: DataFrame, steps: list[DataFrame]) -> DataFrame:
 def propagate(hits: DataFrame, graph: Graph, paths: tuple[Path, ...] = PATHS, key: str = "query_id", target_label: str = "CDE") -> DataFrame:
     """(key, target, a column for each feature) from hits (key, node, label, score); 0 where a path finds nothing.
 
-    A path is walked once, whatever is put together along it: its sum and its maximum come from the same join.
+    Hits are written once, as every path starts from them. A path is walked once, whatever is put together along it: its sum and its maximum come from the same join.
     """
+    hits = saved(hits)
     targets = graph.nodes[target_label].select(F.col("id").alias("target"))
     rows, walks = None, {}
     for p in paths:
@@ -149,7 +198,7 @@ def propagate(hits: DataFrame, graph: Graph, paths: tuple[Path, ...] = PATHS, ke
         tables = [graph.edges[s[1:]].select(F.col("dst").alias("src"), F.col("src").alias("dst")) if s[0] == "~" else graph.edges[s].select("src", "dst") for s in steps]
         reached = own.join(follow(own, tables).join(targets, "target", "left_semi"), "node")
         best = reached.groupBy(key, "target").agg(F.sum("score").alias("sum"), F.max("score").alias("max"))
-        long = best.select(key, "target", F.explode(F.create_map(*(x for u in uses for x in (F.lit(u.feature), F.col(u.how))))).alias("feature", "value"))
+        long = best.select(key, "target", F.explode(F.create_map(*(x for u in uses for x in (F.lit(u.feature), F.col(u.how))))).alias("__feature", "__value"))
         rows = long if rows is None else rows.unionByName(long)
     names = list(dict.fromkeys(p.feature for p in paths))
-    return rows.groupBy(key, "target").pivot("feature", names).agg(F.max("value")).na.fill(0.0, names)
+    return rows.groupBy(key, "target").pivot("__feature", names).agg(F.max("__value")).na.fill(0.0, names)

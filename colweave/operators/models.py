@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml import Pipeline
@@ -15,6 +16,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: What the two models see of a column and of a candidate.
+NOMATCH_COLUMNS = ["max_syn_propmax", "max_enum_concept_search", "pct_syn_propsum", "pct_secondary_search", "logn", "c6", "c7"]
+VALUE_COLUMNS = ["secondary_search", "ftsearch_cde", "enum_concept_search", "pct_ftsearch_question", "ftsearch_cde_norm", "syn_objmax_norm", "ftsearch_question_norm", "enum_answer_search_norm", "value_score_norm", "logn"]
+
+
+def interactions(df: DataFrame) -> DataFrame:
+    """Expanded features with products c1 to c5 of the share found by the second search, the sum c6 and the mean c7 of what names and questions tell."""
+    second, c = F.col("pct_secondary_search"), F.col
+    return df.withColumns(
+        {
+            "c1": second * c("max_enum_answer_search"),
+            "c2": second * c("max_value_score"),
+            "c3": second * c("pct_enum_concept_search"),
+            "c4": second * c("pct_ftsearch_question"),
+            "c5": second * (c("pct_syn_propsum") + c("pct_syn_objsum")),
+            "c6": c("pct_ftsearch_cde") + c("pct_ftsearch_question"),
+            "c7": F.sqrt((c("max_ftsearch_cde") + 1) * (c("max_ftsearch_question") + 1)) - 1,
+        }
+    )
+
+
+def first_of_each(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """One row of each group, the first in order: what is constant in a group stands once."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def without(df: DataFrame, known_bad: DataFrame, keys: list[str]) -> DataFrame:
+    """df without the groups that are listed as bad; keys may be null."""
+    return df.join(known_bad.select(*keys).distinct(), keys, "left_anti")
+
+
+def ranking_metric(df: DataFrame, group: list[str], estimate: str, order: list[str]) -> DataFrame:
+    """(score): the mean over groups of the best of the three rows with the highest estimates, later ones counting less."""
+    i = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(estimate), *order)) - 1
+    ranked = df.withColumn("__i", i).where("__i < 3")
+    each = ranked.groupBy(*group).agg(F.max((1 + (2 - F.col("__i")) / 1.5) * F.col("metric1") + (3 - F.col("__i")) * F.col("metric2")).alias("m"))
+    return each.agg(F.avg("m").alias("score"))
+
+
+def alpha_grid(train: DataFrame, test: DataFrame, columns: list[str], label: str, group: list[str], order: list[str], alphas: list[float], weight: str | None = None) -> list[tuple[float, float]]:
+    """(alpha, ranking metric on the test rows) of ridge models, best first; equal ones by the larger alpha."""
+    out = []
+    for alpha in alphas:
+        scored = ridge(train, columns, label, alpha, weight).fit(train).transform(test)
+        out.append((alpha, ranking_metric(scored, group, "prediction", order).first()[0] or 0.0))
+    return sorted(out, key=lambda x: (-x[1], -x[0]))
+
+
 def polynomial(columns: list[str], output: str = "features", degree: int = 2) -> list:
     """Stages for all products up to the degree; the constant is the intercept."""
     return [VectorAssembler(inputCols=columns, outputCol="__base"), PolynomialExpansion(degree=degree, inputCol="__base", outputCol=output)]
@@ -71,17 +120,32 @@ def blended_target(metric1: Column, metric2: Column) -> Column:
     return (metric2 + metric1 * 0.01 / 1.5) / (1 + 0.01 / 1.5)
 
 
-def roc(df: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:
+def running(counts: DataFrame, by: str, sums: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """counts, one row for each distinct `by`, with cumulated sums (cum_*) in its order, without gathering rows in one task: ranges of `by` are summed apart, and offsets of the former ranges, a row each, are added."""
+    spark, key = counts.sparkSession, -F.col(by) if descending else F.col(by)
+    bounds = counts.select(key.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    part = functools.reduce(lambda a, b: a + (key.cast("double") > b).cast("int"), sorted(set(bounds)), F.lit(0))
+    dealt = counts.withColumn("__p", part)
+    w = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    totals = sorted(tuple(r) for r in dealt.groupBy("__p").agg(*(F.sum(s) for s in sums)).collect())  # `parts` rows at most
+    offsets, before = [], [0] * len(sums)
+    for p, *own in totals:
+        offsets.append((p, *before))
+        before = [a + b for a, b in zip(before, own, strict=True)]
+    frame = spark.createDataFrame(offsets, ", ".join(["__p int", *(f"__o{i} long" for i in range(len(sums)))]))
+    return dealt.join(F.broadcast(frame), "__p").select(*counts.columns, *((F.sum(s).over(w) + F.col(f"__o{i}")).alias(f"cum_{s}") for i, s in enumerate(sums)))
+
+
+def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, descending. Scores are counted first, so the running sums see distinct ones only."""
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    return counts.select("threshold", F.sum("p").over(w).alias("cp"), F.sum("q").over(w).alias("cq")).crossJoin(F.broadcast(total)).select("threshold", (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cq") / F.col("tq")).alias("fpr"))
+    total = counts.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))  # one row
+    return running(counts, "threshold", ["p", "q"], descending=True).crossJoin(F.broadcast(total)).select("threshold", (F.col("cum_p") / F.col("tp")).alias("tpr"), (F.col("cum_q") / F.col("tq")).alias("fpr"))
 
 
 def ecdf(df: DataFrame, value: str, key: str) -> DataFrame:
     """(key, value, ecdf): the share of rows with at most this value, by counts of distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    share = counts.select(value, (F.sum("c").over(w) / F.sum("c").over(Window.partitionBy())).alias("ecdf"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))  # one row
+    share = running(counts, value, ["c"]).crossJoin(F.broadcast(total)).select(value, (F.col("cum_c") / F.col("n")).alias("ecdf"))
     return df.select(key, value).join(share, value)

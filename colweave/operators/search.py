@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import dataclasses
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colweave.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Folders that a stored index's tokens are dealt into by hash; a search reads those of its tokens.
+PARTS = 64
+#: Letters of a dictionary word by which texts that may hold it are found.
+GRAM = 3
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a token's frequency in a document counts, below 1."""
+    return tf / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def asked_tokens(queries: DataFrame, query: str, query_text: str) -> DataFrame:
+    return queries.select(F.col(query).alias("q"), F.explode(tokens(query_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("qtf"))
+
+
+def asked_postings(docs: DataFrame, asked: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (token, d, dl, tf) of tokens that a query asks for, and the corpus's size and mean length in one row."""
+    with_tokens = docs.select(F.col(doc).alias("d"), tokens(text).alias("ts")).withColumn("dl", F.size("ts").cast("double"))
+    corpus = with_tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return with_tokens.select("d", "dl", F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "d", "dl").agg(F.count("*").cast("double").alias("tf")), corpus
+
+
+def weighed(asked: DataFrame, postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(q, token, w, avgdl): what a token is worth to a query at most."""
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    return asked.join(df, "token").crossJoin(F.broadcast(corpus)).select("q", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "df", "n", "avgdl")  # corpus: one row
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text") -> DataFrame:
@@ -18,15 +50,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "
     quantised. Lengths need no shuffle; only tokens that a query asks for are exploded into postings, which are summed
     on the map side; pairs are summed the same way. Adaptive execution splits the postings of very common tokens.
     """
-    asked = queries.select(F.col(query).alias("q"), F.explode(tokens(query_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("qtf"))
-    with_tokens = docs.select(F.col(doc).alias("d"), tokens(text).alias("ts")).withColumn("dl", F.size("ts").cast("double"))
-    corpus = with_tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = with_tokens.select("d", "dl", F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "d", "dl").agg(F.count("*").cast("double").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "token").crossJoin(F.broadcast(corpus))  # corpus: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weights, "token").groupBy("q", "d").agg(F.sum(part).alias("score")).select(F.col("q").alias(query), F.col("d").alias(doc), "score")
+    asked = asked_tokens(queries, query, query_text)
+    postings, corpus = asked_postings(docs, asked, doc, text)
+    part = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return postings.join(weighed(asked, postings, corpus), "token").groupBy("q", "d").agg(F.sum(part).alias("score")).select(F.col("q").alias(query), F.col("d").alias(doc), "score")
 
 
 def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") -> DataFrame:
@@ -35,11 +62,54 @@ def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") ->
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+@dataclasses.dataclass
+class Index:
+    """A full-text index over several fields: postings (field, token, node, label, dl, tf) and for each field its entries and their mean length."""
+
+    postings: DataFrame
+    fields: DataFrame
+
+    @staticmethod
+    def build(entries: DataFrame) -> Index:
+        """From entries (field, node, label, text); texts without tokens count as entries of length 0."""
+        split = entries.where("text IS NOT NULL").select("field", "node", "label", tokens("text").alias("ts")).withColumn("dl", F.size("ts").cast("double"))
+        fields = split.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        postings = split.select("field", "node", "label", "dl", F.explode("ts").alias("token")).groupBy("field", "token", "node", "label", "dl").agg(F.count("*").cast("double").alias("tf"))
+        return Index(postings, fields)
+
+    def save(self, path: str) -> None:
+        """Postings by folders of tokens, sorted by token within files, so that a search reads few row groups of few folders."""
+        part = F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
+        self.postings.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("node"), F.lit(8))).sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        self.fields.write.mode("overwrite").parquet(f"{path}/fields")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/fields"))
+
+    def search(self, queries: DataFrame, query: str = "query_id", query_text: str = "query_text") -> DataFrame:
+        """(query, node, label, score) of every node with a token in common, its score summed over the fields that hit."""
+        asked = asked_tokens(queries, query, query_text)
+        keys = ["token"]
+        if "part" in self.postings.columns:
+            asked, keys = asked.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")), ["part", "token"]
+        found = self.postings.join(asked.select(*keys).distinct(), keys, "left_semi")
+        df = found.groupBy("field", "token").agg(F.count("*").alias("df"))
+        weights = asked.join(df, "token").join(F.broadcast(self.fields), "field").select("q", "field", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "avgdl")  # fields: a row each
+        part = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        return found.join(weights, ["field", "token"]).groupBy("q", "node", "label").agg(F.sum(part).alias("score")).select(F.col("q").alias(query), "node", "label", "score")
+
+
+def best_of_strings(hits: DataFrame, strings: DataFrame, minimum: float, *to: str) -> DataFrame:
+    """(query_id, *to, score) from hits of strings (s: query_id and string_no): the largest of coefficient x score, of scores above minimum / coefficient."""
+    coefficients = strings.select(F.struct("query_id", "string_no").alias("s"), "coefficient")
+    return hits.join(coefficients, "s").where(F.col("score") > minimum / F.col("coefficient")).groupBy(F.col("s.query_id").alias("query_id"), *to).agg(F.max(F.col("coefficient") * F.col("score")).alias("score"))
+
+
 def weighted_search(docs: DataFrame, strings: DataFrame, minimum: float = 0.0, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc, score) from several strings (query_id, string_no, coefficient, query_text) for a query: the largest of coefficient x score, of scores above minimum / coefficient."""
-    key = F.struct("query_id", "string_no")
-    hits = bm25(docs, strings.select(key.alias("s"), "query_text"), doc, text, "s")
-    return hits.join(strings.select(key.alias("s"), "coefficient"), "s").where(F.col("score") > minimum / F.col("coefficient")).groupBy(F.col("s.query_id").alias("query_id"), doc).agg(F.max(F.col("coefficient") * F.col("score")).alias("score"))
+    """(query_id, doc, score) from several strings (query_id, string_no, coefficient, query_text) for a query."""
+    hits = bm25(docs, strings.select(F.struct("query_id", "string_no").alias("s"), "query_text"), doc, text, "s")
+    return best_of_strings(hits, strings, minimum, doc)
 
 
 def mean_over_values(hits: DataFrame, values: DataFrame, group: str, value: str, target: str) -> DataFrame:
@@ -75,9 +145,19 @@ def secondary_search(first: DataFrame, second: DataFrame, query: str, target: st
     return first.withColumn("secondary_search", F.lit(0)).unionByName(new.withColumn("secondary_search", F.lit(1)))
 
 
-def contained_words(texts: DataFrame, words: DataFrame, key: str, text: str, word: str, longest: int = 64) -> DataFrame:
-    """(key, word) of dictionary words that occur anywhere in a text, as an equi-join of substrings instead of a nested loop; words are up to `longest` characters."""
-    ends = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("t") - i + 1, F.lit(longest))), lambda n: F.substring(F.col("t"), i, n))
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t")), ends)))
-    subs = texts.select(F.col(key), F.lower(text).alias("t")).where(F.length("t") > 0).select(key, F.explode(parts).alias("w"))
-    return subs.join(words.select(F.lower(word).alias("w")).where("w <> ''").distinct(), "w").select(key, F.col("w").alias(word))
+def contained_words(texts: DataFrame, words: DataFrame, key: str, text: str, word: str) -> DataFrame:
+    """(key, word) of dictionary words of any length that occur anywhere in a text, both in lower case.
+
+    An equi-join instead of a nested loop: a word is looked for by the one of its GRAM-letter pieces (a shorter word: by itself) that the fewest words
+    share, in the distinct pieces of each text; candidates are then looked up in the whole text. So a text of n letters gives at most
+    GRAM x n rows, whatever the words' lengths. Texts are compared once however often they occur. Null and empty texts and words match nothing.
+    """
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    w = words.select(F.lower(word).alias("w")).where("w <> ''").distinct()
+    grams = w.select("w", F.explode(F.array_distinct(F.when(F.length("w") < GRAM, F.array("w")).otherwise(pieces("w", GRAM)))).alias("g"))
+    common = grams.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, "g").groupBy("w").agg(F.min(F.struct("n", "g")).alias("m")).select("w", F.col("m.g").alias("g"))
+    lower = texts.select(F.col(key), F.lower(text).alias("t")).where("t <> ''").withColumn("h", F.sha2("t", 256))
+    every = F.array_distinct(F.flatten(F.array(*(F.when(F.length("t") >= n, pieces("t", n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))))
+    candidates = lower.dropDuplicates(["h"]).select("h", F.explode(every).alias("g")).join(rarest, "g").select("h", "w")
+    return lower.join(candidates, "h").where(F.expr("contains(t, w)")).select(key, F.col("w").alias(word))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colweave.plans import decide_queries, feature_queries, graph_queries, learn_queries, search_queries, text_queries, validate_queries  # noqa: E402
+from colweave.plans import decide_queries, feature_queries, graph_queries, learn_queries, search_queries, sheet_queries, text_queries, validate_queries
 
-MODULES = (text_queries, search_queries, graph_queries, feature_queries, validate_queries, decide_queries, learn_queries)
+MODULES = (text_queries, search_queries, graph_queries, feature_queries, validate_queries, decide_queries, learn_queries, sheet_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

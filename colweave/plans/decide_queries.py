@@ -27,10 +27,10 @@ def nomatch_rule(spark, d):
     return decided(spark, d).select("c_custkey", F.array_join("results", ",").alias("results"))
 
 
-@C.add("""SELECT c_nationkey AS sheet, '{"columns":[' || string_agg('{"columnNumber":' || c_custkey || ',"headerValue":"' || c_name || '","results":[{"resultNumber":1,"result":{"dataElement":{"id":null,"name":"NOMATCH"},"dataElementConcept":{"id":null,"name":"NOMATCH","conceptCodes":[]},"valueDomain":[{"observedValue":"' || c_mktsegment || '","permissibleValue":{"value":"NOMATCH","conceptCode":null}}]}},{"resultNumber":2,"result":{"dataElement":{"id":' || c_custkey || ',"name":"' || c_name || '"},"dataElementConcept":{"id":' || c_nationkey || ',"name":"N","conceptCodes":["ncit:A","ncit:B"]},"valueDomain":[]}}]}', ',' ORDER BY c_custkey) || ']}' AS json FROM customer WHERE c_custkey % 5 = 0 GROUP BY c_nationkey""")
+@C.add("""SELECT c_nationkey AS sheet, '{"columns":[' || string_agg('{"columnNumber":' || c_custkey || ',"headerValue":"' || c_name || '","results":[{"resultNumber":1,"result":{"dataElement":{"id":null,"name":"NOMATCH"},"dataElementConcept":{"id":null,"name":"NOMATCH","conceptCodes":[]},"valueDomain":[{"observedValue":"' || c_mktsegment || '","permissibleValue":{"value":"NOMATCH","conceptCode":null}}]}},{"resultNumber":2,"result":{"dataElement":{"id":' || c_custkey || ',"name":"' || c_name || '"},"dataElementConcept":{"id":' || c_nationkey || ',"name":"N","conceptCodes":["ncit:A","ncit:B"]},"valueDomain":[]}}]}', ',' ORDER BY c_custkey) || ']}' AS json FROM customer GROUP BY c_nationkey""")
 def result_json(spark, d):
     """Two results for each customer: NOMATCH with its segment as observed value, and one with codes, repeated and unordered on the way in."""
-    c = table(spark, d, "customer").where("c_custkey % 5 = 0")
+    c = table(spark, d, "customer")
     values = c.select("c_custkey", F.col("c_mktsegment").alias("value"), F.lit(D.NOMATCH).alias("permissible"), F.lit(None).cast("string").alias("code"))
     c = c.join(D.value_domain(values, ["c_custkey"]), "c_custkey")
     empty = F.slice("value_domain", 1, 0)
@@ -39,11 +39,15 @@ def result_json(spark, d):
     return D.submission(cols).select("sheet", F.to_json(F.struct("columns"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def scored(spark, d):
-    """The decided results against an annotation: the nation's supplier of the smallest key, no match for each fifth customer."""
+def given_and_golden(spark, d):
+    """The decided results and an annotation: the nation's supplier of the smallest key, no match for each fifth customer."""
     golden = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").cast("string").alias("g"))
     c = table(spark, d, "customer").join(golden, "c_nationkey", "left").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 5 == 0, D.NOMATCH).otherwise(F.coalesce("g", F.lit(D.NOMATCH))).alias("g"))
-    r = decided(spark, d).select("c_custkey", F.posexplode("results").alias("pos", "given")).join(c, "c_custkey")
+    return decided(spark, d).select("c_custkey", F.posexplode("results").alias("pos", "given")).join(c, "c_custkey")
+
+
+def scored(spark, d):
+    r = given_and_golden(spark, d)
     overlap = F.when(F.substring("given", 1, 1) == F.substring("g", 1, 1), 0.5).otherwise(0.0)
     m = E.metrics(F.col("g") == D.NOMATCH, F.col("given") == D.NOMATCH, F.col("given") == F.col("g"), overlap, overlap / 2)
     return r.select("c_custkey", "c_nationkey", (F.col("pos") + 1).alias("rank"), E.score(F.col("pos") + 1, *m).alias("score"))
@@ -65,13 +69,14 @@ def score_submission(spark, d):
     return E.submission_score(scored(spark, d), "c_nationkey", "c_custkey").select("c_nationkey", rounded("score").alias("score"))
 
 
-@C.add("""WITH gold AS (SELECT c_nationkey AS g, c_mktsegment AS observed, max(CAST(c_custkey AS VARCHAR)) AS code FROM customer GROUP BY ALL), given AS (SELECT c_nationkey AS g, c_mktsegment AS observed, max(CAST(c_custkey AS VARCHAR)) AS code FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL)
+@C.add("""WITH gold AS (SELECT c_nationkey AS g, c_mktsegment AS observed, max(CAST(c_custkey % 3 AS VARCHAR)) AS code FROM customer GROUP BY ALL), given AS (SELECT c_nationkey AS g, c_mktsegment AS observed, max(CAST(o_orderkey % 3 AS VARCHAR)) AS code FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
 SELECT gold.g, round(1 - sum(CASE WHEN given.code IS NOT DISTINCT FROM gold.code THEN 0 ELSE 1 END) / count(*), 6) AS score FROM gold LEFT JOIN given USING (g, observed) GROUP BY gold.g""")
 def value_domain_score(spark, d):
-    c = table(spark, d, "customer").withColumn("code", F.col("c_custkey").cast("string"))
-    made = lambda df: df.groupBy(F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("observed")).agg(F.max("code").alias("code"))
-    golden = made(c).withColumn("value", F.lit("v")).withColumn("enumerated", F.lit(True))
-    given = made(c.where("c_custkey % 2 = 0")).withColumn("value", F.lit("v")).withColumn("place", F.lit(1))
+    """Segments of each nation annotated by its customers, given by their orders; a segment without orders is missing."""
+    c = table(spark, d, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("g"), F.col("c_mktsegment").alias("observed"))
+    golden = c.groupBy("g", "observed").agg(F.max((F.col("c_custkey") % 3).cast("string")).alias("code")).withColumn("value", F.lit("v")).withColumn("enumerated", F.lit(True))
+    orders = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    given = orders.groupBy("g", "observed").agg(F.max((F.col("o_orderkey") % 3).cast("string")).alias("code")).withColumn("value", F.lit("v")).withColumn("place", F.lit(1))
     return E.value_domain_score(golden, given, ["g"]).select("g", rounded("score").alias("score"))
 
 
@@ -85,10 +90,29 @@ def target_metrics(spark, d):
     return out.select("c_custkey", "metric1", *(rounded(x).alias(x) for x in ("metric2", "metric2_max", "pct_metric2_pos", "metric2_frac")), "metric3", "metric4", "metric5")
 
 
-@C.add("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@C.add("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
 def missing_annotations(spark, d):
     golden = table(spark, d, "events").select("user_id")
-    return E.missing_annotations(golden, table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id")), "user_id")
+    return E.missing_annotations(golden, table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), "user_id")
+
+
+@C.add(f"""WITH {_DECIDED}, {_SCORED.split("m AS (SELECT")[0].rstrip().rstrip(",")}, o AS (SELECT c_custkey, c_nationkey, rank, given = 'NOMATCH' AS none, g = 'NOMATCH' AS truth, CASE WHEN given = g THEN 1.5 ELSE 0 END AS m1, CASE WHEN given = g THEN 1.0 WHEN substr(given, 1, 1) = substr(g, 1, 1) THEN 0.5 ELSE 0 END AS m2 FROM r JOIN g USING (c_custkey))
+SELECT c_nationkey, round(avg(best), 6) AS score FROM (SELECT c_nationkey, c_custkey, max(CASE WHEN truth AND none THEN 5 - rank WHEN truth OR none THEN 0 ELSE m1 + m2 + (2 - rank) * (m1 / 1.5 + m2) / 2 END) AS best FROM o GROUP BY ALL) GROUP BY c_nationkey""")
+def quick_scores(spark, d):
+    """The offline scorer: from weighted metrics, without value domains."""
+    r = given_and_golden(spark, d)
+    same = F.col("given") == F.col("g")
+    m1, m2 = F.when(same, 1.5).otherwise(0.0), F.when(same, 1.0).when(F.substring("given", 1, 1) == F.substring("g", 1, 1), 0.5).otherwise(0.0)
+    out = r.withColumn("score", E.quick_score(F.col("pos") + 1, m1, m2, F.col("given") == D.NOMATCH, F.col("g") == D.NOMATCH))
+    return E.submission_score(out, "c_nationkey", "c_custkey").select("c_nationkey", rounded("score").alias("score"))
+
+
+@C.add("""WITH n AS (SELECT o_custkey AS cde_id, o_orderstatus AS target, count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) AS bad FROM orders GROUP BY ALL) SELECT cde_id, target FROM (SELECT *, row_number() OVER (PARTITION BY cde_id ORDER BY bad, target) AS r FROM n) WHERE r = 1""")
+def best_nodes(spark, d):
+    """Of several nodes with one element id that with the fewest unmatched values."""
+    p = F.col("o_orderpriority")
+    values = table(spark, d, "orders").select(F.col("o_custkey").alias("cde_id"), F.col("o_orderstatus").alias("target"), F.when(p == "1-URGENT", D.NOMATCH).when(p == "5-LOW", "NONCONFORMING").otherwise("CONFORMING").alias("permissible"))
+    return D.best_node_of(values)
 
 
 QUERIES, ORACLES = C.queries, C.oracles

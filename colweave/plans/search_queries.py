@@ -44,14 +44,15 @@ def fulltext_multi_weighted(spark, d):
     return S.weighted_search(part.select("p_name").distinct().withColumn("text", F.col("p_name")), strings, 0.2, "p_name").select("query_id", "p_name", rounded("score").alias("score"))
 
 
-@C.add("""WITH v AS (SELECT DISTINCT c_nationkey, lower(c_mktsegment) AS v FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_nationkey, count(*) AS n FROM v GROUP BY ALL),
-p AS (SELECT DISTINCT c_nationkey AS target, lower(c_mktsegment) AS v FROM customer WHERE c_custkey % 3 = 1)
+@C.add("""WITH v AS (SELECT DISTINCT c_nationkey, lower(p) AS v FROM customer JOIN (SELECT DISTINCT o_custkey, o_orderpriority AS p FROM orders) ON o_custkey = c_custkey), n AS (SELECT c_nationkey, count(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT DISTINCT p_type AS target, lower(o_orderpriority) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
 SELECT c_nationkey, target, round(count(*) / max(n), 6) AS score FROM v JOIN p USING (v) JOIN n USING (c_nationkey) GROUP BY ALL""")
 def exact_value_search(spark, d):
-    """Two columns of segments for each nation stand for a column's values and for permitted values; the remainders tell the two columns apart."""
-    c = table(spark, d, "customer")
-    values, permitted = c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 = 1").withColumnRenamed("c_nationkey", "target")
-    return S.exact_share(values, permitted, "c_nationkey", "c_mktsegment", "target").select("c_nationkey", "target", rounded("score").alias("score"))
+    """Priorities of a nation's orders as a column's values, those of orders of a type's parts as permitted values."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    values = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderpriority").distinct()
+    permitted = o.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_type").alias("target"), "o_orderpriority").distinct()
+    return S.exact_share(values, permitted, "c_nationkey", "o_orderpriority", "target").select("c_nationkey", "target", rounded("score").alias("score"))
 
 
 _VALUES = "v AS (SELECT DISTINCT p_brand AS g, p_name AS v FROM part), vn AS (SELECT g, count(*) AS n FROM v GROUP BY g)"

@@ -31,7 +31,7 @@ def check_datatype(spark, d):
 
 _STYLES = """SELECT o_orderkey AS k, unnest([mm || '/' || dd || '/' || yyyy, CAST(month(x) AS VARCHAR) || '/' || day(x) || '/' || substr(yyyy, 3), dd || '/' || substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', 3 * month(x) - 2, 3) || '/' || yyyy, yyyy || '-' || mm || '-' || dd, yyyy || mm || dd, mm || yyyy, mm || dd || substr(yyyy, 3), yyyy,
 dd || ':' || mm, dd || ':' || mm || ':' || dd, mm || dd || '.' || mm, '.' || dd, dd || '%', '123-45-' || yyyy, '13/01/' || yyyy, '2/30/' || yyyy, '25:00', 'Foo']) AS v
-FROM (SELECT o_orderkey, o_orderdate AS x, lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') AS dd, CAST(year(o_orderdate) AS VARCHAR) AS yyyy FROM orders WHERE o_orderstatus = 'F')"""
+FROM (SELECT o_orderkey, o_orderdate AS x, lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') AS dd, CAST(year(o_orderdate) AS VARCHAR) AS yyyy FROM orders)"""
 
 
 def styles(spark, d):
@@ -40,7 +40,7 @@ def styles(spark, d):
     yy, mon, lit = F.substring(yyyy, 3, 2), F.substr(F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"), 3 * F.month(x) - 2, F.lit(3)), F.lit
     out = [F.concat(mm, lit("/"), dd, lit("/"), yyyy), F.concat(F.month(x).cast("string"), lit("/"), F.day(x).cast("string"), lit("/"), yy), F.concat(dd, lit("/"), mon, lit("/"), yyyy), F.concat(yyyy, lit("-"), mm, lit("-"), dd), F.concat(yyyy, mm, dd), F.concat(mm, yyyy), F.concat(mm, dd, yy), yyyy]
     out += [F.concat(dd, lit(":"), mm), F.concat(dd, lit(":"), mm, lit(":"), dd), F.concat(mm, dd, lit("."), mm), F.concat(lit("."), dd), F.concat(dd, lit("%")), F.concat(lit("123-45-"), yyyy), F.concat(lit("13/01/"), yyyy), F.concat(lit("2/30/"), yyyy), lit("25:00"), lit("Foo")]
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.explode(F.array(*out)).alias("v"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.array(*out)).alias("v"))
 
 
 def _day(m: str, d: str) -> str:
@@ -82,18 +82,19 @@ def conforming_ratio(spark, d):
     return out.groupBy("f").agg(F.count("*").alias("n"), rounded(F.avg(F.col("ok").cast("int"))).alias("share"), F.count_if(V.conformity(F.col("ok")) == "CONFORMING").alias("conforming"))
 
 
-@C.add("""WITH v AS (SELECT DISTINCT p_name AS value FROM part), t AS (SELECT DISTINCT p_type AS target FROM part), p AS (SELECT DISTINCT p_type AS target, p_brand AS answer, p_name AS synonym FROM part WHERE p_size <= 10),
-h AS (SELECT value, target, answer, synonym, length(synonym) / 100.0 + CASE WHEN value = synonym THEN 1 ELSE 0 END AS score, levenshtein(value, synonym) / greatest(length(value), length(synonym)) AS lev FROM v JOIN p ON split_part(value, ' ', 1) = split_part(synonym, ' ', 1)),
+@C.add("""WITH pairs AS (SELECT DISTINCT a.p_name AS value, b.p_type AS target FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size), p AS (SELECT DISTINCT p_type AS target, p_brand AS answer, p_name AS synonym FROM part),
+h AS (SELECT value, target, answer, synonym, length(synonym) / 100.0 + CASE WHEN value = synonym THEN 1 ELSE 0 END AS score, levenshtein(value, synonym) / greatest(length(value), length(synonym)) AS lev FROM pairs JOIN p USING (target) WHERE split_part(value, ' ', 1) = split_part(synonym, ' ', 1)),
 a AS (SELECT *, row_number() OVER (PARTITION BY target, value ORDER BY s DESC, answer) AS r FROM (SELECT target, value, answer, max(score) AS s FROM h GROUP BY ALL)),
 b AS (SELECT h.*, row_number() OVER (PARTITION BY h.target, h.value ORDER BY score DESC, lev, synonym) AS r FROM h JOIN a ON a.r = 1 AND a.target = h.target AND a.value = h.value AND a.answer = h.answer)
-SELECT t.target, v.value, coalesce(b.synonym, 'NOMATCH') AS permissible FROM v CROSS JOIN (SELECT DISTINCT target FROM p) t LEFT JOIN b ON b.r = 1 AND b.target = t.target AND b.value = v.value""")
+SELECT pairs.target, pairs.value, coalesce(b.synonym, 'NOMATCH') AS permissible FROM pairs LEFT JOIN b ON b.r = 1 AND b.target = pairs.target AND b.value = pairs.value""")
 def enum_value_classify(spark, d):
+    """Names of parts against the answers of types that occur with their brand and size."""
     part = table(spark, d, "part")
-    values = part.select(F.col("p_name").alias("value")).distinct()
-    permitted = part.where("p_size <= 10").select(F.col("p_type").alias("target"), F.col("p_brand").alias("answer"), F.col("p_name").alias("synonym"), F.lit(None).cast("string").alias("answer_text"), F.lit(None).cast("string").alias("code")).distinct()
+    pairs = part.select("p_brand", "p_size", F.col("p_name").alias("value")).distinct().join(part.select("p_brand", "p_size", F.col("p_type").alias("target")).distinct(), ["p_brand", "p_size"]).select("value", "target").distinct()
+    permitted = part.select(F.col("p_type").alias("target"), F.col("p_brand").alias("answer"), F.col("p_name").alias("synonym"), F.lit(None).cast("string").alias("answer_text"), F.lit(None).cast("string").alias("code")).distinct()
     word = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    hits = values.join(permitted, word("value") == word("synonym")).withColumn("score", F.length("synonym") / 100 + F.when(F.col("value") == F.col("synonym"), 1.0).otherwise(0.0))
-    return D.classify_values(values, permitted, hits).select("target", "value", "permissible")
+    hits = pairs.join(permitted, (pairs["target"] == permitted["target"]) & (word("value") == word("synonym"))).select("value", permitted["target"], "answer", "synonym", "code").withColumn("score", F.length("synonym") / 100 + F.when(F.col("value") == F.col("synonym"), 1.0).otherwise(0.0))
+    return D.classify_values(pairs, permitted, hits).select("target", "value", "permissible")
 
 
 QUERIES, ORACLES = C.queries, C.oracles

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,28 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_submissions(columns: DataFrame, folder: str) -> None:
-    """(sheet, columns) as a JSON line under sheet=<name>; keys with null stay."""
-    columns.select("sheet", F.to_json(F.struct("columns"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("sheet").text(folder)
+    """(sheet, columns) as one file <base>-Submission.json for each sheet; keys with null stay. Files are written by the tasks, a name of its own each, and put in place whole."""
+    spark = columns.sparkSession
+    named = columns.select(F.regexp_replace("sheet", "(?i)[.](csv|tsv)$", "").alias("base"), F.to_json(F.struct("columns"), {"ignoreNullFields": "false"}).alias("value"))
+    parts = f"{folder}/_parts"
+    named.write.mode("overwrite").partitionBy("base").text(parts)
+    fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs_of.Path(parts)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for sheet in fs.listStatus(root):
+        name = sheet.getPath().getName()
+        if name.startswith("base="):
+            part = next(f.getPath() for f in fs.listStatus(sheet.getPath()) if f.getPath().getName().startswith("part-"))
+            target = fs_of.Path(f"{folder}/{unquote(name.removeprefix('base='))}-Submission.json")
+            fs.delete(target, False)
+            fs.rename(part, target)
+    fs.delete(root, True)
+
+
+def read_submissions(spark: SparkSession, folder: str) -> DataFrame:
+    """(sheet, columns) of a folder's submissions."""
+    raw = spark.read.json(f"{folder}/*-Submission.json", multiLine=True)
+    return raw.select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)-Submission[.]json$", 1).alias("sheet"), "columns")
 
 
 def write_training(df: DataFrame, path: str) -> None:

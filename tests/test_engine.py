@@ -1,13 +1,17 @@
 """Operators on hand-made fixtures with expectations worked out by hand (FIXTURES.md, part C)."""
 
+import itertools
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colweave.functions import text as X
 from colweave.functions import validators as V
+from colweave.operators import classify as K
 from colweave.operators import decide as D
 from colweave.operators import decompose as P
 from colweave.operators import evaluate as E
@@ -76,7 +80,7 @@ def test_graph(spark, graph, tmp_path):
     graph.save(f"{tmp_path}/g")
     back = G.Graph.load(spark, f"{tmp_path}/g", graph.nodes, graph.edges)
     assert back.nodes["CDE"].count() == 3 and back.edges["PERMITS"].count() == 2
-    counts = T.answer_counts(graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "datatype"), graph.edges["PERMITS"], spark.createDataFrame([(10,)], "rows long"))
+    counts = T.answer_counts(graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "datatype", F.lit(10).alias("rows")), graph.edges["PERMITS"])
     assert sorted(r.n_answers for r in counts.collect()) == [2, 10, 10]
 
 
@@ -86,7 +90,7 @@ def test_values(spark):
     assert [tuple(r) for r in S.exact_share(values, permitted, "g", "value", "target").collect()] == [("c", 100, pytest.approx(2 / 3))]
     answers = spark.createDataFrame([(100, "m", "Male", "Male", "C3"), (100, "f", "Female", "Female", "C4")], "target long, answer string, synonym string, answer_text string, code string")
     hits = answers.withColumn("value", F.col("synonym")).withColumn("score", F.lit(1.0))
-    got = {r.value: (r.permissible, r.code) for r in D.classify_values(values, answers, hits).collect()}
+    got = {r.value: (r.permissible, r.code) for r in D.classify_values(values.withColumn("target", F.lit(100).cast("long")), answers, hits).collect()}
     assert got == {"Male": ("Male", "C3"), "Female": ("Female", "C4"), "Unknown": ("NOMATCH", None)}
     nodes = spark.createDataFrame([(1, 5, "NOMATCH"), (1, 5, "x"), (1, 6, "x"), (1, 6, "x"), (1, 7, "x")], "cde_id long, target long, permissible string")
     assert [tuple(r) for r in D.best_node_of(nodes).collect()] == [(1, 6)]
@@ -95,11 +99,35 @@ def test_values(spark):
 def test_decomposition(spark):
     words = ["survival", "time", "days", "day"]
     assert P.exclusive_groups("survivaltimeindays", words) == [(0, 1, 2), (0, 1, 3)]
+    for seed in range(60):  # against all sets that can be cut out one word after another
+        rng = random.Random(seed)
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        few = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 4))) for _ in range(6)} - {" ", "  ", "   "}, key=lambda w: (-len(w), w))
+
+        def fits(group, text=text, few=few):
+            for i in group:
+                if few[i] not in text:
+                    return False
+                text = text.replace(few[i], " ")
+            return True
+
+        every = [g for n in range(1, len(few) + 1) for g in itertools.combinations(range(len(few)), n) if fits(g)]
+        assert P.exclusive_groups(text, few) == sorted(g for g in every if not any(set(g) < set(h) for h in every))
+    many = [a + b for a in "abcdefgh" for b in "uvwxyz"]
+    assert P.exclusive_groups("-".join(many), many) == [tuple(range(48))]
     strings = spark.createDataFrame([("s", "survivaltimeindays"), ("e", ""), ("n", None)], "id string, text string")
     out = P.decompose(strings, spark.createDataFrame([(w,) for w in words], "word string")).orderBy("rank").collect()
     assert [(r.id, r.segments, round(r.score, 6)) for r in out] == [("s", "survival time in days", 0.691358), ("s", "survival time in day s", 0.601852)]
 
 
+def test_words_in_texts(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis" * 2
+    texts = spark.createDataFrame([(1, f"x{long}y ab"), (2, None), (3, ""), (4, "AB"), (4, "ab")], "id long, text string")
+    words = spark.createDataFrame([(w,) for w in (long, "a", "AB", "ab", "abc", "", None, "conio")], "word string")
+    got = sorted(tuple(r) for r in S.contained_words(texts, words, "id", "text", "word").collect())
+    assert got == sorted([(1, long), (1, "a"), (1, "ab"), (1, "conio"), (4, "a"), (4, "ab"), (4, "a"), (4, "ab")])
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, None)], "doc_id long, text string")
     q = spark.createDataFrame([(7, "b")], "query_id long, query_text string")
@@ -124,6 +152,73 @@ def test_decisions_and_scores(spark):
     assert one(spark, E.score(F.lit(1), *E.metrics(t, f, f, F.lit(0.7), F.lit(0.7)))) == 0
 
 
+def test_stored_index(spark, graph, tmp_path):
+    fresh = S.Index.build(G.name_entries(graph))
+    fresh.save(f"file://{tmp_path}/names")
+    stored = S.Index.load(spark, f"file://{tmp_path}/names")
+    q = spark.createDataFrame([("a", "person gender"), ("b", "nothing here"), ("c", None)], "query_id string, query_text string")
+    rows = lambda i: sorted((r.query_id, r.label, r.node, round(r.score, 9)) for r in i.search(q).collect())
+    assert rows(fresh) == rows(stored) and {r[1] for r in rows(fresh)} == {"Synonym", "CDE", "CDE_Name", "DEC", "QuestionText"}
+    cde = [r[3] for r in rows(fresh) if r[1] == "CDE"]
+    assert len(cde) == 1  # names of elements and their long names are two fields, whose scores add up
+    own = S.bm25(G.name_entries(graph).where("field = 'CDE_LONG_NAME'").select("node", "text"), q, "node").collect()
+    named = S.bm25(G.name_entries(graph).where("field = 'name'").select("node", "text"), q, "node").join(graph.nodes["CDE"].select(F.col("id").alias("node")), "node").collect()
+    assert cde[0] == pytest.approx(sum(r.score for r in own) + sum(r.score for r in named))
+
+
+def test_sheet_end_to_end(spark, graph, tmp_path):
+    """FIXTURES.md C1: the column patientGender, and a column and a sheet without anything."""
+    sheet = spark.createDataFrame([(v, None) for v in ["Male"] * 6 + ["Female"] * 3 + ["Unknown"]] + [(None, None)] * 2, "patientGender string, `zz.q` string")
+    columns, cells = K.columns_and_cells({"one.tsv": sheet, "two.csv": spark.createDataFrame([], "a string")})
+    names, answers = K.indexes(spark, graph, f"file://{tmp_path}/index")
+    words = graph.nodes["Synonym"].select(F.col("name_lower").alias("word"))
+    features = K.candidate_features(columns, cells, graph, names, answers, words)
+    got = {(r.sheet, r.col_no, r.cde_id): r for r in features.collect()}
+    assert set(got) == {("one.tsv", 1, 100), ("one.tsv", 1, 101), ("one.tsv", 1, 102)}
+    assert [round(got["one.tsv", 1, i].answer_count_score, 6) for i in (100, 101, 102)] == [0.8, 0.461538, 0.461538]
+    assert [round(got["one.tsv", 1, i].value_score, 6) for i in (100, 101, 102)] == [0.666667, 0, 0]
+    assert got["one.tsv", 1, 100].syn_propmax > 0 and got["one.tsv", 1, 101].syn_propmax == 0 and got["one.tsv", 1, 101].syn_objmax > 0
+    expanded = K.expanded_features(features)
+    golden = spark.createDataFrame([("one.tsv", 1, 101), ("one.tsv", 2, None)], "sheet string, col_no int, cde_id long")
+    training = {r.cde_id: r for r in K.training_rows(expanded, golden, graph).collect()}
+    assert [round(training[i].metric2, 6) for i in (100, 101, 102)] == [0.333333, 1, 1] and [training[i].metric1 for i in (100, 101, 102)] == [0, 1.5, 0]
+    fixed = lambda name, c: lambda df: df.withColumn(name, c)
+    out = K.classify_sheets(columns, cells, graph, names, answers, fixed("p_nomatch", F.lit(0.45)), fixed("estimate", F.col("value_score") + F.col("cde_id") / 1e6))
+    files.write_submissions(out, f"file://{tmp_path}/out")
+    first = json.loads((tmp_path / "out" / "one-Submission.json").read_text())["columns"]
+    assert [c["headerValue"] for c in first] == ["patientGender", "zz.q"]
+    names_ = [r["result"]["dataElement"]["name"] for r in first[0]["results"]]
+    assert names_ == ["Person Gender", "NOMATCH", "Birth"] and [r["result"]["dataElement"]["name"] for r in first[1]["results"]] == ["NOMATCH"]
+    best = first[0]["results"][0]["result"]
+    assert best["dataElementConcept"] == {"id": 10, "name": "Person Gender", "conceptCodes": ["ncit:C1", "ncit:C2"]}
+    assert [(v["observedValue"], v["permissibleValue"]["value"], v["permissibleValue"]["conceptCode"]) for v in best["valueDomain"]] == [("Female", "Female", "ncit:C4"), ("Male", "Male", "ncit:C3"), ("Unknown", "NOMATCH", None)]
+    assert {v["permissibleValue"]["value"] for v in first[0]["results"][2]["result"]["valueDomain"]} == {"NONCONFORMING"} and first[1]["results"][0]["result"]["valueDomain"] == []
+    assert json.loads((tmp_path / "out" / "two-Submission.json").read_text())["columns"][0]["results"][0]["result"]["dataElement"]["name"] == "NOMATCH"
+
+
+def test_fitted_models_decide(spark):
+    rng = random.Random(1)
+    rows = [("s", i // 4, i, i, *(rng.random() for _ in range(16))) for i in range(160)]
+    names = [*(f for f in K.FEATURES if f != "secondary_search"), "p", "q", "r"]
+    df = spark.createDataFrame(rows, "sheet string, col_no int, target long, cde_id long, " + ", ".join(f"{n} double" for n in names[:16])).withColumn("secondary_search", F.lit(0))
+    ex = K.expanded_features(df).withColumns({"y": (F.col("max_syn_propmax") > 0.8).cast("double"), "m": F.col("ftsearch_cde") + F.col("enum_concept_search")})
+    none = M.logistic(M.NOMATCH_COLUMNS, "y", 40).fit(M.first_of_each(ex, K.COLUMN, ["target"]))
+    value = M.ridge(ex, M.VALUE_COLUMNS, "m").fit(ex)
+    columns = ex.select(*K.COLUMN).distinct().withColumn("header", F.lit("h"))
+    out = K.decide_columns(columns, ex, *K.model_functions(none, value)).collect()
+    assert len(out) == 40 and all(len(r.results) == 3 for r in out) and any("NOMATCH" in r.results for r in out) and any("NOMATCH" not in r.results for r in out)
+    best = {r.col_no: r.cde_id for r in ex.withColumn("k", F.row_number().over(Window.partitionBy("col_no").orderBy(F.desc("m")))).where("k = 1").collect()}
+    assert sum(str(best[r.col_no]) in r.results for r in out) >= 38
+    grid = M.alpha_grid(ex.withColumn("metric1", F.lit(0.0)).withColumn("metric2", F.col("m")), ex.withColumn("metric1", F.lit(0.0)).withColumn("metric2", F.col("m")), M.VALUE_COLUMNS, "m", K.COLUMN, ["target"], [1e-3, 100.0])
+    assert len(grid) == 2 and grid[0][1] >= grid[1][1]
+    assert M.without(ex, spark.createDataFrame([("s", 0)], "sheet string, col_no int"), K.COLUMN).count() == 156
+    assert M.forests("y", 5)[0].setFeaturesCol("features").fit(none.transform(M.first_of_each(ex, K.COLUMN, ["target"])).select("features", "y")).getNumTrees == 5
+    for stage in M.reduced(M.VALUE_COLUMNS, 3):
+        ex = stage.fit(ex).transform(ex) if hasattr(stage, "fit") else stage.transform(ex)
+    assert len(ex.first().features) == 3
+    assert M.lasso("m", 0.01).setFeaturesCol("features").fit(ex).coefficients is not None
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x y,Z\n1,NA\n,b\n")
     (tmp_path / "b.TSV").write_text("k\tv\n1\t2\n")
@@ -139,7 +234,8 @@ def test_files(spark, tmp_path):
     values = long.where("value IS NOT NULL").withColumn("permissible", F.lit("CONFORMING")).withColumn("code", F.lit(None).cast("string"))
     cols = D.value_domain(values, ["sheet", "col_no", "header"]).withColumn("results", F.array(D.nomatch_result(F.col("value_domain"))))
     files.write_submissions(D.submission(cols), f"file://{tmp_path}/out")
-    text = next((tmp_path / "out" / "sheet=s").glob("part*")).read_text()
+    text = (tmp_path / "out" / "s-Submission.json").read_text()
+    assert [r.sheet for r in files.read_submissions(spark, f"file://{tmp_path}/out").collect()] == ["s"] and not (tmp_path / "out" / "_parts").exists()
     result = json.loads(text)["columns"][1]["results"][0]
     assert result["resultNumber"] == 1 and result["result"]["dataElement"] == {"id": None, "name": "NOMATCH"}
     assert result["result"]["valueDomain"] == [{"observedValue": "b", "permissibleValue": {"value": "CONFORMING", "conceptCode": None}}]
