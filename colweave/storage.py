@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+#: What the scopes that are open now undo at their end, the innermost last.
+_open: list[list[Callable[[], None]]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset a session of one machine gets a new folder of its own; on a cluster, whose machines share no such folder, it has to be set."""
@@ -20,10 +26,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables of saved() and values of broadcast() made inside are removed at its end: results that read them have to be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for undo in reversed(_open.pop()):
+            undo()
+
+
+def at_end(undo: Callable[[], None]) -> None:
+    if _open:
+        _open[-1].append(undo)
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """A value of bounded size for all tasks, removed at the end of the scope around it, if there is one."""
+    shared = spark.sparkContext.broadcast(value)
+    at_end(shared.destroy)
+    return shared
+
+
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, survives a lost executor, and gives the planner exact sizes."""
     path = path or f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_end(lambda spark=df.sparkSession: delete(spark, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
