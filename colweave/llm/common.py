@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from colweave.storage import saved
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -30,29 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests, a laptop), a new local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="colweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, survives a lost executor, and gives the planner exact sizes."""
-    path = path or f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_saved(spark: SparkSession) -> None:
-    """Delete all tables of saved(); call it once results that read them have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release() -> None:
     """Give memory that a worker no longer uses back to the machine: workers live on from stage to stage."""
     gc.collect()
@@ -63,7 +41,27 @@ def release() -> None:
         return
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def type_of(df: DataFrame, column: str) -> str:
+    return df.select(F.col(f"`{column}`")).schema[0].dataType.simpleString()
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, made unlike all of df's columns, whatever these are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def with_columns(schema: StructType, added: str) -> StructType:
+    """A schema with further columns, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
         release()

@@ -4,48 +4,60 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
-from colweave.llm.common import map_batches, rows_of, table, words
+from colweave.llm.common import fresh, map_batches, rows_of, table, type_of, with_columns, words
+from colweave.storage import broadcast, delete, saved, shared_folder
 
 WINDOW = 10
-#: Words of a shard: an index over so many takes about 100 MB.
-SHARD_WORDS = 400_000
+#: Words of a shard: an index over so many takes about 60 MB.
+SHARD_WORDS = 250_000
 #: UTF-8 bytes of benchmark texts searched for at a time; a larger benchmark is searched for in blocks.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Phrases:
-    """The distinct windows of benchmark items, and which items have each."""
+    """The distinct windows of benchmark items as rows of word numbers, and which items have each: arrays, so that a block of items takes about fifteen times its text."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        self.window, self.vocabulary = window, {}
+        self.ids = sorted({item for item, _ in items if item is not None})
+        place = {item: i for i, item in enumerate(self.ids)}
+        rows, lengths, owners = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
             w = words((text or "").encode())
             if item is not None and w:
-                for i in range(max(1, len(w) - window + 1)):
-                    owners[tuple(w[i : i + window])].add(item)
-        self.window = window
-        self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(owners)))}
-        self.codes = np.zeros((len(owners), window), dtype=np.int64)  # right-aligned
-        self.lengths = np.array([len(p) for p in owners], dtype=np.int64)
-        for i, phrase in enumerate(owners):
-            self.codes[i, window - len(phrase) :] = [self.vocabulary[w] for w in phrase]
-        self.items = [sorted(x) for x in owners.values()]
-
-
-def search(documents: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set[int]]]:
+                codes = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], dtype=np.int32)
+                own = np.lib.stride_tricks.sliding_window_view(codes, window) if len(w) >= window else np.r_[np.zeros(window - len(w), np.int32), codes][None, :]  # right-aligned
+                rows.append(own)
+                lengths.append(np.full(len(own), min(window, len(w))))
+                owners.append(np.full(len(own), place[item]))
+        codes, owner, n = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(owners), np.concatenate(lengths)
+        _, first, phrase = np.unique(codes.view(np.dtype((np.void, 4 * window))).reshape(-1), return_index=True, return_inverse=True)
+        self.codes, self.lengths = codes[first], n[first]
+        pairs = np.unique(phrase.reshape(-1) * max(1, len(self.ids)) + owner)
+        self.owner_at, self.owners = np.searchsorted(pairs, np.arange(len(first) + 1) * max(1, len(self.ids))), (pairs % max(1, len(self.ids))).astype(np.int32)
+
+    def items(self, phrases: np.ndarray) -> set:
+        """The ids of items that have any of the phrases."""
+        return {self.ids[i] for p in phrases.tolist() for i in self.owners[self.owner_at[p] : self.owner_at[p + 1]].tolist()}
+
+
+def search(documents: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set]]:
     """For each document of a shard the merged spans of words inside occurrences of phrases, and the items that have these phrases."""
     from colweave.llm.fm_index import FMIndex
 
-    nothing: list[tuple[list[tuple[int, int]], set[int]]] = [([], set()) for _ in documents]
+    nothing: list[tuple[list[tuple[int, int]], set]] = [([], set()) for _ in documents]
     total = sum(map(len, documents))
     if not total or not len(phrases.codes):
         return nothing
@@ -80,8 +92,9 @@ def search(documents: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
     for d, a, b in zip(owner.tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         nothing[d][0].append((a - int(starts[d]), b - int(starts[d])))
     pairs = np.unique(np.searchsorted(ends, places) * len(phrases.codes) + which)
-    for d, p in zip((pairs // len(phrases.codes)).tolist(), (pairs % len(phrases.codes)).tolist(), strict=True):
-        nothing[d][1].update(phrases.items[p])
+    edges = np.r_[0, np.flatnonzero(np.diff(pairs // len(phrases.codes))) + 1, len(pairs)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        nothing[int(pairs[a] // len(phrases.codes))][1].update(phrases.items(pairs[a:b] % len(phrases.codes)))
     return nothing
 
 
@@ -112,77 +125,85 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             yield batch.slice(start, len(texts) - start), texts[start:], docs
 
 
-def benchmark_blocks(benchmark: DataFrame, key: str, text: str, window: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of a bounded size, so that neither the driver nor a task holds more than one."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.max(F.octet_length(text)), F.lit(0))).first()
-    blocks = max(1, -(-2 * size[0] // BLOCK_BYTES)) if size[0] > BLOCK_BYTES else 1
-    part = F.pmod(F.xxhash64(key, text), F.lit(blocks))
-    for b in range(blocks):
-        yield Phrases([tuple(r) for r in benchmark.select(key, text).where(part == b).collect()], window)
+def benchmark_blocks(benchmark: DataFrame, key: str, text: str, window: int) -> tuple[int, Callable[[int], Phrases]]:
+    """The number of blocks of a bounded size that the benchmark is dealt into by hash, and what makes one: neither the driver nor a task holds more than one."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
+    part = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text), F.lit(blocks))
+    return blocks, lambda b: Phrases([tuple(r) for r in benchmark.select(key, text).where(part == b).collect()], window)
+
 
+def searched(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, shard_words: int, finish: Callable[..., pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """df's rows by finish(batch, texts, words, hits, items) in the given schema; hits: merged spans of words inside occurrences of windows; items: sorted ids of items with occurring windows.
 
-def annotated(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, shard_words: int) -> DataFrame:
-    """df with __n_words, __hits (merged spans of words inside occurrences of windows) and __items (sorted ids of items with occurring windows)."""
-    spark, plain = df.sparkSession, df.schema
-    schema = f"{plain.toDDL()}, __n_words long, __hits array<array<long>>, __items array<long>"
-    out, first = df, True
-    for phrases in benchmark_blocks(benchmark.select(F.col(item).alias(item), F.col(item_text).alias(item_text)), item, item_text, window):
-        shared = spark.sparkContext.broadcast(phrases)  # from at most BLOCK_BYTES of text
+    Blocks of the benchmark are taken one after another; between two of them the rows lie in a table of the shared folder, with what was found so far.
+    """
+    spark, own = df.sparkSession, len(df.columns)
+    kind = benchmark.select(F.col(item)).schema[0].dataType
+    blocks, phrases_of = benchmark_blocks(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")), "item", "text", window)
+    hits_, items_ = fresh(df, "hits", "items")
+    between = with_columns(df.schema, f"{hits_} array<array<long>>, {items_} array<{kind.simpleString()}>")
+    arrow = to_arrow_type(ArrayType(kind))
+    out, former = df, None
+    for b in range(blocks):
+        shared, first, last = broadcast(spark, phrases_of(b)), b == 0, b == blocks - 1  # from at most BLOCK_BYTES of text, or one item
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
-            for batch, _, docs in shards(batches, text, shard_words):
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            for batch, texts, docs in shards(batches, text, shard_words):
                 found = search(docs, shared.value)
-                old = [([], [])] * len(docs) if first else zip(rows_of(batch, "__hits"), rows_of(batch, "__items"), strict=True)
+                old = [([], [])] * len(docs) if first else zip(batch.column(own).to_pylist(), batch.column(own + 1).to_pylist(), strict=True)
                 both = [(merged([*map(tuple, h), *new]), sorted({*i, *ids})) for (h, i), (new, ids) in zip(old, found, strict=True)]
-                own = batch.columns if first else batch.columns[:-3]
-                added = [pa.array([len(d) for d in docs], pa.int64()), pa.array([h for h, _ in both], pa.list_(pa.list_(pa.int64()))), pa.array([i for _, i in both], pa.list_(pa.int64()))]
-                yield pa.record_batch([*own, *added], [*batch.schema.names[: len(own)], "__n_words", "__hits", "__items"])
+                hits, items, plain = [h for h, _ in both], pa.array([i for _, i in both], arrow), pa.record_batch(batch.columns[:own], batch.schema.names[:own])
+                yield finish(plain, texts, docs, hits, items) if last else pa.record_batch([*plain.columns, pa.array(hits, pa.list_(pa.list_(pa.int64()))), items], [*plain.schema.names, hits_, items_])
 
-        out, first = map_batches(out, run, schema), False
-    return out
+        step = map_batches(out, run, schema if last else between)
+        if not last:
+            path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+            out = saved(step, path)
+            shared.destroy()
+            if former:
+                delete(spark, former)
+            former = path
+    return step
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(key, n_words, n_hit, items, spans) of every row.
+    """(key, n_words, n_hit, items, spans) of every row; keys and item ids are of any type and stay of it.
 
     Each task deals the documents it reads into shards of about `shard_words` words and builds an FM-index over each
     shard's words: a suffix order, the permuted text as a wavelet matrix, and sampled suffix positions. All windows
     of `window` benchmark words (an item of fewer words is one window) are searched backward through its ranks and
     located by walks to sampled positions; the words they cover are merged into spans. spans: character ranges of the text
     to remove. Nothing is shuffled, and copies cost no more than other rows. A benchmark beyond BLOCK_BYTES is searched for block by
-    block, spans of former blocks being carried along. Null and empty texts have no words; null item keys are passed over.
+    block, spans of former blocks being carried along in a table. Null and empty texts have no words; null item keys are passed over. Repeated rows give a row each;
+    items that repeat an id count as one with the windows of all; an empty table or benchmark finds nothing. Other columns aren't looked at.
     """
-    out = annotated(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), benchmark, "t", item, item_text, window, shard_words)
+    kind = type_of(df, key)
+    spans_ = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = rows_of(batch, "__hits")
-            spans = [[{"start": a, "end": b} for a, b in char_spans(t, h)] if h else [] for t, h in zip(rows_of(batch, "t"), hits, strict=True)]
-            n_hit = [sum(b - a for a, b in h) for h in hits]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, kind)], ["k", "n_words", "n_hit", "items", "spans"])
+    def finish(batch, texts, docs, hits, items):
+        spans = [[{"start": a, "end": b} for a, b in char_spans(t, h)] if h else [] for t, h in zip(texts, hits, strict=True)]
+        counts = [pa.array([len(d) for d in docs], pa.int64()), pa.array([sum(b - a for a, b in h) for h in hits], pa.int64())]
+        return pa.record_batch([batch.column(0), *counts, items, pa.array(spans, spans_)], ["k", "n_words", "n_hit", "items", "spans"])
 
-    return map_batches(out, locate, "k long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>").withColumnRenamed("k", key)
+    schema = f"k {kind}, n_words long, n_hit long, items array<{type_of(benchmark, item)}>, spans array<struct<start:long,end:long>>"
+    return searched(df.select(F.col(key).alias("k"), F.col(text).alias("t")), benchmark, "t", item, item_text, window, shard_words, finish, schema).withColumnRenamed("k", key)
 
 
 def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """df with the spans of decontaminate() cut out of its texts; rows of which no word is left go. Other rows and columns stay as they are."""
-    out = annotated(df, benchmark, text, item, item_text, window, shard_words)
+    """df with the spans of decontaminate() cut out of its texts; rows of which no word is left go. Other rows and columns stay as they are, whatever the columns are called; null keys don't matter."""
     names = df.columns
     at = names.index(text)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = rows_of(batch, "__hits")
-            if any(hits):
-                texts = [remove(t, h) if h else t for t, h in zip(batch.column(at).to_pylist(), hits, strict=True)]
-                keep = pa.array([t is not None or not h for t, h in zip(texts, hits, strict=True)])
-                columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(batch.columns) - 3)]
-                yield pa.record_batch(columns, names).filter(keep)
-            else:
-                yield pa.record_batch(batch.columns[:-3], names)
-
-    return map_batches(out, cut, df.schema.toDDL())
+    def finish(batch, texts, docs, hits, items):
+        if not any(hits):
+            return batch
+        clean = [remove(t, h) if h else t for t, h in zip(texts, hits, strict=True)]
+        keep = pa.array([t is not None or not h for t, h in zip(clean, hits, strict=True)])
+        columns = [pa.array(clean, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
+        return pa.record_batch(columns, names).filter(keep)
+
+    return searched(df, benchmark, text, item, item_text, window, shard_words, finish, df.schema)
 
 
 def char_spans(text: str, hits: list) -> list[tuple[int, int]]:

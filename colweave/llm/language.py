@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, rows_of, saved, table
+from colweave.llm.common import fresh, map_batches, rows_of, table
+from colweave.storage import broadcast, saved
 
 #: Hashed letter trigrams: the text model's size, whatever the corpus.
 BUCKETS = 1 << 15
@@ -24,7 +25,7 @@ TEXT_WEIGHT = 40.0
 STRENGTH = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Numbers kept for known words at most, one for each language and two more a word.
-KEPT_SCORES = 10_200_000
+KEPT_SCORES = 3_000_000
 #: What holds no tags of a page: comments, also empty or unclosed ones, and the insides of scripts and styles.
 UNTAGGED = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b.*?(?:</\1\s*>|\z)"
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -35,9 +36,14 @@ def trigrams(word: str) -> list[int]:
     return [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
 
 
+def row_digest(*columns: str) -> Column:
+    """64 bits of a row that tell nulls from empty texts and from each other's places."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+
 def from_documents(df: DataFrame) -> DataFrame:
     """Evidence of documents: their source stands for the host, the language column for what is declared."""
-    return df.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.col("text").alias("x"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.concat(F.lit("source:"), "source").alias("host"), F.xxhash64("doc_id", "text", "lang", "source").alias("row"))
+    return df.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.col("text").alias("x"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.concat(F.lit("source:"), "source").alias("host"), row_digest("doc_id", "text", "lang", "source").alias("row"))
 
 
 def from_pages(df: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def from_pages(df: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
     declared = F.lower(F.regexp_extract(F.regexp_replace("html", UNTAGGED, " "), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     empty = lambda c: F.when(c != "", c)
-    return df.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("x"), empty(declared).alias("declared"), empty(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1)).alias("suffix"), empty(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("row"))
+    return df.select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("x"), empty(declared).alias("declared"), empty(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1)).alias("suffix"), empty(host).alias("host"), row_digest("page_id", "url", "html").alias("row"))
 
 
 def visible(text: str | None, page: bool) -> str:
@@ -115,7 +121,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
     spark = evidence.sparkSession
     model = model or train(evidence)
     languages, n = model.languages, len(model.languages)
-    shared = spark.sparkContext.broadcast(model)
+    shared = broadcast(spark, model)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
@@ -177,9 +183,10 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
 
 
 def accepted_documents(df: DataFrame) -> DataFrame:
-    """df without the documents that identify() doesn't accept; equal rows share their fate, all columns stay."""
-    gone = identify(from_documents(df)).where("NOT accepted").select(F.col("row").alias("__row")).distinct()
-    return df.withColumn("__row", F.xxhash64("doc_id", "text", "lang", "source")).join(gone, "__row", "left_anti").drop("__row").select(*df.columns)
+    """df without the documents that identify() doesn't accept; equal rows share their fate, all columns stay, whatever they are called."""
+    (row,) = fresh(df, "row")
+    gone = identify(from_documents(df)).where("NOT accepted").select(F.col("row").alias(row)).distinct()
+    return df.withColumn(row, row_digest("doc_id", "text", "lang", "source")).join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

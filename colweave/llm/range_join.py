@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import components, map_batches, saved, table
+from colweave.llm.common import components, map_batches, table
 from colweave.llm.simhash import spanned
+from colweave.storage import broadcast, saved
 
 #: Vectors that a pivot stands for, the most pivots, and the most vectors of a block of a cell.
 PER_PIVOT = 8192
@@ -65,7 +66,7 @@ def range_join(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", embeddi
         sample = [r.e for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("c")).select("e").limit(wanted).collect()]
         pivots[dim] = unit(np.array(sample))
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = broadcast(spark, pivots)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +83,7 @@ def range_join(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", embeddi
                 yield pa.record_batch([own.column(3), pa.array(at.astype(np.int32)), pa.array(near)], ["dim", "cell", "d"])
 
     cells = map_batches(classes.select("c", "n", "e", "dim"), home, "dim int, cell int, d double").groupBy("dim", "cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()  # at most 64 x MAX_PIVOTS, and other dimensions
-    radius = spark.sparkContext.broadcast({(c.dim, c.cell): c.radius for c in cells})
+    radius = broadcast(spark, {(c.dim, c.cell): c.radius for c in cells})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

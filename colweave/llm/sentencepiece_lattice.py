@@ -402,11 +402,11 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     return out
 
 
-def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 0, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
+def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, seed: int = 0, kept_chunks: int = KEPT_CHUNKS, at_a_time: int = AT_A_TIME) -> DataFrame:
     """(key, ids, samples, decoded) of every whole text: the library's encoding, `samples` sampled segmentations with their scores, and the decoded text.
 
     Lattices are built once for each distinct chunk (a word with the spaces in front) that a task meets, and about `kept_chunks` of them are
-    kept, a kilobyte each; fewer take more time and give the same rows. The text's lattice is the chain of its chunks' lattices. Draws depend on `seed`, the row's key and the text alone, not on how rows are dealt out. decoded: from
+    kept, a kilobyte each; fewer take more time and give the same rows, and so do fewer chunks worked on `at_a_time`. The text's lattice is the chain of its chunks' lattices. Draws depend on `seed`, the row's key and the text alone, not on how rows are dealt out. decoded: from
     the library's encoding, which is the text for a model that keeps all bytes. Null and empty texts have no pieces and one segmentation, the empty one.
     """
     def work(lattices: Lattices, keys: list, texts: list[str | None], parts: list[list[str]]):
@@ -431,7 +431,7 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
                 texts.append(t)
                 parts.append(chunks(t or ""))
                 size += len(parts[-1])
-                if size >= AT_A_TIME:
+                if size >= at_a_time:
                     yield work(lattices, keys, texts, parts)
                     keys, texts, parts, size = [], [], [], 0
                     if len(lattices.known) > kept_chunks:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colweave.llm.common import saved, table
+from colweave.llm.common import table
+from colweave.storage import saved
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:

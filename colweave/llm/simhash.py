@@ -10,7 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import LOWER, components, map_batches, rows_of, saved, table, utf8_of
+from colweave.llm.common import LOWER, components, map_batches, rows_of, table, utf8_of
+from colweave.storage import broadcast, saved
 
 #: Fingerprints below a leaf of the distributed trie, at least; there are at most about MAX_LEAVES leaves.
 LEAF = 64
@@ -187,7 +188,7 @@ def trie_self_join(fingerprints: DataFrame, budget: int, bits: int = 64) -> Data
     for own in by_table.values():
         for k, v in zip(own, leaf_pairs(starts[own], keys[own, 1], budget), strict=True):
             visits[k] = own[v]
-    trie = spark.sparkContext.broadcast((keys[:, 1], starts, {t: (own, starts[own]) for t, own in by_table.items()}, visits))  # bounded by MAX_LEAVES
+    trie = broadcast(spark, (keys[:, 1], starts, {t: (own, starts[own]) for t, own in by_table.items()}, visits))  # bounded by MAX_LEAVES
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, starts, own, visits = trie.value
@@ -354,7 +355,7 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     first = F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int")
     flags = np.zeros(1 << 24, dtype=bool)
     flags[candidates.select(F.explode(F.array("src", "dst")).alias("d")).select(first.alias("g")).distinct().toArrow().column("g").to_numpy()] = True
-    asked = sets.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    asked = broadcast(sets.sparkSession, np.packbits(flags))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,11 +386,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     rows = saved(source.select("k", "d"))
     sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>").groupBy("d").agg(F.first("s").alias("s")))
-    context = df.sparkSession.sparkContext
-    order, flags = context.broadcast(rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
+    spark = df.sparkSession
+    order, flags = broadcast(spark, rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
     shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
     flags[shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
-    postings = saved(prefixes(sets, similarity, order, context.broadcast(flags)))
+    postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)))
     shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("d", "n", "i")).alias("head"), F.max(F.struct("d", "n", "i")).alias("tail")).where("texts > 1").drop("texts")
     lists = saved(postings.join(shared, "h"))
     pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))

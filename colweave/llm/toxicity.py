@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, saved, table, utf8_of, words
+from colweave.llm.common import fresh, map_batches, table, utf8_of, with_columns, words
+from colweave.storage import broadcast, saved
 
 #: Labelled rows used for fitting at most, those with the smallest hashes of their keys; counts and scores cover all rows.
 SAMPLE = 12_000
@@ -20,7 +21,7 @@ FEATURES = 8192
 LEXICONS = 24
 THRESHOLD = 0.3
 #: Distinct words whose weights a task keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def features(word: bytes) -> tuple[int, ...]:
@@ -180,7 +181,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     evidence = F.col("c") * (part(q, F.lit(p)) + part(1 - q, F.lit(1 - p)))
     telling = counts.withColumn("e", evidence).where(F.col("e") > float(np.log(max(2, counts.count())) + 1)).orderBy(F.desc("e"), "f").limit(FEATURES).collect()
     number = {r.f: i for i, r in enumerate(telling)}
-    shared = df.sparkSession.sparkContext.broadcast(number)  # FEATURES at most
+    shared = broadcast(df.sparkSession, number)  # FEATURES at most
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,41 +194,38 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model({f: float(w[i]) for f, i in number.items()}, bias, model.rates, model.correlations, model.prior)
 
 
-def scores(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with a column __score, from whole texts alone; null and empty texts have the score of no words."""
-    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # FEATURES at most
+def scores(df: DataFrame, model: Model, text: str = "text", score: str = "__score") -> DataFrame:
+    """df with a column `score`, from whole texts alone; null and empty texts have the score of no words."""
+    shared = broadcast(df.sparkSession, (model.weights, model.bias))  # FEATURES at most
+    at = df.columns.index(text)
 
-    def score(texts: list[str | None]) -> list[float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta, bias = shared.value
-        out, known = [], score.__dict__.setdefault("known", {})
-        for t in texts:
-            total = bias
-            fs: set[int] = set()
-            for w in set(words((t or "").encode())):
-                f = known.get(w)
-                if f is None:
-                    f = tuple(x for x in features(w) if x in theta)
-                    if len(known) > KEPT_WORDS:
-                        known.clear()
-                    known[w] = f
-                if f:
-                    fs.update(f)
-            total += float(sum(theta[x] for x in sorted(fs)))
-            out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
-        return out
-
-    @F.pandas_udf("double")
-    def column(texts):
-        import pandas as pd
-
-        return pd.Series(score(texts.tolist()), dtype=float)
-
-    return df.withColumn("__score", column(F.col(text)))
+        known: dict[bytes, tuple[int, ...]] = {}
+        for batch in batches:
+            out = []
+            for t in batch.column(at).cast(pa.binary()).to_pylist():
+                fs: set[int] = set()
+                for w in set(words(t or b"")):
+                    f = known.get(w)
+                    if f is None:
+                        f = tuple(x for x in features(w) if x in theta)
+                        if len(known) > KEPT_WORDS:
+                            known.clear()
+                        known[w] = f
+                    if f:
+                        fs.update(f)
+                total = bias + float(sum(theta[x] for x in sorted(fs)))
+                out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score])
+
+    return map_batches(df, run, with_columns(df.schema, f"`{score}` double"))
 
 
 def clean_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """df without the rows predicted toxic by a model learnt from its labelled rows."""
-    return scores(df, learn(df, labels)).where(F.col("__score") < THRESHOLD).drop("__score")
+    """df without the rows predicted toxic by a model learnt from its labelled rows; all columns stay, whatever they are called."""
+    (score,) = fresh(df, "score")
+    return scores(df, learn(df, labels), score=score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

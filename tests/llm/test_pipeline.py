@@ -37,7 +37,7 @@ def test_stages_against_brute_force(spark):
     for r in bench.collect():
         w = words(r.text.encode())
         windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
-    assert len(windows) == len(phrases.items)
+    assert len(windows) == len(phrases.codes)
     want = {}
     for k, t in left.items():
         w, hit = words(t.encode()), set()
