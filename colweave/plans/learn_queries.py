@@ -71,4 +71,52 @@ def blended_target(spark, d):
     return table(spark, d, "labels").select("doc_id", rounded(M.blended_target(1.5 * F.col("toxic"), F.col("quality"))).alias("target"), rounded(M.sample_weight(F.lit(25.0), 142.0, F.log1p("quality"))).alias("weight"))
 
 
+@C.add("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
+def first_of_group(spark, d):
+    return M.first_of_each(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@C.add("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def known_bad_left_out(spark, d):
+    """Lines of parts that never came back to their supplier."""
+    line = table(spark, d, "lineitem")
+    return M.without(line, line.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+
+
+@C.add("SELECT o_custkey, array_to_string(list_sort(list_filter((SELECT list(DISTINCT o_orderpriority) FROM orders), lambda t: NOT list_contains(own, t))), ',') AS lacking FROM (SELECT o_custkey, list(DISTINCT o_orderpriority) AS own FROM orders GROUP BY o_custkey)")
+def set_difference(spark, d):
+    """Priorities that none of a customer's orders has."""
+    orders = table(spark, d, "orders")
+    every = orders.agg(F.collect_set("o_orderpriority").alias("every"))  # five priorities
+    own = orders.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("own"))
+    return own.crossJoin(F.broadcast(every)).select("o_custkey", F.array_join(F.array_sort(F.array_except("every", "own")), ",").alias("lacking"))
+
+
+@C.add("""WITH r AS (SELECT o_custkey, 1.5 * CAST(o_orderstatus = 'F' AS INT) AS m1, o_orderkey % 10 / 10.0 AS m2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i FROM orders)
+SELECT round(avg(m), 6) AS score FROM (SELECT max((1 + (2 - i) / 1.5) * m1 + (3 - i) * m2) AS m FROM r WHERE i < 3 GROUP BY o_custkey)""")
+def ranking_metric(spark, d):
+    """The best of each customer's three dearest orders."""
+    rows = table(spark, d, "orders").withColumns({"metric1": F.when(F.col("o_orderstatus") == "F", 1.5).otherwise(0.0), "metric2": F.col("o_orderkey") % 10 / 10})
+    return M.ranking_metric(rows, ["o_custkey"], "o_totalprice", ["o_orderkey"]).select(rounded("score").alias("score"))
+
+
+@C.add()
+def alpha_grid(spark, d):
+    """Ridge models of a grid of penalties by the ranking metric on held-out sources, best first."""
+    df = examples(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumns({"metric1": F.lit(0.0), "metric2": F.col("quality")})
+    train, test = M.group_split(df, F.crc32("source"), 4)
+    return spark.createDataFrame([(i, a, round(float(s), 6)) for i, (a, s) in enumerate(M.alpha_grid(train, test, COLUMNS, "quality", ["source"], ["doc_id"], [0.01, 1.0, 100.0]))], "place int, alpha double, score double")
+
+
+@C.add()
+def other_models(spark, d):
+    """Documents by a forest and by a lasso on reduced columns."""
+    df = examples(spark, d)
+    for stage in M.reduced(COLUMNS, 2):
+        df = stage.fit(df).transform(df) if hasattr(stage, "fit") else stage.transform(df)
+    forest, _ = M.forests("quality", 10)
+    out = forest.fit(df).transform(df).select("doc_id", "features", "quality", F.col("prediction").alias("forest"))
+    return M.lasso("quality", 0.001).setFeaturesCol("features").fit(df).transform(out).select("doc_id", "quality", "forest", rounded("prediction", 4).alias("lasso"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles

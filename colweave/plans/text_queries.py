@@ -77,9 +77,9 @@ def count_closeness(spark, d):
 
 
 @C.add("""SELECT p_partkey, CAST(greatest(floor(sqrt(length(p_name) / 2)), 3) AS BIGINT) AS shortest, CAST(p_size AS VARCHAR) AS observed, 'ncit:' || p_brand AS reference,
-round((length(replace(p_name, ' ', '')) / length(p_name)) * (1 - (length(p_name) - length(replace(p_name, ' ', '')) + 1) / length(p_name)), 6) AS seg_score, round((pow(50, p_size / 50.0) - 1) / 49, 6) AS target FROM part""")
+round((length(replace(p_name, ' ', '')) / length(p_name)) * (1 - (length(p_name) - length(replace(p_name, ' ', '')) + 1) / length(p_name)), 6) AS seg_score, round((pow(50, p_size / 50.0) - 1) / 49, 6) AS target, round(ln(1 + 49 * (p_size / 50.0)) / ln(50), 6) AS log_target, round(tan(p_size / 50.0), 6) AS tan_target FROM part""")
 def string_profile(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.shortest_word("p_name").cast("long").alias("shortest"), X.observed("p_size").alias("observed"), X.concept_reference("p_brand").alias("reference"), rounded(X.segmentation_score("p_name", "p_name", "p_name")).alias("seg_score"), rounded(X.exp_target(F.col("p_size") / 50)).alias("target"))
+    return table(spark, d, "part").select("p_partkey", X.shortest_word("p_name").cast("long").alias("shortest"), X.observed("p_size").alias("observed"), X.concept_reference("p_brand").alias("reference"), rounded(X.segmentation_score("p_name", "p_name", "p_name")).alias("seg_score"), rounded(X.exp_target(F.col("p_size") / 50)).alias("target"), rounded(X.log_target(F.col("p_size") / 50)).alias("log_target"), rounded(X.tan_target(F.col("p_size") / 50)).alias("tan_target"))
 
 
 @C.add()

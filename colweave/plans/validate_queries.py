@@ -43,26 +43,56 @@ def styles(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.array(*out)).alias("v"))
 
 
-def _day(m: str, d: str) -> str:
-    return f"({m} BETWEEN 1 AND 12 AND {d} >= 1 AND {d} <= CASE WHEN {m} = 2 THEN 29 WHEN {m} IN (4, 6, 9, 11) THEN 30 ELSE 31 END)"
-
+def _int(x: str) -> str:
+    return f"coalesce(try_cast({x} AS INT), -1)"
 
-def _rule(pattern: str, parts: dict[str, int]) -> str:
-    get = lambda p: f"try_cast(regexp_extract(v, '^(?:{pattern})$', {parts[p]}) AS INT)"
-    ok = [f"regexp_full_match(v, '{pattern}')"]
-    if "mon" in parts:
-        month = f"list_position([{', '.join(repr(m) for m in V.MONTHS)}], lower(regexp_extract(v, '^(?:{pattern})$', {parts['mon']})))"
-        ok.append(_day(f"coalesce({month}, 0)", get("d")))
-    elif "m" in parts:
-        ok.append(_day(get("m"), get("d") if "d" in parts else "1"))
-    if "h" in parts:
-        ok += [f"{get('h')} BETWEEN 0 AND 24", f"{get('min')} BETWEEN 0 AND 59"]
-    if "sec" in parts:
-        ok.append(f"{get('sec')} BETWEEN 0 AND 59")
-    return f"coalesce({' AND '.join(ok)}, false)"
 
-
-_FORMATTED = "CASE " + " ".join(f"WHEN f = '{name}' THEN {_rule(*rule)}" for name, rule in V.FORMATS.items()) + " ELSE true END"
+def _day(m: str, d: str) -> str:
+    return f"({_int(m)} BETWEEN 1 AND 12 AND {_int(d)} BETWEEN 1 AND [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][{_int(m)}])"
+
+
+def _clock(*parts: int) -> str:
+    return " AND ".join(f"{_int(f'split_part(v, chr(58), {p})')} BETWEEN 0 AND {24 if p == 1 else 59}" for p in parts)
+
+
+def _decimals(least: int, most: int, places: int) -> str:
+    return rf"regexp_full_match(v, '\d{{{least},{most}}}[.]\d{{0,{places}}}') OR regexp_full_match(v, '\d{{1,{most}}}')"
+
+
+_SLASHES = _day("split_part(v, '/', 1)", "split_part(v, '/', 2)")
+# What fits a display format, in SQL of its own.
+_RULES = {
+    "mm/dd/yy": rf"regexp_full_match(v, '\d\d?/\d\d?/\d\d') AND {_SLASHES}",
+    "mm/dd/yyyy": rf"regexp_full_match(v, '\d\d?/\d\d?/\d{{4}}') AND {_SLASHES}",
+    "MM/DD/YYYY": rf"regexp_full_match(v, '\d\d?/\d\d?/\d{{4}}') AND {_SLASHES}",
+    "DD/MON/YYYY": r"regexp_full_match(v, '\d\d?/[A-Z,a-z]{3}/\d{4}') AND strpos('jan feb mar apr may jun jul aug sep oct nov dec', lower(split_part(v, '/', 2))) % 4 = 1 AND " + _day("CAST((strpos('jan feb mar apr may jun jul aug sep oct nov dec', lower(split_part(v, '/', 2))) + 3) // 4 AS VARCHAR)", "split_part(v, '/', 1)"),
+    "YYYY-MM-DD": r"regexp_full_match(v, '\d{4}-\d\d?-\d\d?') AND " + _day("split_part(v, '-', 2)", "split_part(v, '-', 3)"),
+    "YYYY": r"regexp_full_match(v, '\d{4}')",
+    "TIME (HR(24):MN": rf"regexp_full_match(v, '\d\d?:\d\d') AND {_clock(1, 2)}",
+    "YYYYMMDD": r"regexp_full_match(v, '\d{8}') AND " + _day("substr(v, 5, 2)", "substr(v, 7, 2)"),
+    "hh:mm:ss": rf"regexp_full_match(v, '\d\d?:\d\d:\d\d') AND {_clock(1, 2, 3)}",
+    "hh:mm:ss:rr": rf"regexp_full_match(v, '\d\d?:\d\d:\d\d:\d\d?') AND {_clock(1, 2, 3)}",
+    "hh:mm": rf"regexp_full_match(v, '\d\d?:\d\d') AND {_clock(1, 2)}",
+    "TIME_HH:MM": rf"regexp_full_match(v, '\d\d?:\d\d') AND {_clock(1, 2)}",
+    "MMYYYY": r"regexp_full_match(v, '\d{6}') AND " + _day("substr(v, 1, 2)", "'1'"),
+    "MMDDYYYY": r"regexp_full_match(v, '\d{6}') AND " + _day("substr(v, 1, 2)", "substr(v, 3, 2)"),
+    "YYYYMM": r"regexp_full_match(v, '\d{6}') AND " + _day("substr(v, 5, 2)", "'1'"),
+    "999-99-9999": r"regexp_full_match(v, '\d{3}-\d{2}-\d{4}')",
+    "9999999": r"regexp_full_match(v, '\d{1,7}')",
+    "10,3": _decimals(1, 10, 3),
+    "%": r"regexp_full_match(v, '\d*.?\d*%?')",
+    "9999.99": _decimals(1, 4, 2),
+    "9999.9": _decimals(1, 4, 1),
+    "999.9": _decimals(1, 3, 1),
+    "99.9": _decimals(1, 2, 1),
+    "999.99": _decimals(1, 3, 2),
+    "9.999": _decimals(0, 1, 3),
+    "999999.9": _decimals(0, 6, 1),
+    "99.99": _decimals(0, 2, 2),
+    "9999.999": _decimals(0, 4, 3),
+    "99999.99": _decimals(0, 5, 2),
+}
+_FORMATTED = "CASE " + " ".join(f"WHEN f = '{name}' THEN coalesce({rule}, false)" for name, rule in _RULES.items()) + " ELSE true END"
 NAMES = [*V.FORMATS, "TIME (HR(24):MN)", "TIME_MIN", "unknown"]
 _NAMES = f"(SELECT unnest([{', '.join(repr(n) for n in NAMES)}]) AS f)"
 

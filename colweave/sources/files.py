@@ -9,16 +9,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colweave.storage import exists
+
 # What stands for a missing cell.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_table(spark: SparkSession, name: str, folder: str, keep_text: bool = True) -> DataFrame:
     """A .csv or .tsv file with a header; without an extension .tsv is tried, then .csv. Cells stay text, missing ones null."""
     for candidate in (name, f"{name}.tsv", f"{name}.csv"):
