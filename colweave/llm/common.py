@@ -18,6 +18,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: As LOWER, with every ASCII byte that is neither a letter nor a digit turned into a space. UTF-8 bytes from 128 on are parts of words.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
+#: Rows of one key that a task may take in a join, at least.
+HOT_ROWS = 500
 #: Bytes of a batch of rows that goes to a worker; a session's own setting is left alone.
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "268435456", 8 << 20
 
@@ -81,6 +83,21 @@ def utf8_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows joined with values, which has one row for each key, so that no key gathers its rows in one task.
+
+    Keys that over a ten-thousandth of the rows have, and over HOT_ROWS, are counted with partial sums; there can be ten thousand of them at most, so their values are broadcast and
+    their rows stay where they are. All other rows are dealt by their key. rows and values should be saved tables, as both are read twice.
+    """
+    n = rows.count()
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // 10_000)).select(key)
+    hot = saved(values.join(F.broadcast(hot), key, "left_semi"))  # ten thousand rows at most
+    if hot.isEmpty():
+        return rows.join(values, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(values, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every id in edges (src, dst): component_id is the smallest id it is connected with.
 

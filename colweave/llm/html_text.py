@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,25 +12,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, rows_of, table
+from colweave.llm.common import map_batches, rows_of, table, type_of
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-NO_SHOW = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I)
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
+#: Characters that a page doesn't show where no line is broken.
+UNSHOWN = {0xAD: None, 0x200B: None}
 
 # Fixed values of the HTML standard, by name.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
 TEXT_ONLY = set("textarea title".split())
-UNSEEN = set("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math area base link meta param source track".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure fieldset form hr".split())
+UNSEEN = set("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg annotation annotation-xml area base link meta param source track".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre listing plaintext xmp table figure fieldset form hr".split())
 BLOCK = SPACED | set("html body div section article aside nav header footer main address details summary figcaption legend li dt dd center dir hgroup search option optgroup caption".split())
 ENDS_P = (BLOCK - {"option", "optgroup", "legend", "caption", "html", "body"}) | {"hr"}
 CELLS = {"td", "th"}
 ROWS = {"tr"}
 GROUPS = {"thead", "tbody", "tfoot"}
 LISTS = {"ul", "ol", "menu", "dir"}
+FOREIGN = {"svg", "math"}
+
+
+def width(s: str) -> int:
+    """Columns that a text takes: wide characters two, marks on others none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def styles(page: str) -> list[tuple[str, frozenset[str], str, str]]:
+    """(tag or *, classes and ids, display, visibility) of the page's own rules that say how elements are shown, by single selectors without ancestors; rules for other media than screens are left out."""
+    out = []
+    for m in STYLE.finditer(page):
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", m[1], flags=re.S)
+        css = re.sub(r"@(?!media\s+(?:all|screen)\s*\{)[\w-]+[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", " ", css)
+        css = re.sub(r"@media\s+(?:all|screen)\s*\{((?:[^{}]*\{[^{}]*\})*[^{}]*)\}", r"\1", css, flags=re.I)
+        for rule in RULE.finditer(css):
+            display, visibility = ((f.search(rule[2]) or ["", ""])[1].lower() for f in (DISPLAY, VISIBILITY))
+            if display or visibility:
+                for one in map(str.strip, rule[1].split(",")):
+                    parts = SELECTOR.fullmatch(one)
+                    if one and parts:
+                        out.append(((parts[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", parts[2])), display, visibility))
+    return out
 
 
 class Flow:
@@ -88,29 +120,46 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # cells: columns, rows, lines
         self.caption: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """For each row its cells (first column, columns, lines); a cell of several rows keeps its columns free in the rows below."""
+        out, taken = [], {}  # column: rows it is taken for yet
+        for row in self.rows:
+            at, cells, below = 0, [], {}
+            for columns, rows, lines in row:
+                while taken.get(at, 0):
+                    at += 1
+                cells.append((at, columns, lines))
+                if rows > 1:
+                    below.update(dict.fromkeys(range(at, at + columns), rows))
+                at += columns
+            taken = {c: n - 1 for c, n in {**taken, **below}.items() if n > 1}
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
         """Rows with their cells side by side: a column is as wide as its widest cell, two spaces apart."""
         widths: list[int] = []
-        for row in self.rows:
-            at = 0
-            for span, lines in row:
+        rows = self.placed()
+        for row in rows:
+            for at, span, lines in row:
+                widths += [0] * (at + span - len(widths))
                 if span == 1:
-                    widths += [0] * (at + 1 - len(widths))
-                    widths[at] = max([widths[at], *map(len, lines)])
-                at += span
+                    widths[at] = max([widths[at], *map(width, lines)])
+        starts = [0]
+        for w in widths:
+            starts.append(starts[-1] + w + 2)
         out = list(self.caption)
-        for row in self.rows:
-            for i in range(max([len(lines) for _, lines in row], default=0)):
-                line, at, column = "", 0, 0
-                for span, lines in row:
+        for row in rows:
+            for i in range(max([len(lines) for _, _, lines in row], default=0)):
+                line, end = "", 0
+                for at, _, lines in row:
                     cell = lines[i] if i < len(lines) else ""
-                    line = line.ljust(column) + cell
-                    own = sum(w + 2 for w in widths[at : at + span])
-                    column = max(column + own, len(line) + 2 if span > 1 and cell else 0)
-                    at += span
+                    if cell:
+                        line += " " * (max(starts[at], end + 2 if line else 0) - end) + cell
+                        end = max(starts[at], end + 2 if end else 0) + width(cell)
                 out.append(line.rstrip())
         return [x for x in out if x]
 
@@ -118,10 +167,12 @@ class Table:
 class Builder:
     """Opens and closes elements as the standard's tree construction does in the cases that matter for text, and lays them out while it does."""
 
-    def __init__(self):
-        self.open: list[tuple[str, bool, object]] = []  # name, whether it hides, what its end needs
+    def __init__(self, rules: list[tuple[str, frozenset[str], str, str]] = ()):
+        self.open: list[tuple[str, int, bool, object]] = []  # name, by how much it hides what is in it, whether text was shown before it, what its end needs
         self.count: Counter = Counter()
-        self.hidden = 0
+        self.hidden, self.shown = 0, True  # elements that take no part in the layout; visibility, which an element inside may change
+        self.rules = rules
+        self.fresh_pre = False
         self.flows = [Flow()]
         self.tables: list[Table] = []
         self.lists: list[int | None] = []
@@ -154,19 +205,45 @@ class Builder:
             self.close_to(GROUPS | {"caption", "colgroup"} | ROWS, {"table"})
         elif name == "body":
             self.close_to({"head"}, {"html"})
+            if self.flows[0].now or self.flows[0].lines:
+                return None  # text has opened the body
         elif self.count["head"] and self.open[-1][0] == "head" and name not in UNSEEN and name not in ("html", "head"):
             self.close_to({"head"}, {"html"})
         values = dict_of(attributes) if attributes.strip(" /\t\n") else {}
-        hides = name in UNSEEN or "hidden" in values or bool(NO_SHOW.search(values.get("style", ""))) or name == "input" or name == "dialog" and "open" not in values
+        display, visibility = self.style(name, values)
+        hides = name in UNSEEN or "hidden" in values and not display or display == "none" or name == "input" or name == "dialog" and "open" not in values
         if name in VOID:
-            if not self.hidden and not hides:
+            if not self.hidden and not hides and self.shown:
                 self.void(name)
             return None
-        self.open.append((name, hides, self.begin(name, values) if not (self.hidden or hides) else None))
+        parent, shown = self.open[-1][0] if self.open else "", self.shown
+        if self.count["svg"] and name in ("text", "foreignobject") or name == "summary" and parent == "details" and self.open[-1][1]:
+            hides = -1  # what is shown of a drawing, or of details that are closed
+        laid = not self.hidden + min(0, int(hides)) and hides <= 0
+        self.shown = {"visible": True, "hidden": False, "collapse": False}.get(visibility, shown)
+        kept = self.begin(name, values) if laid else None
+        if name == "details" and "open" not in values:
+            hides = int(hides) + 1
+        self.open.append((name, int(hides), shown, kept))
         self.count[name] += 1
-        self.hidden += hides
+        self.hidden += int(hides)
+        if attributes.endswith("/") and (name in FOREIGN or self.count["svg"] or self.count["math"]):
+            self.pop()
         return None
 
+    def style(self, name: str, values: dict[str, str]) -> tuple[str, str]:
+        """display and visibility of an element by the page's rules, later ones first, and its own style before these."""
+        display, visibility = "", ""
+        if self.rules:
+            marks = {f".{c}" for c in values.get("class", "").split()} | {f"#{values['id']}" for _ in "1" if "id" in values}
+            for tag, needed, d, v in self.rules:
+                if tag in ("*", name) and needed <= marks:
+                    display, visibility = d or display, v or visibility
+        if "style" in values:
+            d, v = ((f.findall(values["style"]) or [""])[-1].lower() for f in (DISPLAY, VISIBILITY))
+            display, visibility = d or display, v or visibility
+        return display, visibility
+
     def void(self, name: str) -> None:
         flow = self.flows[-1]
         if name == "br":
@@ -179,13 +256,14 @@ class Builder:
         flow = self.flows[-1]
         if name in CELLS or name == "caption":
             self.flows.append(Flow())
-            return max(1, min(1000, number(values.get("colspan"), 1)))
+            return max(1, min(1000, number(values.get("colspan"), 1))), max(1, min(65534, number(values.get("rowspan"), 1)))
         if name == "tr":
             self.tables[-1].rows.append([])
-            return None
+            return True
         if name in LISTS:
             flow.part(1 if self.lists else 2)
-            self.lists.append(number(values.get("start"), 1) if name == "ol" else None)
+            back = "reversed" in values
+            self.lists.append([number(values.get("start"), number(values.get("reversed"), 1) if back else 1), -1 if back else 1] if name == "ol" else None)
             flow.indent += 2
             return flow
         if name in SPACED:
@@ -195,14 +273,16 @@ class Builder:
         if name == "table":
             self.tables.append(Table())
         elif name == "li":
-            nth = self.lists[-1] if self.lists else None
-            if nth is not None:
-                self.lists[-1] = nth + 1
-            flow.marker = "- " if nth is None else f"{nth}. "
+            own = self.lists[-1] if self.lists else None
+            if own is not None:
+                nth = number(values.get("value"), own[0])
+                own[0] = nth + own[1]
+            flow.marker = "- " if own is None else f"{nth}. "
         elif name in ("dd", "blockquote"):
             flow.indent += 2
-        elif name == "pre":
+        elif name in ("pre", "listing", "plaintext", "xmp"):
             self.pre += 1
+            self.fresh_pre = name in ("pre", "listing")
         return flow
 
     def finish(self, name: str, kept) -> None:
@@ -215,7 +295,7 @@ class Builder:
                 rows = self.tables[-1].rows
                 if not rows:
                     rows.append([])
-                rows[-1].append((kept, flow.lines))
+                rows[-1].append((*kept, flow.lines))
             return
         if name == "tr":
             return
@@ -228,7 +308,7 @@ class Builder:
             self.lists.pop()
             flow.part(1 if self.lists else 2)
             flow.indent -= 2
-        elif name == "pre":
+        elif name in ("pre", "listing", "plaintext", "xmp"):
             flow.part(2)
             self.pre -= 1
         elif name in ("dd", "blockquote"):
@@ -242,14 +322,14 @@ class Builder:
                 flow.marker = ""
 
     def pop(self) -> None:
-        name, hides, kept = self.open.pop()
+        name, hides, self.shown, kept = self.open.pop()
         self.count[name] -= 1
         self.hidden -= hides
-        if not self.hidden and not hides and (kept is not None or name in ROWS):
+        if kept is not None:
             self.finish(name, kept)
 
     def inside(self, name: str, limits: set[str]) -> bool:
-        for n, _, _ in reversed(self.open):
+        for n, *_ in reversed(self.open):
             if n == name:
                 return True
             if n in limits:
@@ -286,19 +366,26 @@ class Builder:
         return None
 
     def text(self, s: str) -> None:
-        if self.hidden or not s:
+        if self.open and self.open[-1][0] == "head" and s and not s.isspace():
+            self.pop()  # text ends the head
+        if self.hidden or not self.shown or not s:
             return
         if self.tables and not self.inside_cell():
             if s.isspace():
                 return
-        s = html.unescape(s).replace("\xa0", " ") if not self.pre else html.unescape(s)
+        s = s if self.open and self.open[-1][0] in ("plaintext", "xmp") else html.unescape(s)
+        s = s.translate(UNSHOWN) if not s.isascii() else s
+        if self.fresh_pre:
+            s, self.fresh_pre = s.removeprefix("\r").removeprefix("\n"), False
+        if not self.pre:
+            s = s.replace("\xa0", " ")
         if self.pre:
             self.flows[-1].verbatim(s)
         else:
             self.flows[-1].text(s)
 
     def inside_cell(self) -> bool:
-        for n, _, _ in reversed(self.open):
+        for n, *_ in reversed(self.open):
             if n in CELLS or n == "caption":
                 return True
             if n == "table":
@@ -317,11 +404,25 @@ def dict_of(attributes: str) -> dict[str, str]:
     return out
 
 
+def items_ahead(page: str, at: int) -> int:
+    """Items of a list whose tag ends at a place, without those of lists inside it."""
+    depth = n = 0
+    for m in TAG.finditer(page, at):
+        name = (m[1] or m[2] or "").lower()
+        if name in LISTS:
+            depth += 1 if m[2] else -1
+            if depth < 0:
+                break
+        elif m[2] and name == "li" and not depth:
+            n += 1
+    return n
+
+
 def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    b, at = Builder(), 0
+    b, at = Builder(styles(page) if "<style" in page.lower() else ()), 0
     while True:
         m = TAG.search(page, at)
         if not m:
@@ -330,9 +431,14 @@ def render(page: str | None) -> str:
         b.text(page[at : m.start()])
         at = m.end()
         if m[2]:
-            name = m[2].lower()
-            b.start(name, m[3])
-            if (name in RAW or name in TEXT_ONLY) and not m[3].endswith("/"):
+            name, attributes = m[2].lower(), m[3]
+            if name == "ol" and re.search(r"\breversed\b", attributes, re.I):
+                attributes = f'{re.sub(r"(?i)\breversed\b(?:\s*=\s*(?:[^\s>\'\"]+|\'[^\']*\'|\"[^\"]*\"))?", "", attributes)} reversed="{items_ahead(page, at)}"'
+            b.start(name, attributes)
+            if name == "plaintext":
+                b.text(page[at:])
+                break
+            if (name in RAW or name in TEXT_ONLY) and not (m[3].endswith("/") and (b.count["svg"] or b.count["math"])):
                 end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else len(page)
                 if name in TEXT_ONLY or name == "xmp":
@@ -351,14 +457,15 @@ def extract(df: DataFrame, key: str = "page_id", html_column: str = "html") -> D
     """(key, text) of every page: all its visible text, blocks apart, list items marked, table cells aligned.
 
     One pass over each whole page, without recursion, so that neither length nor depth matters. Missing end tags, rows and bodies are
-    implied; elements that never show, and those that their attributes hide, are left out. Rows are independent: nothing is shuffled. Null and empty pages give an empty text.
+    implied; elements that never show, and those that their attributes or the page's own simple rules hide, are left out, as is what closed details hold but their summary. A cell of several rows or columns keeps its places.
+    Rows are independent: nothing is shuffled. Null and empty pages give an empty text; a row gives a row, repeated or with a null key, of any type; other columns aren't looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([render(x) for x in rows_of(batch, "h")], pa.string())], ["k", "text"])
 
-    return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(html_column).alias("h")), run, "k long, text string").withColumnRenamed("k", key)
+    return map_batches(df.select(F.col(key).alias("k"), F.col(html_column).alias("h")), run, f"k {type_of(df, key)}, text string").withColumnRenamed("k", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,48 +25,47 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def vector_pack(df: DataFrame, shards: int = 8, buckets: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def vector_pack(df: DataFrame, shards: int = 8, buckets: int = 4096, key: str = "doc_id", text: str = "text", slack: float = 0.01) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of every row: sizes, tokens and rows of shards nearly equal; slots gapless from 0.
 
-    Equal texts are a group and stay in one shard unless the group alone exceeds a 32nd of a shard. Groups larger than
-    an average bucket are items of their own; all others are gathered into `buckets` items by the hash of their text.
-    So the driver packs at most a few times `buckets` vectors, however many rows there are. size: UTF-8 bytes plus 1,
-    null as none. tokens: runs between single spaces. Rows are numbered within pieces of items, no larger than an average bucket,
-    behind offsets summed by the driver: no task sorts a shard. Rows equal in all columns are interchangeable; null keys come first.
+    What is packed are vectors of bytes, tokens and rows, each placed where the dot product with what is left of the shards is highest. Equal texts are a group. Groups larger than
+    an average bucket are vectors of their own; all smaller groups are gathered by the hash of their text into `buckets` buckets, which are placed as wholes, so
+    that the driver packs a few times `buckets` vectors, however many rows there are. A group stays in one shard, unless it exceeds a shard's capacity, or
+    the shards' bytes would differ by more than `slack` of a shard, or two average buckets: then groups beyond a 32nd of a shard are cut into pieces of that size. size: UTF-8 bytes plus 1,
+    null as none. tokens: runs of anything but ASCII white space. Rows are numbered within pieces of items, no larger than an average bucket,
+    behind offsets summed by the driver: no task sorts a shard. Rows equal in all columns are interchangeable; null keys come first. Keys are of any type;
+    an empty table gives no rows; other columns aren't looked at.
     """
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = saved(
-        df.select(
-            F.col(key).alias("k"),
-            (F.octet_length(t) + 1).cast("long").alias("size"),
-            (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long").alias("tokens"),
-            F.crc32(t.cast("binary")).alias("crc"),
-            F.xxhash64(t).alias("h"),
-        )
-    )
+    rows = saved(df.select(F.col(key).alias("k"), (F.octet_length(t) + 1).cast("long").alias("size"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("h")))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    capacity, mean_bytes, mean_rows = total[0] / shards, max(1, total[0] / buckets), max(1, total[1] / buckets)
+    capacity, mean_bytes, mean_rows = max(1, total[0] / shards), max(1, total[0] / buckets), max(1, total[1] / buckets)
     hot = rows.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > mean_bytes) | (F.col("n") > 4 * mean_rows)).collect()  # fewer than 1.25 x buckets
-    split = [(r.h, min(r.n, max(math.ceil(r.b / mean_bytes), math.ceil(r.n / mean_rows))), min(r.n, math.ceil(r.b / max(1, capacity / 32)))) for r in hot]
-    pieces = spark.createDataFrame(split, "h long, pieces long, items long")
+    split = {r.h: (min(r.n, max(math.ceil(r.b / mean_bytes), math.ceil(r.n / mean_rows))), r.b) for r in hot}
+    pieces = spark.createDataFrame([(h, n) for h, (n, _) in split.items()], "h long, pieces long")
     rows = rows.join(F.broadcast(pieces), "h", "left")
     piece = F.coalesce(F.pmod(F.xxhash64("k", F.lit(1)), F.col("pieces")), F.lit(0))
-    rows = rows.select("k", "size", "tokens", "crc", F.when(F.col("pieces").isNull(), F.pmod("h", F.lit(buckets))).otherwise(F.col("h")).alias("g"), F.col("pieces").isNotNull().alias("alone"), piece.alias("piece"), F.coalesce(F.floor(piece * F.col("items") / F.col("pieces")), F.lit(0)).alias("item"))
-    units = sorted(rows.groupBy("alone", "g", "item", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect(), key=lambda r: tuple(r)[:4])
-    index: dict[tuple, int] = {}
-    at = [index.setdefault(tuple(r)[:3], len(index)) for r in units]
-    vectors = np.zeros((len(index), 3))
-    for i, r in zip(at, units, strict=True):
-        vectors[i] += r[4:]
-    where, filled, placed = place(vectors, shards), [0] * shards, []
-    for i, r in zip(at, units, strict=True):
+    rows = rows.select("k", "size", "tokens", "crc", F.when(F.col("pieces").isNull(), F.pmod("h", F.lit(buckets))).otherwise(F.col("h")).alias("g"), F.col("pieces").isNotNull().alias("alone"), piece.alias("piece"))
+    units = sorted(tuple(r) for r in rows.groupBy("alone", "g", "piece").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect())
+    for most in (capacity, capacity / 32):  # groups whole where they fit, else in pieces
+        index: dict[tuple, int] = {}
+        parts = {h: min(n, math.ceil(b / most)) for h, (n, b) in split.items()}
+        at = [index.setdefault((alone, g, p * parts[g] // split[g][0] if alone else 0), len(index)) for alone, g, p, *_ in units]
+        vectors = np.zeros((len(index), 3))
+        np.add.at(vectors, at, np.array([u[3:] for u in units], dtype=float).reshape(-1, 3))
+        where = place(vectors, shards)
+        filled = np.bincount(where, weights=vectors[:, 0], minlength=shards)
+        if filled.max(initial=0) - filled.min(initial=0) <= max(slack * capacity, 2 * mean_bytes):
+            break
+    ends, placed = [0] * shards, []
+    for i, u in zip(at, units, strict=True):
         s = int(where[i])
-        placed.append((*tuple(r)[:4], s, filled[s]))
-        filled[s] += r[6]
-    offsets = spark.createDataFrame(placed, "alone boolean, g long, item long, piece long, shard int, offset long")
-    order = Window.partitionBy("alone", "g", "item", "piece").orderBy("k", "size", "crc")
-    numbered = rows.withColumn("n", F.row_number().over(order) - 1).join(F.broadcast(offsets), ["alone", "g", "item", "piece"])
+        placed.append((*u[:3], s, ends[s]))
+        ends[s] += u[5]
+    offsets = spark.createDataFrame(placed, "alone boolean, g long, piece long, shard int, offset long")
+    order = Window.partitionBy("alone", "g", "piece").orderBy("k", "size", "crc")
+    numbered = rows.withColumn("n", F.row_number().over(order) - 1).join(F.broadcast(offsets), ["alone", "g", "piece"])
     return numbered.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("n")).cast("long").alias("slot"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import LOWER, components, map_batches, rows_of, table, utf8_of
+from colweave.llm.common import LOWER, components, fresh, looked_up, map_batches, rows_of, table, type_of, utf8_of
 from colweave.storage import broadcast, saved
 
 #: Fingerprints below a leaf of the distributed trie, at least; there are at most about MAX_LEAVES leaves.
@@ -23,6 +25,8 @@ PAGE = 16
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 #: Groups of shingles by their low bits: a group without a shared shingle isn't shuffled.
 GROUPS = 1 << 22
+#: 64-bit words of a set's bitmap. Rounds in which texts are compared with a few others before all that is left is compared, at most, and the share of links among comparisons below which they end; about how many texts share one to be compared with.
+BITMAP, ROUNDS, WORTH, SHARING = 8, 6, 0.02, 32
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -279,7 +283,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
             f = [signed(fingerprint(t, shingle)) for t in utf8_of(batch, "x")]
             yield pa.record_batch([batch.column(0), pa.array(f, pa.int64())], ["k", "f"])
 
-    return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")), run, "k long, f long")
+    return map_batches(df.select(F.col(key).alias("k"), F.col(text).alias("x")), run, f"k {type_of(df, key)}, f long")
 
 
 def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -288,7 +292,7 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     Equal fingerprints are grouped first (partial minima on the map side), so the trie holds distinct ones only and a group
     of copies of any size is one of them. Links between fingerprints become components, which are joined back. Null and empty
     texts have fingerprint 0 and are linked with each other like any others. A null key is passed over as a component's name; a component
-    of null keys only has none.
+    of null keys only has none. Keys are of any type that has an order; repeated rows give a row each, an empty table none; other columns aren't looked at.
     """
     rows = saved(fingerprints(df, key, text, shingle))
     distinct = saved(rows.groupBy("f").agg(F.min("k").alias("k")))
@@ -297,7 +301,7 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     named = distinct.join(groups.select(F.col("id").alias("f"), F.col("component_id").alias("g")), "f", "left").select("f", "k", F.coalesce("g", "f").alias("g"))
     names = named.groupBy("g").agg(F.min("k").alias("component_id"))
     out = saved(named.join(names, "g").select("f", "component_id"))
-    return rows.join(out, "f").select(F.col("k").alias(key), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+    return looked_up(rows, out, "f").select(F.col("k").alias(key), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near-duplicates by similarity
@@ -313,6 +317,12 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxh32_intdigest(g) for g in grams], dtype=np.uint32)).view(np.int32)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP words of 64 bits: each hash turns one bit over. Two sets differ in at least as many elements as their bitmaps in bits."""
+    odd = np.bincount(hashes.view(np.uint32) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def rare_first(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles of about ORDER_TEXTS of the texts, sorted, and how many of these have each. Any order of shingles gives right results; the rare ones first gives short lists."""
     every = max(1, sets.count() // ORDER_TEXTS)
@@ -350,11 +360,10 @@ def prefixes(sets: DataFrame, similarity: float, order: Broadcast, groups: Broad
     return map_batches(sets.select("d", "s"), run, "h int, d binary, n int, i int")
 
 
-def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidates (src, dst) whose sets have the similarity. Sets whose digests' first bits no candidate has aren't shuffled."""
-    first = F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int")
+def of_texts(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The sets of some texts (d, distinct). Sets whose digests' first bits no text has aren't shuffled."""
     flags = np.zeros(1 << 24, dtype=bool)
-    flags[candidates.select(F.explode(F.array("src", "dst")).alias("d")).select(first.alias("g")).distinct().toArrow().column("g").to_numpy()] = True
+    flags[texts.select(F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int").alias("g")).distinct().toArrow().column("g").to_numpy()] = True
     asked = broadcast(sets.sparkSession, np.packbits(flags))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,79 +371,107 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
             starts = np.array([int.from_bytes(d[:3]) for d in rows_of(batch, "d")], dtype=np.int64)
             yield batch.filter(pa.array((asked.value[starts >> 3] >> (7 - (starts & 7)) & 1).astype(bool)))
 
-    sets = map_batches(sets, run, "d binary, s array<int>")
+    return map_batches(sets, run, sets.schema).join(texts, "d", "left_semi")
+
+
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (src, dst, further columns) whose sets have the similarity."""
     pairs = candidates.join(sets.select(F.col("d").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("d").alias("dst"), F.col("s").alias("s2")), "dst")
     common = F.size(F.array_intersect("s1", "s2"))
-    return pairs.where(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("src", "dst")
+    return pairs.where(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select(candidates.columns)
+
+
+def several_classes(lists: DataFrame) -> DataFrame:
+    """The rows (h, c, ...) of lists h with more than one class c."""
+    return lists.join(lists.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h"), "h", "left_semi")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, key, component_key) of every row: texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked.
 
-    Such sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. First each text is compared with the smallest
-    and the greatest of its lists, and verified links become classes; then, in lists of several classes, each text outside the list's largest class
-    with every text of another class. Pairs left out lie in one class or can't have the similarity by their lengths and places, so
+    Such sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. Round by round each text is compared with one or two
+    others of its lists, drawn anew each time; verified links join classes, and lists of one class are done. When few comparisons find links, in lists of several classes still, each text outside the list's largest class is compared
+    with every text of another class whose bitmap doesn't rule it out. Pairs left out lie in one class or can't have the similarity by their lengths, places or bitmaps, so
     nothing is missed, while a group of near copies in one class costs no pairs. Equal texts are one class from the start. Null and empty texts are equal;
-    a null key never names a component.
+    a null key never names a component. Keys are of any type that has an order; repeated rows give a row each, an empty table none; other columns aren't looked at.
     """
     digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
-    source = df.select(F.col(key).cast("long").alias("k"), digest.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    source = df.select(F.col(key).alias("k"), digest.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, shingle) for t in utf8_of(batch, "x")], pa.list_(pa.int32()))], ["d", "s"])
+            found = [shingle_set(t, shingle) for t in utf8_of(batch, "x")]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([bitmap(x) for x in found], pa.list_(pa.int64()))], ["d", "s", "m"])
 
     rows = saved(source.select("k", "d"))
-    sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>").groupBy("d").agg(F.first("s").alias("s")))
+    sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>, m array<long>").groupBy("d").agg(F.first("s").alias("s"), F.first("m").alias("m")))
     spark = df.sparkSession
     order, flags = broadcast(spark, rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
     shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
     flags[shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
     postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)))
-    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("d", "n", "i")).alias("head"), F.max(F.struct("d", "n", "i")).alias("tail")).where("texts > 1").drop("texts")
-    lists = saved(postings.join(shared, "h"))
-    pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
+    named = saved(several_classes(postings.withColumn("c", F.col("d"))))
+    few = saved(of_texts(sets, named.select("d").distinct()))
 
     def may(a: str, b: str) -> Column:
         """Whether two sets can have the similarity by their lengths and by what is left of them from their first shared shingle on."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i")) >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9)
 
-    ends = lists.select(F.struct("d", "n", "i").alias("one"), F.explode(F.array("head", "tail")).alias("two")).where("one.d <> two.d").where(may("one", "two")).select(*pair("one.d", "two.d")).distinct()
+    pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
     empty = sets.where(F.size("s") == 0)
-    links = saved(verified(saved(ends), sets, similarity).unionAll(empty.crossJoin(empty.agg(F.min("d").alias("dst"))).select(F.col("d").alias("src"), "dst")))
-    classes = components(links).select(F.col("id").alias("d"), F.col("component_id").alias("c"))
+    links = saved(empty.crossJoin(empty.agg(F.min("d").alias("dst"))).select(F.col("d").alias("src"), "dst"))  # one empty set, as equal texts are one
+    for round_ in range(ROUNDS):
+        # a text's partners: the heads, in another order each round, of parts of its lists
+        draw = F.xxhash64("d", F.lit(round_))
+        sizes = named.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SHARING).alias("parts"))
+        dealt = named.join(sizes, "h").withColumn("part", F.pmod(draw, F.col("parts")))
+        heads = dealt.groupBy("h", "part").agg(F.min(F.struct(draw.alias("draw"), "d", "n", "i", "c")).alias("two"))
+        near = dealt.select("h", "part", F.struct("d", "n", "i", "c").alias("one")).join(heads, ["h", "part"]).where("one.c <> two.c").where(may("one", "two"))
+        tried = near.groupBy("one.d", "one.c").agg(F.min("two").alias("e"), F.max("two").alias("f"))
+        tried = tried.select("d", "c", F.explode(F.array_distinct(F.array("e", "f"))).alias("e")).select(*pair("d", "e.d"), F.col("c").alias("c1"), F.col("e.c").alias("c2")).dropDuplicates(["src", "dst"])
+        tried = saved(tried)
+        found = saved(verified(tried, few, similarity))
+        links = links.unionAll(found.select("src", "dst"))
+        joined = components(found.select(F.col("c1").alias("src"), F.col("c2").alias("dst"))).select(F.col("id").alias("c"), "component_id")
+        named = saved(named.join(joined, "c", "left").select("h", "d", "n", "i", F.coalesce("component_id", "c").alias("c")))
+        named = saved(several_classes(named))
+        if found.count() <= WORTH * tried.count():
+            break
 
-    named = saved(lists.drop("head", "tail").join(classes, "d", "left").withColumn("c", F.coalesce("c", "d")))
-    largest = named.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("h", F.col("m.c").alias("main"))
-    open_ = saved(named.join(largest, "h"))
+    # all that is left: texts of different classes in a list, but for two of its largest one
+    main = named.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("h", F.col("m.c").alias("main"))
+    open_ = named.join(main, "h").join(few.select("d", "m"), "d")
+    open_ = saved(open_.select("h", "d", "n", "i", "c", "main", *(F.col("m")[k].alias(f"m{k}") for k in range(BITMAP))))
     one, two = open_.where("c <> main").alias("one"), open_.alias("two")
     once = F.expr("one.c <> two.c AND (two.c = two.main OR one.d > two.d)")
-    across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two")).select(*pair("one.d", "two.d")).distinct())
-    groups = components(links.unionAll(verified(across, sets, similarity)))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"one.m{k}").bitwiseXOR(F.col(f"two.m{k}"))) for k in range(BITMAP)))
+    close = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("one.n") + F.col("two.n")) + 1e-9  # elements in one set only
+    across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two") & close).select(*pair("one.d", "two.d")).distinct())
+    groups = components(links.unionAll(verified(across, few, similarity)))
     named = rows.groupBy("d").agg(F.min("k").alias("k")).join(groups.select(F.col("id").alias("d"), "component_id"), "d", "left").select("d", "k", F.coalesce("component_id", "d").alias("g"))
     named = saved(named)
     names = named.groupBy("g").agg(F.min("k").alias("component_key"))
     by_text = saved(named.join(names, "g").select("d", "component_key"))
-    return rows.select("d", "k").join(by_text, "d").select(F.col("d").alias("digest"), F.col("k").alias(key), "component_key")
+    return looked_up(rows.select("d", "k"), by_text, "d").select(F.col("d").alias("digest"), F.col("k").alias(key), "component_key")
 
 
 def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df with one row of each group of near_duplicates(): that with the smallest key. Rows repeated with key and text stay once; all columns stay."""
     groups = saved(near_duplicates(df, key, text, **options))
-    gone = groups.where(~F.col(key).eqNullSafe(F.col("component_key"))).select(F.col("digest").alias("__digest"), F.col(key).alias("__key")).distinct()
-    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
-    rows = df.withColumn("__digest", digest)
-    kept = rows.join(gone, (rows["__digest"] == gone["__digest"]) & rows[key].eqNullSafe(gone["__key"]), "left_anti")
+    d_, k_ = fresh(df, "digest", "group_key")
+    named = lambda g: g.select(F.col("digest").alias(d_), F.col(key).alias(k_)).distinct()
+    rows = df.withColumn(d_, F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16))
+    left = lambda kept, gone: kept.join(gone, (kept[d_] == gone[d_]) & kept[key].eqNullSafe(gone[k_]), "left_anti")
+    kept = left(rows, named(groups.where(~F.col(key).eqNullSafe(F.col("component_key")))))
     repeated = not groups.groupBy("digest", key).count().where("count > 1").isEmpty()
     # two texts under one key, both of the group, can't both stay either; they are told apart by the smaller digest
     first = groups.where(F.col(key).eqNullSafe(F.col("component_key"))).groupBy("component_key").agg(F.count_distinct("digest").alias("n"), F.min("digest").alias("first")).where("n > 1")
     if not first.isEmpty():
-        same = groups.join(first, groups["component_key"].eqNullSafe(first["component_key"]) & groups[key].eqNullSafe(groups["component_key"]) & (groups["digest"] != first["first"])).select(groups["digest"].alias("__digest"), groups[key].alias("__key")).distinct()
-        kept = kept.join(same, (kept["__digest"] == same["__digest"]) & kept[key].eqNullSafe(same["__key"]), "left_anti")
+        kept = left(kept, named(groups.join(first, groups["component_key"].eqNullSafe(first["component_key"]) & groups[key].eqNullSafe(groups["component_key"]) & (groups["digest"] != first["first"])).select(groups["digest"], groups[key])))
     if repeated:
-        kept = kept.dropDuplicates(["__digest", key])
-    return kept.drop("__digest")
+        kept = kept.dropDuplicates([d_, key])
+    return kept.drop(d_)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, rows_of, table
-from colweave.storage import shared_folder
+from colweave.llm.common import looked_up, map_batches, rows_of, table
+from colweave.storage import at_end, delete, exists, saved, shared_folder
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: So many missing digests (32 bytes each) are broadcast at most.
@@ -56,28 +56,27 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of every row; texts that the cache doesn't know are encoded once each and appended to it.
 
     The content is normalised to its UTF-8 bytes, null as empty: any further normalisation would change counts. The
     cache holds (digest, tokenizer, n_tokens), tokenizer being the SHA-256 of the tokenizer's file, so that another
-    version never meets old counts. Copies are combined on the map side before texts are shuffled; a group of
+    version never meets old counts. Digests of all rows are joined to stored counts; distinct misses are encoded and appended, and the rows joined to the
+    cache, frequent digests by broadcast (looked_up()). Copies are combined on the map side before texts are shuffled; a group of
     copies that holds a third of the rows sends a row per task. With a cache at hand, missing digests are found
     first, and if there are few, only their texts move at all. A run that breaks off before its append has added
-    nothing; one that is repeated finds what it lacks. An empty table gives none, repeated rows a row each.
+    nothing; one that is repeated finds what it lacks. An empty table gives none, repeated rows a row each, and a null key stays null.
+    Columns other than key and text aren't looked at, and the key may have any type and name.
     """
     spark, version = df.sparkSession, tokenizer_version(tokenizer_path)
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("digest", F.unhex(F.sha2(F.col("t").cast("binary"), 256)))
-    texts = rows.select("digest", "t")
+    t = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(t.cast("binary"), 256)).alias("digest")
+    rows = saved(df.select(F.col(key).alias("k"), digest, F.octet_length(t).cast("long").alias("n_bytes")))
+    texts = df.select(digest, t.alias("t"))
     known = None
-    if _exists(spark, cache_path):
+    if exists(spark, cache_path):
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest").distinct()
-        missing = texts.select("digest").distinct().join(known, "digest", "left_anti")
+        missing = rows.select("digest").distinct().join(known, "digest", "left_anti")
         if missing.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
             texts, known = texts.join(F.broadcast(missing), "digest", "left_semi"), None
     misses = texts.groupBy("digest").agg(F.first("t").alias("t"))
@@ -92,13 +91,15 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, key: str =
     map_batches(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # two runs at once may both have added a digest: counts are equal, so any one will do
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select(F.col("k").alias(key), "digest", F.octet_length("t").cast("long").alias("n_bytes")).join(cache, "digest").select(key, "n_bytes", "n_tokens")
+    return looked_up(rows, cache, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: counts of all documents by the 50k byte-level vocabulary, from a cache that is new for each call."""
+def query(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """op7: counts of all documents by the 50k byte-level vocabulary; without a `cache` from an earlier call, from one that is new."""
     import public_tokenizers
 
-    cache = f"{shared_folder(spark)}/token-cache/{uuid.uuid4().hex}"
+    if cache is None:
+        cache = f"{shared_folder(spark)}/token-cache/{uuid.uuid4().hex}"
+        at_end(lambda: delete(spark, cache))
     out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)

@@ -39,7 +39,6 @@ def hashed(x: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-PATTERNS = 4
 MINIMA = 8
 
 
@@ -70,13 +69,18 @@ def one_per_family(rows: list[tuple[int, list[int]]]) -> list[int]:
     return [k for k in parent if root(k) == k]
 
 
-def pattern_votes(text: bytes) -> list[int]:
-    """Votes of the patterns on style: shouting, runs of marks, very few different words, symbols inside words."""
+# A lexicon of plain insults.
+INSULTS = frozenset(b"idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool jerk bastard filth vermin pig".split())
+
+
+def fixed_votes(text: bytes, own: list[bytes]) -> list[int]:
+    """Votes that know nothing of the labels: of the fixed lexicon, once and twice, and of patterns of style: shouting, runs of marks, very few different words, symbols inside words."""
+    insults = sum(w in INSULTS for w in own)
     n = max(1, len(text))
     upper = sum(map(text.count, (b"A", b"E", b"I", b"O", b"N", b"T"))) / n
     marks = (text.count(b"!") + text.count(b"?")) / n
     w = text.split()
-    return [int(upper > 0.2), int(marks > 0.02), int(len(w) > 20 and len(set(w)) < 0.1 * len(w)), int(sum(map(text.count, (b"*", b"$", b"#", b"%"))) / n > 0.02)]
+    return [int(insults > 0), int(insults > 1), int(upper > 0.2), int(marks > 0.02), int(len(w) > 20 and len(set(w)) < 0.1 * len(w)), int(sum(map(text.count, (b"*", b"$", b"#", b"%"))) / n > 0.02)]
 
 
 @dataclasses.dataclass
@@ -84,57 +88,95 @@ class Model:
     weights: dict[int, float]  # by feature
     bias: float
     accuracies: np.ndarray  # of each voter, for each class: the share that votes 1
-    correlations: np.ndarray  # of voters, given the class
+    correlations: np.ndarray  # of two voters: their mutual information given the class
     prior: float
 
 
 class LabelModel:
-    """Votes are drawn given an unknown class. Each voter's accuracy and the class's share are estimated by expectation and maximisation, from the labels' averages on.
+    """A generative model of votes: an unknown class is drawn, then the votes given it, each by the class and by one other voter that it hangs together with.
 
-    Voters that agree beyond what the class explains, measured by their residuals' correlations, count less: each vote's evidence is divided by one plus the sum of its correlations.
+    Which voters hang together, and how, is part of the model: given the class the votes form a tree (Chow and Liu), the one with the greatest mutual information given the class;
+    branches that chance could explain are cut. Expectation and maximisation, from the voters' majority on and without any label, estimates the class's share, each voter's rates in both
+    classes and on each branch the rates given the other's vote. A vote that only repeats another's adds no evidence by this.
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 20):
+    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30):
+        n, m = votes.shape
         y = np.clip(start.astype(float), 0.02, 0.98)
         for _ in range(rounds):
+            weights = np.stack([1 - y, y])
             self.prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-            self.rates = np.stack([((1 - y) @ votes + 0.5) / ((1 - y).sum() + 1), (y @ votes + 0.5) / (y.sum() + 1)])
-            residual = votes - (np.outer(1 - y, self.rates[0]) + np.outer(y, self.rates[1]))
-            scale = np.sqrt((residual**2).sum(axis=0)) + 1e-9
-            self.correlations = residual.T @ residual / np.outer(scale, scale)
-            extra = np.clip(self.correlations - np.eye(votes.shape[1]), 0, 1)
-            extra[extra < 0.05] = 0
-            self.shares = 1 / (1 + extra.sum(axis=1))
+            total = weights.sum(axis=1)
+            one = weights @ votes  # by class and voter
+            both = np.stack([votes.T @ (w[:, None] * votes) for w in weights])
+            self.rates = (one + 0.5) / (total[:, None] + 1)
+            # joint shares of two voters' votes by class: [class, own vote, other's vote, own, other]
+            cells = np.empty((2, 2, 2, m, m))
+            cells[:, 1, 1] = both
+            cells[:, 1, 0] = one[:, :, None] - both
+            cells[:, 0, 1] = one[:, None, :] - both
+            cells[:, 0, 0] = total[:, None, None] - one[:, :, None] - one[:, None, :] + both
+            joint = (np.maximum(cells, 0) + 0.25) / (total[:, None, None, None, None] + 1)
+            apart = joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)
+            share = (total / total.sum())[:, None, None, None, None]
+            self.correlations = (share * joint * np.log(joint / apart)).sum(axis=(0, 1, 2))
+            np.fill_diagonal(self.correlations, 0)
+            self.parent = self.tree(self.correlations, 6.6 / (2 * max(1, n)))  # chance alone exceeds 6.6 / 2n once in a hundred
+            child, parent = np.flatnonzero(self.parent >= 0), self.parent[self.parent >= 0]
+            given = joint[:, :, :, child, parent]
+            self.given = given / given.sum(axis=1, keepdims=True)  # [class, own vote, parent's vote, branch]
             new = self.posterior(votes)
-            if np.abs(new - y).max(initial=0) < 1e-4:
-                y = new
+            moved, y = np.abs(new - y).max(initial=0), new
+            if moved < 1e-4:
                 break
-            y = new
         self.y = y
 
+    @staticmethod
+    def tree(strength: np.ndarray, least: float) -> np.ndarray:
+        """Each voter's parent in the strongest tree, -1 for a root."""
+        m = len(strength)
+        parent, best, inside = np.full(m, -1), np.full(m, -np.inf), np.zeros(m, bool)
+        for _ in range(m):
+            at = int(np.where(inside, -np.inf, np.maximum(best, -1e300)).argmax())
+            inside[at] = True
+            if best[at] < least:
+                parent[at] = -1
+            nearer = ~inside & (strength[at] > best)
+            best[nearer], parent[nearer] = strength[at][nearer], at
+        return parent
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        for_1 = np.log(self.rates[1] / self.rates[0]) * self.shares
-        for_0 = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.shares
-        logit = np.log(self.prior / (1 - self.prior)) + votes @ for_1 + (1 - votes) @ for_0
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        v = votes.astype(np.int64)
+        child, root = np.flatnonzero(self.parent >= 0), np.flatnonzero(self.parent < 0)
+        logs = []
+        for c in (0, 1):
+            alone = votes[:, root] @ np.log(self.rates[c, root]) + (1 - votes[:, root]) @ np.log(1 - self.rates[c, root])
+            logs.append(alone + np.log(self.given[c, v[:, child], v[:, self.parent[child]], np.arange(len(child))]).sum(axis=1))
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + logs[1] - logs[0], -30, 30)))
+
+
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Where voters' votes start from: 1 if a text has more votes than a text mostly has of voters that are silent in most texts, and two at least."""
+    n = votes.sum(axis=1)
+    return (n >= max(2.0, np.median(n) + 1)).astype(float)
 
 
-def fit(rows: list[np.ndarray], patterns: np.ndarray, labels: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, LabelModel]:
-    """Weights of features and the bias. rows: each text's features by number, in order of how telling they are; toxic: which of them stand out among rows labelled 1."""
+def fit(rows: list[np.ndarray], fixed: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, LabelModel]:
+    """Weights of features and the bias. rows: each text's features by number, in order of how telling they are; fixed: votes of the fixed voters; toxic: which features stand out among rows labelled 1."""
     n, size = len(rows), len(toxic)
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     row_of = np.repeat(np.arange(n), [len(r) for r in rows])
     # lexicons: the telling features dealt round, so that each has some of every rank
     lexicon = np.full(size, -1)
     lexicon[toxic] = np.arange(int(toxic.sum())) % LEXICONS
-    votes = np.zeros((n, LEXICONS + PATTERNS))
-    votes[:, LEXICONS:] = patterns
+    votes = np.zeros((n, LEXICONS + fixed.shape[1]))
+    votes[:, LEXICONS:] = fixed
     hit = lexicon[flat] >= 0
     votes[row_of[hit], lexicon[flat[hit]]] = 1
-    label_model = LabelModel(votes, labels)
+    label_model = LabelModel(votes, majority(votes))
     target = label_model.posterior(votes)
     # gradient descent with momentum and a ridge
-    w, velocity, bias, bias_speed = np.zeros(size), np.zeros(size), float(np.log(target.mean() / (1 - target.mean()))), 0.0
+    w, velocity, bias, bias_speed = np.zeros(size), np.zeros(size), float(np.log(np.clip(target.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(target.mean(), 1e-3, 1 - 1e-3)))), 0.0
     degree = np.bincount(flat, minlength=size) + 10.0
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row_of, w[flat], minlength=n) + bias, -30, 30)))
@@ -149,11 +191,12 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model from at most `sample` labelled rows; with held_out, only from those whose crc32(key as text) mod 4 is not 2.
 
     A feature stands out if, were labels dealt out at random, less than one of all features would deviate as far (Chernoff's bound).
-    Voters are lexicons, made of features that stand out among rows labelled 1, and patterns of style. The label model estimates how accurate
-    the voters are and how they hang together, and gives each sampled row a posterior label; the classifier is trained on these.
+    Voters are a fixed lexicon, patterns of style, and lexicons dealt from features that stand out among rows labelled 1; for these alone the labels are used. The label model (see LabelModel) estimates, without
+    labels, how accurate the voters are and how they hang together, and gives each sampled row a posterior label; the linear classifier is trained on these.
     Of rows that are near copies of each other only one is used: else words of a text often copied would seem to tell something.
     Rows labelled twice count once, as 1 if any label is 1. Without labels of both kinds all rows get the labels' average.
     """
+    df, labels = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), labels.select(F.col(key).alias(key), F.col(label).alias(label))
     crc = F.crc32(F.col(key).cast("string").cast("binary"))
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     marked = (marked.where(crc % 4 != 2) if held_out else marked).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
@@ -165,12 +208,12 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             split = [words(t) for t in texts]
             known = {w: features(w) for x in split for w in x}
             rows = [sorted({f for w in set(x) for f in known[w]}) for x in split]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64())), pa.array([pattern_votes(t) for t in texts], pa.list_(pa.int32())), pa.array([minima([known[w][0] for w in x]) for x in split], pa.list_(pa.int64()))], ["k", "y", "f", "p", "m"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64())), pa.array([fixed_votes(t, x) for t, x in zip(texts, split, strict=True)], pa.list_(pa.int32())), pa.array([minima([known[w][0] for w in x]) for x in split], pa.list_(pa.int64()))], ["k", "y", "f", "p", "m"])
 
-    joined = df.join(F.broadcast(chosen), F.col(key) == F.col("__k")).select(F.col("__k").cast("long").alias("k"), F.col("__y").cast("int").alias("y"), F.col(text).alias("x"))
+    joined = df.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select(F.xxhash64(F.col("__k").cast("string")).alias("k"), F.col("__y").cast("int").alias("y"), F.col("__text").alias("x"))
     rows = saved(map_batches(joined, run, "k long, y int, f array<long>, p array<int>, m array<long>"))
     kept = df.sparkSession.createDataFrame([(k,) for k in one_per_family([tuple(r) for r in rows.select("k", "m").collect()])], "k long")  # `sample` at most
-    rows = rows.join(F.broadcast(kept), "k").dropDuplicates(["k"]).select("k", "y", "f", "p")
+    rows = rows.join(F.broadcast(kept), "k").groupBy("k").agg(F.min(F.struct("y", "f", "p")).alias("r")).select("k", "r.*")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n1 or n1 == n:
         share = n1 / n if n else 0.0
@@ -190,7 +233,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     got = map_batches(rows.select("k", "y", "f", "p"), select, "k long, y int, f array<int>, p array<int>").toArrow().sort_by("k").to_pylist()  # bounded by `sample` and FEATURES
     toxic = np.array([r.a * n > r.c * n1 for r in telling], dtype=bool)
-    w, bias, model = fit([np.array(r["f"], dtype=np.int64) for r in got], np.array([r["p"] for r in got], dtype=float), np.array([r["y"] for r in got]), toxic)
+    w, bias, model = fit([np.array(r["f"], dtype=np.int64) for r in got], np.array([r["p"] for r in got], dtype=float), toxic)
     return Model({f: float(w[i]) for f, i in number.items()}, bias, model.rates, model.correlations, model.prior)
 
 

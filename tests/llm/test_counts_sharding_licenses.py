@@ -43,6 +43,30 @@ def test_vector_pack(spark):
     assert S.vector_pack(df.limit(0)).count() == 0
 
 
+def test_place_by_dot_products():
+    rng = np.random.default_rng(5)
+    items = rng.integers(1, 50, size=(300, 3)).astype(float)
+    sizes = items / items.sum(axis=0)
+    left, want = [[1 / 4] * 3 for _ in range(4)], {}
+    for i in sorted(range(300), key=lambda i: (-sizes[i].max(), -sizes[i].sum(), i)):
+        at = max(range(4), key=lambda s: (sum(a * b for a, b in zip(left[s], sizes[i])), -s))
+        want[i] = at
+        left[at] = [a - b for a, b in zip(left[at], sizes[i])]
+    assert S.place(items, 4).tolist() == [want[i] for i in range(300)]
+    assert S.place(np.zeros((0, 3)), 4).tolist() == []
+
+
+def test_groups_stay_whole_where_they_fit(spark):
+    rng = np.random.default_rng(1)
+    texts = [f"text {i} " + "w " * int(rng.integers(50, 60)) for i in range(2000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10000 + 100 * g + i, "copy of %d" % g + " x" * 60) for g in range(20) for i in range(60)]
+    shard = {r.doc_id: r.shard for r in S.vector_pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=256).collect()}
+    for g in range(20):  # 60 copies each, an eighth of a shard's capacity at most
+        assert len({shard[10000 + 100 * g + i] for i in range(60)}) == 1
+    out = S.vector_pack(spark.createDataFrame([(i, "all the same") for i in range(4000)], "doc_id long, text string"), buckets=256).toPandas()
+    assert set(out["shard"]) == set(range(8)) and out.groupby("shard")["size"].sum().max() < 1.1 * len("all the same ") * 500
+
+
 def brute_base(text):
     from colweave.llm.common import words
 

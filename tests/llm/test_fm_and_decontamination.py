@@ -79,3 +79,25 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted(map(tuple, D.decontaminate(docs, bench).select("doc_id", "n_hit", "items").collect())) == whole == [(1, 11, [7, 9]), (2, 1, [8])]
     assert D.decontaminate(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in D.decontaminate(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_many_blocks_through_tables(spark, monkeypatch):
+    """Five and more blocks of a benchmark with ids that are texts: the same rows as in one block, and no table is left but the last."""
+    from colweave import storage
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    items = [(f"i{k}", say(rng.choice((4, 12, 30)))) for k in range(40)] + [(None, say(12)), ("i1", say(12))]
+    docs = spark.createDataFrame([(f"d{i}", say(200) + (f" {items[i % 42][1]} " if i % 2 else "") + say(100), i) for i in range(80)] + [(None, None, 1)], "doc_id string, text string, items int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda: sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], str(r.spans)) for r in D.decontaminate(docs, bench).collect())
+    whole = rows()
+    assert sum(r[2] > 0 for r in whole) >= 40
+    size = sum(len(t) for _, t in items)
+    monkeypatch.setattr(D, "BLOCK_BYTES", size // 4)
+    made = []
+    monkeypatch.setattr(D, "saved", lambda df, path: made.append(path) or storage.saved(df, path))
+    assert rows() == whole and len(made) >= 5
+    assert [storage.exists(spark, p) for p in made] == [False] * (len(made) - 1) + [True]
+    phrases = D.Phrases([(k, t) for k, t in items])
+    assert phrases.codes.nbytes + phrases.owners.nbytes < 20 * size

@@ -72,3 +72,33 @@ def test_cases(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, "", "t"), (None, "<p>x", "t"), (1, "", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract(df).collect()) == [(0, "x"), (1, ""), (1, ""), (1, "")]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_cells_of_several_rows_and_wide_characters():
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert render("<table><tr><td>x<td rowspan=3>long cell<td>y<tr><td>xx<td>yy<tr><td>z<td>w<tr><td>1<td>2<td>3</table>") == "x   long cell  y\nxx             yy\nz              w\n1   2          3"
+    assert render("<table><tr><td rowspan=2 colspan=2>AB<td>c<tr><td>d<tr><td>e<td>f<td>g</table>") == "AB    c\n      d\ne  f  g"
+    assert render("<table><tr><td>日本<td>b<tr><td>abcd<td>c<tr><td>ée<td>d</table>") == "日本  b\nabcd  c\née    d"
+
+
+def test_visibility_and_rules_of_the_page():
+    assert render('<div style="visibility:hidden">no <span style="visibility: visible">yes</span> no</div>z') == "yes\nz"
+    assert render('<div style="display:none">no <span style="display:inline;visibility:visible">no</span></div>z') == "z"
+    page = "<style>.h,#i{display:none} p.v{visibility:hidden} @media print{b{display:none}} @media screen{u{display:none}}</style><p class='a h'>no<p id=i>no<p class=v>no<p><b>yes</b> <u>no</u><i class=v>too</i>"
+    assert render(page) == "yes too"
+    assert render("<style>.h{display:none}</style><p class=h style='display:block'>shown") == "shown"
+
+
+def test_details_lists_and_plain_text():
+    assert render("<details><summary>S</summary>body <p>more</details><details open><summary>T</summary>shown</details>") == "S\nT\nshown"
+    assert render("<details><summary>S</summary><details open><summary>inner</summary>x</details></details>z") == "S\nz"
+    assert render("<ol reversed><li>a<li>b<ol><li>n</ol><li value=9>c<li>d</ol>") == "4. a\n3. b\n 1. n\n9. c\n8. d"
+    assert render("<pre>\na\n b</pre>x") == "a\n b\n\nx"
+    assert render("a<plaintext>b <b>c</b> &amp; </plaintext>") == "a\n\nb <b>c</b> &amp; </plaintext>"
+    assert render("<xmp><b>as it is</b> &amp;</xmp>") == "<b>as it is</b> &amp;"
+
+
+def test_foreign_elements_and_heads():
+    assert render("co­op <svg><text>T</text><title>n</title><path/></svg> <math><mi>x</mi><annotation>no</annotation></math><svg/>after") == "coop T xafter"
+    assert render("<title>t</title>hello<p>w") == "hello\n\nw"
+    assert render("<html><head><meta charset=x><title>t</title></head>a<body>b") == "ab"
