@@ -56,7 +56,7 @@ def vector_pack(df: DataFrame, shards: int = 8, buckets: int = 4096, key: str =
         np.add.at(vectors, at, np.array([u[3:] for u in units], dtype=float).reshape(-1, 3))
         where = place(vectors, shards)
         filled = np.bincount(where, weights=vectors[:, 0], minlength=shards)
-        if filled.max(initial=0) - filled.min(initial=0) <= max(slack * capacity, 2 * mean_bytes):
+        if np.ptp(filled) <= max(slack * capacity, 2 * mean_bytes):
             break
     ends, placed = [0] * shards, []
     for i, u in zip(at, units, strict=True):
