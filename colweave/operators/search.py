@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colweave.functions.text import tokens
+from colweave.storage import saved
 
 K1, B = 1.2, 0.75
+#: Share of documents up to which a token counts as rare when only the best documents are wanted.
+RARE = 0.3
 #: Folders that a stored index's tokens are dealt into by hash; a search reads those of its tokens.
 PARTS = 64
 #: Letters of a dictionary word by which texts that may hold it are found.
@@ -62,6 +65,32 @@ def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") ->
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", digits: int = 9) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query by bm25(), scores rounded to `digits`, ties to the smaller document. Exact, without scoring what can't be among them.
+
+    A token adds less than its weight, whatever the document. Documents are first scored by a query's rare tokens alone; if the k-th of these sums exceeds all that
+    the common tokens could add, no document without a rare token can be among the best, and of the others only those whose sum comes within that bound of the k-th are scored in full. Common
+    tokens, whose postings are most of an index, are so looked up for a few documents only. Queries for which that doesn't hold are scored whole.
+    """
+    asked = saved(asked_tokens(queries, query, query_text))
+    postings, corpus = asked_postings(docs, asked, doc, text)
+    postings = saved(postings)
+    weights = saved(weighed(asked, postings, corpus))
+    worth = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    rare = F.col("df") <= RARE * F.col("n")
+    part = saved(postings.join(weights.where(rare), "token").groupBy("q", "d").agg(F.sum(worth).alias("part")))
+    kth = part.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part")))).where(F.col("r") == k).select("q", F.col("part").alias("kth"))
+    bound = weights.where(~rare).groupBy("q").agg(F.sum("w").alias("bound"))
+    closed = saved(kth.join(bound, "q", "left").na.fill(0.0, ["bound"]).where("kth > bound"))
+    close = part.join(F.broadcast(closed), "q").where(F.col("part") + F.col("bound") >= F.col("kth") - 10.0**-digits).select("q", "d", "part")  # a row for each query
+    common = postings.join(weights.where(~rare).select("token").distinct(), "token", "left_semi").join(close.select("d").distinct(), "d", "left_semi")
+    more = common.join(weights.where(~rare), "token").groupBy("q", "d").agg(F.sum(worth).alias("more"))
+    scored = close.join(more, ["q", "d"], "left").select("q", "d", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    left = weights.join(closed, "q", "left_anti")
+    whole = postings.join(left, "token").groupBy("q", "d").agg(F.sum(worth).alias("score"))
+    return top_k(scored.unionByName(whole).withColumn("score", F.round("score", digits)), k, "q", "d").select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
+
+
 @dataclasses.dataclass
 class Index:
     """A full-text index over several fields: postings (field, token, node, label, dl, tf) and for each field its entries and their mean length."""

@@ -31,7 +31,7 @@ def fulltext_bm25(spark, d):
 
 @C.add(f"WITH {bm25_sql(DOCS, ITEMS)} SELECT q AS item_id, d AS doc_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) AS r FROM hits) WHERE r <= 3")
 def fulltext_topk(spark, d):
-    return S.top_k(hits(spark, d).withColumn("score", F.round("score", 9)), 3, "item_id", "doc_id").select("item_id", "doc_id", rounded("score").alias("score"), "rank")
+    return S.bm25_top_k(table(spark, d, "documents"), table(spark, d, "benchmark"), 3, query="item_id", query_text="text").select("item_id", "doc_id", rounded("score").alias("score"), "rank")
 
 
 @C.add(f"""WITH {bm25_sql("SELECT DISTINCT p_name AS d, p_name AS t FROM part", "SELECT p_brand || '~1' AS q, min(p_name) AS t FROM part GROUP BY p_brand UNION ALL SELECT p_brand || '~2', max(p_name) || ' ' || p_brand FROM part GROUP BY p_brand")},
