@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.llm.common import LOWER, components, fresh, looked_up, map_batches, rows_of, table, type_of, utf8_of
-from colweave.storage import broadcast, saved
+from colweave.storage import broadcast, delete, saved, shared_folder
 
 #: Fingerprints below a leaf of the distributed trie, at least; there are at most about MAX_LEAVES leaves.
 LEAF = 64
@@ -409,8 +410,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     order, flags = broadcast(spark, rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
     shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
     flags[shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
-    postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)))
-    named = saved(several_classes(postings.withColumn("c", F.col("d"))))
+    made = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)), f"{made}-postings")
+    sizes = postings.groupBy("h").count().where("count > 1").select("h", F.ceil(F.col("count") / SHARING).cast("int").alias("parts"))
+    lists = saved(postings.join(sizes, "h").select("h", "parts", "d", "n", "i"), f"{made}-0")
+    delete(spark, f"{made}-postings")
+    named = lists.withColumn("c", F.col("d"))
     few = saved(of_texts(sets, named.select("d").distinct()))
 
     def may(a: str, b: str) -> Column:
@@ -424,8 +429,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     for round_ in range(ROUNDS):
         # a text's partners: the heads, in another order each round, of parts of its lists
         draw = F.xxhash64("d", F.lit(round_))
-        sizes = named.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SHARING).alias("parts"))
-        dealt = named.join(sizes, "h").withColumn("part", F.pmod(draw, F.col("parts")))
+        dealt = named.withColumn("part", F.pmod(draw, F.col("parts")))
         heads = dealt.groupBy("h", "part").agg(F.min(F.struct(draw.alias("draw"), "d", "n", "i", "c")).alias("two"))
         near = dealt.select("h", "part", F.struct("d", "n", "i", "c").alias("one")).join(heads, ["h", "part"]).where("one.c <> two.c").where(may("one", "two"))
         tried = near.groupBy("one.d", "one.c").agg(F.min("two").alias("e"), F.max("two").alias("f"))
@@ -434,8 +438,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         found = saved(verified(tried, few, similarity))
         links = links.unionAll(found.select("src", "dst"))
         joined = components(found.select(F.col("c1").alias("src"), F.col("c2").alias("dst"))).select(F.col("id").alias("c"), "component_id")
-        named = saved(named.join(joined, "c", "left").select("h", "d", "n", "i", F.coalesce("component_id", "c").alias("c")))
-        named = saved(several_classes(named))
+        merged = named.join(joined, "c", "left").select("h", "parts", "d", "n", "i", F.coalesce("component_id", "c").alias("c"))
+        named = saved(merged if round_ else several_classes(merged), f"{made}-{round_ + 1}")
+        delete(spark, f"{made}-{round_}")
         if found.count() <= WORTH * tried.count():
             break
 
