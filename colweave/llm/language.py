@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -24,15 +25,30 @@ TEXT_WEIGHT = 40.0
 #: Pseudo-counts of the prior above, for hosts, suffixes and declared languages.
 STRENGTH = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
+#: The first 256 characters, all but letters as spaces.
+LATIN = bytes(c if LETTERS.match(chr(c)) else 32 for c in range(256))
 #: Numbers kept for known words at most, one for each language and two more a word.
 KEPT_SCORES = 3_000_000
+#: Scores of new words that are worked out at once, one for each language.
+NEW_SCORES = 80_000
 #: What holds no tags of a page: comments, also empty or unclosed ones, and the insides of scripts and styles.
 UNTAGGED = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b.*?(?:</\1\s*>|\z)"
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; texts of Latin characters alone, most of them, take a shorter way."""
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return LETTERS.findall(text)
+
+
 def trigrams(word: str) -> list[int]:
     w = f" {word} "
+    if w.isascii():
+        b = w.encode()
+        return [zlib.crc32(b[i : i + 3]) % BUCKETS for i in range(len(b) - 2)]
     return [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
 
 
@@ -70,13 +86,19 @@ class TextModel:
     def __init__(self, languages: list[str], b: np.ndarray, i: np.ndarray, n: np.ndarray):
         self.languages = languages
         order = np.argsort(b, kind="stable")
-        self.starts = np.searchsorted(b[order], np.arange(BUCKETS + 1)).tolist()
+        self.starts = np.searchsorted(b[order], np.arange(BUCKETS + 1))
         self.language, self.above = i[order].astype(np.int32), np.log(2 * n[order] + 1.0)
         self.none = np.log(0.5 / (np.bincount(i, weights=n, minlength=len(languages)) + 0.5 * BUCKETS))
 
-    def log_likelihoods(self, grams: list[int]) -> np.ndarray:
-        at = np.concatenate([np.arange(self.starts[g], self.starts[g + 1]) for g in grams])
-        return self.none * len(grams) + np.bincount(self.language[at], weights=self.above[at], minlength=len(self.languages))
+    def log_likelihoods(self, words: list[list[int]]) -> np.ndarray:
+        """A row for each word, given as its trigrams, a column for each language."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        grams = np.fromiter(itertools.chain.from_iterable(words), dtype=np.int64, count=int(sizes.sum()))
+        first, held = self.starts[grams], self.starts[grams + 1] - self.starts[grams]
+        at = np.arange(int(held.sum())) + np.repeat(first - np.cumsum(held) + held, held)
+        n = len(self.languages)
+        place = np.repeat(np.repeat(np.arange(len(words)), sizes), held) * n + self.language[at]
+        return sizes[:, None] * self.none + np.bincount(place, weights=self.above[at], minlength=len(words) * n).reshape(-1, n)
 
 
 def train(evidence: DataFrame) -> TextModel:
@@ -90,7 +112,7 @@ def train(evidence: DataFrame) -> TextModel:
             seen: dict[int, Counter] = {}
             for x, declared, page in zip(rows_of(batch, "x"), rows_of(batch, "declared"), rows_of(batch, "page_id"), strict=True):
                 if declared in place:
-                    seen.setdefault(place[declared], Counter()).update(LETTERS.findall(visible(x, page is not None)))
+                    seen.setdefault(place[declared], Counter()).update(words_of(visible(x, page is not None)))
             for i, c in seen.items():
                 grams = [trigrams(w) for w in c]
                 flat = np.fromiter((g for gs in grams for g in gs), dtype=np.int64)
@@ -116,7 +138,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
     from grouped counts of the most likely language by text alone over all rows with letters: P(declared | language) and P(suffix | language) smoothed
     toward their overall shares; a host's prior smoothed toward its suffix's, that toward the overall prior. Unknown or missing
     evidence has the likelihood 1. Whole texts are read; a row without letters has text likelihood 1 and isn't accepted, others are if their posterior is at least
-    `accept`. Ties go to the first language by name. An empty table gives none.
+    `accept`. Ties go to the first language by name. A row gives a row, repeated rows equal ones; an empty table gives none.
     """
     spark = evidence.sparkSession
     model = model or train(evidence)
@@ -124,24 +146,25 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
     shared = broadcast(spark, model)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model, known, step = shared.value, {}, max(100, NEW_SCORES // n)
         kept = np.zeros((KEPT_SCORES // (n + 2) + 1, n + 2), dtype=np.float32)  # scores of known words, their trigrams and letters
         for batch in batches:
             scores, letters = [], []
             for x, page in zip(rows_of(batch, "x"), rows_of(batch, "page_id"), strict=True):
-                found = LETTERS.findall(visible(x, page is not None))
+                found = words_of(visible(x, page is not None))
                 if len(known) + len(found) >= len(kept):
                     known.clear()
                     if len(found) >= len(kept):
                         kept = np.zeros((2 * len(found), kept.shape[1]), dtype=np.float32)
-                for w in found:
-                    if w not in known:
-                        g = trigrams(w)
-                        kept[len(known), :-2], kept[len(known), -2:] = model.log_likelihoods(g), (len(g), len(w))
-                        known[w] = len(known)
+                new = [w for w in dict.fromkeys(found) if w not in known]
+                for lo in range(0, len(new), step):
+                    part = new[lo : lo + step]
+                    grams, rows = [trigrams(w) for w in part], slice(len(known), len(known) + len(part))
+                    kept[rows, :-2], kept[rows, -2], kept[rows, -1] = model.log_likelihoods(grams), [len(g) for g in grams], [len(w) for w in part]
+                    known.update(zip(part, range(len(known), len(known) + len(part))))
                 sums = kept[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0, dtype=np.float64)
-                grams = sums[-2]
-                scores.append((sums[:-2] * min(1.0, TEXT_WEIGHT / grams) if grams else sums[:-2]).tolist())
+                total = sums[-2]
+                scores.append((sums[:-2] * min(1.0, TEXT_WEIGHT / total) if total else sums[:-2]).tolist())
                 letters.append(int(sums[-1]))
             names = ["doc_id", "page_id", "declared", "suffix", "host", "row"]
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())], [*names, "text_log", "n_letters"])
