@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, rows_of, table, words
+from colweave.llm.common import map_batches, rows_of, table, type_of, words
 
 # Phrases whose exact places count, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -24,7 +24,7 @@ NOTICES = (
     ("licensed under a creative commons attribution", 4, "cc-notice"),
     ("all rights reserved", 1, "all-rights-reserved"),
 )
-SCHEMA = "k long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long,edits:int>>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long,edits:int>>"
 SPAN = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
 
@@ -114,7 +114,8 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices
     Texts are searched as their lower-cased words joined by spaces. A notice may differ by its bound of edits: split
     into one more piece than that, one piece stands exactly; an automaton finds all pieces in one pass, and the bounded-error
     pattern is tried only around them. score: 1 with a base phrase, else 1 minus the edits' share of the best notice,
-    0 without any. Rows are independent: nothing is shuffled. Null and empty texts have no words and score 0.
+    0 without any. Of several ways to match a place the one with the fewest edits counts, of equal ones the leftmost. Rows are independent: nothing is shuffled, a row gives a row, repeated or with a null key, of any type. Null and empty texts have no words and score 0;
+    an empty table gives none; other columns aren't looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices
             kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64(), SPAN]
             yield pa.record_batch([batch.column(0), *(pa.array([x[i] for x in found], k) for i, k in enumerate(kinds))], ["k", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, SCHEMA).withColumnRenamed("k", key)
+    return map_batches(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {type_of(df, key)}, {SCHEMA}").withColumnRenamed("k", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

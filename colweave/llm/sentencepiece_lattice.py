@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm.common import map_batches, rows_of, table
+from colweave.llm.common import map_batches, rows_of, table, type_of
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -130,7 +130,16 @@ class Column:
         self.space, self.n = np.array([*first, *[0] * 1024], dtype=kind), len(first)
 
     def __getitem__(self, at):
-        return self.space[: self.n][at]
+        """Elements by their places, which have to be those of elements."""
+        return self.space[at]
+
+    @property
+    def last(self):
+        return self.space[self.n - 1]
+
+    @property
+    def whole(self) -> np.ndarray:
+        return self.space[: self.n]
 
     def __len__(self) -> int:
         return self.n
@@ -183,7 +192,7 @@ class Lattices:
         best = [x if c else alone for c, x in zip(new, pieces.model.encode([c.replace(SPACE, " ") for c in new], num_threads=1), strict=True)]
         sizes = np.fromiter(map(len, best), dtype=np.int64, count=len(best))
         self.best.add(np.fromiter(itertools.chain.from_iterable(best), dtype=np.int32, count=int(sizes.sum())))
-        self.best_at.add(self.best_at[-1] + np.cumsum(sizes))
+        self.best_at.add(self.best_at.last + np.cumsum(sizes))
         characters = np.frombuffer((SPACE + SPACE.join(new)).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
         ends = np.cumsum(lengths)
@@ -240,7 +249,7 @@ class Lattices:
         self.log_p.add(np.where(np.repeat(sizes, sizes) == 1, 0.0, np.log(np.maximum(p, 1e-300))))
         self.next.add(np.where(ended, -1, base + starts + long).astype(np.int32))
         self.arc_piece.add(piece)
-        self.first.add(self.first[-1] + np.cumsum(sizes))
+        self.first.add(self.first.last + np.cumsum(sizes))
 
     def numbers(self, found: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
@@ -307,26 +316,28 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     """
     start = lattices.start
     n = len(texts)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    offsets, flat = np.cumsum(lengths) - lengths, np.concatenate([*texts, np.zeros(0, np.int64)])
     drawn: list[list[Drawn]] = [[] for _ in range(n)]
     queues: list[list[list]] = [[] for _ in range(n)]  # for each text, for each segmentation: values of its parts
     firsts = -np.log(-np.log(uniform(seeds, 1)))
 
     def ways(jobs: list[tuple[int, int, int]], round_: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For jobs (text, node or -1, chunk): ways from the node to the end of the chunk's place and through all chunks behind."""
-        nodes, seed, cuts, places = [], [], [0], []
-        for d, node, chunk in jobs:
-            rest = texts[d][chunk + 1 :]
-            nodes.append(np.r_[node, start[rest]])
-            where = np.arange(chunk, len(texts[d]), dtype=np.int64)
-            places.append(where)
-            seed.append(mixed(seeds[d : d + 1] + GOLDEN * np.full(1, round_ + 2, np.uint64)) + (where + 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            cuts.append(cuts[-1] + len(nodes[-1]))
         if not jobs:
             return []
-        who, arcs = lattices.walk(np.concatenate(nodes), np.concatenate(seed))
-        place = np.concatenate(places)[who] if len(who) else who
-        at = np.searchsorted(who, cuts)
-        return [(arcs[a:b], place[a:b]) for a, b in zip(at[:-1], at[1:])]
+        own, nodes, chunk = (np.array(x, dtype=np.int64) for x in zip(*jobs))
+        sizes = lengths[own] - chunk
+        heads = np.cumsum(sizes) - sizes
+        job = np.repeat(np.arange(len(jobs)), sizes)
+        place = np.arange(int(sizes.sum())) - heads[job] + chunk[job]
+        at = start[flat[offsets[own][job] + place]]
+        at[heads] = nodes
+        seed = mixed(seeds[own] + GOLDEN * np.full(1, round_ + 2, np.uint64))[job] + (place + 2).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        who, arcs = lattices.walk(at, seed)
+        place = place[who]
+        cuts = np.searchsorted(who, [*heads.tolist(), len(job)]).tolist()
+        return [(arcs[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def parts(found: list[tuple[int, Drawn]], number: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For segmentations of texts the values of the parts left of their regions, at arcs from the branch on, and the log-probabilities before these arcs."""
@@ -354,7 +365,7 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
         return [(values[a:b], before[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def node_of(arc: int) -> int:
-        return int(np.searchsorted(lattices.first[:], arc, side="right")) - 1
+        return int(np.searchsorted(lattices.first.whole, arc, side="right")) - 1
 
     whole = [(d, int(start[t[0]]), 0) for d, t in enumerate(texts) if len(t)]
     for (d, _, _), (arcs, place) in zip(whole, ways(whole, 0), strict=True):
@@ -408,8 +419,13 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
     Lattices are built once for each distinct chunk (a word with the spaces in front) that a task meets, and about `kept_chunks` of them are
     kept, a kilobyte each; fewer take more time and give the same rows, and so do fewer chunks worked on `at_a_time`. The text's lattice is the chain of its chunks' lattices. Draws depend on `seed`, the row's key and the text alone, not on how rows are dealt out. decoded: from
     the library's encoding, which is the text for a model that keeps all bytes. Null and empty texts have no pieces and one segmentation, the empty one.
+    Keys are of any type; rows of one key and text draw alike, rows of one key draw from the same numbers, and null keys share one. Of equal chances the first in the lattice's order counts. A row gives a row, an
+    empty table none; other columns aren't looked at.
     """
-    def work(lattices: Lattices, keys: list, texts: list[str | None], parts: list[list[str]]):
+    kind = type_of(df, key)
+    own_key = F.col(key).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(F.col(key).cast("string"))
+
+    def work(lattices: Lattices, rows: pa.RecordBatch, keys: list, texts: list[str | None], parts: list[list[str]]):
         numbers = lattices.numbers(list(itertools.chain.from_iterable(parts)))
         cuts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(int)
         numbers = [numbers[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -420,27 +436,27 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
         drawn = pa.StructArray.from_arrays([lists([lattices.ids_of(x[0]) for x in flat]), *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))], fields=list(SAMPLE_TYPE.value_type))
         offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
         decoded = [None if t is None else lattices.pieces.decode(b.tolist()) for t, b in zip(texts, best, strict=True)]
-        return pa.record_batch([pa.array(keys, pa.int64()), lists(best), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
+        return pa.record_batch([rows.column(0), lists(best), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(pieces_of(model_path))
         for batch in batches:
-            keys, texts, parts, size = [], [], [], 0
-            for k, t in zip(rows_of(batch, "k"), rows_of(batch, "x"), strict=True):
+            first, keys, texts, parts, size = 0, [], [], [], 0
+            for k, t in zip(rows_of(batch, "h"), rows_of(batch, "x"), strict=True):
                 keys.append(k)
                 texts.append(t)
                 parts.append(chunks(t or ""))
                 size += len(parts[-1])
                 if size >= at_a_time:
-                    yield work(lattices, keys, texts, parts)
-                    keys, texts, parts, size = [], [], [], 0
+                    yield work(lattices, batch.slice(first, len(keys)), keys, texts, parts)
+                    first, keys, texts, parts, size = first + len(keys), [], [], [], 0
                     if len(lattices.known) > kept_chunks:
                         lattices.clear()
             if keys:
-                yield work(lattices, keys, texts, parts)
+                yield work(lattices, batch.slice(first, len(keys)), keys, texts, parts)
 
-    schema = f"k long, ids array<int>, samples {SAMPLE}, decoded string"
-    return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")), run, schema).withColumnRenamed("k", key)
+    schema = f"k {kind}, ids array<int>, samples {SAMPLE}, decoded string"
+    return map_batches(df.select(F.col(key).alias("k"), own_key.alias("h"), F.col(text).alias("x")), run, schema).withColumnRenamed("k", key)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -455,7 +471,7 @@ def decode(df: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids"
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([None if x is None else pieces.decode(x) for x in rows_of(batch, "i")], pa.string())], ["k", "text"])
 
-    return map_batches(df.select(F.col(key).cast("long").alias("k"), F.col(ids).alias("i")), run, "k long, text string").withColumnRenamed("k", key)
+    return map_batches(df.select(F.col(key).alias("k"), F.col(ids).alias("i")), run, f"k {type_of(df, key)}, text string").withColumnRenamed("k", key)
 
 
 def hash_key(key: int | None, seed: int) -> int:
@@ -464,11 +480,10 @@ def hash_key(key: int | None, seed: int) -> int:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: all documents by the 32k model; digests of the encoding and of two sampled segmentations, and whether decoding gives the text."""
+    """op2: all documents by the 32k model: the encoding, two sampled segmentations with their scores, and a digest of the decoded text."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
-    out = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     at = lambda i, f: F.get("samples", F.lit(i))[f]
-    columns = [c for i in range(SAMPLES) for c in (F.size(at(i, "ids")).cast("long").alias(f"n_sampled_{i + 1}"), F.xxhash64(at(i, "ids")).alias(f"sampled_{i + 1}"), at(i, "log_prob").alias(f"log_prob_{i + 1}"), at(i, "inclusion").alias(f"inclusion_{i + 1}"))]
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("encoded"), F.size("samples").cast("long").alias("n_samples"), *columns, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    columns = [at(i, f).alias(f"{name}_{i + 1}") for i in range(SAMPLES) for f, name in (("ids", "sampled"), ("log_prob", "log_prob"), ("inclusion", "inclusion"))]
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.size("samples").cast("long").alias("n_samples"), *columns, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -194,7 +194,8 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Voters are a fixed lexicon, patterns of style, and lexicons dealt from features that stand out among rows labelled 1; for these alone the labels are used. The label model (see LabelModel) estimates, without
     labels, how accurate the voters are and how they hang together, and gives each sampled row a posterior label; the linear classifier is trained on these.
     Of rows that are near copies of each other only one is used: else words of a text often copied would seem to tell something.
-    Rows labelled twice count once, as 1 if any label is 1. Without labels of both kinds all rows get the labels' average.
+    Rows labelled twice count once, as 1 if any label is 1; of several texts under one key the one whose features come first counts. Null keys, labels without a text and texts without a label are passed over. Without labels of both kinds all rows get the labels' average.
+    Keys are of any type; other columns, whatever they are called, aren't looked at.
     """
     df, labels = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), labels.select(F.col(key).alias(key), F.col(label).alias(label))
     crc = F.crc32(F.col(key).cast("string").cast("binary"))

@@ -90,3 +90,15 @@ def test_all_segmentations_of_a_small_text():
     rows = L.sample(lattices, [lattices.numbers(["of"])], np.array([7], dtype=np.uint64), 50)[0]
     assert {tuple(lattices.ids_of(a).tolist()) for a, *_ in rows} == every and len(rows) == len(every)
     assert all(q == 1 for *_, q in rows)
+
+
+def test_keys_of_any_type_and_small_steps(spark):
+    texts = ["one two three", "", None, "drei  vier\n", "één \U0001f600", "one two three"] + ["word " * 500]
+    as_text = spark.createDataFrame([(f"k{i}" if i else None, t, 1) for i, t in enumerate(texts)], "doc_id string, text string, ids int")
+    rows = lambda df, **more: sorted(str(r) for r in L.encode(df, PATH, **more).collect())
+    assert len(rows(as_text)) == len(texts) and rows(as_text) == rows(as_text.repartition(3), kept_chunks=1, at_a_time=2)
+    assert dict(L.encode(as_text, PATH).dtypes)["doc_id"] == "string" and L.encode(as_text.limit(0), PATH).count() == 0
+    short, long = (spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"doc_id {k}, text string") for k in ("smallint", "bigint"))
+    assert rows(short) == rows(long)
+    for r in L.encode(long, PATH).collect():
+        assert r.decoded == texts[r.doc_id] and all(L.pieces_of(PATH).decode(list(s.ids)) == (texts[r.doc_id] or "") for s in r.samples)
