@@ -66,7 +66,7 @@ def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") ->
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", digits: int = 9) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query by bm25(), scores rounded to `digits`, ties to the smaller document. Exact, without scoring what can't be among them.
+    """(query, doc, score, rank): the k best documents of each query by bm25(); of scores equal to `digits` digits the smaller document's comes first. Exact, without scoring what can't be among them.
 
     A token adds less than its weight, whatever the document. Documents are first scored by a query's rare tokens alone; if the k-th of these sums exceeds all that
     the common tokens could add, no document without a rare token can be among the best, and of the others only those whose sum comes within that bound of the k-th are scored in full. Common
@@ -88,7 +88,8 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id",
     scored = close.join(more, ["q", "d"], "left").select("q", "d", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
     left = weights.join(closed, "q", "left_anti")
     whole = postings.join(left, "token").groupBy("q", "d").agg(F.sum(worth).alias("score"))
-    return top_k(scored.unionByName(whole).withColumn("score", F.round("score", digits)), k, "q", "d").select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
+    best = top_k(scored.unionByName(whole).withColumn("rounded", F.round("score", digits)), k, "q", "d", "rounded")
+    return best.select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
 
 
 @dataclasses.dataclass

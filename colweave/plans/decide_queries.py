@@ -90,10 +90,10 @@ def target_metrics(spark, d):
     return out.select("c_custkey", "metric1", *(rounded(x).alias(x) for x in ("metric2", "metric2_max", "pct_metric2_pos", "metric2_frac")), "metric3", "metric4", "metric5")
 
 
-@C.add("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+@C.add("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def missing_annotations(spark, d):
     golden = table(spark, d, "events").select("user_id")
-    return E.missing_annotations(golden, table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), "user_id")
+    return E.missing_annotations(golden, table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id")
 
 
 @C.add(f"""WITH {_DECIDED}, {_SCORED.split("m AS (SELECT")[0].rstrip().rstrip(",")}, o AS (SELECT c_custkey, c_nationkey, rank, given = 'NOMATCH' AS none, g = 'NOMATCH' AS truth, CASE WHEN given = g THEN 1.5 ELSE 0 END AS m1, CASE WHEN given = g THEN 1.0 WHEN substr(given, 1, 1) = substr(g, 1, 1) THEN 0.5 ELSE 0 END AS m2 FROM r JOIN g USING (c_custkey))
