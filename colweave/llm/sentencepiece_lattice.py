@@ -258,10 +258,12 @@ class Lattices:
             self.known.new = []
         return out
 
-    def encoded(self, numbers: np.ndarray) -> np.ndarray:
-        """The library's pieces of chunks one behind the other."""
-        sizes = self.best_at[numbers + 1] - self.best_at[numbers]
-        return self.best[np.arange(int(sizes.sum())) + np.repeat(self.best_at[numbers] - np.cumsum(sizes) + sizes, sizes)]
+    def encoded(self, numbers: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's pieces of chunks one behind the other, and where those of the texts between the cuts begin and end."""
+        first = self.best_at[numbers]
+        sizes = self.best_at[numbers + 1] - first
+        ends = np.r_[0, np.cumsum(sizes)]
+        return self.best[np.arange(int(ends[-1])) + np.repeat(first - ends[:-1], sizes)], ends[cuts]
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random way from each node to its chunk's end: (which of the nodes, arc), in order."""
@@ -302,7 +304,7 @@ class Drawn:
     """A segmentation of a text: its arcs and the chunks they are in; from `branch` on it is new, where `banned` arcs are closed."""
 
     def __init__(self, arcs, chunk, perturbed, branch=0, banned=(), before=0.0):
-        self.arcs, self.chunk, self.perturbed, self.branch, self.banned, self.before = arcs, chunk, perturbed, branch, banned, before  # before: the log-probability up to the branch
+        self.arcs, self.chunk, self.perturbed, self.branch, self.banned, self.before, self.log_prob = arcs, chunk, perturbed, branch, banned, before, None  # before: the log-probability up to the branch
 
 
 def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -349,6 +351,7 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
         for a, b, (_, x) in zip(cuts[:-1].tolist(), cuts[1:].tolist(), found, strict=True):  # text by text, so that rounding doesn't depend on others
             before[a:b] = x.before
             before[a + 1 : b] += np.add.accumulate(log_p[a : b - 1])
+            x.log_prob = float(before[b - 1] + log_p[b - 1])
         left = -np.expm1(log_p)
         for at, (_, x) in zip(cuts.tolist(), found):
             if x.banned:
@@ -406,7 +409,7 @@ def sample(lattices: Lattices, texts: list[np.ndarray], seeds: np.ndarray, k: in
     for d in range(n):
         rows = []
         for x in drawn[d][:k]:
-            log_prob = float(lattices.log_p[x.arcs].sum())
+            log_prob = float(lattices.log_p[x.arcs].sum()) if x.log_prob is None else x.log_prob
             inclusion = 1.0 if thresholds[d] == -np.inf else float(-np.expm1(-np.exp(min(50.0, log_prob - thresholds[d]))))
             rows.append((x.arcs, log_prob, x.perturbed, inclusion))
         out.append(rows)
@@ -426,17 +429,17 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
     own_key = F.col(key).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(F.col(key).cast("string"))
 
     def work(lattices: Lattices, rows: pa.RecordBatch, keys: list, texts: list[str | None], parts: list[list[str]]):
-        numbers = lattices.numbers(list(itertools.chain.from_iterable(parts)))
+        every = lattices.numbers(list(itertools.chain.from_iterable(parts)))
         cuts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(int)
-        numbers = [numbers[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        best = [lattices.encoded(t) for t in numbers]
+        best, ends = lattices.encoded(every, cuts)
         own = np.array([hash_key(k, seed) for k in keys], dtype=np.uint64)
-        found = sample(lattices, numbers, own, samples) if samples else [[] for _ in keys]
+        found = sample(lattices, [every[a:b] for a, b in zip(cuts[:-1], cuts[1:])], own, samples) if samples else [[] for _ in keys]
         flat = [x for rows in found for x in rows]
-        drawn = pa.StructArray.from_arrays([lists([lattices.ids_of(x[0]) for x in flat]), *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))], fields=list(SAMPLE_TYPE.value_type))
+        drawn = pa.StructArray.from_arrays([segmentations(lattices, [x[0] for x in flat]), *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))], fields=list(SAMPLE_TYPE.value_type))
         offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        decoded = [None if t is None else lattices.pieces.decode(b.tolist()) for t, b in zip(texts, best, strict=True)]
-        return pa.record_batch([rows.column(0), lists(best), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
+        at = ends.tolist()
+        decoded = [None if t is None else lattices.pieces.decode(best[a:b].tolist()) for t, a, b in zip(texts, at[:-1], at[1:], strict=True)]
+        return pa.record_batch([rows.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(best.astype(np.int32))), pa.ListArray.from_arrays(offsets, drawn, type=SAMPLE_TYPE), pa.array(decoded, pa.string())], ["k", "ids", "samples", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(pieces_of(model_path))
@@ -459,6 +462,15 @@ def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "tex
     return map_batches(df.select(F.col(key).alias("k"), own_key.alias("h"), F.col(text).alias("x")), run, schema).withColumnRenamed("k", key)
 
 
+def segmentations(lattices: Lattices, arcs: list[np.ndarray]) -> pa.ListArray:
+    """Pieces' ids of segmentations, all at once unless characters of several bytes are spelt."""
+    every = np.concatenate([*arcs, np.zeros(0, np.int64)]).astype(np.int64)
+    ids = lattices.ids_of(every)
+    if len(ids) != len(every):
+        return lists([lattices.ids_of(x) for x in arcs])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arcs)]), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32)))
 
@@ -480,10 +492,10 @@ def hash_key(key: int | None, seed: int) -> int:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: all documents by the 32k model: the encoding, two sampled segmentations with their scores, and a digest of the decoded text."""
+    """op2: all documents by the 32k model: the encoding, digests of two sampled segmentations with their scores, and a digest of the decoded text."""
     import public_tokenizers
 
     out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     at = lambda i, f: F.get("samples", F.lit(i))[f]
-    columns = [at(i, f).alias(f"{name}_{i + 1}") for i in range(SAMPLES) for f, name in (("ids", "sampled"), ("log_prob", "log_prob"), ("inclusion", "inclusion"))]
+    columns = [c for i in range(SAMPLES) for c in (F.size(at(i, "ids")).cast("long").alias(f"n_sampled_{i + 1}"), F.xxhash64(at(i, "ids")).alias(f"sampled_{i + 1}"), at(i, "log_prob").alias(f"log_prob_{i + 1}"), at(i, "inclusion").alias(f"inclusion_{i + 1}"))]
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.size("samples").cast("long").alias("n_samples"), *columns, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
