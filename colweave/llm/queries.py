@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colweave.llm import decontamination, html_text, language, licenses, range_join, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
+from colweave.llm import decontamination, fill_in_middle, html_text, language, licenses, range_join, sentencepiece_lattice, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_license_scans": licenses.query,
+    "op12_fill_in_middle": fill_in_middle.query,
 }
 ORACLES = {
     "op3_benchmark_decontamination": decontamination.ORACLE,
     "op6_embedding_near_dedup": range_join.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
