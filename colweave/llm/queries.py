@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colweave.llm import decontamination, fill_in_middle, html_text, language, licenses, range_join, sentencepiece_lattice, sharding, simhash, token_counts, toxicity, whitening
+from colweave.llm import decontamination, fill_in_middle, html_text, language, licenses, range_join, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_license_scans": licenses.query,
+    "op11_suffix_array_dedup": suffix_dedup.query,
     "op12_fill_in_middle": fill_in_middle.query,
     "op13_embedding_whitening": whitening.query,
 }
