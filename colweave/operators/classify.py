@@ -16,6 +16,8 @@ from colweave.operators import graph as G
 from colweave.operators import models as M
 from colweave.operators.decompose import decompose
 from colweave.operators.search import Index, best_of_strings
+from colweave.sources.files import write_submissions
+from colweave.sources.sheets import read_sheets
 from colweave.storage import saved
 
 COLUMN = ["sheet", "col_no"]
@@ -25,8 +27,13 @@ NAME_FEATURES = list(dict.fromkeys(p.feature for p in G.PATHS))
 FEATURES = ["secondary_search", *NAME_FEATURES, "enum_concept_search", "enum_answer_search", "answer_count_score", "value_score"]
 
 
-def columns_and_cells(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(sheet, col_no, header) of all columns, also of tables without rows, and (sheet, col_no, value) of their cells."""
+def columns_and_cells(tables: dict[str, DataFrame] | str, spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sheet, col_no, header) of all columns, also of tables without rows, and (sheet, col_no, value) of their cells.
+
+    tables: a folder of files, which are read in one scan however many they are; or a few DataFrames by name, each a branch of the plan.
+    """
+    if isinstance(tables, str):
+        return read_sheets(spark or SparkSession.active(), tables)
     spark = next(iter(tables.values())).sparkSession
     columns = spark.createDataFrame([(s, i + 1, c) for s, df in sorted(tables.items()) for i, c in enumerate(df.columns)], "sheet string, col_no int, header string")
     cells = None
@@ -171,6 +178,12 @@ def classify_sheets(columns: DataFrame, cells: DataFrame, graph: G.Graph, names:
     return D.submission(results_of(decided, cells, graph, names, answers))
 
 
+def classify_folder(spark: SparkSession, folder: str, to: str, graph: G.Graph, names: Index, answers: Index, nomatch: Callable[[DataFrame], DataFrame], estimate: Callable[[DataFrame], DataFrame]) -> None:
+    """A submission file for each sheet of a folder, all of them read, classified and written in one run."""
+    columns, cells = map(saved, columns_and_cells(folder, spark))
+    write_submissions(classify_sheets(columns, cells, graph, names, answers, nomatch, estimate), to)
+
+
 def model_functions(nomatch_model, value_model) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
     """Two fitted pipelines (models.logistic on NOMATCH_COLUMNS, models.ridge on VALUE_COLUMNS) as what decide_columns() takes."""
     from pyspark.ml.functions import vector_to_array

@@ -11,7 +11,8 @@ from colweave.operators import graph as G
 from colweave.operators import models as M
 from colweave.plans.base import Catalogue, rounded, table
 from colweave.plans.text_queries import _NORM
-from colweave.storage import shared_folder
+from colweave.sources.sheets import read_sheets
+from colweave.storage import at_end, delete, shared_folder
 
 C = Catalogue()
 TYPES = ("Integer", "CHARACTER", "BOOLEAN", "NUMBER", "no such type")
@@ -258,4 +259,34 @@ def matched_values(spark, d):
     return D.matched_share(classes, ["g", "target"]).select("g", F.col("target").alias("cde_id"), rounded("share").alias("share"))
 
 
+def written_sheets(spark, d):
+    """Parts as sheets in files, one for each brand, half of them with tabs: names are quoted, two to a field with a line end between, a heading stands twice and one is empty; brands differ in width."""
+    part, lit, c = table(spark, d, "part"), F.lit, F.col
+    tabs = F.substring("p_brand", -1, 1).isin("1", "3")
+    wide = F.substring("p_brand", -2, 1) == "2"
+    sep = F.when(tabs, "\t").otherwise(",")
+    more = lambda a, b: F.when(wide, F.concat(a, sep, b)).otherwise(lit(""))
+    head = F.concat(lit("partKey"), sep, lit("p_name"), sep, lit('"size"""'), sep, lit("p_name"), more(lit(""), lit("")), more(lit(""), lit("price")))
+    body = F.concat("p_partkey", sep, lit('"'), "p_name", lit("\n"), "p_type", lit('"'), sep, F.when(c("p_size") % 4 == 0, "NA").otherwise(c("p_size").cast("string")), sep, F.when(c("p_size") % 3 == 0, F.concat(lit('"'), "p_type", lit(',\t"""'))).otherwise(c("p_type")), more(lit(""), lit("")), more(lit(""), F.format_string("%.2f", "p_retailprice")))
+    rows = part.select("p_brand", sep.alias("sep"), F.explode(F.array(F.struct(lit(0).alias("no"), head.alias("value")), F.struct(c("p_partkey").alias("no"), body.alias("value")))).alias("r")).select("p_brand", tabs.alias("tabs"), "r.*").distinct()
+    rows = rows.withColumn("name", F.concat("p_brand", F.when(c("tabs"), ".tsv").otherwise(".csv"))).repartition("name").sortWithinPartitions("name", "no").select("name", "value")
+    folder = f"{shared_folder(spark)}/sheets/{uuid.uuid4().hex}"
+    rows.write.partitionBy("name").text(folder)
+    at_end(lambda: delete(spark, folder))
+    return folder
+
+
+@C.add("""WITH p AS (SELECT *, right(p_brand, 1) IN ('1', '3') AS tabs, substr(p_brand, -2, 1) = '2' AS wide FROM part),
+v AS (SELECT p_brand, tabs, unnest([{'no': 1, 'h': 'partKey', 'v': CAST(p_partkey AS VARCHAR)}, {'no': 2, 'h': 'p_name', 'v': p_name || chr(10) || p_type}, {'no': 3, 'h': 'size"', 'v': CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS VARCHAR) END}, {'no': 4, 'h': 'p_name.1', 'v': p_type || CASE WHEN p_size % 3 = 0 THEN ',' || chr(9) || '"' ELSE '' END},
+  {'no': 5, 'h': CASE WHEN wide THEN 'Unnamed: 4' END, 'v': NULL}, {'no': 6, 'h': CASE WHEN wide THEN 'price' END, 'v': printf('%.2f', p_retailprice)}]) AS x FROM p)
+SELECT p_brand || CASE WHEN tabs THEN '.tsv' ELSE '.csv' END AS sheet, CAST(x.no AS INTEGER) AS col_no, x.h AS header, count(x.v) AS n_values, count(DISTINCT x.v) AS n_distinct, md5(coalesce(string_agg(x.v, '|' ORDER BY x.v), '')) AS digest FROM v WHERE x.h IS NOT NULL GROUP BY ALL""")
+def folder_sheets(spark, d):
+    """All sheets of a folder in one scan: their columns, and counts and digests of their cells."""
+    sheet = F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/name=([^/]+)/", 1)))  # a folder's name in a path
+    columns, cells = read_sheets(spark, written_sheets(spark, d), sheet)
+    own = cells.where("value IS NOT NULL").groupBy("sheet", "col_no").agg(F.count("*").alias("n_values"), F.count_distinct("value").alias("n_distinct"), F.md5(F.array_join(F.array_sort(F.collect_list("value")), "|").cast("binary")).alias("digest"))
+    out = columns.join(own, ["sheet", "col_no"], "left").na.fill(0, ["n_values", "n_distinct"])
+    return out.withColumn("digest", F.coalesce("digest", F.md5(F.lit("").cast("binary"))))
+
+
 QUERIES, ORACLES = C.queries, C.oracles

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colweave.storage import exists
 
@@ -45,21 +47,29 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_submissions(columns: DataFrame, folder: str) -> None:
-    """(sheet, columns) as one file <base>-Submission.json for each sheet; keys with null stay. Files are written by the tasks, a name of its own each, and put in place whole."""
+    """(sheet, columns) as one file <base>-Submission.json for each sheet; keys with null stay. Files are written by the tasks, a name of its own each, and put in place whole.
+
+    base is the sheet's name without its extension, which sheets that differ by nothing else keep: a.csv and a.tsv give two files.
+    """
     spark = columns.sparkSession
-    named = columns.select(F.regexp_replace("sheet", "(?i)[.](csv|tsv)$", "").alias("base"), F.to_json(F.struct("columns"), {"ignoreNullFields": "false"}).alias("value"))
+    base = F.regexp_replace("sheet", "(?i)[.](csv|tsv)$", "")
+    alone = F.count("*").over(Window.partitionBy(F.lower(base))) == 1  # a row for each sheet; some stores don't tell cases apart
+    named = columns.select(F.when(alone, base).otherwise(F.col("sheet")).alias("base"), F.to_json(F.struct("columns"), {"ignoreNullFields": "false"}).alias("value"))
     parts = f"{folder}/_parts"
     named.write.mode("overwrite").partitionBy("base").text(parts)
     fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = fs_of.Path(parts)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for sheet in fs.listStatus(root):
-        name = sheet.getPath().getName()
-        if name.startswith("base="):
-            part = next(f.getPath() for f in fs.listStatus(sheet.getPath()) if f.getPath().getName().startswith("part-"))
-            target = fs_of.Path(f"{folder}/{unquote(name.removeprefix('base='))}-Submission.json")
-            fs.delete(target, False)
-            fs.rename(part, target)
+
+    def put(sheet) -> None:
+        part = next(f.getPath() for f in fs.listStatus(sheet) if f.getPath().getName().startswith("part-"))
+        target = fs_of.Path(f"{folder}/{unquote(sheet.getName().removeprefix('base='))}-Submission.json")
+        fs.delete(target, False)
+        fs.rename(part, target)
+
+    with ThreadPoolExecutor(16) as pool:
+        for done in [pool.submit(put, f.getPath()) for f in fs.listStatus(root) if f.getPath().getName().startswith("base=")]:
+            done.result()
     fs.delete(root, True)
 
 
