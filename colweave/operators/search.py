@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colweave.functions.text import tokens
+from colweave.operators import blocks
 from colweave.storage import saved
 
 K1, B = 1.2, 0.75
-#: Share of documents up to which a token counts as rare when only the best documents are wanted.
-RARE = 0.3
 #: Folders that a stored index's tokens are dealt into by hash; a search reads those of its tokens.
 PARTS = 64
 #: Letters of a dictionary word by which texts that may hold it are found.
@@ -33,30 +32,13 @@ def asked_tokens(queries: DataFrame, query: str, query_text: str) -> DataFrame:
     return queries.select(F.col(query).alias("q"), F.explode(tokens(query_text)).alias("token")).groupBy("q", "token").agg(F.count("*").alias("qtf"))
 
 
-def asked_postings(docs: DataFrame, asked: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (token, d, dl, tf) of tokens that a query asks for, and the corpus's size and mean length in one row."""
-    with_tokens = docs.select(F.col(doc).alias("d"), tokens(text).alias("ts")).withColumn("dl", F.size("ts").cast("double"))
-    corpus = with_tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return with_tokens.select("d", "dl", F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "d", "dl").agg(F.count("*").cast("double").alias("tf")), corpus
-
-
-def weighed(asked: DataFrame, postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(q, token, w, avgdl): what a token is worth to a query at most."""
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    return asked.join(df, "token").crossJoin(F.broadcast(corpus)).select("q", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "df", "n", "avgdl")  # corpus: one row
-
-
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """(query, doc, score) of every pair with a token in common.
 
     score = sum over the query's tokens of ln(1 + (N - df + 0.5) / (df + 0.5)) tf / (tf + k1 (1 - b + b dl / avgdl)); lengths are not
-    quantised. Lengths need no shuffle; only tokens that a query asks for are exploded into postings, which are summed
-    on the map side; pairs are summed the same way. Adaptive execution splits the postings of very common tokens.
+    quantised. Texts are inverted block by block and scored where they lie (see blocks.search()): neither postings nor pairs are shuffled.
     """
-    asked = asked_tokens(queries, query, query_text)
-    postings, corpus = asked_postings(docs, asked, doc, text)
-    part = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return postings.join(weighed(asked, postings, corpus), "token").groupBy("q", "d").agg(F.sum(part).alias("score")).select(F.col("q").alias(query), F.col("d").alias(doc), "score")
+    return blocks.search(saved(blocks.build(docs, doc, text)), queries, query, query_text).withColumnRenamed("id", doc)
 
 
 def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") -> DataFrame:
@@ -65,31 +47,9 @@ def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") ->
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", digits: int = 9) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query by bm25(); of scores equal to `digits` digits the smaller document's comes first. Exact, without scoring what can't be among them.
-
-    A token adds less than its weight, whatever the document. Documents are first scored by a query's rare tokens alone; if the k-th of these sums exceeds all that
-    the common tokens could add, no document without a rare token can be among the best, and of the others only those whose sum comes within that bound of the k-th are scored in full. Common
-    tokens, whose postings are most of an index, are so looked up for a few documents only. Queries for which that doesn't hold are scored whole.
-    """
-    asked = saved(asked_tokens(queries, query, query_text))
-    postings, corpus = asked_postings(docs, asked, doc, text)
-    postings = saved(postings)
-    weights = saved(weighed(asked, postings, corpus))
-    worth = F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    rare = F.col("df") <= RARE * F.col("n")
-    part = saved(postings.join(weights.where(rare), "token").groupBy("q", "d").agg(F.sum(worth).alias("part")))
-    kth = part.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part")))).where(F.col("r") == k).select("q", F.col("part").alias("kth"))
-    bound = weights.where(~rare).groupBy("q").agg(F.sum("w").alias("bound"))
-    closed = saved(kth.join(bound, "q", "left").na.fill(0.0, ["bound"]).where("kth > bound"))
-    close = part.join(F.broadcast(closed), "q").where(F.col("part") + F.col("bound") >= F.col("kth") - 10.0**-digits).select("q", "d", "part")  # a row for each query
-    common = postings.join(weights.where(~rare).select("token").distinct(), "token", "left_semi").join(close.select("d").distinct(), "d", "left_semi")
-    more = common.join(weights.where(~rare), "token").groupBy("q", "d").agg(F.sum(worth).alias("more"))
-    scored = close.join(more, ["q", "d"], "left").select("q", "d", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    left = weights.join(closed, "q", "left_anti")
-    whole = postings.join(left, "token").groupBy("q", "d").agg(F.sum(worth).alias("score"))
-    best = top_k(scored.unionByName(whole).withColumn("rounded", F.round("score", digits)), k, "q", "d", "rounded")
-    return best.select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text") -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query by bm25(); of scores equal to nine digits the smaller document's comes first. Exact, without scoring blocks that can't hold one of them."""
+    return blocks.search(saved(blocks.build(docs, doc, text)), queries, query, query_text, k).withColumnRenamed("id", doc)
 
 
 @dataclasses.dataclass
