@@ -147,7 +147,7 @@ def contained_words(texts: DataFrame, words: DataFrame, key: str, text: str, wor
     grams = w.select("w", F.explode(F.array_distinct(F.when(F.length("w") < GRAM, F.array("w")).otherwise(pieces("w", GRAM)))).alias("g"))
     common = grams.groupBy("g").agg(F.count("*").alias("n"))
     rarest = grams.join(common, "g").groupBy("w").agg(F.min(F.struct("n", "g")).alias("m")).select("w", F.col("m.g").alias("g"))
-    lower = texts.select(F.col(key), F.lower(text).alias("t")).where("t <> ''").withColumn("h", F.sha2("t", 256))
+    lower = texts.select(F.col(key).alias("k"), F.lower(text).alias("t")).where("t <> ''").withColumn("h", F.sha2("t", 256))
     every = F.array_distinct(F.flatten(F.array(*(F.when(F.length("t") >= n, pieces("t", n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))))
     candidates = lower.dropDuplicates(["h"]).select("h", F.explode(every).alias("g")).join(rarest, "g").select("h", "w")
-    return lower.join(candidates, "h").where(F.expr("contains(t, w)")).select(key, F.col("w").alias(word))
+    return lower.join(candidates, "h").where(F.expr("contains(t, w)")).select(F.col("k").alias(key), F.col("w").alias(word))

@@ -82,13 +82,40 @@ def string_profile(spark, d):
     return table(spark, d, "part").select("p_partkey", X.shortest_word("p_name").cast("long").alias("shortest"), X.observed("p_size").alias("observed"), X.concept_reference("p_brand").alias("reference"), rounded(X.segmentation_score("p_name", "p_name", "p_name")).alias("seg_score"), rounded(X.exp_target(F.col("p_size") / 50)).alias("target"), rounded(X.log_target(F.col("p_size") / 50)).alias("log_target"), rounded(X.tan_target(F.col("p_size") / 50)).alias("tan_target"))
 
 
-@C.add()
+def segmentations_sql(strings: str, words: str) -> str:
+    """Named parts of a recursive WITH clause down to best(t, segments, score, rank), from strings (t) without spaces and words (w), both in lower case: all maximal segmentations, one place after another."""
+    return f"""strings_ AS ({strings}), words_ AS ({words}), fit AS (SELECT t, w FROM strings_ JOIN words_ ON contains(t, w) AND length(w) >= greatest(floor(sqrt(length(t) / 2)), 3)),
+place AS (SELECT t, a, a + length(w) AS b, w FROM (SELECT t, w, unnest(range(1, length(t) - length(w) + 2)) AS a FROM fit) WHERE substr(t, a, length(w)) = w),
+starts AS (SELECT DISTINCT t, a FROM place UNION SELECT DISTINCT t, length(t) + 1 FROM fit), froms AS (SELECT t, 1 AS i FROM (SELECT DISTINCT t FROM fit) UNION SELECT DISTINCT t, b FROM place),
+gap AS (SELECT f.t, i, s.a AS j FROM froms f JOIN starts s ON s.t = f.t AND s.a > i WHERE s.a <= coalesce((SELECT min(b) - 1 FROM place p WHERE p.t = f.t AND p.a >= i), s.a)),
+seg AS (SELECT t, 1 AS pos, true AS word, '' AS full_, 0 AS covered, 0 AS m FROM (SELECT DISTINCT t FROM fit) UNION ALL
+  SELECT * FROM (SELECT seg.t, b, true, full_ || ' ' || w, covered + length(w), m + 1 FROM seg JOIN place ON place.t = seg.t AND a = pos UNION ALL SELECT seg.t, j, false, full_ || ' ' || substr(seg.t, pos, j - pos), covered, m + 1 FROM seg JOIN gap ON gap.t = seg.t AND i = pos WHERE word)),
+whole AS (SELECT DISTINCT t, trim(full_) AS segments, covered / length(t) * (1 - m / length(t)) AS score FROM seg WHERE pos = length(t) + 1 AND covered > 0 AND m < length(t)),
+best AS (SELECT * FROM (SELECT t, segments, score, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, segments) AS rank FROM whole) WHERE rank <= 3)"""
+
+
+_WORDS = "SELECT DISTINCT w FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS w FROM part UNION SELECT lower(p_type) FROM part) WHERE w <> ''"
+
+
+@C.add(f"""WITH RECURSIVE {segmentations_sql("SELECT DISTINCT lower(replace(p_name, ' ', '')) AS t FROM part", _WORDS)}
+SELECT id, segments, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT DISTINCT replace(p_name, ' ', '') AS id FROM part) JOIN best ON t = lower(id)""")
 def decompose_strings(spark, d):
-    """Run-together part names cut at words of part names and types; brute-force tests stand in for SQL."""
+    """Run-together part names cut at words of part names and types."""
     part = table(spark, d, "part")
     strings = part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("text")).distinct().select(F.col("text").alias("id"), "text")
     words = part.select(F.explode(F.split("p_name", " ")).alias("word")).unionAll(part.select(F.lower("p_type"))).distinct()
     return decompose(strings, words).select("id", "segments", rounded("score").alias("score"), "rank")
 
 
+@C.add(f"""WITH RECURSIVE {segmentations_sql("SELECT DISTINCT lower(p_type || replace(p_name, ' ', '') || p_type) AS t FROM part WHERE p_size % 5 = 0", "SELECT DISTINCT w FROM (SELECT lower(unnest([p_type[1:4], p_type[3:6], p_type[2:], p_name[1:3], p_name[2:5], split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)])) AS w FROM part) WHERE w <> ''")}
+SELECT t, segments, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best""")
+def decompose_overlapping(spark, d):
+    """Longer run-together strings whose words overlap: pieces of types and of names."""
+    part = table(spark, d, "part")
+    strings = part.where("p_size % 5 = 0").select(F.lower(F.concat("p_type", F.replace("p_name", F.lit(" "), F.lit("")), "p_type")).alias("t")).distinct()
+    pieces = F.array(*(F.expr(e) for e in ("substr(p_type, 1, 4)", "substr(p_type, 3, 4)", "substr(p_type, 2)", "substr(p_name, 1, 3)", "substr(p_name, 2, 4)", "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)")))
+    words = part.select(F.explode(pieces).alias("word")).distinct()
+    return decompose(strings, words, "t", "t").select("t", "segments", rounded("score").alias("score"), "rank")
+
+
 QUERIES, ORACLES = C.queries, C.oracles

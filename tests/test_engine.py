@@ -1,9 +1,9 @@
 """Operators on hand-made fixtures with expectations worked out by hand (FIXTURES.md, part C)."""
 
-import itertools
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,23 +98,34 @@ def test_values(spark):
 
 def test_decomposition(spark):
     words = ["survival", "time", "days", "day"]
-    assert P.exclusive_groups("survivaltimeindays", words) == [(0, 1, 2), (0, 1, 3)]
-    for seed in range(60):  # against all sets that can be cut out one word after another
+    for seed in range(300):  # against all maximal segmentations, one after another
         rng = random.Random(seed)
-        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
-        few = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 4))) for _ in range(6)} - {" ", "  ", "   "}, key=lambda w: (-len(w), w))
-
-        def fits(group, text=text, few=few):
-            for i in group:
-                if few[i] not in text:
-                    return False
-                text = text.replace(few[i], " ")
-            return True
-
-        every = [g for n in range(1, len(few) + 1) for g in itertools.combinations(range(len(few)), n) if fits(g)]
-        assert P.exclusive_groups(text, few) == sorted(g for g in every if not any(set(g) < set(h) for h in every))
-    many = [a + b for a in "abcdefgh" for b in "uvwxyz"]
-    assert P.exclusive_groups("-".join(many), many) == [tuple(range(48))]
+        text = "".join(rng.choice("abc  ") for _ in range(rng.randrange(1, 13)))
+        few = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 4))).strip() for _ in range(6)} - {""})
+        spots, every = P.places(text, few), {}
+
+        def walk(at, parts, gap, text=text, spots=spots, every=every):
+            if at == len(text):
+                full = " ".join(p.strip(" ") for p, _ in parts if p.strip(" "))
+                covered = sum(len(p.replace(" ", "")) for p, known in parts if known)
+                every[full] = max(every.get(full, 0), covered / len(text) * (1 - (full.count(" ") + 1) / len(text)))
+                return
+            for a, b in spots:
+                if a == at:
+                    walk(b, [*parts, (text[a:b], True)], False)
+            if not gap:
+                for to in range(at + 1, len(text) + 1):
+                    if not any(at <= a and b <= to for a, b in spots):
+                        walk(to, [*parts, (text[at:to], False)], True)
+
+        walk(0, [], False)
+        want = sorted(((-round(v, 9), k) for k, v in every.items() if v > 0))[:3]
+        assert [(-round(v, 9), k) for k, _, v in P.best_segmentations(text, few)] == want, (text, few)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    many, began = sorted({(alphabet * 2)[i : i + k] for i in range(26) for k in range(3, 11)}), time.perf_counter()
+    assert len(many) >= 200 and P.best_segmentations(alphabet * 2, many)[0][2] > 0.8 and time.perf_counter() - began < 0.5
+    text = "".join(rng.choice("ab") for _ in range(400))
+    assert len(P.best_segmentations(text, ["aba", "bab", "abab", "bb", "aab"])) == 3
     strings = spark.createDataFrame([("s", "survivaltimeindays"), ("e", ""), ("n", None)], "id string, text string")
     out = P.decompose(strings, spark.createDataFrame([(w,) for w in words], "word string")).orderBy("rank").collect()
     assert [(r.id, r.segments, round(r.score, 6)) for r in out] == [("s", "survival time in days", 0.691358), ("s", "survival time in day s", 0.601852)]
