@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from colweave.functions.text import tokens
-from colweave.storage import broadcast, delete, exists, saved
+from colweave.storage import broadcast, delete, exists, map_batches, saved
 
 K1, B = 1.2, 0.75
 #: Texts and tokens of a block at most (one longer text is a block by itself).
@@ -25,14 +25,6 @@ BLOCK_TEXTS, BLOCK_TOKENS = 256, 1 << 16
 ASKED, HELD = 200_000, 1 << 21
 #: Ties: scores that are equal to so many digits.
 DIGITS = 9
-#: Bytes of a batch of rows that goes to a worker; a session's own setting is left alone.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "268435456", 8 << 20
-
-
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    if df.sparkSession.conf.get(BATCH_SETTING, None) in (None, BATCH_DEFAULT):
-        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
 
 
 def idf(n, df):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.text import shortest_word
 from colweave.operators.search import contained_words
+from colweave.storage import map_batches
 
 #: Scores that are equal to so many digits are ties.
 DIGITS = 9
@@ -95,5 +96,5 @@ def decompose(strings: DataFrame, dictionary: DataFrame, key: str = "id", text:
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32()))], ["t", "segments", "words", "score", "rank"])
 
-    parts = grouped.mapInArrow(cut, "t string, segments string, words string, score double, rank int")
+    parts = map_batches(grouped, cut, "t string, segments string, words string, score double, rank int")
     return lower.join(parts, "t").select(F.col("k").alias(key), "segments", "score", "rank").distinct()

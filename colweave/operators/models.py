@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colweave.operators import moments as N
 
 #: What the two models see of a column and of a candidate.
 NOMATCH_COLUMNS = ["max_syn_propmax", "max_enum_concept_search", "pct_syn_propsum", "pct_secondary_search", "logn", "c6", "c7"]
@@ -47,21 +48,24 @@ def without(df: DataFrame, known_bad: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(known_bad.select(*keys).distinct(), keys, "left_anti")
 
 
-def ranking_metric(df: DataFrame, group: list[str], estimate: str, order: list[str]) -> DataFrame:
-    """(score): the mean over groups of the best of the three rows with the highest estimates, later ones counting less."""
-    i = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(estimate), *order)) - 1
+def ranking_metric(df: DataFrame, group: list[str], estimate: str, order: list[str], by: str | None = None) -> DataFrame:
+    """(score), or (by, score) of each value of a column: the mean over groups of the best of the three rows with the highest estimates, later ones counting less."""
+    own = [by] if by else []
+    i = F.row_number().over(Window.partitionBy(*own, *group).orderBy(F.desc(estimate), *order)) - 1
     ranked = df.withColumn("__i", i).where("__i < 3")
-    each = ranked.groupBy(*group).agg(F.max((1 + (2 - F.col("__i")) / 1.5) * F.col("metric1") + (3 - F.col("__i")) * F.col("metric2")).alias("m"))
-    return each.agg(F.avg("m").alias("score"))
+    each = ranked.groupBy(*own, *group).agg(F.max((1 + (2 - F.col("__i")) / 1.5) * F.col("metric1") + (3 - F.col("__i")) * F.col("metric2")).alias("m"))
+    return each.groupBy(*own).agg(F.avg("m").alias("score"))
 
 
 def alpha_grid(train: DataFrame, test: DataFrame, columns: list[str], label: str, group: list[str], order: list[str], alphas: list[float], weight: str | None = None) -> list[tuple[float, float]]:
-    """(alpha, ranking metric on the test rows) of ridge models, best first; equal ones by the larger alpha."""
-    out = []
-    for alpha in alphas:
-        scored = ridge(train, columns, label, alpha, weight).fit(train).transform(test)
-        out.append((alpha, ranking_metric(scored, group, "prediction", order).first()[0] or 0.0))
-    return sorted(out, key=lambda x: (-x[1], -x[0]))
+    """(alpha, ranking metric on the test rows) of ridge models, best first; equal ones by the larger alpha. One scan of the training rows and one of the test rows, for all penalties; estimates that are equal to nine digits are ties."""
+    found = N.moments(train, columns, label, weight).get(0)
+    if found is None:
+        return []
+    estimates = F.array(*(F.struct(F.lit(i).alias("i"), F.round(m.predict(columns), 9).alias("e")) for i, m in enumerate(N.ridge(found, alphas))))
+    scored = test.withColumn("__m", F.explode(estimates)).withColumns({"__alpha": F.col("__m.i"), "__estimate": F.col("__m.e")})
+    scores = {r["__alpha"]: r.score for r in ranking_metric(scored, group, "__estimate", order, "__alpha").collect()}
+    return sorted(((a, scores.get(i) or 0.0) for i, a in enumerate(alphas)), key=lambda x: (-x[1], -x[0]))
 
 
 def polynomial(columns: list[str], output: str = "features", degree: int = 2) -> list:

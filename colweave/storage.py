@@ -8,9 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows that goes to a worker; a session's own setting is left alone.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "268435456", 8 << 20
+
 #: What the scopes that are open now undo at their end, the innermost last.
 _open: list[list[Callable[[], None]]] = []
 
@@ -49,6 +53,13 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
     return shared
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded size: ten thousand rows may be gigabytes."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) in (None, BATCH_DEFAULT):
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, survives a lost executor, and gives the planner exact sizes."""
     path = path or f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
