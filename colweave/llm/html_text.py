@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,22 +15,27 @@ from pyspark.sql import functions as F
 
 from colweave.llm.common import map_batches, rows_of, table, type_of
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+|[\"'])*+)>", re.S)
+#: What ends or changes a run of plain characters within a tag; where a tag's name ends; where a comment ends.
+SPECIAL = re.compile(r"[>\"'=]")
+NAME_ENDS = re.compile(r"[\s/>]")
+COMMENT_ENDS = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
-STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+STYLE = re.compile(r"<style\b[^<>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I)
 SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
 #: Characters that a page doesn't show where no line is broken.
 UNSHOWN = {0xAD: None, 0x200B: None}
 
+#: Columns that indents take at most, and that a cell keeps free for those beside it in other rows: else a few deep lists, or one long cell, would fill pages with spaces.
+DEEPEST, WIDEST = 80, 400
+
 # Fixed values of the HTML standard, by name.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
 TEXT_ONLY = set("textarea title".split())
-UNSEEN = set("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg annotation annotation-xml area base link meta param source track".split())
+UNSEEN = set("head title script style template rp noscript iframe noembed noframes datalist object audio video canvas svg annotation annotation-xml area base link meta param source track".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre listing plaintext xmp table figure fieldset form hr".split())
 BLOCK = SPACED | set("html body div section article aside nav header footer main address details summary figcaption legend li dt dd center dir hgroup search option optgroup caption".split())
 ENDS_P = (BLOCK - {"option", "optgroup", "legend", "caption", "html", "body"}) | {"hr"}
@@ -38,6 +44,8 @@ ROWS = {"tr"}
 GROUPS = {"thead", "tbody", "tfoot"}
 LISTS = {"ul", "ol", "menu", "dir"}
 FOREIGN = {"svg", "math"}
+RUBY = {"rt", "rp", "rb", "rtc"}
+BUTTONS = {"submit", "reset", "button"}
 
 
 def width(s: str) -> int:
@@ -52,18 +60,89 @@ def styles(page: str) -> list[tuple[str, frozenset[str], str, str]]:
     out = []
     for m in STYLE.finditer(page):
         css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", m[1], flags=re.S)
-        css = re.sub(r"@(?!media\s+(?:all|screen)\s*\{)[\w-]+[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", " ", css)
-        css = re.sub(r"@media\s+(?:all|screen)\s*\{((?:[^{}]*\{[^{}]*\})*[^{}]*)\}", r"\1", css, flags=re.I)
-        for rule in RULE.finditer(css):
-            display, visibility = ((f.search(rule[2]) or ["", ""])[1].lower() for f in (DISPLAY, VISIBILITY))
+        css = re.sub(r"@(?!media\s+(?:all|screen)\s*\{)[\w-]++[^{;@]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})", " ", css)
+        css = re.sub(r"@media\s+(?:all|screen)\s*\{((?:[^{}]*+\{[^{}]*+\})*+[^{}]*+)\}", r"\1", css, flags=re.I)
+        for part in css.split("}")[:-1]:
+            before, brace, body = part.rpartition("{")
+            display, visibility = ((f.search(body) or ["", ""])[1].lower() for f in (DISPLAY, VISIBILITY)) if brace else ("", "")
             if display or visibility:
-                for one in map(str.strip, rule[1].split(",")):
+                for one in map(str.strip, before.rpartition("{")[2].split(",")):
                     parts = SELECTOR.fullmatch(one)
                     if one and parts:
                         out.append(((parts[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", parts[2])), display, visibility))
     return out
 
 
+class Tags:
+    """Comments and tags of a page, one after another: each character is looked at a bounded number of times, however broken the page is.
+
+    A comment ends at `-->` or `--!>`, one that starts with `>` or `->` there; an open one goes to the page's end. A quote opens an attribute's value only behind `=`, and only if it is closed
+    somewhere. What looks like a tag and never ends is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.plain = (0, -1)  # between these places the next special character is at the second
+        self.unclosed: set[str] = set()  # quotes that don't come again
+        self.dead: bytearray | None = None  # special characters behind which, outside quotes, no tag ends
+
+    def special(self, at: int) -> int:
+        lo, hi = self.plain
+        if not lo <= at <= hi:
+            found = SPECIAL.search(self.page, at)
+            self.plain = (at, found.start() if found else len(self.page))
+        return self.plain[1]
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose attributes start here, or -1."""
+        page, n, passed = self.page, len(self.page), []
+        while True:
+            at = self.special(at)
+            if at >= n or self.dead is not None and self.dead[at]:
+                self.dead = self.dead or bytearray(n)
+                for i in passed:
+                    self.dead[i] = 1
+                return -1
+            c = page[at]
+            if c == ">":
+                return at
+            passed.append(at)
+            at += 1
+            if c == "=":
+                while at < n and page[at].isspace():
+                    at += 1
+                if at < n and (quote := page[at]) in "\"'" and quote not in self.unclosed:
+                    close = page.find(quote, at + 1)
+                    if close < 0:
+                        self.unclosed.add(quote)
+                    at = close + 1 if close >= 0 else at + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, attributes) of the next comment or tag: kind is `/` for an end tag, `<` for a start tag, `!` for anything that isn't shown."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0 and start < self.last:
+            c = page[start + 1]
+            if page.startswith("<!--", start):
+                if page.startswith((">", "->"), start + 4):
+                    return start, page.index(">", start) + 1, "!", "", ""
+                end = COMMENT_ENDS.search(page, start + 4)
+                return start, end.end() if end else len(page), "!", "", ""
+            if c in "!?" or c == "/" and not (page[start + 2].isascii() and page[start + 2].isalpha()):
+                return start, page.index(">", start) + 1, "!", "", ""
+            if c == "/":
+                end = page.index(">", start)
+                return start, end + 1, "/", page[start + 2 : NAME_ENDS.search(page, start + 2).start()].lower(), ""
+            if c.isascii() and c.isalpha():
+                named = NAME_ENDS.search(page, start + 1).start()
+                end = self.tag_end(named)
+                if end >= 0:
+                    return start, end + 1, "<", page[start + 1 : named].lower(), page[named:end]
+            at = start + 1
+        if start >= 0 and (start := page.find("<!--", start)) >= 0:  # behind the last `>`: only an open comment ends the text
+            return start, len(page), "!", "", ""
+        return None
+
+
 class Flow:
     """Lines of text: of the page, or of one table cell."""
 
@@ -103,7 +182,7 @@ class Flow:
             if self.gap == 2 and self.lines:
                 self.lines.append("")
             self.gap = 0
-            lead = " " * max(0, self.indent - len(self.marker)) + self.marker if self.now else ""
+            lead = " " * max(0, min(self.indent, DEEPEST) - len(self.marker)) + self.marker if self.now else ""
             self.lines.append((lead + "".join(self.now)).rstrip())
             self.now, self.marker = [], self.marker if not lead and not self.now else ""
         self.space = False
@@ -150,7 +229,7 @@ class Table:
                     widths[at] = max([widths[at], *map(width, lines)])
         starts = [0]
         for w in widths:
-            starts.append(starts[-1] + w + 2)
+            starts.append(starts[-1] + min(w, WIDEST) + 2)
         out = list(self.caption)
         for row in rows:
             for i in range(max([len(lines) for _, _, lines in row], default=0)):
@@ -169,9 +248,11 @@ class Builder:
 
     def __init__(self, rules: list[tuple[str, frozenset[str], str, str]] = ()):
         self.open: list[tuple[str, int, bool, object]] = []  # name, by how much it hides what is in it, whether text was shown before it, what its end needs
-        self.count: Counter = Counter()
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in `open` the elements of a name are
         self.hidden, self.shown = 0, True  # elements that take no part in the layout; visibility, which an element inside may change
-        self.rules = rules
+        self.rules: dict[str, list[tuple]] = defaultdict(list)  # by one of a rule's marks, or its tag
+        for i, rule in enumerate(rules):
+            self.rules[min(rule[1], default=rule[0])].append((i, *rule))
         self.fresh_pre = False
         self.flows = [Flow()]
         self.tables: list[Table] = []
@@ -181,12 +262,14 @@ class Builder:
     # elements
 
     def start(self, name: str, attributes: str) -> None:
-        if name in ENDS_P and self.count["p"]:
+        if name in ENDS_P and self.count("p"):
             self.close_to({"p"}, CELLS | {"table", "button", "object"})
         if name == "li":
             self.close_to({"li"}, LISTS | CELLS | {"table"})
         elif name in ("dt", "dd"):
             self.close_to({"dt", "dd"}, {"dl"} | CELLS | {"table"})
+        elif name in RUBY:
+            self.close_to(RUBY, {"ruby", "table"} | CELLS)
         elif name in ("option", "optgroup"):
             self.close_to({"option"} if name == "option" else {"option", "optgroup"}, {"select", "datalist", "table"})
         elif name in CELLS:
@@ -207,7 +290,7 @@ class Builder:
             self.close_to({"head"}, {"html"})
             if self.flows[0].now or self.flows[0].lines:
                 return None  # text has opened the body
-        elif self.count["head"] and self.open[-1][0] == "head" and name not in UNSEEN and name not in ("html", "head"):
+        elif self.count("head") and self.open[-1][0] == "head" and name not in UNSEEN and name not in ("html", "head"):
             self.close_to({"head"}, {"html"})
         values = dict_of(attributes) if attributes.strip(" /\t\n") else {}
         display, visibility = self.style(name, values)
@@ -215,19 +298,21 @@ class Builder:
         if name in VOID:
             if not self.hidden and not hides and self.shown:
                 self.void(name)
+            elif name == "input" and not self.hidden and self.shown and "hidden" not in values and display != "none" and values.get("type", "").lower() in BUTTONS:
+                self.flows[-1].text(values.get("value", ""))  # what a button says
             return None
         parent, shown = self.open[-1][0] if self.open else "", self.shown
-        if self.count["svg"] and name in ("text", "foreignobject") or name == "summary" and parent == "details" and self.open[-1][1]:
+        if self.count("svg") and name in ("text", "foreignobject") or name == "summary" and parent == "details" and self.open[-1][1]:
             hides = -1  # what is shown of a drawing, or of details that are closed
         laid = not self.hidden + min(0, int(hides)) and hides <= 0
         self.shown = {"visible": True, "hidden": False, "collapse": False}.get(visibility, shown)
         kept = self.begin(name, values) if laid else None
         if name == "details" and "open" not in values:
             hides = int(hides) + 1
+        self.places[name].append(len(self.open))
         self.open.append((name, int(hides), shown, kept))
-        self.count[name] += 1
         self.hidden += int(hides)
-        if attributes.endswith("/") and (name in FOREIGN or self.count["svg"] or self.count["math"]):
+        if attributes.endswith("/") and (name in FOREIGN or self.count("svg") or self.count("math")):
             self.pop()
         return None
 
@@ -236,7 +321,7 @@ class Builder:
         display, visibility = "", ""
         if self.rules:
             marks = {f".{c}" for c in values.get("class", "").split()} | {f"#{values['id']}" for _ in "1" if "id" in values}
-            for tag, needed, d, v in self.rules:
+            for _, tag, needed, d, v in sorted((r for k in {"*", name, *marks} if k in self.rules for r in self.rules[k]), key=lambda r: r[0]):
                 if tag in ("*", name) and needed <= marks:
                     display, visibility = d or display, v or visibility
         if "style" in values:
@@ -323,46 +408,43 @@ class Builder:
 
     def pop(self) -> None:
         name, hides, self.shown, kept = self.open.pop()
-        self.count[name] -= 1
+        self.places[name].pop()
         self.hidden -= hides
         if kept is not None:
             self.finish(name, kept)
 
+    def count(self, name: str) -> int:
+        return len(self.places[name]) if name in self.places else 0
+
+    def last(self, names: set[str]) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def inside(self, name: str, limits: set[str]) -> bool:
-        for n, *_ in reversed(self.open):
-            if n == name:
-                return True
-            if n in limits:
-                return False
-        return False
+        return self.last({name}) > self.last(limits - {name})
+
+    def close_from(self, at: int) -> None:
+        while len(self.open) > at:
+            self.pop()
 
     def close_to(self, names: set[str], limits: set[str]) -> None:
         """Close the outermost open element of `names` inside the nearest of `limits`, and all in it."""
-        if not any(self.count[n] for n in names):
+        if not any(self.count(n) for n in names):
             return
-        at = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                at = i
-            elif self.open[i][0] in limits:
-                break
-        if at is not None:
-            while len(self.open) > at:
-                self.pop()
+        limit = self.last(limits - names)
+        inside = (own[i] for n in names if (own := self.places.get(n)) and (i := bisect_right(own, limit)) < len(own))
+        at = min(inside, default=-1)
+        if at >= 0:
+            self.close_from(at)
 
     def end(self, name: str) -> None:
         if name == "br":
             return self.start("br", "")
-        if not self.count[name]:
+        if not self.count(name):
             return None
         limits = set() if name in ("table", "body", "html") else {"table"} if name in CELLS | ROWS | GROUPS else CELLS | {"table", "caption"}
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == name:
-                while len(self.open) > i:
-                    self.pop()
-                return None
-            if self.open[i][0] in limits:
-                return None
+        if self.inside(name, limits):
+            self.close_from(self.places[name][-1])
         return None
 
     def text(self, s: str) -> None:
@@ -385,12 +467,7 @@ class Builder:
             self.flows[-1].text(s)
 
     def inside_cell(self) -> bool:
-        for n, *_ in reversed(self.open):
-            if n in CELLS or n == "caption":
-                return True
-            if n == "table":
-                return False
-        return True
+        return self.last(CELLS | {"caption"}) >= self.last({"table"})
 
 
 def number(s: str | None, default: int) -> int:
@@ -404,48 +481,51 @@ def dict_of(attributes: str) -> dict[str, str]:
     return out
 
 
-def items_ahead(page: str, at: int) -> int:
-    """Items of a list whose tag ends at a place, without those of lists inside it."""
-    depth = n = 0
-    for m in TAG.finditer(page, at):
-        name = (m[1] or m[2] or "").lower()
-        if name in LISTS:
-            depth += 1 if m[2] else -1
-            if depth < 0:
-                break
-        elif m[2] and name == "li" and not depth:
-            n += 1
-    return n
+def items_of_lists(page: str) -> dict[int, int]:
+    """For each list, by the place where its tag ends, its items without those of lists inside it."""
+    out: dict[int, int] = {}
+    tags, at, lists = Tags(page), 0, []
+    while (found := tags.next(at)) is not None:
+        _, at, kind, name, _ = found
+        if name in LISTS and kind == "<":
+            lists.append(at)
+            out[at] = 0
+        elif name in LISTS and lists:
+            lists.pop()
+        elif kind == "<" and name == "li" and lists:
+            out[lists[-1]] += 1
+    return out
 
 
 def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    b, at = Builder(styles(page) if "<style" in page.lower() else ()), 0
+    b, at, tags = Builder(styles(page) if "<style" in page.lower() else ()), 0, Tags(page)
+    items = items_of_lists(page) if re.search(r"\breversed\b", page, re.I) else {}
     while True:
-        m = TAG.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if found is None:
             b.text(page[at:])
             break
-        b.text(page[at : m.start()])
-        at = m.end()
-        if m[2]:
-            name, attributes = m[2].lower(), m[3]
+        start, end, kind, name, attributes = found
+        b.text(page[at:start])
+        at = end
+        if kind == "<":
             if name == "ol" and re.search(r"\breversed\b", attributes, re.I):
-                attributes = f'{re.sub(r"(?i)\breversed\b(?:\s*=\s*(?:[^\s>\'\"]+|\'[^\']*\'|\"[^\"]*\"))?", "", attributes)} reversed="{items_ahead(page, at)}"'
+                attributes = f'{re.sub(r"(?i)\breversed\b(?:\s*=\s*(?:[^\s>\'\"]+|\'[^\']*\'|\"[^\"]*\"))?", "", attributes)} reversed="{items.get(at, 0)}"'
             b.start(name, attributes)
             if name == "plaintext":
                 b.text(page[at:])
                 break
-            if (name in RAW or name in TEXT_ONLY) and not (m[3].endswith("/") and (b.count["svg"] or b.count["math"])):
-                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-                stop = end.start() if end else len(page)
+            if (name in RAW or name in TEXT_ONLY) and not (attributes.endswith("/") and (b.count("svg") or b.count("math"))):
+                closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                stop = closing.start() if closing else len(page)
                 if name in TEXT_ONLY or name == "xmp":
                     b.text(page[at:stop])
                 at = stop
-        elif m[1]:
-            b.end(m[1].lower())
+        elif kind == "/":
+            b.end(name)
     while b.open:
         b.pop()
     flow = b.flows[0]
@@ -456,7 +536,7 @@ def render(page: str | None) -> str:
 def extract(df: DataFrame, key: str = "page_id", html_column: str = "html") -> DataFrame:
     """(key, text) of every page: all its visible text, blocks apart, list items marked, table cells aligned.
 
-    One pass over each whole page, without recursion, so that neither length nor depth matters. Missing end tags, rows and bodies are
+    One pass over each whole page, without recursion, in time that grows with its length, however broken it is: neither length nor depth matters. Missing end tags, rows and bodies are
     implied; elements that never show, and those that their attributes or the page's own simple rules hide, are left out, as is what closed details hold but their summary. A cell of several rows or columns keeps its places.
     Rows are independent: nothing is shuffled. Null and empty pages give an empty text; a row gives a row, repeated or with a null key, of any type; other columns aren't looked at.
     """

@@ -1,6 +1,8 @@
 import html.parser
+import random
+import time
 
-from colweave.llm.html_text import extract, render
+from colweave.llm.html_text import Tags, extract, render
 
 
 def test_layout():
@@ -26,6 +28,82 @@ def test_what_is_hidden():
     assert render(page) == "seen\n\nquoted"
 
 
+def test_comments_end_as_they_do_in_browsers():
+    for page, want in {"a<!-->b<p>c": "ab\n\nc", "a<!--->b": "ab", "a<!-- x --!>b": "ab", "a<!---->b": "ab", "a<!-- > -- ->x-->b": "ab", "a<!-- <!-- x -->b": "ab", "a<!-- open <p>b": "a", "a</>b</ c>d": "abd", "a<!doctype x>b<?php y?>c": "abc", "a<!-- x --!": "a", "a <!b": "a <!b"}.items():
+        assert render(page) == want, page
+
+
+def test_buttons_and_ruby():
+    assert render("<ruby>k<rp>(</rp><rt>a</rt><rp>)</rp></ruby><ruby>k<rp>(<rt>a<rp>)</ruby>") == "kaka"
+    assert render("<input type=submit value='Go &amp; see'><input value=no><input type=RESET value=x hidden><input type=button>") == "Go & see"
+
+
+def plain_tags(page):
+    """Comments and tags by the letter of Tags' docstring, a character at a time, without anything remembered."""
+    out, at = [], 0
+    while at < len(page):
+        if page[at] != "<":
+            at += 1
+            continue
+        rest = page[at:]
+        if rest.startswith("<!--"):
+            ends = [at + 5] if rest.startswith("<!-->") else [at + 6] if rest.startswith("<!--->") else [i + n for mark, n in (("-->", 3), ("--!>", 4)) if (i := page.find(mark, at + 4)) >= 0]
+            end = min(ends, default=len(page))
+            out.append((at, end, "!"))
+            at = end
+            continue
+        c = rest[1:2]
+        if c and (c in "!?" or c == "/" and not (rest[2:3].isascii() and rest[2:3].isalpha())):
+            if ">" in rest:
+                out.append((at, at + rest.index(">") + 1, "!"))
+                at = out[-1][1]
+                continue
+        elif c == "/" and ">" in rest:
+            out.append((at, at + rest.index(">") + 1, "/"))
+            at = out[-1][1]
+            continue
+        elif c.isascii() and c.isalpha():
+            i = at + 1
+            while i < len(page) and not (page[i] in "/>" or page[i].isspace()):
+                i += 1
+            while i < len(page) and page[i] != ">":
+                if page[i] == "=":
+                    i += 1
+                    while i < len(page) and page[i].isspace():
+                        i += 1
+                    if i < len(page) and page[i] in "\"'":
+                        close = page.find(page[i], i + 1)
+                        i = close + 1 if close >= 0 else i + 1
+                else:
+                    i += 1
+            if i < len(page):
+                out.append((at, i + 1, "<"))
+                at = i + 1
+                continue
+        at += 1
+    return out
+
+
+def test_tags_against_a_plain_scanner():
+    parts = ["<", ">", "a", " ", "=", '"', "'", "/", "!", "-", "--", "<a ", "</b", "<!--", "-->", "x=", "?"]
+    for seed in range(4000):
+        draw = random.Random(seed)
+        page = "".join(draw.choices(parts, k=draw.randint(1, 25)))
+        tags, at, got = Tags(page), 0, []
+        while (found := tags.next(at)) is not None:
+            got.append(found[:3])
+            at = found[1]
+        assert got == plain_tags(page), page
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<a " * 350_000, "<a " * 350_000 + ">x", '<a x="' * 100_000, "<a " * 200_000 + '=">"', "<a x='>" * 100_000, "<style " * 100_000, "<style>" + "a" * 500_000, "<style>" + "@a" * 200_000, "<ol reversed>" * 50_000 + "<li>x" * 3, "<style>" + "".join(f".c{i}{{display:none}}" for i in range(3000)) + "</style>" + "".join(f"<b class=c{i}>x</b>" for i in range(20_000)), "<table><tr><td>" + "<b>x" * 50_000, "<ul>" + "<b>" * 30_000 + "<li>x" * 30_000, "<!--" * 200_000, "<" * 500_000, "<ul>" * 20_000 + "<li>x" * 20_000, "<table><tr><td>" + "long" * 50_000 + "<td>x" + "<tr><td>a<td>b" * 20_000]
+    for page in pages:
+        began = time.perf_counter()
+        shown = render(page)
+        assert time.perf_counter() - began < 5 and len(shown) < 60 * len(page), page[:30]
+
+
 def test_broken_pages():
     for page in ["<", "<<p>", "</p>", "<p", "a < b > c", "<b><i>x</b>y</i>", "<td>x</td>", "<li>x", "<table><tr>", "<a href='x>y", "<!-- open", "<script>never closed", "&#xZZ; &bogus;", "<table>loose<tr><td>x</table>", "</table></td>", "<tr><td>"]:
         assert isinstance(render(page), str)
