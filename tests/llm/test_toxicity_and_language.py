@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from colweave.llm import language as G
 from colweave.llm import toxicity as T
 
@@ -117,16 +119,21 @@ def plain_identify(rows, accept=0.5):
     import math
     from collections import Counter, defaultdict
 
-    languages = sorted({d for _, d, *_ in rows if d is not None})
+    languages = [*sorted({d for _, d, *_ in rows if d is not None}), "und"]
     place = {x: i for i, x in enumerate(languages)}
     grams = [[g for w in G.LETTERS.findall(G.visible(t, page)) for g in G.trigrams(w)] for t, _, _, _, page in rows]
     letters = [sum(map(len, G.LETTERS.findall(G.visible(t, page)))) for t, _, _, _, page in rows]
     counts = [Counter() for _ in languages]
-    for (_, d, *_), own in zip(rows, grams):
+    said = [Counter() for _ in languages]
+    for t, d, _, _, page in rows:
         if d in place:
-            counts[place[d]].update(own)
+            said[place[d]].update(G.LETTERS.findall(G.visible(t, page)))
+    for c, own in zip(counts, said):
+        for w, m in own.items():
+            for g in G.trigrams(w):
+                c[g] += G.ONCE if m == 1 else m
     totals = [sum(c.values()) for c in counts]
-    text = [[sum(math.log((c[g] + 0.5) / (n + 0.5 * G.BUCKETS)) for g in own) * (min(1, G.TEXT_WEIGHT / len(own)) if own else 1) for c, n in zip(counts, totals)] for own in grams]
+    text = [[sum(math.log((c[g] + G.SMOOTHING) / (n + G.SMOOTHING * G.BUCKETS)) for g in own) * (min(1, G.TEXT_WEIGHT / len(own)) if own else 1) for c, n in zip(counts[:-1], totals)] + [-math.log(G.BUCKETS) * min(G.TEXT_WEIGHT, len(own))] for own in grams]
     best = [max(range(len(languages)), key=lambda i: (own[i], -i)) if n else None for own, n in zip(text, letters)]
     tally = {f: defaultdict(lambda: [0] * len(languages)) for f in (1, 2, 3)}
     overall = [1] * len(languages)
@@ -153,7 +160,7 @@ def plain_identify(rows, accept=0.5):
                 logs[i] += math.log((c[i] + s * (sum(c) + 1) / (sum(overall) + n)) / (overall[i] - 1 - rest[i] + s))
         top = max(logs)
         posterior = 1 / sum(math.exp(x - top) for x in logs)
-        out.append((languages[logs.index(top)], posterior, m, bool(m) and posterior >= accept))
+        out.append((languages[logs.index(top)], posterior, m, bool(m) and posterior >= accept and logs.index(top) < n - 1))
     return out
 
 
@@ -178,6 +185,38 @@ def test_fusion_against_plain_loops(spark):
             assert (got[i].language, got[i].accepted) == (language, accepted), i
 
 
+def test_texts_of_no_language(spark):
+    """Random consonants are refused, whatever they are declared as; prose is kept, also a few words, also undeclared; keys are texts here."""
+    rng = random.Random(11)
+    junk = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), "source")
+    more = spark.createDataFrame([(f"j{i}", junk(rng.randint(3, 60)), rng.choice(["en", "de", None, "und"]), f"s{i % 3}") for i in range(200)], "doc_id string, text string, lang string, source string")
+    df, n = docs.unionByName(more), docs.count()
+    left = {r.doc_id for r in G.accepted_documents(df).collect()}
+    assert sum(k[0] == "d" for k in left) >= 0.99 * n and sum(k[0] == "j" for k in left) <= 10
+    found = {r.doc_id: r.language for r in G.identify(G.from_documents(df)).collect()}
+    assert sum(found[f"j{i}"] == "und" for i in range(200)) >= 190
+    assert sum(found[r.doc_id] == r.lang for r in docs.where("lang IS NOT NULL").collect()) >= 0.75 * n
+    unheard = df.withColumn("lang", F.lit(None).cast("string"))
+    assert G.accepted_documents(unheard).count() == n + 200  # no language is known: nothing can be told
+
+
+def test_many_declared_values(spark):
+    """Misspelt tags by the hundred: pairs that occur are kept, and results are as those of plain loops."""
+    rng = random.Random(12)
+    rows = [(" ".join(rng.choice(WORDS["en"].split()) for _ in range(12)), f"en{i}", None, f"h{i % 7}", False) for i in range(150)]
+    rows += [(" ".join(rng.choice(WORDS["de"].split()) for _ in range(12)), "de", None, None, False) for _ in range(100)]
+    df = spark.createDataFrame([(i, None, *r[:4], i) for i, r in enumerate(rows)], "doc_id long, page_id long, x string, declared string, suffix string, host string, row long").repartition(3)
+    few = G.BROADCAST_HOSTS
+    try:
+        for G.BROADCAST_HOSTS in (few, 2):
+            got = {r.row: r for r in G.identify(df).collect()}
+            for i, (language, posterior, n, accepted) in enumerate(plain_identify(rows)):
+                assert abs(got[i].posterior - posterior) < 1e-4 and got[i].n_letters == n, i
+    finally:
+        G.BROADCAST_HOSTS = few
+
+
 def test_clashing_names(spark):
     """Columns of the tables that have the names a stage might use itself stay as they are."""
     from colweave.llm import decontamination as D
