@@ -6,15 +6,19 @@ import dataclasses
 import functools
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.functions import text as X
-from colweave.storage import saved
+from colweave.storage import bucketed, bucketed_at, delete, exists, saved
 
 #: Columns of a node table: id long, label string, name string, and properties.
 #: What a name search looks into: (label, field, the node table's column).
 SEARCHED = (("Synonym", "name", "name"), ("CDE_Name", "name", "name"), ("QuestionText", "name", "name"), ("DEC", "name", "dec_name"), ("CDE", "name", "cde_short_name"), ("CDE", "CDE_LONG_NAME", "cde_long_name"))
+#: Marks nodes whose key came with differing properties.
+CONFLICT = "__conflict"
+#: Folders that a growing graph's tables are dealt into; edges that stand once however often they come.
+PARTS, MERGED = 16, ("EQUALS", "CAN_BE")
 #: Labels whose hits name elements directly.
 ELEMENT_LABELS = ("CDE", "CDE_Name", "DEC", "QuestionText")
 
@@ -23,12 +27,14 @@ def node_id(label: str, key) -> Column:
     return F.xxhash64(F.lit(label), X.col(key).cast("string"))
 
 
-def nodes(df: DataFrame, label: str, key: str, **properties: Column) -> DataFrame:
-    """Distinct nodes by their natural key, as an upsert leaves them; of differing properties those of the smallest stay."""
+def nodes(df: DataFrame, label: str, key: str, unique: bool = False, **properties: Column) -> DataFrame:
+    """Distinct nodes by their natural key, as an upsert leaves them; of differing properties those of the smallest stay. unique: a column CONFLICT marks keys that have such."""
     made = df.where(F.col(key).isNotNull()).select(node_id(label, key).alias("id"), F.lit(label).alias("label"), F.col(key).cast("string").alias("name"), *(c.alias(n) for n, c in properties.items()))
     if not properties:
         return made.distinct()
-    return made.groupBy("id", "label", "name").agg(F.min(F.struct(*properties)).alias("p")).select("id", "label", "name", "p.*")
+    given = F.struct(*properties)
+    grouped = made.groupBy("id", "label", "name").agg(F.min(given).alias("p"), *([F.max(given).alias("q")] if unique else []))
+    return grouped.select("id", "label", "name", "p.*", *([(~F.col("p").eqNullSafe(F.col("q"))).alias(CONFLICT)] if unique else []))
 
 
 def edges(df: DataFrame, name: str, src: tuple[str, str], dst: tuple[str, str], distinct: bool = False) -> DataFrame:
@@ -37,26 +43,112 @@ def edges(df: DataFrame, name: str, src: tuple[str, str], dst: tuple[str, str],
     return made.distinct() if distinct else made
 
 
+class DuplicateKeys(ValueError):
+    """Rows that give one key different properties."""
+
+
 @dataclasses.dataclass
 class Graph:
+    """Tables of nodes by label and of edges by kind; `walks`, if stored, holds for each walk (see walk_name()) which targets its nodes reach."""
+
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
+    walks: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """Replaces what is there. Tables are written side by side: most are too small to keep a cluster busy alone."""
-        jobs = [(f"{path}/{kind}/{name}", df) for kind, tables in (("nodes", self.nodes), ("edges", self.edges)) for name, df in tables.items()]
+        """Replaces what is there. Tables are written side by side: most are too small to keep a cluster busy alone.
+
+        Nodes whose key came with differing properties are counted while they are written; if there are any, nothing stays and DuplicateKeys tells their numbers.
+        """
+        seen = {name: Observation() for name, df in self.nodes.items() if CONFLICT in df.columns}
+        watched = lambda name, df: df.observe(seen[name], F.count_if(CONFLICT).alias("n")).drop(CONFLICT) if name in seen else df
+        jobs = [(f"{path}/{kind}/{name}", watched(name, df)) for kind, tables in (("nodes", self.nodes), ("edges", self.edges)) for name, df in tables.items()]
         with ThreadPoolExecutor(8) as pool:
             for done in [pool.submit(df.write.mode("overwrite").parquet, at) for at, df in jobs]:
                 done.result()
+        if bad := {name: n for name, o in seen.items() if (n := o.get["n"])}:
+            for at, df in jobs:
+                delete(df.sparkSession, at)
+            raise DuplicateKeys(f"keys with differing properties: {', '.join(f'{n} of {name}' for name, n in bad.items())}")
 
     def stored(self, spark: SparkSession, path: str) -> Graph:
-        """Saved and read back: searches and walks then read tables, not the plans that made them."""
+        """Saved and read back, with its walks: searches then read tables, not the plans that made them, and follow no edges."""
         self.save(path)
-        return Graph.load(spark, path, self.nodes, self.edges)
+        plain = Graph.load(spark, path, self.nodes, self.edges)
+        return dataclasses.replace(plain, walks=bucketed(plain.all_walks(), "node", f"{path}/walks"))
+
+    def all_walks(self) -> DataFrame:
+        """(node, walk, target) along all declared paths to elements."""
+        return self.walked({(p.label, p.steps) for p in (*PATHS, *VALUE_PATHS)}, "CDE")
+
+    def walked(self, walks: set[tuple[str, tuple[str, ...]]], target_label: str, start: DataFrame | None = None) -> DataFrame:
+        """(node, walk, target) of distinct pairs, from all nodes of a walk's label or from those of start (node, label) only."""
+        targets, out = self.nodes[target_label].select(F.col("id").alias("target")), None
+        for label, steps in sorted(walks):
+            own = self.nodes[label].select(F.col("id").alias("node")) if start is None else start.where(F.col("label") == label).select("node")
+            tables = [self.edges[s[1:]].select(F.col("dst").alias("src"), F.col("src").alias("dst")) if s[0] == "~" else self.edges[s].select("src", "dst") for s in steps]
+            reached = follow(own, tables).join(targets, "target", "left_semi").select("node", F.lit(walk_name(label, steps)).alias("walk"), "target")
+            out = reached if out is None else out.unionAll(reached)
+        return out
 
     @staticmethod
     def load(spark, path: str, node_names, edge_names) -> Graph:
-        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}") for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names})
+        walks = bucketed_at(spark, "node", f"{path}/walks") if exists(spark, f"{path}/walks") else None
+        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}") for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names}, walks)
+
+
+def walk_name(label: str, steps: tuple[str, ...]) -> str:
+    return " ".join((label, *steps))
+
+
+class GraphStore:
+    """A graph in a folder that grows by batches, as a graph database does by upserts.
+
+    Node tables lie in PARTS folders by their id, edge tables by their source. A batch touches the folders of its keys only: what is there is read, what is new is added, and those
+    folders are written anew in one go; other folders keep their files. A node that is there stays as it is, whatever a later batch says of it: the first writer wins. Edges of MERGED kinds
+    stand once, others as often as they come. A batch has a name; if it broke off, it is given again by that name, and what it had left is replaced.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, kind: str, name: str) -> DataFrame | None:
+        at = f"{self.path}/{kind}/{name}"
+        if not exists(self.spark, f"{at}/_SUCCESS"):
+            return None
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/schemas/{kind}/{name}").schema).parquet(at)  # it may have no rows
+
+    def graph(self) -> Graph:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        of = lambda kind: {n: self.table(kind, n).drop("part", "batch") for n in sorted(f.getPath().getName() for f in fs.listStatus(p.suffix(f"/{kind}")))}
+        return Graph(of("nodes"), of("edges"))
+
+    def upsert(self, changes: Graph, batch: str) -> dict[str, int]:
+        """Rows added by table."""
+        jobs = [("nodes", name, df.drop(CONFLICT), ["id"], "id") for name, df in changes.nodes.items()]
+        jobs += [("edges", name, df, ["src", "dst"] if name in MERGED else None, "src") for name, df in changes.edges.items()]
+        with ThreadPoolExecutor(8) as pool:
+            done = [(f"{kind}/{name}", pool.submit(self._merge, kind, name, df, key, by, batch)) for kind, name, df, key, by in jobs]
+            return {name: job.result() for name, job in done}
+
+    def _merge(self, kind: str, name: str, new: DataFrame, key: list[str] | None, by: str, batch: str) -> int:
+        new = new.withColumns({"batch": F.lit(batch), "part": F.pmod(F.col(by), F.lit(PARTS)).cast("int")})
+        old, at = self.table(kind, name), f"{self.path}/{kind}/{name}"
+        if old is None:
+            new = saved(new)
+            new.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/schemas/{kind}/{name}")
+            new.write.mode("overwrite").partitionBy("part").parquet(at)
+            return new.count()
+        before = old.where(F.col("batch") != batch)
+        if key:
+            new = new.join(before, [*key, "part"], "left_anti")
+        new = saved(new)
+        touched = [r.part for r in new.select("part").union(old.where(F.col("batch") == batch).select("part")).distinct().collect()]  # PARTS at most
+        if touched:
+            merged = saved(before.where(F.col("part").isin(touched)).unionByName(new, allowMissingColumns=True))  # what is read can't be written over
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(at)
+        return new.count()
 
 
 def duplicates(df: DataFrame, *key: str) -> DataFrame:
@@ -86,8 +178,8 @@ def build(concepts: DataFrame, elements: DataFrame) -> Graph:
     meant = answers.select("answer", F.explode(X.concept_codes("answer")).alias("code")).withColumn("code", F.regexp_replace("code", r"\|.*", ""))
     referred = objects.select("code").unionByName(properties.select("code")).unionByName(meant.select("code")).distinct().join(concepts.select(F.col("CODE").alias("code")), "code", "left_anti")
     lower = lambda c: {"name_lower": F.lower(c)}
-    concept_nodes = nodes(concepts, "Concept", "CODE", concept_name=F.col("CONCEPT_NAME"), definition=F.col("DEFINITION")).withColumn("nonstandard", F.lit(False))
-    concept_nodes = concept_nodes.unionByName(nodes(referred, "Concept", "code").withColumn("nonstandard", F.lit(True)), allowMissingColumns=True)
+    concept_nodes = nodes(concepts, "Concept", "CODE", unique=True, concept_name=F.col("CONCEPT_NAME"), definition=F.col("DEFINITION")).withColumn("nonstandard", F.lit(False))
+    concept_nodes = concept_nodes.unionByName(nodes(referred, "Concept", "code").withColumns({"nonstandard": F.lit(True), CONFLICT: F.lit(False)}), allowMissingColumns=True)
     keep = ("CDE_ID", "CDE_LONG_NAME", "CDE_SHORT_NAME", "VALUE_DOMAIN_TYPE", "DATATYPE", "DISPLAY_FORMAT", "UNIT_OF_MEASURE")
     return Graph(
         {
@@ -186,19 +278,19 @@ def follow(start: DataFrame, steps: list[DataFrame]) -> DataFrame:
 def propagate(hits: DataFrame, graph: Graph, paths: tuple[Path, ...] = PATHS, key: str = "query_id", target_label: str = "CDE") -> DataFrame:
     """(key, target, a column for each feature) from hits (key, node, label, score); 0 where a path finds nothing.
 
-    Hits are written once, as every path starts from them. A path is walked once, whatever is put together along it: its sum and its maximum come from the same join.
+    All paths are one join and one aggregation: hits meet the pairs of nodes and targets of all walks, and each feature sums or tops the scores of its walks. Stored walks lie in
+    buckets by node, so hits come to them; without them edges are followed from the nodes that were hit.
     """
-    hits = saved(hits)
-    targets = graph.nodes[target_label].select(F.col("id").alias("target"))
-    rows, walks = None, {}
+    uses = {walk_name(p.label, p.steps): (p.label, p.steps) for p in paths}
+    if graph.walks is not None and target_label == "CDE" and set(uses.values()) <= {(p.label, p.steps) for p in (*PATHS, *VALUE_PATHS)}:
+        walks = graph.walks.where(F.col("walk").isin(list(uses)))
+    else:
+        hits = saved(hits)  # each walk starts from them
+        walks = graph.walked(set(uses.values()), target_label, hits.select("node", "label").distinct())
+    reached = hits.select(key, "node", "score").join(walks, "node")
+    by_feature: dict[str, list[Path]] = {}
     for p in paths:
-        walks.setdefault((p.label, p.steps), []).append(p)
-    for (label, steps), uses in walks.items():
-        own = hits.where(F.col("label") == label).select(key, "node", "score")
-        tables = [graph.edges[s[1:]].select(F.col("dst").alias("src"), F.col("src").alias("dst")) if s[0] == "~" else graph.edges[s].select("src", "dst") for s in steps]
-        reached = own.join(follow(own, tables).join(targets, "target", "left_semi"), "node")
-        best = reached.groupBy(key, "target").agg(F.sum("score").alias("sum"), F.max("score").alias("max"))
-        long = best.select(key, "target", F.explode(F.create_map(*(x for u in uses for x in (F.lit(u.feature), F.col(u.how))))).alias("__feature", "__value"))
-        rows = long if rows is None else rows.unionByName(long)
-    names = list(dict.fromkeys(p.feature for p in paths))
-    return rows.groupBy(key, "target").pivot("__feature", names).agg(F.max("__value")).na.fill(0.0, names)
+        by_feature.setdefault(p.feature, []).append(p)
+    put = {"sum": F.sum, "max": F.max}
+    features = [put[own[0].how](F.when(F.col("walk").isin([walk_name(p.label, p.steps) for p in own]), F.col("score"))).alias(f) for f, own in by_feature.items()]
+    return reached.groupBy(key, "target").agg(*features).na.fill(0.0, list(by_feature))

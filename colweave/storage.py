@@ -68,6 +68,27 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, path: str) -> DataFrame:
+    """df as a table of buckets by a column, as many as shuffles have partitions: joins by it leave the table where it is. Read again by bucketed_at()."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"colweave_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").option("path", f"{path}/{column}-{n}").bucketBy(n, column).sortBy(column).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return bucketed_at(spark, column, path)
+
+
+def bucketed_at(spark: SparkSession, column: str, path: str) -> DataFrame:
+    """The table that bucketed() wrote to a path, also in another session."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    at = next(f.getPath().getName() for f in found if f.getPath().getName().startswith(f"{column}-"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{at}").schema)
+    name = f"colweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {at.rsplit('-', 1)[1]} BUCKETS LOCATION '{path}/{at}'")
+    at_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
