@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colweave.operators import models as M
 from colweave.operators import moments as N
+from colweave.operators import network as W
 from colweave.plans.base import Catalogue, rounded, table
 
 C = Catalogue()
@@ -189,4 +190,13 @@ def other_models(spark, d):
     return M.lasso("quality", 0.001).setFeaturesCol("features").fit(df).transform(out).select("doc_id", "quality", "forest", rounded("prediction", 4).alias("lasso"))
 
 
+@C.add()
+def network_value(spark, d):
+    """A network of 48, 12 and one unit on a tangent of quality; tests hold its gradients against finite differences."""
+    bend = 5 / 12 * math.pi  # the target's tangent, from -1 to 1
+    df = examples(spark, d).withColumn("target", F.tan((2 * F.col("quality") - 1) * bend) / math.tan(bend))
+    fitted, _ = W.fit(df, COLUMNS, "target", rounds=10)
+    return fitted.predict(df, "estimate").select("doc_id", "quality", rounded("estimate", 4).alias("estimate"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles
