@@ -10,9 +10,10 @@ from colweave.operators import decide as D
 from colweave.operators import graph as G
 from colweave.operators import models as M
 from colweave.plans.base import Catalogue, rounded, table
-from colweave.plans.text_queries import _NORM
+from colweave.plans.text_queries import _NORM, segmentations_sql
+from colweave.sources.files import write_training
 from colweave.sources.sheets import read_sheets
-from colweave.storage import at_end, delete, shared_folder
+from colweave.storage import at_end, delete, saved, shared_folder
 
 C = Catalogue()
 TYPES = ("Integer", "CHARACTER", "BOOLEAN", "NUMBER", "no such type")
@@ -259,6 +260,39 @@ def matched_values(spark, d):
     return D.matched_share(classes, ["g", "target"]).select("g", F.col("target").alias("cde_id"), rounded("share").alias("share"))
 
 
+@C.add(f"""WITH RECURSIVE {_GRAPH}, {_SHEETS}, {_index('h1', _NAMES, 'SELECT q, t FROM cols')},
+cnt AS (SELECT q, count(*) AS n, count(*) FILTER (label <> 'Synonym') AS m FROM h1 GROUP BY q), few AS (SELECT cols.q, cols.t FROM cols LEFT JOIN cnt ON cnt.q = cols.q WHERE coalesce(n, 0) < 25 OR coalesce(m, 0) < 5),
+{segmentations_sql("SELECT DISTINCT lower(t) AS t FROM few", "SELECT DISTINCT w FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS w FROM part) WHERE w <> ''")},
+strs AS (SELECT q, 0 AS no, CAST(1 AS DOUBLE) AS w, t FROM few UNION ALL SELECT q, rank, CAST(score AS DOUBLE), {_NORM.format('segments')} FROM few JOIN best ON best.t = lower(few.t)),
+{_index('hs', _NAMES, "SELECT {'q': q, 'no': no, 'w': w} AS q, t FROM strs")}, h2 AS (SELECT q.q AS q, label, node, max(q.w * score) AS score FROM hs WHERE score > 0 GROUP BY ALL)
+SELECT q.sheet AS sheet, q.col_no AS col_no, label, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM h2 GROUP BY ALL""")
+def adaptive_words(spark, d):
+    """The second search of columns whose headers find too little: the headers themselves, and their segmentations by words of part names, weighed by their scores."""
+    from colweave.functions.text import header_to_search_string
+
+    g, names, _ = prepared(spark, d)
+    columns, _, _ = sheets(spark, d)
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    _, second = K.adaptive_search(columns.select(*K.COLUMN, header_to_search_string("header").alias("search")), names, words)
+    return second.groupBy("query_id.sheet", "query_id.col_no", "label").agg(F.count("*").alias("n"), rounded(F.max("score")).alias("best"), rounded(F.sum("score"), 4).alias("total"))
+
+
+@C.add(f"""WITH {_CAND}, {_EXP}, golden AS (SELECT sheet, col_no, min(cde_id) AS golden_id FROM cand WHERE col_no % 2 = 1 GROUP BY ALL), sets AS (SELECT id, list(DISTINCT code) AS codes FROM el JOIN (FROM obj UNION FROM prop) USING (dec) GROUP BY id),
+m AS (SELECT ex.*, CASE WHEN cde_id = golden_id THEN 1.5 ELSE 0 END AS metric1, coalesce(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes))), 0) AS metric2 FROM ex LEFT JOIN golden USING (sheet, col_no) LEFT JOIN sets a ON a.id = cde_id LEFT JOIN sets b ON b.id = golden_id),
+f AS (SELECT *, max(metric2) OVER w AS metric2_max, avg(CAST(metric2 > 0 AS INT)) OVER w AS pct_metric2_pos FROM m WINDOW w AS (PARTITION BY sheet, col_no))
+SELECT sheet, col_no, cde_id, {', '.join(f'round({f}, 4) AS {f}' for f in M.VALUE_COLUMNS)}, round(metric1, 6) AS metric1, round(metric2, 6) AS metric2, round(metric2_max, 6) AS metric2_max, round(pct_metric2_pos, 6) AS pct_metric2_pos, round(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END, 6) AS metric2_frac, CAST(metric1 > 1 AS INT) AS metric3, CAST(metric2 > 0 AS INT) AS metric4, CAST(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END > 0.5 AS INT) AS metric5 FROM f""")
+def training_set(spark, d):
+    """Rows that the models learn from: expanded features of all candidates with target metrics, the least candidate of every other column being what is annotated; written to a file and read again."""
+    g, names, answers = prepared(spark, d)
+    columns, cells, strings = sheets(spark, d)
+    rows = saved(K.candidate_features(columns, cells, g, names, answers, strings=strings))
+    golden = rows.where("col_no % 2 = 1").groupBy(*K.COLUMN).agg(F.min("cde_id").alias("cde_id"))
+    folder = f"{shared_folder(spark)}/training/{uuid.uuid4().hex}"
+    write_training(K.training_rows(K.expanded_features(rows), golden, g), folder)
+    at_end(lambda: delete(spark, folder))
+    return spark.read.parquet(folder).select("sheet", "col_no", "cde_id", *(rounded(f, 4).alias(f) for f in M.VALUE_COLUMNS), *(rounded(f"metric{m}").alias(f"metric{m}") for m in ("1", "2", "2_max", "2_frac")), rounded("pct_metric2_pos").alias("pct_metric2_pos"), "metric3", "metric4", "metric5")
+
+
 def written_sheets(spark, d):
     """Parts as sheets in files, one for each brand, half of them with tabs: names are quoted, two to a field with a line end between, a heading stands twice and one is empty; brands differ in width."""
     part, lit, c = table(spark, d, "part"), F.lit, F.col

@@ -83,13 +83,13 @@ def string_profile(spark, d):
 
 
 def segmentations_sql(strings: str, words: str) -> str:
-    """Named parts of a recursive WITH clause down to best(t, segments, score, rank), from strings (t) without spaces and words (w), both in lower case: all maximal segmentations, one place after another."""
+    """Named parts of a recursive WITH clause down to best(t, segments, score, rank), from strings (t) and words (w), both in lower case and words without spaces: all maximal segmentations, one place after another."""
     return f"""strings_ AS ({strings}), words_ AS ({words}), fit AS (SELECT t, w FROM strings_ JOIN words_ ON contains(t, w) AND length(w) >= greatest(floor(sqrt(length(t) / 2)), 3)),
 place AS (SELECT t, a, a + length(w) AS b, w FROM (SELECT t, w, unnest(range(1, length(t) - length(w) + 2)) AS a FROM fit) WHERE substr(t, a, length(w)) = w),
 starts AS (SELECT DISTINCT t, a FROM place UNION SELECT DISTINCT t, length(t) + 1 FROM fit), froms AS (SELECT t, 1 AS i FROM (SELECT DISTINCT t FROM fit) UNION SELECT DISTINCT t, b FROM place),
-gap AS (SELECT f.t, i, s.a AS j FROM froms f JOIN starts s ON s.t = f.t AND s.a > i WHERE s.a <= coalesce((SELECT min(b) - 1 FROM place p WHERE p.t = f.t AND p.a >= i), s.a)),
+gap AS (SELECT f.t, i, s.a AS j, trim(substr(f.t, i, s.a - i)) AS g FROM froms f JOIN starts s ON s.t = f.t AND s.a > i WHERE s.a <= coalesce((SELECT min(b) - 1 FROM place p WHERE p.t = f.t AND p.a >= i), s.a)),
 seg AS (SELECT t, 1 AS pos, true AS word, '' AS full_, 0 AS covered, 0 AS m FROM (SELECT DISTINCT t FROM fit) UNION ALL
-  SELECT * FROM (SELECT seg.t, b, true, full_ || ' ' || w, covered + length(w), m + 1 FROM seg JOIN place ON place.t = seg.t AND a = pos UNION ALL SELECT seg.t, j, false, full_ || ' ' || substr(seg.t, pos, j - pos), covered, m + 1 FROM seg JOIN gap ON gap.t = seg.t AND i = pos WHERE word)),
+  SELECT * FROM (SELECT seg.t, b, true, full_ || ' ' || w, covered + length(w), m + 1 FROM seg JOIN place ON place.t = seg.t AND a = pos UNION ALL SELECT seg.t, j, false, full_ || CASE WHEN g = '' THEN '' ELSE ' ' || g END, covered, m + CASE WHEN g = '' THEN 0 ELSE 1 + length(g) - length(replace(g, ' ', '')) END FROM seg JOIN gap ON gap.t = seg.t AND i = pos WHERE word)),
 whole AS (SELECT DISTINCT t, trim(full_) AS segments, covered / length(t) * (1 - m / length(t)) AS score FROM seg WHERE pos = length(t) + 1 AND covered > 0 AND m < length(t)),
 best AS (SELECT * FROM (SELECT t, segments, score, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, segments) AS rank FROM whole) WHERE rank <= 3)"""
 

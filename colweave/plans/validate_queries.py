@@ -127,4 +127,12 @@ def enum_value_classify(spark, d):
     return D.classify_values(pairs, permitted, hits).select("target", "value", "permissible")
 
 
+@C.add("SELECT o_orderkey, h BETWEEN 0 AND 24 AS hour_24, h BETWEEN 0 AND 12 AS hour_12, CAST(h AS VARCHAR) || ':' || lpad(CAST(m AS VARCHAR), 2, '0') AS clock, h <= 24 AND m <= 59 AS conforming FROM (SELECT o_orderkey, o_orderkey % 27 AS h, o_orderkey % 63 AS m FROM orders)")
+def clock_times(spark, d):
+    """Hours of both clocks, and times by a display format."""
+    h, m = F.col("o_orderkey") % 27, F.col("o_orderkey") % 63
+    rows = table(spark, d, "orders").select("o_orderkey", h.alias("h"), F.concat_ws(":", h.cast("string"), F.lpad(m.cast("string"), 2, "0")).alias("clock"))
+    return rows.select("o_orderkey", V.valid_hour(F.col("h")).alias("hour_24"), V.valid_hour(F.col("h"), 12).alias("hour_12"), "clock", V.check_display_format("clock", F.lit("hh:mm")).alias("conforming"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles
