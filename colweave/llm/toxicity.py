@@ -212,9 +212,10 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64())), pa.array([fixed_votes(t, x) for t, x in zip(texts, split, strict=True)], pa.list_(pa.int32())), pa.array([minima([known[w][0] for w in x]) for x in split], pa.list_(pa.int64()))], ["k", "y", "f", "p", "m"])
 
     joined = df.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select(F.xxhash64(F.col("__k").cast("string")).alias("k"), F.col("__y").cast("int").alias("y"), F.col("__text").alias("x"))
-    rows = saved(map_batches(joined, run, "k long, y int, f array<long>, p array<int>, m array<long>"))
+    rows = map_batches(joined, run, "k long, y int, f array<long>, p array<int>, m array<long>")
+    rows = saved(rows.groupBy("k").agg(F.min(F.struct("y", "f", "p", "m")).alias("r")).select("k", "r.*"))  # a row for each key, however often it comes
     kept = df.sparkSession.createDataFrame([(k,) for k in one_per_family([tuple(r) for r in rows.select("k", "m").collect()])], "k long")  # `sample` at most
-    rows = rows.join(F.broadcast(kept), "k").groupBy("k").agg(F.min(F.struct("y", "f", "p")).alias("r")).select("k", "r.*")
+    rows = rows.join(F.broadcast(kept), "k").select("k", "y", "f", "p")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n1 or n1 == n:
         share = n1 / n if n else 0.0
@@ -239,7 +240,8 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def scores(df: DataFrame, model: Model, text: str = "text", score: str = "__score") -> DataFrame:
-    """df with a column `score`, from whole texts alone; null and empty texts have the score of no words."""
+    """df with a column `score`, in the place of one that is called so already, from whole texts alone; null and empty texts have the score of no words."""
+    df = df.drop(score)
     shared = broadcast(df.sparkSession, (model.weights, model.bias))  # FEATURES at most
     at = df.columns.index(text)
 

@@ -64,6 +64,24 @@ def test_label_model_without_labels():
     assert np.abs(alone.posterior(votes) - m.posterior(votes)).max() < 0.05
 
 
+def test_much_repeated_keys(spark, monkeypatch):
+    """A key of a thousand rows is one labelled row, on the driver as well; a column that is called as the score is replaced."""
+    seen = []
+    keep = T.one_per_family
+    monkeypatch.setattr(T, "one_per_family", lambda rows: seen.append(len(rows)) or keep(rows))
+    docs, labels = corpus(200)
+    rows = [(i, t) for i, t, _ in docs]
+    df = spark.createDataFrame([*rows, *rows[5:6] * 1000, (5, "another text under that key"), (None, "x")], "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, plain = T.learn(df, lab), T.learn(spark.createDataFrame([r for r in rows if r[0] != 5], "doc_id long, text string"), lab)
+    assert max(seen) <= len({k for k, *_ in labels})
+    again = T.scores(df.withColumn("__score", F.lit("old")), model)
+    assert again.dtypes == [("doc_id", "bigint"), ("text", "string"), ("__score", "double")]
+    got = {r.doc_id: r["__score"] for r in again.collect()}
+    want = {r.doc_id: r["__score"] for r in T.scores(df, plain).collect()}
+    assert sum((got[i] >= 0.3) == (want[i] >= 0.3) for i, _ in rows) >= 195
+
+
 WORDS = {"en": "the of and to in that with which there", "de": "der die und nicht eine zwischen schön über", "fr": "le la les avec être français où déjà", "es": "el los una con español niño más también"}
 
 
