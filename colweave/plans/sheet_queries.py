@@ -278,9 +278,9 @@ def adaptive_words(spark, d):
 
 
 @C.add(f"""WITH {_CAND}, {_EXP}, golden AS (SELECT sheet, col_no, min(cde_id) AS golden_id FROM cand WHERE col_no % 2 = 1 GROUP BY ALL), sets AS (SELECT id, list(DISTINCT code) AS codes FROM el JOIN (FROM obj UNION FROM prop) USING (dec) GROUP BY id),
-m AS (SELECT ex.*, CASE WHEN cde_id = golden_id THEN 1.5 ELSE 0 END AS metric1, coalesce(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes))), 0) AS metric2 FROM ex LEFT JOIN golden USING (sheet, col_no) LEFT JOIN sets a ON a.id = cde_id LEFT JOIN sets b ON b.id = golden_id),
+m AS (SELECT ex.*, CAST(CASE WHEN cde_id = golden_id THEN 1.5 ELSE 0 END AS DOUBLE) AS metric1, CAST(coalesce(len(list_intersect(a.codes, b.codes)) / len(list_distinct(list_concat(a.codes, b.codes))), 0) AS DOUBLE) AS metric2 FROM ex LEFT JOIN golden USING (sheet, col_no) LEFT JOIN sets a ON a.id = cde_id LEFT JOIN sets b ON b.id = golden_id),
 f AS (SELECT *, max(metric2) OVER w AS metric2_max, avg(CAST(metric2 > 0 AS INT)) OVER w AS pct_metric2_pos FROM m WINDOW w AS (PARTITION BY sheet, col_no))
-SELECT sheet, col_no, cde_id, {', '.join(f'round({f}, 4) AS {f}' for f in M.VALUE_COLUMNS)}, round(metric1, 6) AS metric1, round(metric2, 6) AS metric2, round(metric2_max, 6) AS metric2_max, round(pct_metric2_pos, 6) AS pct_metric2_pos, round(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END, 6) AS metric2_frac, CAST(metric1 > 1 AS INT) AS metric3, CAST(metric2 > 0 AS INT) AS metric4, CAST(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END > 0.5 AS INT) AS metric5 FROM f""")
+SELECT sheet, col_no, cde_id, {', '.join(f'round({f}, 4) AS {f}' for f in M.VALUE_COLUMNS)}, round(metric1, 6) AS metric1, round(metric2, 6) AS metric2, round(metric2_max, 6) AS metric2_max, round(pct_metric2_pos, 6) AS pct_metric2_pos, round(CAST(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END AS DOUBLE), 6) AS metric2_frac, CAST(metric1 > 1 AS INT) AS metric3, CAST(metric2 > 0 AS INT) AS metric4, CAST(CASE WHEN metric2_max = 0 THEN 0 ELSE metric2 / metric2_max END > 0.5 AS INT) AS metric5 FROM f""")
 def training_set(spark, d):
     """Rows that the models learn from: expanded features of all candidates with target metrics, the least candidate of every other column being what is annotated; written to a file and read again."""
     g, names, answers = prepared(spark, d)
