@@ -239,7 +239,7 @@ def identify(evidence: DataFrame, model: TextModel | None = None, accept: float
 def accepted_documents(df: DataFrame) -> DataFrame:
     """df without the documents that identify() doesn't accept; equal rows share their fate, all columns stay, whatever they are called."""
     (row,) = fresh(df, "row")
-    gone = identify(from_documents(df)).where("NOT accepted").select(F.col("row").alias(row)).distinct()
+    gone = saved(identify(from_documents(df)).where("NOT accepted").select(F.col("row").alias(row)).distinct())  # its size is known by then: texts aren't shuffled for a few
     return df.withColumn(row, row_digest("doc_id", "text", "lang", "source")).join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
