@@ -6,7 +6,7 @@ import dataclasses
 import functools
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colweave.functions import text as X
@@ -58,15 +58,15 @@ class Graph:
     def save(self, path: str) -> None:
         """Replaces what is there. Tables are written side by side: most are too small to keep a cluster busy alone.
 
-        Nodes whose key came with differing properties are counted while they are written; if there are any, nothing stays and DuplicateKeys tells their numbers.
+        Nodes whose key came with differing properties are marked while they are written; if there are any, nothing stays and DuplicateKeys tells their numbers. Marks are a column of
+        their own, false almost everywhere, so that counting them reads next to nothing.
         """
-        seen = {name: Observation() for name, df in self.nodes.items() if CONFLICT in df.columns}
-        watched = lambda name, df: df.observe(seen[name], F.count_if(CONFLICT).alias("n")).drop(CONFLICT) if name in seen else df
-        jobs = [(f"{path}/{kind}/{name}", watched(name, df)) for kind, tables in (("nodes", self.nodes), ("edges", self.edges)) for name, df in tables.items()]
+        jobs = [(f"{path}/{kind}/{name}", df) for kind, tables in (("nodes", self.nodes), ("edges", self.edges)) for name, df in tables.items()]
         with ThreadPoolExecutor(8) as pool:
             for done in [pool.submit(df.write.mode("overwrite").parquet, at) for at, df in jobs]:
                 done.result()
-        if bad := {name: n for name, o in seen.items() if (n := o.get["n"])}:
+        marked = {name: df.sparkSession.read.schema(df.schema).parquet(f"{path}/nodes/{name}").where(CONFLICT).count() for name, df in self.nodes.items() if CONFLICT in df.columns}
+        if bad := {name: n for name, n in marked.items() if n}:
             for at, df in jobs:
                 delete(df.sparkSession, at)
             raise DuplicateKeys(f"keys with differing properties: {', '.join(f'{n} of {name}' for name, n in bad.items())}")
@@ -94,7 +94,7 @@ class Graph:
     @staticmethod
     def load(spark, path: str, node_names, edge_names) -> Graph:
         walks = bucketed_at(spark, "node", f"{path}/walks") if exists(spark, f"{path}/walks") else None
-        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}") for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names}, walks)
+        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}").drop(CONFLICT) for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names}, walks)
 
 
 def walk_name(label: str, steps: tuple[str, ...]) -> str:
