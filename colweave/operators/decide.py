@@ -23,11 +23,16 @@ def ranked_results(candidates: Column, p: Column, first: float = FIRST_CUTOFF, s
     return F.when(F.size(candidates) == 0, F.array(none)).when(p < first, at(1, 3)).when(p < second, F.concat(at(1, 1), F.array(none), at(2, 1))).otherwise(F.concat(F.array(none), at(1, 2)))
 
 
+def first_candidates(scored: DataFrame, group: list[str], estimate: str, candidate: str, k: int = 3) -> DataFrame:
+    """The rows of the k best of each group, numbered by `r` from 1; ties go to the smaller candidate."""
+    w = Window.partitionBy(*group).orderBy(F.desc(estimate), candidate)
+    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+
 def top_candidates(scored: DataFrame, group: list[str], estimate: str, candidate: str, k: int = 3, of: str | None = None) -> DataFrame:
     """(group, candidates): the k best of each group as an array of texts in order; ties go to the smaller candidate, which with `of` is a structure that is shown by this field."""
     shown = F.col(candidate if of is None else f"{candidate}.{of}").cast("string")
-    w = Window.partitionBy(*group).orderBy(F.desc(estimate), candidate)
-    top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    top = first_candidates(scored, group, estimate, candidate, k)
     return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", shown.alias("c")))), lambda x: x["c"]).alias("candidates"))
 
 
