@@ -25,7 +25,7 @@ PAGE = 16
 #: Texts that show which shingles are common, about, and shingles kept as such: they shape the order of shingles only, never what is found.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 #: Groups of shingles by their low bits: a group without a shared shingle isn't shuffled.
-GROUPS = 1 << 22
+GROUPS = 1 << 24
 #: 64-bit words of a set's bitmap. Rounds in which texts are compared with a few others before all that is left is compared, at most, and the share of links among comparisons below which they end; about how many texts share one to be compared with.
 BITMAP, ROUNDS, WORTH, SHARING = 8, 6, 0.02, 32
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -324,6 +324,27 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits of the majority of a set's hashes, each spread over 64 bits first (the finalizer of SplitMix64); of an empty set 0."""
+    if not len(hashes):
+        return 0
+    x = (hashes.view(np.uint32).astype(np.uint64) + ONE) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return signed(int(packed(votes(x ^ (x >> np.uint64(31))))[0]))
+
+
+def flags_of(groups: DataFrame, n: int) -> np.ndarray:
+    """One bit for each of n groups: whether it is in the column g."""
+    flags = np.zeros(n, dtype=bool)
+    flags[groups.distinct().toArrow().column("g").to_numpy()] = True
+    return np.packbits(flags)
+
+
+def flagged(flags: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    return (flags[groups >> 3] >> (7 - (groups & 7)) & 1).astype(bool)
+
+
 def rare_first(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles of about ORDER_TEXTS of the texts, sorted, and how many of these have each. Any order of shingles gives right results; the rare ones first gives short lists."""
     every = max(1, sets.count() // ORDER_TEXTS)
@@ -355,42 +376,51 @@ def prefixes(sets: DataFrame, similarity: float, order: Broadcast, groups: Broad
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             chosen = np.flatnonzero(place <= (n - np.ceil(similarity * n - 1e-9))[owner])
             if groups is not None:
-                chosen = chosen[groups.value[h[chosen] & (GROUPS - 1)]]
+                chosen = chosen[flagged(groups.value, h[chosen] & (GROUPS - 1))]
             yield pa.record_batch([pa.array(h[chosen]), batch.column(0).take(pa.array(owner[chosen])), pa.array(n[owner[chosen]].astype(np.int32)), pa.array(place[chosen].astype(np.int32))], ["h", "d", "n", "i"])
 
     return map_batches(sets.select("d", "s"), run, "h int, d binary, n int, i int")
 
 
 def of_texts(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The sets of some texts (d, distinct). Sets whose digests' first bits no text has aren't shuffled."""
-    flags = np.zeros(1 << 24, dtype=bool)
-    flags[texts.select(F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int").alias("g")).distinct().toArrow().column("g").to_numpy()] = True
-    asked = broadcast(sets.sparkSession, np.packbits(flags))
+    """The sets of some texts (d), and of few others: those whose digests' first bits no text has stay where they are."""
+    asked = broadcast(sets.sparkSession, flags_of(texts.select(F.conv(F.hex(F.substring("d", 1, 3)), 16, 10).cast("int").alias("g")), 1 << 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.array([int.from_bytes(d[:3]) for d in rows_of(batch, "d")], dtype=np.int64)
-            yield batch.filter(pa.array((asked.value[starts >> 3] >> (7 - (starts & 7)) & 1).astype(bool)))
+            yield batch.filter(pa.array(flagged(asked.value, starts)))
 
-    return map_batches(sets, run, sets.schema).join(texts, "d", "left_semi")
+    return map_batches(sets, run, sets.schema)
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidates (src, dst, further columns) whose sets have the similarity."""
+    """The candidates (src, dst, further columns; a table) whose sets have the similarity. Only their sets are shuffled."""
+    sets = of_texts(sets.select("d", "s"), candidates.select(F.explode(F.array("src", "dst")).alias("d")))
     pairs = candidates.join(sets.select(F.col("d").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("d").alias("dst"), F.col("s").alias("s2")), "dst")
     common = F.size(F.array_intersect("s1", "s2"))
     return pairs.where(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select(candidates.columns)
 
 
+def near_by_trie(sets: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """Links (src, dst) between sets whose fingerprints are equal or linked in the trie, of those that have the similarity."""
+    prints = saved(sets.groupBy("f").agg(F.min("d").alias("first")))
+    close = trie_self_join(prints.select(F.lit(0).alias("t"), "f"), budget)
+    name = lambda f, d: prints.select(F.col("f").alias(f), F.col("first").alias(d))
+    apart = close.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst")
+    equal = sets.select("f", F.col("d").alias("src")).join(prints.select("f", F.col("first").alias("dst")), "f").where("src <> dst").select("src", "dst")
+    return verified(saved(equal.unionByName(apart)), sets, similarity)
+
+
 def several_classes(lists: DataFrame) -> DataFrame:
     """The rows (h, c, ...) of lists h with more than one class c."""
     return lists.join(lists.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h"), "h", "left_semi")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """(digest, key, component_key) of every row: texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked.
 
-    Such sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. Round by round each text is compared with one or two
+    First the trie: SimHash fingerprints of the sets that differ in at most `budget` bits are joined, and those pairs verified that it links; the others follow by shingles. Similar sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. Round by round each text is compared with one or two
     others of its lists, drawn anew each time; verified links join classes, and lists of one class are done. When few comparisons find links, in lists of several classes still, each text outside the list's largest class is compared
     with every text of another class whose bitmap doesn't rule it out. Pairs left out lie in one class or can't have the similarity by their lengths, places or bitmaps, so
     nothing is missed, while a group of near copies in one class costs no pairs. Equal texts are one class from the start. Null and empty texts are equal;
@@ -402,21 +432,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, shingle) for t in utf8_of(batch, "x")]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([bitmap(x) for x in found], pa.list_(pa.int64()))], ["d", "s", "m"])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([bitmap(x) for x in found], pa.list_(pa.int64())), pa.array([print_of(x) for x in found], pa.int64())], ["d", "s", "m", "f"])
 
     rows = saved(source.select("k", "d"))
-    sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>, m array<long>").groupBy("d").agg(F.first("s").alias("s"), F.first("m").alias("m")))
+    sets = saved(map_batches(source.select("d", "x"), run, "d binary, s array<int>, m array<long>, f long").groupBy("d").agg(*(F.first(x).alias(x) for x in ("s", "m", "f"))))
     spark = df.sparkSession
-    order, flags = broadcast(spark, rare_first(sets)), np.zeros(GROUPS, dtype=bool)  # bounded by ORDER_SHINGLES
+    by_print = saved(near_by_trie(sets.where(F.size("s") > 0), similarity, budget))
+    order = broadcast(spark, rare_first(sets))  # bounded by ORDER_SHINGLES
     shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
-    flags[shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
+    flags = flags_of(shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")), GROUPS)
     made = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)), f"{made}-postings")
-    sizes = postings.groupBy("h").count().where("count > 1").select("h", F.ceil(F.col("count") / SHARING).cast("int").alias("parts"))
+    # of lists of the very same texts, as the shingles of a passage have, the one that comes first in the order of shingles stays: in it their first shared shingle stands
+    same = [F.sum(F.xxhash64("d", F.lit(seed)).cast("decimal(20,0)")).alias(f"same{seed}") for seed in (0, 1)]
+    sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("count"), F.sum("i").alias("place"), *same).where("count > 1")
+    sizes = sizes.groupBy("count", "same0", "same1").agg(F.min_by("h", "place").alias("h")).select("h", F.ceil(F.col("count") / SHARING).cast("int").alias("parts"))
     lists = saved(postings.join(sizes, "h").select("h", "parts", "d", "n", "i"), f"{made}-0")
     delete(spark, f"{made}-postings")
-    named = lists.withColumn("c", F.col("d"))
-    few = saved(of_texts(sets, named.select("d").distinct()))
+    classes = saved(components(by_print).select(F.col("id").alias("d"), F.col("component_id").alias("g")))
+    named = lists.join(classes, "d", "left").select(*lists.columns, F.coalesce("g", "d").alias("c"))
 
     def may(a: str, b: str) -> Column:
         """Whether two sets can have the similarity by their lengths and by what is left of them from their first shared shingle on."""
@@ -425,7 +459,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
     empty = sets.where(F.size("s") == 0)
-    links = saved(empty.crossJoin(empty.agg(F.min("d").alias("dst"))).select(F.col("d").alias("src"), "dst"))  # one empty set, as equal texts are one
+    links = saved(empty.crossJoin(empty.agg(F.min("d").alias("dst"))).select(F.col("d").alias("src"), "dst").unionByName(by_print))  # one empty set, as equal texts are one
     for round_ in range(ROUNDS):
         # a text's partners: the heads, in another order each round, of parts of its lists
         draw = F.xxhash64("d", F.lit(round_))
@@ -435,25 +469,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         tried = near.groupBy("one.d", "one.c").agg(F.min("two").alias("e"), F.max("two").alias("f"))
         tried = tried.select("d", "c", F.explode(F.array_distinct(F.array("e", "f"))).alias("e")).select(*pair("d", "e.d"), F.col("c").alias("c1"), F.col("e.c").alias("c2")).dropDuplicates(["src", "dst"])
         tried = saved(tried)
-        found = saved(verified(tried, few, similarity))
+        found = saved(verified(tried, sets, similarity))
         links = links.unionAll(found.select("src", "dst"))
         joined = components(found.select(F.col("c1").alias("src"), F.col("c2").alias("dst"))).select(F.col("id").alias("c"), "component_id")
         merged = named.join(joined, "c", "left").select("h", "parts", "d", "n", "i", F.coalesce("component_id", "c").alias("c"))
-        named = saved(merged if round_ else several_classes(merged), f"{made}-{round_ + 1}")
+        named = saved(several_classes(merged), f"{made}-{round_ + 1}")
         delete(spark, f"{made}-{round_}")
         if found.count() <= WORTH * tried.count():
             break
 
     # all that is left: texts of different classes in a list, but for two of its largest one
     main = named.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("h", F.col("m.c").alias("main"))
-    open_ = named.join(main, "h").join(few.select("d", "m"), "d")
+    open_ = saved(named.join(main, "h").select("h", "d", "n", "i", "c", "main"))
+    open_ = open_.join(of_texts(sets.select("d", "m"), open_), "d")
     open_ = saved(open_.select("h", "d", "n", "i", "c", "main", *(F.col("m")[k].alias(f"m{k}") for k in range(BITMAP))))
     one, two = open_.where("c <> main").alias("one"), open_.alias("two")
     once = F.expr("one.c <> two.c AND (two.c = two.main OR one.d > two.d)")
     apart = functools.reduce(operator.add, (F.bit_count(F.col(f"one.m{k}").bitwiseXOR(F.col(f"two.m{k}"))) for k in range(BITMAP)))
     close = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("one.n") + F.col("two.n")) + 1e-9  # elements in one set only
     across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two") & close).select(*pair("one.d", "two.d")).distinct())
-    groups = components(links.unionAll(verified(across, few, similarity)))
+    groups = components(links.unionAll(verified(across, sets, similarity)))
     named = rows.groupBy("d").agg(F.min("k").alias("k")).join(groups.select(F.col("id").alias("d"), "component_id"), "d", "left").select("d", "k", F.coalesce("component_id", "d").alias("g"))
     named = saved(named)
     names = named.groupBy("g").agg(F.min("k").alias("component_key"))
