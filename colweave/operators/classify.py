@@ -18,7 +18,7 @@ from colweave.operators.decompose import decompose
 from colweave.operators.search import Index, best_of_strings
 from colweave.sources.files import write_submissions
 from colweave.sources.sheets import read_sheets
-from colweave.storage import saved
+from colweave.storage import saved, sizes_in_memory
 
 COLUMN = ["sheet", "col_no"]
 #: A column whose header finds fewer nodes, or fewer nodes that name elements, is searched for again.
@@ -80,6 +80,7 @@ def candidate_features(columns: DataFrame, cells: DataFrame, graph: G.Graph, nam
     columns: (sheet, col_no, header); cells: (sheet, col_no, value). Hits of headers and of values, a row each, are laid out by one
     aggregation; a column's candidates are what either of them found. What is missing is 0.
     """
+    sizes_in_memory(graph.nodes["CDE"].sparkSession)
     searched = columns.select(*COLUMN, X.header_to_search_string("header").alias("search"))
     first, second = adaptive_search(searched, names, dictionary, strings)
     spread = lambda df: df.select("query_id.*", *[c for c in df.columns if c != "query_id"])
@@ -88,23 +89,23 @@ def candidate_features(columns: DataFrame, cells: DataFrame, graph: G.Graph, nam
     by_name = one.unionByName(two.join(one.select(*COLUMN, "target"), [*COLUMN, "target"], "left_anti"))
     raw = saved(cells.where("value IS NOT NULL").groupBy(*COLUMN, "value").agg(F.count("*").alias("n")).withColumn("query_text", X.clean_for_search("value")))
     per_value = saved(value_hits(raw.select(F.col("query_text").alias("value"), "query_text").distinct(), graph, names, answers).withColumnRenamed("value", "query_text"))
-    clean = raw.select(*COLUMN, "query_text").distinct()
+    clean = raw.groupBy(*COLUMN, "query_text").agg(F.count("*").alias("n_raw"))
     n_clean = clean.groupBy(*COLUMN).agg(F.count("*").alias("n_clean"))
-    means = clean.join(per_value, "query_text").groupBy(*COLUMN, "target").agg(*(F.sum(f).alias(f) for f in ("enum_concept_search", "enum_answer_search")))
-    by_value = means.join(n_clean, COLUMN).select(*COLUMN, "target", *((F.col(f) / F.col("n_clean")).alias(f) for f in ("enum_concept_search", "enum_answer_search"))).where("enum_concept_search > 0 OR enum_answer_search > 0")
+    found = F.when((F.col("enum_answer_search") > 0) | (F.col("enum_concept_search") > 0), F.col("n_raw"))
+    means = clean.join(per_value, "query_text").groupBy(*COLUMN, "target").agg(*(F.sum(f).alias(f) for f in ("enum_concept_search", "enum_answer_search")), F.sum(found).alias("hits"))
+    by_value = means.join(n_clean, COLUMN).select(*COLUMN, "target", *((F.col(f) / F.col("n_clean")).alias(f) for f in ("enum_concept_search", "enum_answer_search")), "hits").where("enum_concept_search > 0 OR enum_answer_search > 0")
     both = saved(T.assemble([by_name, by_value], [*COLUMN, "target"]))
 
     sizes = raw.groupBy(*COLUMN).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
     elements = graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "value_domain_type", "datatype", "display_format")
     typed = both.join(elements, "target").join(sizes, COLUMN, "left").na.fill(0, ["n_values", "n_rows"])
     counted = T.answer_counts(typed, graph.edges["PERMITS"], "n_rows").withColumn("answer_count_score", X.count_closeness("n_values", "n_answers"))
-    hit = raw.join(per_value, "query_text").where("enum_answer_search > 0 OR enum_concept_search > 0").groupBy(*COLUMN, "target").agg(F.count("*").alias("hits"))
     # each kind of domain is checked once for a column's values, however many candidates have it
     kinds = typed.where("value_domain_type = 'NonEnumerated'").where(V.listed("datatype", "display_format")).select(*COLUMN, "datatype", "display_format").distinct()
     kinds = kinds.withColumn("kind", F.when(F.col("display_format").isNotNull(), F.concat(F.lit("f "), "display_format")).otherwise(F.concat(F.lit("t "), "datatype")))
     ok = raw.join(kinds, COLUMN).groupBy(*COLUMN, "kind").agg(F.avg(V.conforms("value", "datatype", "display_format").cast("int")).alias("conforming"))
     kind = F.when(F.col("value_domain_type") == "NonEnumerated", F.when(F.col("display_format").isNotNull(), F.concat(F.lit("f "), "display_format")).otherwise(F.concat(F.lit("t "), "datatype")))
-    scored = counted.withColumn("kind", kind).join(hit, [*COLUMN, "target"], "left").join(ok, [*COLUMN, "kind"], "left")
+    scored = counted.withColumn("kind", kind).join(ok, [*COLUMN, "kind"], "left")
     share = F.when(F.col("value_domain_type") == "Enumerated", F.coalesce("hits", F.lit(0)) / F.col("n_values")).otherwise(F.col("conforming"))
     scored = scored.withColumn("value_score", F.when(F.col("n_values") > 0, F.coalesce(share, F.lit(0.0))).otherwise(0.0))
     return scored.select(*COLUMN, "target", "cde_id", *(F.col(f).cast("double").alias(f) if f != "secondary_search" else F.col(f).cast("int").alias(f) for f in FEATURES))
@@ -116,11 +117,14 @@ def expanded_features(candidates: DataFrame) -> DataFrame:
 
 def training_rows(expanded: DataFrame, annotations: DataFrame, graph: G.Graph) -> DataFrame:
     """Expanded features with target metrics, from annotations (sheet, col_no, cde_id): a candidate's concepts against those of all elements with the annotated id."""
-    concepts = G.concepts_of(graph).groupBy("target").agg(F.collect_set("code").alias("codes"))
-    golden = G.concepts_of(graph).join(graph.nodes["CDE"].select(F.col("id").alias("target"), F.col("cde_id").alias("golden_id")), "target").groupBy("golden_id").agg(F.collect_set("code").alias("golden_codes"))
-    none = F.array().cast("array<string>")
-    rows = expanded.join(annotations.select(*COLUMN, F.col("cde_id").alias("golden_id")), COLUMN, "left").join(concepts, "target", "left").join(golden, "golden_id", "left").withColumns({"codes": F.coalesce("codes", none), "golden_codes": F.coalesce("golden_codes", none)})
-    return E.target_metrics(rows, COLUMN, F.col("cde_id") == F.col("golden_id"), "codes", "golden_codes").drop("codes", "golden_codes")
+    codes, members = saved(G.category_codes(graph)), graph.categories()
+    golden = annotations.select(F.col("cde_id").alias("golden_id")).distinct().join(graph.nodes["CDE"].select(F.col("id").alias("target"), F.col("cde_id").alias("golden_id")), "golden_id")
+    golden = golden.join(members, "target").select("golden_id", "first").distinct().join(codes, "first").groupBy("golden_id").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("golden_codes"))
+    rows = expanded.join(annotations.select(*COLUMN, F.col("cde_id").alias("golden_id")), COLUMN, "left").join(members, "target", "left")
+    # concepts are compared once for all elements with the same categories
+    pairs = rows.select("first", "golden_id").distinct().join(codes, "first").join(golden, "golden_id").select("first", "golden_id", E.shared_codes("codes", "golden_codes").alias("overlap"))
+    rows = rows.join(saved(pairs), ["first", "golden_id"], "left")
+    return E.metrics_of(rows, COLUMN, F.col("cde_id") == F.col("golden_id"), F.col("overlap")).drop("first", "overlap")
 
 
 def decide_columns(columns: DataFrame, expanded: DataFrame, nomatch: Callable[[DataFrame], DataFrame], estimate: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -48,7 +48,15 @@ def quick_score(rank: Column, metric1: Column, metric2: Column, none: Column, tr
 
 def target_metrics(df: DataFrame, group: list[str], same: Column, codes: str, golden_codes: str) -> DataFrame:
     """df with metric1 to metric5 and statistics of metric2 in each group; a candidate without concepts has metric2 = 0."""
-    overlap = F.when((F.size(codes) == 0) | (F.size(golden_codes) == 0), 0.0).otherwise(jaccard(codes, golden_codes))
+    return metrics_of(df, group, same, shared_codes(codes, golden_codes))
+
+
+def shared_codes(codes: str, golden_codes: str) -> Column:
+    return F.when((F.size(codes) == 0) | (F.size(golden_codes) == 0), 0.0).otherwise(jaccard(codes, golden_codes))
+
+
+def metrics_of(df: DataFrame, group: list[str], same: Column, overlap: Column) -> DataFrame:
+    """As target_metrics(), from the overlap of concepts."""
     base = df.withColumn("metric1", WEIGHTS[0] * F.coalesce(same.cast("double"), F.lit(0.0))).withColumn("metric2", F.coalesce(overlap, F.lit(0.0)))
     stats = base.groupBy(*group).agg(F.max("metric2").alias("metric2_max"), F.avg((F.col("metric2") > 0).cast("int")).alias("pct_metric2_pos"))
     out = base.join(stats, group).withColumn("metric2_frac", F.when(F.col("metric2_max") == 0, 0.0).otherwise(F.col("metric2") / F.col("metric2_max")))

@@ -49,11 +49,12 @@ class DuplicateKeys(ValueError):
 
 @dataclasses.dataclass
 class Graph:
-    """Tables of nodes by label and of edges by kind; `walks`, if stored, holds for each walk (see walk_name()) which targets its nodes reach."""
+    """Tables of nodes by label and of edges by kind; `walks`, if stored, holds for each walk (see walk_name()) which targets its nodes reach, and `members` what categories() gives."""
 
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
     walks: DataFrame | None = None
+    members: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Replaces what is there. Tables are written side by side: most are too small to keep a cluster busy alone.
@@ -75,26 +76,45 @@ class Graph:
         """Saved and read back, with its walks: searches then read tables, not the plans that made them, and follow no edges."""
         self.save(path)
         plain = Graph.load(spark, path, self.nodes, self.edges)
+        plain.categories().write.mode("overwrite").parquet(f"{path}/members")
+        plain = dataclasses.replace(plain, members=spark.read.parquet(f"{path}/members"))
         return dataclasses.replace(plain, walks=bucketed(plain.all_walks(), "node", f"{path}/walks"))
 
+    def categories(self) -> DataFrame:
+        """(target, first): of each element with categories the least element that has the very same. What comes by a category reaches all of them alike."""
+        if self.members is not None:
+            return self.members
+        own = self.edges["IS_CAT"].join(self.nodes["CDE"].select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("target")).agg(F.sort_array(F.collect_set("dst")).alias("decs"))
+        firsts = own.groupBy("decs").agg(F.min("target").alias("first"))
+        return own.join(firsts, "decs").select("target", "first")
+
     def all_walks(self) -> DataFrame:
-        """(node, walk, target) along all declared paths to elements."""
+        """(node, walk, target) along all declared paths to elements; see walked()."""
         return self.walked({(p.label, p.steps) for p in (*PATHS, *VALUE_PATHS)}, "CDE")
 
     def walked(self, walks: set[tuple[str, tuple[str, ...]]], target_label: str, start: DataFrame | None = None) -> DataFrame:
-        """(node, walk, target) of distinct pairs, from all nodes of a walk's label or from those of start (node, label) only."""
+        """(node, walk, target) of distinct pairs, from all nodes of a walk's label or from those of start (node, label) only. Walks that by_category() reach one element only of those with the same categories."""
         targets, out = self.nodes[target_label].select(F.col("id").alias("target")), None
         for label, steps in sorted(walks):
+            shared = by_category(steps, target_label)
             own = self.nodes[label].select(F.col("id").alias("node")) if start is None else start.where(F.col("label") == label).select("node")
             tables = [self.edges[s[1:]].select(F.col("dst").alias("src"), F.col("src").alias("dst")) if s[0] == "~" else self.edges[s].select("src", "dst") for s in steps]
+            if shared:
+                tables[-1] = tables[-1].join(self.categories().select(F.col("first").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             reached = follow(own, tables).join(targets, "target", "left_semi").select("node", F.lit(walk_name(label, steps)).alias("walk"), "target")
             out = reached if out is None else out.unionAll(reached)
         return out
 
     @staticmethod
     def load(spark, path: str, node_names, edge_names) -> Graph:
-        walks = bucketed_at(spark, "node", f"{path}/walks") if exists(spark, f"{path}/walks") else None
-        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}").drop(CONFLICT) for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names}, walks)
+        members = spark.read.parquet(f"{path}/members") if exists(spark, f"{path}/members") else None
+        walks = bucketed_at(spark, "node", f"{path}/walks") if members is not None and exists(spark, f"{path}/walks") else None
+        return Graph({n: spark.read.parquet(f"{path}/nodes/{n}").drop(CONFLICT) for n in node_names}, {e: spark.read.parquet(f"{path}/edges/{e}") for e in edge_names}, walks, members)
+
+
+def by_category(steps: tuple[str, ...], target_label: str = "CDE") -> bool:
+    """Whether a walk comes to elements by their categories."""
+    return target_label == "CDE" and steps[-1:] == ("~IS_CAT",)
 
 
 def walk_name(label: str, steps: tuple[str, ...]) -> str:
@@ -244,11 +264,19 @@ def answer_entries(graph: Graph) -> DataFrame:
     return graph.nodes["AnswerText"].select(F.lit("name").alias("field"), F.col("id").alias("node"), "label", F.col("name").alias("text"))
 
 
-def concepts_of(graph: Graph) -> DataFrame:
-    """(target, dec, code): concepts of each element by its category, objects and properties alike, distinct."""
+def concepts_of(graph: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """(target, dec, code): concepts of each element, or of these (target), by its category, objects and properties alike, distinct."""
     either = graph.edges["IS_OBJ"].unionAll(graph.edges["IS_PROP"]).select(F.col("src").alias("dec"), F.col("dst").alias("concept")).distinct()
     codes = graph.nodes["Concept"].select(F.col("id").alias("concept"), F.col("name").alias("code"))
-    return graph.edges["IS_CAT"].select(F.col("src").alias("target"), F.col("dst").alias("dec")).distinct().join(either, "dec").join(codes, "concept").select("target", "dec", "code").distinct()
+    own = graph.edges["IS_CAT"].select(F.col("src").alias("target"), F.col("dst").alias("dec")).distinct()
+    if targets is not None:
+        own = own.join(targets, "target", "left_semi")
+    return own.join(either, "dec").join(codes, "concept").select("target", "dec", "code").distinct()
+
+
+def category_codes(graph: Graph) -> DataFrame:
+    """(first, codes): the concepts, distinct and in order, of all elements with the same categories, at the one that stands for them in Graph.categories()."""
+    return concepts_of(graph, graph.categories().select(F.col("first").alias("target")).distinct()).groupBy(F.col("target").alias("first")).agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
 def element_headers(graph: Graph) -> DataFrame:
@@ -267,30 +295,41 @@ def permitted_values(graph: Graph) -> DataFrame:
     return answers.join(texts, "answer", "left").join(meant, "answer", "left").select("target", "answer", "synonym", "answer_text", "code")
 
 
-def follow(start: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """Distinct (node, target) pairs along tables of (src, dst)."""
+def follow(start: DataFrame, steps: list[DataFrame], many: bool = False) -> DataFrame:
+    """Distinct (node, target) pairs along tables of (src, dst). many: on the way and at the end there are many nodes, so pairs are dealt by these alone: the next step, or what is grouped by target, needs no other shuffle."""
     out = start.select("node", F.col("node").alias("at")).distinct()
     for step in steps:
-        out = out.join(step.select(F.col("src").alias("at"), "dst"), "at").select("node", F.col("dst").alias("at")).distinct()
+        out = out.join(step.select(F.col("src").alias("at"), "dst"), "at").select("node", F.col("dst").alias("at"))
+        out = (out.repartition("at") if many else out).distinct()
     return out.select("node", F.col("at").alias("target"))
 
 
 def propagate(hits: DataFrame, graph: Graph, paths: tuple[Path, ...] = PATHS, key: str = "query_id", target_label: str = "CDE") -> DataFrame:
     """(key, target, a column for each feature) from hits (key, node, label, score); 0 where a path finds nothing.
 
-    All paths are one join and one aggregation: hits meet the pairs of nodes and targets of all walks, and each feature sums or tops the scores of its walks. Stored walks lie in
-    buckets by node, so hits come to them; without them edges are followed from the nodes that were hit.
+    Hits meet the pairs of nodes and targets of all walks, and each feature sums or tops the scores of its walks. What comes by categories is put together for one element of those with the same
+    categories, and only then given to each of them. Stored walks lie in buckets by node, so hits come to them; without them edges are followed from the nodes that were hit.
     """
     uses = {walk_name(p.label, p.steps): (p.label, p.steps) for p in paths}
+    hits = saved(hits)  # each walk starts from them
     if graph.walks is not None and target_label == "CDE" and set(uses.values()) <= {(p.label, p.steps) for p in (*PATHS, *VALUE_PATHS)}:
         walks = graph.walks.where(F.col("walk").isin(list(uses)))
     else:
-        hits = saved(hits)  # each walk starts from them
         walks = graph.walked(set(uses.values()), target_label, hits.select("node", "label").distinct())
-    reached = hits.select(key, "node", "score").join(walks, "node")
     by_feature: dict[str, list[Path]] = {}
     for p in paths:
         by_feature.setdefault(p.feature, []).append(p)
     put = {"sum": F.sum, "max": F.max}
-    features = [put[own[0].how](F.when(F.col("walk").isin([walk_name(p.label, p.steps) for p in own]), F.col("score"))).alias(f) for f, own in by_feature.items()]
-    return reached.groupBy(key, "target").agg(*features).na.fill(0.0, list(by_feature))
+    shared = [name for name, (_, steps) in uses.items() if by_category(steps, target_label)]
+
+    def carried(wanted: list[str]) -> DataFrame:
+        features = [put[own[0].how](F.when(F.col("walk").isin([walk_name(p.label, p.steps) for p in own]), F.col("score"))).alias(f) for f, own in by_feature.items()]
+        return hits.select(key, "node", "score").join(walks.where(F.col("walk").isin(wanted)), "node").groupBy(key, "target").agg(*features)
+
+    if not shared:
+        return carried(list(uses)).na.fill(0.0, list(by_feature))
+    given = saved(carried(shared)).withColumnRenamed("target", "first").join(graph.categories(), "first").select(key, "target", *by_feature)
+    own = [name for name in uses if name not in shared]
+    if not own:
+        return given.na.fill(0.0, list(by_feature))
+    return carried(own).unionByName(given).groupBy(key, "target").agg(*(put[own[0].how](f).alias(f) for f, own in by_feature.items())).na.fill(0.0, list(by_feature))

@@ -164,8 +164,8 @@ def value_paths(spark, d):
 def element_concepts(spark, d):
     """Header and concept set of every element."""
     g, _, _ = prepared(spark, d)
-    codes = G.concepts_of(g).groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
-    return G.element_headers(g).join(codes, "target").select("cde_id", F.col("cde_long_name").alias("name"), "dec_id", "dec_name", "codes")
+    codes = saved(G.category_codes(g).select("first", F.array_join("codes", ",").alias("codes")))
+    return G.element_headers(g).join(g.categories(), "target").join(codes, "first").select("cde_id", F.col("cde_long_name").alias("name"), "dec_id", "dec_name", "codes")
 
 
 def candidates(spark, d):

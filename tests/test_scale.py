@@ -1,6 +1,10 @@
 """What grew faster than the tables: how many rows meet, and which rows go where."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from colweave.operators import decide as D
+from colweave.operators import graph as G
 from colweave.plans import decide_queries
 
 
@@ -19,3 +23,37 @@ def test_a_customer_meets_only_its_nations_best(spark, tmp_path, monkeypatch):
     best = {n: [str(s) for s in sorted(range(n, 1000, 2), key=lambda s: (-(s % 9), s))[:3]] for n in (0, 1)}
     assert met[0] <= 3 * 2000
     assert all(got[c] == (["NOMATCH"] if c % 7 == 0 else best[c % 2] if c % 100 < 40 else [best[c % 2][0], "NOMATCH", best[c % 2][1]] if c % 100 < 50 else ["NOMATCH", *best[c % 2][:2]]) for c in range(2000))
+
+
+@pytest.fixture
+def elements(spark):
+    """300 elements of three categories, one of them of two, and concepts that every category has."""
+    concepts = spark.range(12).selectExpr("concat('C', id) AS CODE", "concat('concept ', id) AS CONCEPT_NAME", "CAST(NULL AS STRING) AS DEFINITION", "concat('name', id % 2, '|all') AS SYNONYMS", "'t' AS SEMANTIC_TYPE", "CAST(NULL AS STRING) AS PARENTS")
+    own = spark.range(300).selectExpr("id AS CDE_ID", "concat('e', id) AS CDE_LONG_NAME", "concat('s', id) AS CDE_SHORT_NAME", "'Enumerated' AS VALUE_DOMAIN_TYPE", "'Integer' AS DATATYPE", "CAST(NULL AS STRING) AS UNIT_OF_MEASURE", "CAST(NULL AS STRING) AS DISPLAY_FORMAT", "CAST(NULL AS STRING) AS QUESTION_TEXT", "id % 3 AS DEC_ID", "concat('dec ', id % 3) AS DEC_LONG_NAME", "concat('NCI:C', id % 12) AS OBJECT_CLASS_CONCEPTS", "concat('NCI:C', (id + 1) % 12) AS PROPERTY_CONCEPTS", "CAST(NULL AS STRING) AS CLASSIFICATIONS", "concat('v', id, ' ncit:C', id % 12) AS PERMISSIBLE_VALUES")
+    g = G.build(concepts, own)
+    more = g.edges["IS_CAT"].join(g.nodes["CDE"].where("cde_id = 7").select(F.col("id").alias("src")), "src", "left_semi").select("edge", "src", G.node_id("DEC", F.lit("0")).alias("dst"))
+    return G.Graph(g.nodes, {**g.edges, "IS_CAT": g.edges["IS_CAT"].unionAll(more)})
+
+
+def test_scores_by_categories_are_carried_once(spark, elements):
+    """Walks name one element for all of the same categories; scores are those of following every edge to every element."""
+    hits = elements.nodes["Synonym"].select(F.lit("q").alias("query_id"), F.col("id").alias("node"), "label", (F.pmod("id", F.lit(97)) / 8 + 1).alias("score")).localCheckpoint()
+    hits = hits.unionAll(elements.nodes["DEC"].select(F.lit("q"), "id", "label", F.lit(2.5)))
+    walks = elements.all_walks().where("walk LIKE '%~IS_CAT'").groupBy("walk", "node").count()
+    assert walks.agg(F.max("count")).first()[0] <= 4
+    got = {r.target: r for r in G.propagate(hits, elements).collect()}
+    score = {r.node: r.score for r in hits.collect()}
+    up = lambda e: [(r.src, r.dst) for r in elements.edges[e].collect()]
+    called, cats = up("IS_CALLED"), up("IS_CAT")
+    assert len(got) == 300
+    for feature, edge in (("prop", "IS_PROP"), ("obj", "IS_OBJ")):
+        synonyms = {}
+        for dec, concept in set(up(edge)):
+            synonyms.setdefault(dec, set()).update(s for c, s in called if c == concept)
+        for t in got:
+            found = set().union(*(synonyms[d] for s, d in cats if s == t))
+            assert got[t][f"syn_{feature}sum"] == pytest.approx(sum(score[x] for x in found)) and got[t][f"syn_{feature}max"] == max(score[x] for x in found)
+    assert all(r.ftsearch_dec == 2.5 and r.ftsearch_cde == 0 for r in got.values())
+    want = {r.target: r.codes for r in G.concepts_of(elements).groupBy("target").agg(F.array_sort(F.collect_set("code")).alias("codes")).collect()}
+    codes = {r.first: r.codes for r in G.category_codes(elements).collect()}
+    assert len(codes) == 4 and {r.target: codes[r.first] for r in elements.categories().collect()} == want
