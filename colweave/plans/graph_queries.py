@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colweave.operators import graph as G
 from colweave.plans.base import Catalogue, rounded, table
+from colweave.storage import saved
 
 C = Catalogue()
 
@@ -47,9 +48,11 @@ _PATH = """h AS (SELECT p_brand AS q, p_name, max(p_retailprice) AS score FROM p
 r AS (SELECT DISTINCT p_name, o_custkey FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)"""
 
 
-def reached(spark, d):
+def reached(spark, d, *of_node):
+    """Hits at all that their nodes reach, or (node, target) with sums and the like of each node's hits, as many queries hit one node."""
     hits, steps = star(spark, d)
-    return hits.join(G.follow(hits, steps), "node")
+    own = saved(hits.groupBy("node").agg(*of_node) if of_node else hits)  # a table whose size is known: small ones go to the pairs
+    return own.join(G.follow(own, steps, many=True), "node")
 
 
 @C.add(f"WITH {_PATH} SELECT q, o_custkey AS target, round(sum(score), 4) AS sum, round(max(score), 4) AS max FROM h JOIN r USING (p_name) GROUP BY ALL")
@@ -59,12 +62,13 @@ def path_sum_max_once(spark, d):
 
 @C.add(f"WITH {_PATH} SELECT o_custkey AS target, round(sum(score), 4) AS sum, count(*) AS n FROM h JOIN r USING (p_name) GROUP BY ALL")
 def path_sum(spark, d):
-    return reached(spark, d).groupBy("target").agg(rounded(F.sum("score"), 4).alias("sum"), F.count("*").alias("n"))
+    return reached(spark, d, F.sum("score").alias("score"), F.count("*").alias("n")).groupBy("target").agg(rounded(F.sum("score"), 4).alias("sum"), F.sum("n").alias("n"))
 
 
 @C.add(f"WITH {_PATH} SELECT o_custkey AS target, round(max(score), 4) AS max, max_by(q, (score, q)) AS best FROM h JOIN r USING (p_name) GROUP BY ALL")
 def path_max(spark, d):
-    return reached(spark, d).groupBy("target").agg(rounded(F.max("score"), 4).alias("max"), F.max_by("q", F.struct("score", "q")).alias("best"))
+    best = F.max(F.struct("score", "q")).alias("best")
+    return reached(spark, d, best).groupBy("target").agg(F.max("best").alias("best")).select("target", rounded("best.score", 4).alias("max"), F.col("best.q").alias("best"))
 
 
 @C.add("""SELECT s_nationkey AS target, round(sum(s_acctbal), 4) AS sum, round(max(s_acctbal), 4) AS max FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colweave.operators import decide as D
 from colweave.operators import graph as G
-from colweave.plans import decide_queries
+from colweave.plans import decide_queries, graph_queries
 
 
 def test_a_customer_meets_only_its_nations_best(spark, tmp_path, monkeypatch):
@@ -57,3 +57,17 @@ def test_scores_by_categories_are_carried_once(spark, elements):
     want = {r.target: r.codes for r in G.concepts_of(elements).groupBy("target").agg(F.array_sort(F.collect_set("code")).alias("codes")).collect()}
     codes = {r.first: r.codes for r in G.category_codes(elements).collect()}
     assert len(codes) == 4 and {r.target: codes[r.first] for r in elements.categories().collect()} == want
+
+
+def test_hits_of_a_node_are_put_together_before_its_targets(spark):
+    """Many queries hit one name: its best goes to customers, not every hit; what is grouped by target isn't shuffled for it."""
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        best = graph_queries.reached(spark, sf, F.max("score").alias("score"))
+        assert best.count() == best.select("node", "target").distinct().count()
+        plan = graph_queries.path_sum_max_once(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Exchange hashpartitioning(q" not in plan
