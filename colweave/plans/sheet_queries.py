@@ -302,8 +302,8 @@ def written_sheets(spark, d):
     more = lambda a, b: F.when(wide, F.concat(a, sep, b)).otherwise(lit(""))
     head = F.concat(lit("partKey"), sep, lit("p_name"), sep, lit('"size"""'), sep, lit("p_name"), more(lit(""), lit("")), more(lit(""), lit("price")))
     body = F.concat("p_partkey", sep, lit('"'), "p_name", lit("\n"), "p_type", lit('"'), sep, F.when(c("p_size") % 4 == 0, "NA").otherwise(c("p_size").cast("string")), sep, F.when(c("p_size") % 3 == 0, F.concat(lit('"'), "p_type", lit(',\t"""'))).otherwise(c("p_type")), more(lit(""), lit("")), more(lit(""), F.format_string("%.2f", "p_retailprice")))
-    rows = part.select("p_brand", sep.alias("sep"), F.explode(F.array(F.struct(lit(0).alias("no"), head.alias("value")), F.struct(c("p_partkey").alias("no"), body.alias("value")))).alias("r")).select("p_brand", tabs.alias("tabs"), "r.*").distinct()
-    rows = rows.withColumn("name", F.concat("p_brand", F.when(c("tabs"), ".tsv").otherwise(".csv"))).repartition("name").sortWithinPartitions("name", "no").select("name", "value")
+    rows = part.select("p_brand", sep.alias("sep"), F.explode(F.array(F.struct(lit(0).alias("part"), lit(0).alias("no"), head.alias("value")), F.struct(lit(1).alias("part"), c("p_partkey").alias("no"), body.alias("value")))).alias("r")).select("p_brand", tabs.alias("tabs"), "r.*").distinct()
+    rows = rows.withColumn("name", F.concat("p_brand", F.when(c("tabs"), ".tsv").otherwise(".csv"))).repartition("name").sortWithinPartitions("name", "part", "no").select("name", "value")  # the head first, whatever the keys
     folder = f"{shared_folder(spark)}/sheets/{uuid.uuid4().hex}"
     rows.write.partitionBy("name").text(folder)
     at_end(lambda: delete(spark, folder))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colweave.operators import decide as D
 from colweave.operators import graph as G
-from colweave.plans import decide_queries, graph_queries
+from colweave.plans import decide_queries, graph_queries, sheet_queries
 
 
 def test_a_customer_meets_only_its_nations_best(spark, tmp_path, monkeypatch):
@@ -71,3 +71,10 @@ def test_hits_of_a_node_are_put_together_before_its_targets(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert "Exchange hashpartitioning(q" not in plan
+
+
+def test_heads_of_sheets_come_first(spark, tmp_path):
+    """Also before a part of key 0 or less."""
+    spark.range(-3, 3).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'t' AS p_type", "'Brand#11' AS p_brand", "1 AS p_size", "1.5D AS p_retailprice").write.parquet(f"file://{tmp_path}/part.parquet")
+    got = {r.col_no: (r.header, r.n_values) for r in sheet_queries.folder_sheets(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: ("partKey", 6), 2: ("p_name", 6), 3: ('size"', 6), 4: ("p_name.1", 6)}
