@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from colweave.functions.text import tokens
-from colweave.storage import broadcast, delete, exists, map_batches, saved
+from colweave.storage import broadcast, delete, exists, in_small_groups, map_batches, saved
 
 K1, B = 1.2, 0.75
 #: Texts and tokens of a block at most (one longer text is a block by itself).
@@ -272,7 +272,7 @@ class Segments:
     def add(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> None:
         """A new segment; one that was broken off counts for nothing. Ids that are there already are added once more: delete them before."""
         number = max(self.numbers(), default=0) + 1
-        build(docs, doc, text).write.mode("overwrite").parquet(f"{self.path}/segments/{number}")
+        in_small_groups(build(docs, doc, text).write.mode("overwrite")).parquet(f"{self.path}/segments/{number}")
 
     def delete(self, ids: DataFrame, doc: str = "doc_id") -> None:
         """From now on texts of these ids that are in the index are not found, nor counted."""
@@ -295,7 +295,7 @@ class Segments:
         numbers = self.numbers()
         if not numbers:
             return
-        self.blocks().write.mode("overwrite").parquet(f"{self.path}/segments/{max(numbers) + 1}")
+        in_small_groups(self.blocks().write.mode("overwrite")).parquet(f"{self.path}/segments/{max(numbers) + 1}")
         for n in numbers:
             delete(self.spark, f"{self.path}/segments/{n}")
         delete(self.spark, f"{self.path}/deletions")

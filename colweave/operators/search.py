@@ -38,7 +38,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "
     score = sum over the query's tokens of ln(1 + (N - df + 0.5) / (df + 0.5)) tf / (tf + k1 (1 - b + b dl / avgdl)); lengths are not
     quantised. Texts are inverted block by block and scored where they lie (see blocks.search()): neither postings nor pairs are shuffled.
     """
-    return blocks.search(saved(blocks.build(docs, doc, text)), queries, query, query_text).withColumnRenamed("id", doc)
+    return blocks.search(saved(blocks.build(docs, doc, text), long_rows=True), queries, query, query_text).withColumnRenamed("id", doc)
 
 
 def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") -> DataFrame:
@@ -49,7 +49,7 @@ def top_k(hits: DataFrame, k: int, by: str, order: str, score: str = "score") ->
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query by bm25(); of scores equal to nine digits the smaller document's comes first. Exact, without scoring blocks that can't hold one of them."""
-    return blocks.search(saved(blocks.build(docs, doc, text)), queries, query, query_text, k).withColumnRenamed("id", doc)
+    return blocks.search(saved(blocks.build(docs, doc, text), long_rows=True), queries, query, query_text, k).withColumnRenamed("id", doc)
 
 
 @dataclasses.dataclass

@@ -7,9 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from colweave.operators import blocks as B
+from colweave.operators import search as S
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -130,3 +133,26 @@ def test_segments_and_deletions(spark, tmp_path):
     assert index.numbers() == [5]
     index.delete(frame([(1, "")]))
     same(found(index.search(asked)), brute([d for d in left if d[0] != 1], queries))
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A reader holds a row group of blocks at once: none has more than a few, in searches, in stored indexes and after merges."""
+    monkeypatch.setattr(B, "BLOCK_TEXTS", 1)
+    docs = spark.createDataFrame(corpus(3)[0], "doc_id long, text string").coalesce(1)
+    groups = []
+
+    def read(blocks):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+        groups.append([m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)])
+
+    monkeypatch.setattr(B, "search", lambda blocks, queries, *rest: read(blocks) or queries.select(F.col("q").alias("id")))
+    queries = spark.createDataFrame([(1, "alpha")], "q long, t string")
+    S.bm25(docs, queries, query="q", query_text="t")
+    S.bm25_top_k(docs, queries, 3, query="q", query_text="t")
+    index = B.Segments(spark, str(tmp_path / "index"))
+    index.add(docs)
+    read(index.blocks())
+    index.merge()
+    read(index.blocks())
+    assert [sum(g) for g in groups] == [154] * 4
+    assert max(max(g) for g in groups) <= 8
