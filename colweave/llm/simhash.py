@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colweave.llm.common import LOWER, components, fresh, looked_up, map_batches, rows_of, table, type_of, utf8_of
 from colweave.storage import broadcast, delete, saved, shared_folder
@@ -28,6 +29,8 @@ ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 GROUPS = 1 << 24
 #: 64-bit words of a set's bitmap. Rounds in which texts are compared with a few others before all that is left is compared, at most, and the share of links among comparisons below which they end; about how many texts share one to be compared with.
 BITMAP, ROUNDS, WORTH, SHARING = 8, 6, 0.02, 32
+#: How many of its first lists a text carries, by which a pair that shares an earlier list is left out of later ones.
+FIRST = 8
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -417,12 +420,35 @@ def several_classes(lists: DataFrame) -> DataFrame:
     return lists.join(lists.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h"), "h", "left_semi")
 
 
+def with_partners(lists: DataFrame, similarity: float) -> DataFrame:
+    """The rows (h, n, ...) of lists h that hold another text whose size n lets the two have the similarity: of all sizes the next ones are nearest, so they tell."""
+    by_size, n = Window.partitionBy("h").orderBy("n"), F.col("n")
+    near = F.greatest(F.lag("n").over(by_size) >= F.lit(similarity) * n - 1e-9, n >= F.lit(similarity) * F.lead("n").over(by_size) - 1e-9)
+    return lists.withColumn("near", near).where("near").drop("near")
+
+
+def with_largest_class(lists: DataFrame) -> DataFrame:
+    """The rows (h, c, ...) of lists h with more than one class c, and each list's largest class as main."""
+    dealt = lists.repartition("h").withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("h", "c")))
+    each = Window.partitionBy("h")
+    dealt = dealt.withColumns({"main": F.max(F.struct("count", "c")).over(each)["c"], "least": F.min("c").over(each), "most": F.max("c").over(each)})
+    return dealt.where("least <> most").select(*lists.columns, "main")
+
+
+def with_first_lists(lists: DataFrame) -> DataFrame:
+    """The rows (d, h, i, ...) with `first`, the FIRST lists of the text in the order of shingles, and `before`, how many of these come before the row's own."""
+    own = Window.partitionBy("d")
+    ranked = lists.withColumn("r", F.row_number().over(own.orderBy("i")))
+    first = F.collect_list(F.when(F.col("r") <= FIRST, F.struct("r", "h"))).over(own)
+    return ranked.select(*lists.columns, F.transform(F.array_sort(first), lambda x: x["h"]).alias("first"), F.least(F.col("r") - 1, F.lit(FIRST)).alias("before"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """(digest, key, component_key) of every row: texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked.
 
     First the trie: SimHash fingerprints of the sets that differ in at most `budget` bits are joined, and those pairs verified that it links; the others follow by shingles. Similar sets share a shingle of their prefixes(), so each list of texts with a prefix shingle holds all candidates. Round by round each text is compared with one or two
     others of its lists, drawn anew each time; verified links join classes, and lists of one class are done. When few comparisons find links, in lists of several classes still, each text outside the list's largest class is compared
-    with every text of another class whose bitmap doesn't rule it out. Pairs left out lie in one class or can't have the similarity by their lengths, places or bitmaps, so
+    with every text of another class whose bitmap doesn't rule it out, in the first list that both are in. Pairs left out lie in one class or can't have the similarity by their lengths, places or bitmaps, so
     nothing is missed, while a group of near copies in one class costs no pairs. Equal texts are one class from the start. Null and empty texts are equal;
     a null key never names a component. Keys are of any type that has an order; repeated rows give a row each, an empty table none; other columns aren't looked at.
     """
@@ -442,7 +468,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     shared = prefixes(sets, similarity, order).groupBy("h").count().where("count > 1")
     flags = flags_of(shared.select(F.col("h").bitwiseAND(GROUPS - 1).alias("g")), GROUPS)
     made = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    postings = saved(prefixes(sets, similarity, order, broadcast(spark, flags)), f"{made}-postings")
+    postings = saved(with_partners(prefixes(sets, similarity, order, broadcast(spark, flags)), similarity), f"{made}-postings")
     # of lists of the very same texts, as the shingles of a passage have, the one that comes first in the order of shingles stays: in it their first shared shingle stands
     same = [F.sum(F.xxhash64("d", F.lit(seed)).cast("decimal(20,0)")).alias(f"same{seed}") for seed in (0, 1)]
     sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("count"), F.sum("i").alias("place"), *same).where("count > 1")
@@ -479,15 +505,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
             break
 
     # all that is left: texts of different classes in a list, but for two of its largest one
-    main = named.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("h", F.col("m.c").alias("main"))
-    open_ = saved(named.join(main, "h").select("h", "d", "n", "i", "c", "main"))
-    open_ = open_.join(of_texts(sets.select("d", "m"), open_), "d")
-    open_ = saved(open_.select("h", "d", "n", "i", "c", "main", *(F.col("m")[k].alias(f"m{k}") for k in range(BITMAP))))
+    open_ = saved(with_largest_class(named.select("h", "d", "n", "i", "c")))
+    open_ = with_first_lists(open_).join(of_texts(sets.select("d", "m"), open_), "d")
+    open_ = saved(open_.select("h", "d", "n", "i", "c", "main", "first", "before", *(F.col("m")[k].alias(f"m{k}") for k in range(BITMAP))))
     one, two = open_.where("c <> main").alias("one"), open_.alias("two")
     once = F.expr("one.c <> two.c AND (two.c = two.main OR one.d > two.d)")
     apart = functools.reduce(operator.add, (F.bit_count(F.col(f"one.m{k}").bitwiseXOR(F.col(f"two.m{k}"))) for k in range(BITMAP)))
     close = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("one.n") + F.col("two.n")) + 1e-9  # elements in one set only
-    across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two") & close).select(*pair("one.d", "two.d")).distinct())
+    new = ~F.arrays_overlap(F.slice("one.first", F.lit(1), F.col("one.before")), F.col("two.first"))  # no earlier list, in which they met already
+    across = saved(one.join(two, (F.col("one.h") == F.col("two.h")) & once & may("one", "two") & close & new).select(*pair("one.d", "two.d")).distinct())
     groups = components(links.unionAll(verified(across, sets, similarity)))
     named = rows.groupBy("d").agg(F.min("k").alias("k")).join(groups.select(F.col("id").alias("d"), "component_id"), "d", "left").select("d", "k", F.coalesce("component_id", "d").alias("g"))
     named = saved(named)
