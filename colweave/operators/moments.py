@@ -28,6 +28,11 @@ def term(names: tuple[str, ...]) -> Column:
     return functools.reduce(lambda a, b: a * b, (F.col(f"`{n}`") for n in names))
 
 
+def expanded(x: np.ndarray, degree: int = 2) -> np.ndarray:
+    """The terms of rows of columns."""
+    return np.hstack([x, *(x[:, [i]] * x[:, [j]] for i in range(x.shape[1]) for j in range(i, x.shape[1]) if degree == 2)])
+
+
 @dataclasses.dataclass
 class Moments:
     """What rows of terms and a label, the last, leave behind: rows, weight, weighted means and products of deviations from them; unweighted means, squared deviations and extremes.
@@ -85,14 +90,13 @@ def moments(df: DataFrame, columns: list[str], label: str, weight: str | None =
     given = df.select(*base, F.col(f"`{label}`").cast("double").alias("y"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"), (F.lit(0) if fold is None else fold.cast("int")).alias("fold"))
     for c in given.columns:
         given = given.where(F.col(c).isNotNull() if c == "fold" else F.col(c).isNotNull() & ~F.isnan(c))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns)) if degree == 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Moments] = {}
         for batch in batches:
             values = np.column_stack([np.asarray(batch.column(i)) for i in range(len(columns) + 2)])
             x, y, w = values[:, :-2], values[:, -2:-1], values[:, -1]
-            full = np.hstack([x, *(x[:, [i]] * x[:, [j]] for i, j in pairs), y])
+            full = np.hstack([expanded(x, degree), y])
             folds = np.asarray(batch.column(batch.num_columns - 1))
             for k in np.unique(folds):
                 own = Moments.of(full[folds == k], w[folds == k])

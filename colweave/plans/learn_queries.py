@@ -107,9 +107,8 @@ def principal_axes(spark, d):
 
 @C.add()
 def kfold(spark, d):
-    df = examples(spark, d)
-    model = M.cross_validated(COLUMNS, "quality", df.count(), [0.1, 10.0], folds=3).fit(df)
-    return spark.createDataFrame([(c, round(float(a), 6)) for c, a in zip([0.1, 10.0], model.avgMetrics)], "c double, auc double")
+    found = M.cross_validated(examples(spark, d), COLUMNS, "quality", [0.1, 10.0], folds=3)
+    return spark.createDataFrame([(c, round(float(a), 6)) for c, a in zip([0.1, 10.0], found.areas)], "c double, auc double")
 
 
 @C.add("""SELECT doc_id, CAST(doc_id % 10 = 0 AS INT) AS test FROM labels""")
