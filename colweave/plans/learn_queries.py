@@ -5,10 +5,12 @@ import math
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from colweave.operators import logistic as L
 from colweave.operators import models as M
 from colweave.operators import moments as N
 from colweave.operators import network as W
 from colweave.plans.base import Catalogue, rounded, table
+from colweave.storage import saved, scope
 
 C = Catalogue()
 COLUMNS = ["logn", "spaces", "capitals"]
@@ -56,9 +58,10 @@ def poly_features(spark, d):
 
 @C.add()
 def logistic_nomatch(spark, d):
-    df = examples(spark, d)
-    model = M.logistic(COLUMNS, "quality", df.count()).fit(df)
-    return model.transform(df).select("doc_id", "quality", rounded(vector_to_array("probability")[1], 4).alias("p"))
+    df = examples(spark, d).dropna(subset=[*COLUMNS, "quality"])
+    with scope():
+        (fitted,) = L.fit(saved(df.select(*COLUMNS, "quality")), COLUMNS, "quality", [(None, 10.0)])
+    return df.select("doc_id", "quality", rounded(1 / (1 + F.exp(-fitted.predict(COLUMNS))), 4).alias("p"))
 
 
 @C.add(f"""WITH RECURSIVE {_EXAMPLES}, {ridge_sql(f"SELECT 0 AS part, {_PRODUCTS} AS x, y, 25 / 142.0 / greatest(a, {math.log(2)}) AS w FROM base", [10**-0.5])}

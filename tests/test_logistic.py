@@ -85,3 +85,14 @@ def test_kfold_takes_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [r.c for r in rows] == [0.1, 10.0] and all(0.5 < r.auc <= 1 for r in rows)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("kfold")) < 150
+
+
+def test_logistic_nomatch_takes_few_jobs(spark):
+    spark.sparkContext.setJobGroup("nomatch", "nomatch")
+    try:
+        rows = learn_queries.logistic_nomatch(spark, "/root/testdata/sf0.01").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 399 and all(0 <= r.p <= 1 for r in rows)
+    assert abs(sum(r.p - r.quality for r in rows)) < 0.05  # an intercept without a penalty
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nomatch")) < 100
