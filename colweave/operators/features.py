@@ -9,6 +9,8 @@ from colweave.functions.validators import looks_enumerated
 
 #: What is counted for a data element without listed answers.
 BOOLEAN_ANSWERS = 2
+#: A deviation below this is that of equal scores, which differ by rounding only: their parts are added up in differing orders.
+NO_SPREAD = 1e-12
 
 
 def assemble(frames: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -25,7 +27,7 @@ def wide(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def expand(df: DataFrame, group: list[str], features: list[str], positive_only: tuple[str, ...] = ("secondary_search",)) -> DataFrame:
-    """df with statistics of each group: max_*, pct_* (share above 0), n, logn; and *_frac (of the maximum) and *_norm (by mean and population deviation), 0 where these are 0.
+    """df with statistics of each group: max_*, pct_* (share above 0), n, logn; and *_frac (of the maximum) and *_norm (by mean and population deviation), 0 where these are 0 (a deviation: below NO_SPREAD).
 
     For the marks in positive_only, max_* is their mean, and they have neither *_frac nor *_norm. One aggregation, joined back.
     """
@@ -38,7 +40,7 @@ def expand(df: DataFrame, group: list[str], features: list[str], positive_only:
     )
     own = [f for f in features if f not in positive_only]
     frac = [F.when(F.col(f"max_{f}") == 0, 0.0).otherwise(F.col(f) / F.col(f"max_{f}")).alias(f"{f}_frac") for f in own]
-    norm = [F.when(F.col(f"__std_{f}") == 0, 0.0).otherwise((F.col(f) - F.col(f"__avg_{f}")) / F.col(f"__std_{f}")).alias(f"{f}_norm") for f in own]
+    norm = [F.when(F.col(f"__std_{f}") < NO_SPREAD, 0.0).otherwise((F.col(f) - F.col(f"__avg_{f}")) / F.col(f"__std_{f}")).alias(f"{f}_norm") for f in own]
     joined = df.join(stats, group)
     return joined.select(*df.columns, *(c for c in stats.columns if c not in group and not c.startswith("__")), *frac, *norm, F.log("n").alias("logn"))
 

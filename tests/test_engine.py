@@ -267,6 +267,15 @@ def test_expand_and_models(spark, tmp_path):
     assert M.ridge(train, ["a", "b"], "y").fit(train).transform(train).count() == 200
 
 
+def test_equal_scores_have_no_spread(spark):
+    """Scores that differ in their last bit only, as sums in differing orders do, are no deviation to divide by; small true ones are."""
+    same = spark.range(200).select(F.lit("g").alias("g"), F.lit(0).alias("secondary_search"), F.when(F.col("id") < 3, F.lit(0.1) + F.lit(0.2)).otherwise(F.lit(0.3)).alias("a"))
+    assert same.select("a").distinct().count() == 2
+    assert {r.a_norm for r in T.expand(same, ["g"], ["secondary_search", "a"]).collect()} == {0.0}
+    small = spark.createDataFrame([("g", 1e-9, 0), ("g", 3e-9, 1)], "g string, a double, secondary_search int")
+    assert [round(r.a_norm, 6) for r in T.expand(small, ["g"], ["secondary_search", "a"]).orderBy("a").collect()] == [-1.0, 1.0]
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "1999", "DATE", "YYYY"), ("2024-01-01 00:02:00", "x", "DATE", "YYYY")], "ts string, v string, t string, f string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(f"{tmp_path}/in")
