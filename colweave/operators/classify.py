@@ -88,22 +88,25 @@ def candidate_features(columns: DataFrame, cells: DataFrame, graph: G.Graph, nam
     two = spread(G.propagate(second, graph)).withColumn("secondary_search", F.lit(1))
     by_name = one.unionByName(two.join(one.select(*COLUMN, "target"), [*COLUMN, "target"], "left_anti"))
     raw = saved(cells.where("value IS NOT NULL").groupBy(*COLUMN, "value").agg(F.count("*").alias("n")).withColumn("query_text", X.clean_for_search("value")))
-    per_value = saved(value_hits(raw.select(F.col("query_text").alias("value"), "query_text").distinct(), graph, names, answers).withColumnRenamed("value", "query_text"))
+    # all values' scores of an element lie together, so that they are summed where they lie
+    per_value = saved(value_hits(raw.select(F.col("query_text").alias("value"), "query_text").distinct(), graph, names, answers).withColumnRenamed("value", "query_text").repartition("target"))
     clean = raw.groupBy(*COLUMN, "query_text").agg(F.count("*").alias("n_raw"))
-    n_clean = clean.groupBy(*COLUMN).agg(F.count("*").alias("n_clean"))
+    clean = saved(clean.join(clean.groupBy(*COLUMN).agg(F.count("*").alias("n_clean")), COLUMN))
     found = F.when((F.col("enum_answer_search") > 0) | (F.col("enum_concept_search") > 0), F.col("n_raw"))
-    means = clean.join(per_value, "query_text").groupBy(*COLUMN, "target").agg(*(F.sum(f).alias(f) for f in ("enum_concept_search", "enum_answer_search")), F.sum(found).alias("hits"))
-    by_value = means.join(n_clean, COLUMN).select(*COLUMN, "target", *((F.col(f) / F.col("n_clean")).alias(f) for f in ("enum_concept_search", "enum_answer_search")), "hits").where("enum_concept_search > 0 OR enum_answer_search > 0")
-    both = saved(T.assemble([by_name, by_value], [*COLUMN, "target"]))
+    means = clean.join(per_value, "query_text").groupBy(*COLUMN, "target").agg(*(F.sum(f).alias(f) for f in ("enum_concept_search", "enum_answer_search")), F.sum(found).alias("hits"), F.max("n_clean").alias("n_clean"))
+    by_value = means.select(*COLUMN, "target", *((F.col(f) / F.col("n_clean")).alias(f) for f in ("enum_concept_search", "enum_answer_search")), "hits").where("enum_concept_search > 0 OR enum_answer_search > 0")
+    both = T.assemble([by_name, by_value], [*COLUMN, "target"])
 
-    sizes = raw.groupBy(*COLUMN).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+    # what is a row for each column is saved: its size is known then, and all candidates need not be dealt by columns to meet it
+    sizes = saved(raw.groupBy(*COLUMN).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows")))
     elements = graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "value_domain_type", "datatype", "display_format")
     typed = both.join(elements, "target").join(sizes, COLUMN, "left").na.fill(0, ["n_values", "n_rows"])
-    counted = T.answer_counts(typed, graph.edges["PERMITS"], "n_rows").withColumn("answer_count_score", X.count_closeness("n_values", "n_answers"))
+    typed = saved(T.answer_counts(typed, graph.edges["PERMITS"], "n_rows"))
+    counted = typed.withColumn("answer_count_score", X.count_closeness("n_values", "n_answers"))
     # each kind of domain is checked once for a column's values, however many candidates have it
     kinds = typed.where("value_domain_type = 'NonEnumerated'").where(V.listed("datatype", "display_format")).select(*COLUMN, "datatype", "display_format").distinct()
     kinds = kinds.withColumn("kind", F.when(F.col("display_format").isNotNull(), F.concat(F.lit("f "), "display_format")).otherwise(F.concat(F.lit("t "), "datatype")))
-    ok = raw.join(kinds, COLUMN).groupBy(*COLUMN, "kind").agg(F.avg(V.conforms("value", "datatype", "display_format").cast("int")).alias("conforming"))
+    ok = saved(raw.join(kinds, COLUMN).groupBy(*COLUMN, "kind").agg(F.avg(V.conforms("value", "datatype", "display_format").cast("int")).alias("conforming")))
     kind = F.when(F.col("value_domain_type") == "NonEnumerated", F.when(F.col("display_format").isNotNull(), F.concat(F.lit("f "), "display_format")).otherwise(F.concat(F.lit("t "), "datatype")))
     scored = counted.withColumn("kind", kind).join(ok, [*COLUMN, "kind"], "left")
     share = F.when(F.col("value_domain_type") == "Enumerated", F.coalesce("hits", F.lit(0)) / F.col("n_values")).otherwise(F.col("conforming"))
@@ -112,7 +115,7 @@ def candidate_features(columns: DataFrame, cells: DataFrame, graph: G.Graph, nam
 
 
 def expanded_features(candidates: DataFrame) -> DataFrame:
-    return M.interactions(T.expand(candidates, COLUMN, FEATURES))
+    return M.interactions(T.expand(candidates, COLUMN, FEATURES, few=True))
 
 
 def training_rows(expanded: DataFrame, annotations: DataFrame, graph: G.Graph) -> DataFrame:
@@ -142,11 +145,12 @@ def decide_columns(columns: DataFrame, expanded: DataFrame, nomatch: Callable[[D
 def enumerated_hits(pairs: DataFrame, permitted: DataFrame, graph: G.Graph, names: Index, answers: Index) -> DataFrame:
     """(value, target, answer, synonym or null, code, score) of values, as they are, at answers of their candidate elements: through an answer's text, and through synonyms of its concepts."""
     asked = pairs.select(F.col("value").alias("query_id"), F.col("value").alias("query_text")).distinct()
-    texts = answers.search(asked).join(graph.edges["CAN_BE"].select(F.col("dst").alias("node"), F.col("src").alias("answer")), "node").select(F.col("query_id").alias("value"), "answer", F.lit(None).cast("string").alias("synonym"), F.lit(None).cast("string").alias("code"), "score")
-    named = names.search(asked).where("label = 'Synonym'").join(graph.nodes["Synonym"].select(F.col("id").alias("node"), F.col("name").alias("synonym")), "node")
-    meant = named.select(F.col("query_id").alias("value"), "synonym", "score").join(permitted.where("synonym IS NOT NULL").select("answer", "synonym", "code").distinct(), "synonym").select("value", "answer", "synonym", "code", "score")
     at = permitted.select("target", "answer").distinct()
-    return texts.unionByName(meant).join(at, "answer").join(pairs.select("value", "target").distinct(), ["value", "target"], "left_semi").select("value", "target", "answer", "synonym", "code", "score")
+    can_be = graph.edges["CAN_BE"].select(F.col("dst").alias("node"), F.col("src").alias("answer")).join(at, "answer")  # an answer meets its elements before values meet it
+    texts = answers.search(asked).join(can_be, "node").select(F.col("query_id").alias("value"), "target", "answer", F.lit(None).cast("string").alias("synonym"), F.lit(None).cast("string").alias("code"), "score")
+    named = names.search(asked).where("label = 'Synonym'").join(graph.nodes["Synonym"].select(F.col("id").alias("node"), F.col("name").alias("synonym")), "node")
+    meant = named.select(F.col("query_id").alias("value"), "synonym", "score").join(permitted.where("synonym IS NOT NULL").select("target", "answer", "synonym", "code").distinct(), "synonym").select("value", "target", "answer", "synonym", "code", "score")
+    return texts.unionByName(meant).join(pairs.select("value", "target").distinct(), ["value", "target"], "left_semi").select("value", "target", "answer", "synonym", "code", "score")
 
 
 def results_of(decided: DataFrame, cells: DataFrame, graph: G.Graph, names: Index, answers: Index) -> DataFrame:
@@ -159,15 +163,14 @@ def results_of(decided: DataFrame, cells: DataFrame, graph: G.Graph, names: Inde
     elements = graph.nodes["CDE"].select(F.col("id").alias("target"), "cde_id", "value_domain_type", "datatype", "display_format")
     chosen = ranked.where(F.col("chosen") != D.NOMATCH).select(*COLUMN, F.col("chosen").try_cast("long").alias("cde_id")).distinct().join(elements.select("target", "cde_id"), "cde_id")
     pairs = saved(chosen.join(raw, COLUMN).select(*COLUMN, "cde_id", "target", "value"))
-    permitted = G.permitted_values(graph)
+    permitted = saved(G.permitted_values(graph, chosen.select("target").distinct()))
     classes = D.value_classes(pairs, elements, permitted, enumerated_hits(pairs, permitted, graph, names, answers))
     classes = saved(pairs.join(classes, ["target", "value"]))
     best = D.best_node_of(classes, "cde_id", "target", tuple(COLUMN))
     domain = D.value_domain(classes.join(best, [*COLUMN, "cde_id", "target"]), [*COLUMN, "cde_id"])
     unmatched = D.value_domain(raw.withColumn("permissible", F.lit(D.NOMATCH)).withColumn("code", F.lit(None).cast("string")), COLUMN).withColumnRenamed("value_domain", "no_domain")
     headers = G.element_headers(graph).groupBy("cde_id").agg(F.min(F.struct("target", "cde_long_name", "dec_id", "dec_name")).alias("h")).select("cde_id", "h.*")
-    codes = G.concepts_of(graph).join(graph.nodes["DEC"].select(F.col("id").alias("dec"), F.col("name").cast("long").alias("dec_id")), "dec").groupBy("dec_id").agg(F.collect_set("code").alias("codes"))
-    joined = ranked.withColumn("cde_id", F.when(F.col("chosen") != D.NOMATCH, F.col("chosen").try_cast("long"))).join(headers, "cde_id", "left").join(codes, "dec_id", "left").join(domain, [*COLUMN, "cde_id"], "left").join(unmatched, COLUMN, "left")
+    joined = ranked.withColumn("cde_id", F.when(F.col("chosen") != D.NOMATCH, F.col("chosen").try_cast("long"))).join(headers, "cde_id", "left").join(G.codes_of_decs(graph), "dec_id", "left").join(domain, [*COLUMN, "cde_id"], "left").join(unmatched, COLUMN, "left")
     empty = F.filter(F.coalesce("no_domain", "value_domain", F.array(F.struct(F.lit("").alias("observedValue"), F.struct(F.lit("").alias("value"), F.lit("").alias("conceptCode")).alias("permissibleValue")))), lambda x: F.lit(False))
     matched = D.result(F.col("cde_id"), F.col("cde_long_name"), F.col("dec_id"), F.col("dec_name"), F.coalesce("codes", F.array().cast("array<string>")), F.coalesce("value_domain", empty))
     result = F.when(F.col("chosen") == D.NOMATCH, D.nomatch_result(F.coalesce("no_domain", empty))).otherwise(matched)

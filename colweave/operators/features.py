@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.validators import looks_enumerated
+from colweave.storage import saved
 
 #: What is counted for a data element without listed answers.
 BOOLEAN_ANSWERS = 2
@@ -26,10 +27,11 @@ def wide(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return long.groupBy(*keys).agg(*(F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in names)).na.fill(0, names)
 
 
-def expand(df: DataFrame, group: list[str], features: list[str], positive_only: tuple[str, ...] = ("secondary_search",)) -> DataFrame:
+def expand(df: DataFrame, group: list[str], features: list[str], positive_only: tuple[str, ...] = ("secondary_search",), few: bool = False) -> DataFrame:
     """df with statistics of each group: max_*, pct_* (share above 0), n, logn; and *_frac (of the maximum) and *_norm (by mean and population deviation), 0 where these are 0 (a deviation: below NO_SPREAD).
 
-    For the marks in positive_only, max_* is their mean, and they have neither *_frac nor *_norm. One aggregation, joined back.
+    For the marks in positive_only, max_* is their mean, and they have neither *_frac nor *_norm. One aggregation, joined back. few: there are far fewer groups than rows, so that
+    statistics are saved and the planner knows their size: rows need not be dealt by groups to meet them.
     """
     stats = df.groupBy(*group).agg(
         *(F.avg(f).alias(f"max_{f}") if f in positive_only else F.max(f).alias(f"max_{f}") for f in features),
@@ -38,6 +40,7 @@ def expand(df: DataFrame, group: list[str], features: list[str], positive_only:
         *(F.stddev_pop(f).alias(f"__std_{f}") for f in features if f not in positive_only),
         F.count("*").alias("n"),
     )
+    stats = saved(stats) if few else stats
     own = [f for f in features if f not in positive_only]
     frac = [F.when(F.col(f"max_{f}") == 0, 0.0).otherwise(F.col(f) / F.col(f"max_{f}")).alias(f"{f}_frac") for f in own]
     norm = [F.when(F.col(f"__std_{f}") < NO_SPREAD, 0.0).otherwise((F.col(f) - F.col(f"__avg_{f}")) / F.col(f"__std_{f}")).alias(f"{f}_norm") for f in own]

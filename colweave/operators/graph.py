@@ -274,6 +274,14 @@ def concepts_of(graph: Graph, targets: DataFrame | None = None) -> DataFrame:
     return own.join(either, "dec").join(codes, "concept").select("target", "dec", "code").distinct()
 
 
+def codes_of_decs(graph: Graph) -> DataFrame:
+    """(dec_id, codes): the distinct concepts of each category, by objects and properties alike. Elements play no part: each of them has all concepts of its category, so pairs of both grow with the square."""
+    either = graph.edges["IS_OBJ"].unionAll(graph.edges["IS_PROP"]).select(F.col("src").alias("dec"), F.col("dst").alias("concept")).distinct()
+    codes = graph.nodes["Concept"].select(F.col("id").alias("concept"), F.col("name").alias("code"))
+    decs = graph.nodes["DEC"].select(F.col("id").alias("dec"), F.col("name").cast("long").alias("dec_id"))
+    return either.join(codes, "concept").join(decs, "dec").groupBy("dec_id").agg(F.collect_set("code").alias("codes"))
+
+
 def category_codes(graph: Graph) -> DataFrame:
     """(first, codes): the concepts, distinct and in order, of all elements with the same categories, at the one that stands for them in Graph.categories()."""
     return concepts_of(graph, graph.categories().select(F.col("first").alias("target")).distinct()).groupBy(F.col("target").alias("first")).agg(F.array_sort(F.collect_set("code")).alias("codes"))
@@ -286,9 +294,10 @@ def element_headers(graph: Graph) -> DataFrame:
     return own.join(graph.edges["IS_CAT"].select(F.col("src").alias("target"), F.col("dst").alias("dec")).distinct(), "target").join(dec, "dec").drop("dec")
 
 
-def permitted_values(graph: Graph) -> DataFrame:
-    """(target, answer, synonym or null, answer_text or null, code or null) of every element's answers: a row for each synonym of a concept that the answer means."""
-    answers = graph.edges["PERMITS"].select(F.col("src").alias("target"), F.col("dst").alias("answer")).distinct()
+def permitted_values(graph: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """(target, answer, synonym or null, answer_text or null, code or null) of every element's answers, or of these elements' (target): a row for each synonym of a concept that the answer means."""
+    answers = graph.edges["PERMITS"].select(F.col("src").alias("target"), F.col("dst").alias("answer"))
+    answers = (answers if targets is None else answers.join(targets, "target", "left_semi")).distinct()
     texts = graph.edges["CAN_BE"].select(F.col("src").alias("answer"), F.col("dst").alias("id")).join(graph.nodes["AnswerText"].select("id", "name"), "id").groupBy("answer").agg(F.min("name").alias("answer_text"))
     called = graph.edges["IS_CALLED"].select(F.col("src").alias("concept"), F.col("dst").alias("id")).distinct().join(graph.nodes["Synonym"].select("id", F.col("name").alias("synonym")), "id").drop("id")
     meant = graph.edges["EQUALS"].select(F.col("src").alias("answer"), F.col("dst").alias("concept")).join(graph.nodes["Concept"].select(F.col("id").alias("concept"), F.col("name").alias("code")), "concept").join(called, "concept").select("answer", "synonym", "code").distinct()

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from colweave.operators import classify as K
 from colweave.operators import decide as D
 from colweave.operators import graph as G
+from colweave.operators.search import Index
 from colweave.plans import decide_queries, graph_queries, sheet_queries
 
 
@@ -59,6 +61,45 @@ def test_scores_by_categories_are_carried_once(spark, elements):
     assert len(codes) == 4 and {r.target: codes[r.first] for r in elements.categories().collect()} == want
 
 
+def test_results_read_what_is_chosen_only(spark, elements, monkeypatch):
+    """Concepts come by category, not by each of its elements, and only chosen elements' answers are laid out and meet values."""
+    want = {r.target: r.codes for r in G.concepts_of(elements).groupBy("target").agg(F.array_sort(F.collect_set("code")).alias("codes")).collect()}
+    ids = {r.cde_id: r.id for r in elements.nodes["CDE"].collect()}
+    met, kept = [], D.value_classes
+
+    def all_elements(graph, targets=None):
+        raise AssertionError("every element with all concepts of its category")
+
+    def counted(pairs, own, permitted, hits):
+        met.extend(({r.target for r in df.select("target").distinct().collect()} for df in (permitted, hits)))
+        return kept(pairs, own, permitted, hits)
+
+    monkeypatch.setattr(G, "concepts_of", all_elements)
+    monkeypatch.setattr(D, "value_classes", counted)
+    decided = spark.createDataFrame([("s", 1, "h", ["8", "NOMATCH", "10"]), ("s", 2, "i", ["NOMATCH"])], "sheet string, col_no int, header string, results array<string>")
+    cells = spark.createDataFrame([("s", 1, "all name1"), ("s", 1, "other"), ("s", 2, "name0")], "sheet string, col_no int, value string")
+    names, answers = Index.build(G.name_entries(elements)), Index.build(G.answer_entries(elements))
+    got = {r.col_no: r.results for r in K.results_of(decided, cells, elements, names, answers).collect()}
+    assert met[0] <= {ids[8], ids[10]} and met[1] <= {ids[8], ids[10]}
+    for place, chosen in ((0, 8), (2, 10)):
+        found = got[1][place]
+        assert found.dataElement.id == chosen and [c.removeprefix("ncit:") for c in found.dataElementConcept.conceptCodes] == want[ids[chosen]]
+        assert [v.observedValue for v in found.valueDomain] == ["all name1", "other"]
+    assert got[1][1].dataElement.name == got[2][0].dataElement.name == "NOMATCH" and [v.observedValue for v in got[2][0].valueDomain] == ["name0"]
+
+
+def test_all_candidates_are_not_dealt_by_columns(spark):
+    """Statistics of columns are small and known to be: candidates stay where they are to meet them."""
+    df = spark.range(3000).select(F.lit("s").alias("sheet"), F.pmod("id", F.lit(3)).cast("int").alias("col_no"), F.col("id").alias("cde_id"), *(F.pmod("id", F.lit(i + 2)).cast("double").alias(f) for i, f in enumerate(K.FEATURES)))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = K.expanded_features(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_hits_of_a_node_are_put_together_before_its_targets(spark):
     """Many queries hit one name: its best goes to customers, not every hit; what is grouped by target isn't shuffled for it."""
     sf = "/root/testdata/sf0.001"
